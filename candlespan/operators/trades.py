@@ -75,19 +75,21 @@ def non_overlapping(trades: DataFrame) -> DataFrame:
     reach = F.max("exit_no").over(w.rowsBetween(Window.unboundedPreceding, -1))
     runs = trades.withColumn("_new", F.coalesce((F.col("entry_no") > reach).cast("long"), F.lit(1)))
     runs = runs.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
-    pair = F.struct("entry_no", "exit_no")
+    whole = F.struct("entry_no", "exit_no", *[c for c in trades.columns if c not in ("symbol", "entry_no", "exit_no")])
     empty = F.struct(F.lit(0).cast("long").alias("until"), F.array().cast("array<bigint>").alias("taken"))
 
     def take(acc, t):
         return F.when(t["entry_no"] > acc["until"], F.struct(
-            t["exit_no"].alias("until"), F.concat(acc["taken"], F.array(t["entry_no"])).alias("taken")
+            t["exit_no"].cast("long").alias("until"), F.concat(acc["taken"], F.array(t["entry_no"].cast("long"))).alias("taken")
         )).otherwise(acc)
 
-    picked = (
-        runs.groupBy("symbol", "_run").agg(F.sort_array(F.collect_list(pair)).alias("ts"))
-        .select("symbol", F.explode(F.aggregate("ts", empty, take)["taken"]).alias("entry_no"))
+    return (
+        runs.groupBy("symbol", "_run").agg(F.array_sort(
+            F.collect_list(whole), lambda x, y: F.when(x["entry_no"] < y["entry_no"], -1).otherwise(1)
+        ).alias("ts"))
+        .withColumn("taken", F.aggregate("ts", empty, take)["taken"])
+        .select("symbol", F.inline(F.filter("ts", lambda t: F.array_contains("taken", t["entry_no"].cast("long")))))
     )
-    return trades.join(picked, ["symbol", "entry_no"])
 
 
 def settle(trades: DataFrame, today: DataFrame, s: Settings = Settings()) -> DataFrame:

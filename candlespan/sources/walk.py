@@ -18,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def walk_bars(lineitem: DataFrame) -> DataFrame:
+def walk_bars(lineitem: DataFrame, gap_open: bool = False) -> DataFrame:
     """Numbered daily bars from order lines: every line moves its supplier's price by `quantity - 25.5`.
 
     The running price is a prefix sum over all lines of a supplier, computed in three levels so that a supplier
@@ -26,6 +26,9 @@ def walk_bars(lineitem: DataFrame) -> DataFrame:
     keys, blocks inside a day, days inside a year. Each level hands up one row per group holding the net step and
     the extremes of the running step, which is all the next level needs. Steps are multiples of 0.5, so the sums
     are exact in any order.
+
+    A day opens at the price before its first line, or with `gap_open` at the price after it, in which case
+    neighbouring bars share no price and swing extremes are unique.
     """
     lines = lineitem.select(
         F.col("l_suppkey").cast("string").alias("symbol"),
@@ -45,6 +48,7 @@ def walk_bars(lineitem: DataFrame) -> DataFrame:
         .agg(
             F.sum(F.col("l_quantity") - MEAN_STEP).alias("net"), F.max("_run").alias("up"),
             F.min("_run").alias("dn"), F.sum("l_quantity").alias("vol"),
+            F.min_by(F.col("l_quantity") - MEAN_STEP, F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")).alias("step"),
         )
     )
     in_day = Window.partitionBy("symbol", "date").orderBy("_ts", "_ob").rowsBetween(Window.unboundedPreceding, -1)
@@ -54,17 +58,19 @@ def walk_bars(lineitem: DataFrame) -> DataFrame:
         .agg(
             F.sum("net").alias("net"), F.max(F.col("_off") + F.col("up")).alias("up"),
             F.min(F.col("_off") + F.col("dn")).alias("dn"), F.sum("vol").cast("long").alias("volume"),
+            F.min_by("step", F.struct("_ts", "_ob")).alias("step"),
         )
     )
     run = running_totals(
         days, ["symbol"], F.year("date"), ["date"], {"_close": F.col("net"), "bar_no": F.lit(1)}
     )
     open_ = F.col("_close") - F.col("net") + BASE_PRICE
+    up, dn = F.col("up"), F.col("dn")
     return run.select(
         "symbol", "date",
-        open_.alias("open"),
-        (open_ + F.greatest(F.col("up"), F.lit(0.0))).alias("high"),
-        (open_ + F.least(F.col("dn"), F.lit(0.0))).alias("low"),
+        (open_ + F.col("step") if gap_open else open_).alias("open"),
+        (open_ + (up if gap_open else F.greatest(up, F.lit(0.0)))).alias("high"),
+        (open_ + (dn if gap_open else F.least(dn, F.lit(0.0)))).alias("low"),
         (F.col("_close") + BASE_PRICE).alias("close"),
         "volume",
         F.col("bar_no").cast("long").alias("bar_no"),
