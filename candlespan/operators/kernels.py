@@ -82,7 +82,8 @@ def smoothing(specs: list[Smooth]) -> Kernel:
 def reseeded(y: str, x: str, alpha: float, seed_bars: int) -> Column:
     """A smoothed column as if its recursion had started `seed_bars` bars ago instead of at the first bar.
 
-    The two recursions differ by the start difference, faded once per bar, so no second pass is needed.
+    The two recursions differ by the start difference, faded once per bar, so no second pass is needed. `y` must be
+    smoothed with `min_periods` 1, so that the start values are known.
     """
     from candlespan.operators.panel import series
 

@@ -25,8 +25,8 @@ from candlespan.operators import ranking as R
 from candlespan.operators import reports as A
 from candlespan.operators import trades as TR
 from candlespan.operators.calendar import business_days_between, calendar, last_completed_session, monday_after, volume_profile
-from candlespan.operators.kernels import reseeded, run_kernels, smoothing
-from candlespan.operators.panel import own_rows, panel, series, trailing
+from candlespan.operators.kernels import Smooth, reseeded, run_kernels, smoothing
+from candlespan.operators.panel import own_rows, panel, series, trailing, warm
 from candlespan.operators.stage import with_stage
 from candlespan.plans import scan as S
 from candlespan.session import scratch_dir
@@ -341,7 +341,8 @@ def f4_quality_floor(spark, d):
 
 @query
 def f5_adv(spark, d):
-    return tidy(own_rows(Tables(spark, d).panel().withColumn("adv_cr", I.adv_crores())).select("symbol", "date", "adv_cr"))
+    return tidy(own_rows(Tables(spark, d).panel().withColumn("adv_cr", I.adv_crores())).select(
+        "symbol", "date", (F.col("adv_cr") * 1e7).alias("adv")))
 
 
 @query
@@ -475,7 +476,8 @@ def _snapshot(t: Tables) -> DataFrame:
 @query
 def j1_alerts_with_outcomes(spark, d):
     t = Tables(spark, d)
-    return tidy(A.alerts_with_outcomes(_snapshot(t).select("trade_id", "symbol", "alert_type", "extension_pct"), _live(t)))
+    rows = A.alerts_with_outcomes(_snapshot(t).select("trade_id", "symbol", "alert_type", "extension_pct"), _live(t))
+    return tidy(rows.withColumn("days_held", F.col("days_held").cast("double")))
 
 
 @query
@@ -744,8 +746,8 @@ def w3_true_range(spark, d):
 @query
 def w4_atr(spark, d):
     p = Tables(spark, d).panel().withColumn("tr", I.true_range())
-    p = run_kernels(p, [smoothing(I.atr_specs(14, 50))])
-    return _show(p.withColumn("atr_14_seeded_60", reseeded("atr_14", "tr", 1 / 14, 60)), "atr_14", "atr_50", "atr_14_seeded_60")
+    p = run_kernels(p, [smoothing([*I.atr_specs(14, 50), Smooth("atr_raw", "tr", 1 / 14)])])
+    return _show(p.withColumn("atr_14_seeded_60", warm(reseeded("atr_raw", "tr", 1 / 14, 60), 14)), "atr_14", "atr_50", "atr_14_seeded_60")
 
 
 @query
@@ -1280,7 +1282,8 @@ def x1_settle(spark, d):
         "exit_price", "exit_date", "days_held", "gross_pnl_inr", "costs_inr", "pnl_inr", "pnl_r")
     at = tr.select(F.col("key").alias("symbol"), (F.col("entry_no") + 2).alias("bar_no"), F.col("symbol").alias("trade"))
     day = t.bars().join(at, ["symbol", "bar_no"]).drop("symbol").withColumnRenamed("trade", "symbol")
-    return tidy(TR.settle(tr, day).select(F.col("key").alias("symbol"), "entry_date", "new_state", "exit_price", "days_held", "pnl_inr", "pnl_r"))
+    return tidy(TR.settle(tr, day).select(F.col("key").alias("symbol"), "entry_date", "new_state", "exit_price",
+                                           F.col("days_held").cast("double").alias("days_held"), "pnl_inr", "pnl_r"))
 
 
 @query

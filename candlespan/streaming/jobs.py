@@ -34,7 +34,7 @@ def tick_bars(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -
     """Tumbling OHLCV bars of an event stream; ticks later than `late` are dropped."""
     at = F.struct("ts", "event_id")
     return (
-        events.withWatermark("ts", late)
+        events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
         .groupBy(F.window("ts", width).alias("w"), F.col("event_type").alias("symbol"))
         .agg(F.min_by("value", at).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"),
              F.max_by("value", at).alias("close"), F.count("*").alias("volume"))

@@ -153,11 +153,11 @@ cte("lab1", """SELECT s.symbol, s.bar_no, min(b.bar_no) FILTER (WHERE b.low <= s
 cte("lab2", """SELECT s.symbol, s.bar_no, min(b.bar_no) AS j_be FROM lab0 s JOIN lab1 l ON l.symbol = s.symbol AND l.bar_no = s.bar_no
  JOIN bars b ON b.symbol = s.symbol AND b.bar_no > l.j_t1 AND b.bar_no <= s.last_no AND b.low <= s.close GROUP BY 1, 2""")
 cte("lab3", """SELECT s.*, CASE WHEN l.j_t1 IS NOT NULL AND (l.j_stop IS NULL OR l.j_t1 < l.j_stop) THEN m.j_be ELSE l.j_stop END AS js,
- CASE WHEN l.j_t1 IS NOT NULL AND (l.j_stop IS NULL OR l.j_t1 < l.j_stop) THEN s.close ELSE s.stop_loss END AS live, l.j_t2
+ CASE WHEN l.j_t1 IS NOT NULL AND (l.j_stop IS NULL OR l.j_t1 < l.j_stop) THEN s.close ELSE s.stop_loss END AS live_stop, l.j_t2
  FROM lab0 s JOIN lab1 l ON l.symbol = s.symbol AND l.bar_no = s.bar_no LEFT JOIN lab2 m ON m.symbol = s.symbol AND m.bar_no = s.bar_no""")
 cte("lab4", """SELECT *, CASE WHEN js IS NOT NULL AND (j_t2 IS NULL OR js <= j_t2) THEN 'STOPPED_OUT' WHEN j_t2 IS NOT NULL THEN 'TARGET_HIT' ELSE 'TIME_EXIT' END AS state,
  CASE WHEN js IS NOT NULL AND (j_t2 IS NULL OR js <= j_t2) THEN js WHEN j_t2 IS NOT NULL THEN j_t2 ELSE last_no END AS exit_no FROM lab3""")
-cte("lab5", """SELECT l.*, b.date AS exit_date, CASE l.state WHEN 'STOPPED_OUT' THEN least(l.live, b.open) WHEN 'TARGET_HIT' THEN l.target_2 ELSE b.close END AS exit_price,
+cte("lab5", """SELECT l.*, b.date AS exit_date, CASE l.state WHEN 'STOPPED_OUT' THEN least(l.live_stop, b.open) WHEN 'TARGET_HIT' THEN l.target_2 ELSE b.close END AS exit_price,
  l.date AS entry_date, l.close AS entry_price, l.bar_no AS entry_no, l.exit_no - l.bar_no AS bars_held, date_diff('day', l.date, b.date) AS days_held
  FROM lab4 l JOIN bars b ON b.symbol = l.symbol AND b.bar_no = l.exit_no""")
 
@@ -271,7 +271,7 @@ oracle("f3_continuity_gate", "symbol date:d ok:b", f"SELECT symbol, date, count(
 oracle("f4_quality_floor", "symbol date:d failed passed:b", """SELECT symbol, date, coalesce(array_to_string(list_filter([CASE WHEN adv_cr < 0.003 THEN 'adv_below_floor' END, CASE WHEN market_cap_cr < 500 THEN 'market_cap_below_floor' END,
  CASE WHEN bar_no % 5 <> 0 AND bar_no * 2 < 365 THEN 'too_recent_listing' END, CASE WHEN volume % 4 = 0 AND volume >= 30 THEN 'high_promoter_pledge' END], lambda x: x IS NOT NULL), ';'), '') AS failed,
  NOT (adv_cr < 0.003 OR market_cap_cr < 500 OR (bar_no % 5 <> 0 AND bar_no * 2 < 365) OR (volume % 4 = 0 AND volume >= 30)) AS passed FROM base LEFT JOIN uni USING (symbol)""")
-oracle("f5_adv", "symbol date:d adv_cr:f", "SELECT * FROM base")
+oracle("f5_adv", "symbol date:d adv:f", "SELECT symbol, date, adv_cr * 1e7 AS adv FROM base")
 oracle("f6_min_history", "symbol n:i since:d", "SELECT symbol, count(*) AS n, min(date) AS since FROM bars WHERE bar_no >= 200 GROUP BY symbol")
 oracle("f7_near_level", "symbol date:d close:f level:f", "SELECT * FROM lev WHERE level > 0 AND (level - close) / level <= 0.02")
 oracle("f8_confirmed", "symbol date:d close:f level:f vr:f", "SELECT * FROM lev WHERE close > level AND vr >= 1.5")
@@ -364,7 +364,7 @@ oracle("a19_latest", "symbol latest:d age_days:i", "SELECT symbol, max(date) AS
 oracle("w1_sma", "symbol date:d sma_50:f sma_200:f", "SELECT * FROM base")
 oracle("w2_ema", "symbol date:d ema_12:f", f"SELECT symbol, date, {ema('close', '(2.0/13)')} AS ema_12 FROM bars")
 oracle("w3_true_range", "symbol date:d tr:f", "SELECT * FROM base")
-oracle("w4_atr", "symbol date:d atr_14:f atr_50:f atr_14_seeded_60:f", f"""SELECT symbol, date, atr_14, atr_50, CASE WHEN bar_no >= 14 THEN e - coalesce(lag(e - tr, 59) OVER ({W}), 0) * CASE WHEN bar_no - 59 >= 14 OR true THEN pow(13.0/14, 59) END END AS atr_14_seeded_60
+oracle("w4_atr", "symbol date:d atr_14:f atr_50:f atr_14_seeded_60:f", f"""SELECT symbol, date, atr_14, atr_50, CASE WHEN bar_no >= 14 THEN e - coalesce(lag(e - tr, 59) OVER ({W}), 0) * pow(13.0/14, 59) END AS atr_14_seeded_60
  FROM (SELECT *, {ema('tr', '(1.0/14)')} AS e FROM atrs)""")
 cte("gl", f"""SELECT *, CASE WHEN bar_no > 1 THEN greatest(close - pc, 0) END AS gain, CASE WHEN bar_no > 1 THEN greatest(pc - close, 0) END AS loss, high - lag(high) OVER ({W}) AS up, lag(low) OVER ({W}) - low AS dn FROM base""")
 oracle("w5_rsi", "symbol date:d rsi:f", f"""SELECT symbol, date, CASE WHEN al = 0 THEN 100 ELSE 100 - 100 / (1 + ag / al) END AS rsi FROM (SELECT *, {ema('gain', '(1.0/14)', 2, 15)} AS ag, {ema('loss', '(1.0/14)', 2, 15)} AS al FROM gl)""")
@@ -409,3 +409,155 @@ oracle("r2_relative_strength", "symbol date:d rs:f", """SELECT b.symbol, b.date,
 oracle("r4_slot_allocation", "date:d symbol score:f sector accepted:b reason", ALLOC.format("alloc"))
 oracle("r5_capacity_by_priority", "date:d symbol score:f sector priority:i accepted:b reason", ALLOC.format("alloc1"))
 oracle("r6_latest_k", "symbol date:d back:i", "SELECT symbol, date, n_bars - bar_no + 1 AS back FROM bars WHERE bar_no > n_bars - 5")
+
+# ── patterns ─────────────────────────────────────────────────────────────
+
+PC = "symbol date:d confidence:f breakout_level:f"
+oracle("p1_fifty_two_week_high", f"{PC} base_start_date:d base_height:f touches:f", "SELECT * FROM p52")
+cte("pairs", f"""SELECT s.symbol, s.bar_no AS s, t.bar_no AS t, s.high AS sh, max(t.high) OVER w AS top_, min(t.low) OVER w AS flo FROM bars s JOIN bars t ON t.symbol = s.symbol AND t.bar_no BETWEEN s.bar_no AND s.bar_no + 79
+ WINDOW w AS (PARTITION BY s.symbol, s.bar_no ORDER BY t.bar_no)""")
+cte("boxc", "SELECT *, (top_ - flo) / top_ AS width, t - s + 1 AS len FROM pairs WHERE t - s + 1 >= 20 AND sh >= top_ * (1 - 0.01) AND flo > 0 AND (top_ - flo) / top_ <= 0.15")
+cte("boxt", """SELECT c.symbol, c.s, c.t, c.top_, c.flo, c.width, c.len, count(*) AS touches, max(b.bar_no) AS lasthit FROM boxc c JOIN bars b ON b.symbol = c.symbol AND b.bar_no BETWEEN c.s AND c.t AND b.high >= c.top_ * (1 - 0.01) GROUP BY ALL""")
+oracle("p2_darvas_box", f"{PC} base_start_no:i base_height:f touches:f window_len:f floor:f", """SELECT x.symbol, b.date, least(100, 60 + least(20, (touches - 3) * 5) + CASE WHEN width < 0.08 THEN 10 WHEN width < 0.12 THEN 5 ELSE 0 END) AS confidence, top_ AS breakout_level,
+ s AS base_start_no, top_ - flo AS base_height, touches, len AS window_len, flo AS floor FROM (SELECT *, row_number() OVER (PARTITION BY symbol, t ORDER BY len DESC) AS r FROM boxt WHERE touches >= 3 AND lasthit - s >= 0.5 * (len - 1)) x
+ JOIN bars b ON b.symbol = x.symbol AND b.bar_no = x.t WHERE r = 1""")
+cte("nr", f"""SELECT *, list_filter(list(ph) {over(-26, -3)}, lambda x: x IS NOT NULL) AS hs, min(tr) {last(7)} AS mtr, avg(volume) {over(-19, -1)} AS av FROM (SELECT *, greatest(high - low, abs(high - lag(close) OVER ({W})), abs(low - lag(close) OVER ({W}))) AS tr FROM piv3)""")
+NR = """SELECT *, 50 + nearp * 30 + quiet * 20 AS confidence, high AS breakout_level, bar_no - 6 AS base_start_no, high - low AS base_height, nearp AS near_pivot_high, quiet AS volume_contraction FROM (
+ SELECT *, CASE WHEN len(list_filter(hs[-3:], lambda p: abs(p - high) / p <= 0.02)) > 0 THEN 1 ELSE 0 END AS nearp, CASE WHEN bar_no >= 20 AND volume < av THEN 1 ELSE 0 END AS quiet FROM {0} WHERE bar_no >= 7 AND tr = mtr)"""
+oracle("p3_nr7", f"{PC} base_start_no:i base_height:f near_pivot_high:f volume_contraction:f", NR.format("nr"))
+cte("inb", f"""SELECT *, bar_no >= 7 AND tr = mtr AS isnr, CASE WHEN mh > ml THEN (high - low) / (mh - ml) ELSE 1 END AS ratio FROM (SELECT *, lag(high) OVER ({W}) AS mh, lag(low) OVER ({W}) AS ml, min(tr) {last(7)} AS mtr FROM base)""")
+cte("pin", """SELECT *, 55 + CASE WHEN isnr THEN 20 ELSE 0 END + CASE WHEN ratio < 0.5 THEN 10 ELSE 0 END AS confidence, mh AS breakout_level, bar_no - 1 AS base_start_no, mh - ml AS base_height, ratio AS inside_ratio,
+ CASE WHEN isnr THEN 1 ELSE 0 END AS also_nr7 FROM inb WHERE high < mh AND low > ml""")
+oracle("p4_inside_bar", f"{PC} base_start_no:i base_height:f inside_ratio:f also_nr7:f", "SELECT * FROM pin")
+cte("sq0", "SELECT *, (mid + 2 * sd) AS bu, (mid - 2 * sd) AS bl, ((mid + 2 * sd) - (mid - 2 * sd)) / mid AS bw FROM boll")
+cte("sq1", f"SELECT *, min(bw) {last(126)} AS bmin, median(bw) {last(126)} AS bmed, count(bw) {last(126)} AS bn FROM sq0")
+cte("psq", """SELECT *, 60 + CASE WHEN bw / bmed < 0.6 THEN 20 WHEN bw / bmed < 0.8 THEN 10 ELSE 0 END AS confidence, bu AS breakout_level, bar_no - bn + 1 AS base_start_no, bu - bl AS base_height, bw AS bb_width, bmed AS median_width_6mo
+ FROM sq1 WHERE bar_no >= 60 AND bw <= bmin * 1.001 AND close >= mid""")
+oracle("p5_bollinger_squeeze", f"{PC} base_start_no:i base_height:f bb_width:f median_width_6mo:f", "SELECT * FROM psq")
+TF = over(-76, -3)
+cte("tri0", f"""SELECT *, list_filter(list(ph) {TF}, lambda x: x IS NOT NULL) AS hs, max(ph) {TF} AS top_, count(pl) {TF} AS nl, min(pl) {TF} AS lowest, regr_slope(pl, CASE WHEN pl IS NOT NULL THEN bar_no END) {TF} AS slope,
+ regr_r2(pl, CASE WHEN pl IS NOT NULL THEN bar_no END) {TF} AS r2, regr_intercept(pl, CASE WHEN pl IS NOT NULL THEN bar_no END) {TF} AS icpt FROM piv3""")
+oracle("p6_ascending_triangle", f"{PC} base_start_no:i base_height:f support_r2:f n_resistance_touches:f n_high_pivots:f n_low_pivots:f", """SELECT *, least(100, 60 + least(20, (r2 - 0.7) / (1 - 0.7) * 20) + least(10, (touch - 3) * 3)) AS confidence,
+ top_ AS breakout_level, bar_no - least(80, bar_no) + 1 AS base_start_no, CASE WHEN top_ > icpt + slope * bar_no THEN top_ - (icpt + slope * bar_no) ELSE top_ - lowest END AS base_height, r2 AS support_r2, touch AS n_resistance_touches, len(hs) AS n_high_pivots, nl AS n_low_pivots
+ FROM (SELECT *, len(list_filter(hs, lambda h: (top_ - h) / top_ <= 0.02)) AS touch FROM tri0 WHERE bar_no >= 20 AND len(hs) >= 4 AND nl >= 3 AND top_ > 0 AND slope > 0 AND r2 >= 0.7) WHERE touch >= 3""")
+cte("cup0", f"SELECT *, unnest(range(5, 26)) AS hl FROM (SELECT symbol, date, bar_no, list(high) {last(180)} AS hs, list(low) {last(180)} AS ls FROM bars) WHERE bar_no >= 40")
+cte("cup1", """SELECT *, list_max(hs[1:half]) AS left_lip, list_max(hs[half + 1:ce]) AS right_lip FROM (SELECT *, list_max(hs[ce + 1:n]) AS ht, list_min(ls[ce + 1:n]) AS hb, ce // 2 AS half FROM (SELECT *, len(hs) AS n, len(hs) - hl AS ce FROM cup0) WHERE ce >= 20)
+ WHERE (ht - hb) / ht BETWEEN 0.04 AND 0.20""")
+cte("cup2", """SELECT *, list_min(ls[li:ri]) AS bottom FROM (SELECT *, list_position(hs[1:half], left_lip) AS li, half + list_position(hs[half + 1:ce], right_lip) AS ri FROM cup1 WHERE abs(right_lip - left_lip) / left_lip <= 0.05 AND ht <= right_lip * 1.01) WHERE ri - li BETWEEN 20 AND 130""")
+oracle("p8_cup_and_handle", f"{PC} base_start_no:i base_height:f left_lip:f bottom:f handle_len:f", """SELECT *, least(100, greatest(60, 60 + 10 * (1 - abs(right_lip - left_lip) / left_lip / 0.05) + CASE WHEN (ht - hb) / ht < 0.10 THEN 10 ELSE 0 END)) AS confidence,
+ right_lip AS breakout_level, bar_no - n + li AS base_start_no, right_lip - bottom AS base_height, hl AS handle_len FROM (SELECT *, row_number() OVER (PARTITION BY symbol, bar_no ORDER BY hl) AS r FROM cup2
+ WHERE bottom > 0 AND (left_lip - bottom) / left_lip BETWEEN 0.12 AND 0.35 AND hb >= (right_lip + bottom) / 2) WHERE r = 1""")
+cte("flag0", f"SELECT *, unnest(range(5, 16)) AS fl FROM (SELECT symbol, date, bar_no, close AS c0, list(close) {last(60)} AS cs, list(high) {last(60)} AS hs, list(low) {last(60)} AS ls, list(volume) {last(60)} AS vs FROM bars) WHERE bar_no >= 15")
+cte("flag1", """SELECT *, unnest(range(5, 20)) AS pl FROM (SELECT *, list_max(hs[n - fl + 1:n]) AS ft, list_min(ls[n - fl + 1:n]) AS fb, (c0 - cs[n - fl + 1]) / cs[n - fl + 1] AS drift FROM (SELECT *, len(cs) AS n FROM flag0) WHERE n - fl >= 5)
+ WHERE ft > 0 AND (ft - fb) / ft <= 0.12 AND drift <= 0 AND drift >= -0.10""")
+cte("flag2", """SELECT *, list_avg(vs[n - fl - pl + 1:n - fl]) AS pv, CASE WHEN n - fl - pl > 0 THEN list_avg(vs[1:n - fl - pl]) ELSE list_avg(vs[n - fl - pl + 1:n - fl]) END AS qv FROM (
+ SELECT *, (cs[n - fl] - cs[n - fl - pl + 1]) / cs[n - fl - pl + 1] AS move FROM flag1 WHERE n - fl - pl >= 0) WHERE move >= 0.15""")
+oracle("p9_flag", f"{PC} base_start_no:i base_height:f pole_len:f flag_len:f pole_move:f", """SELECT *, least(100, 60 + least(20, (move - 0.15) / 0.15 * 20) + CASE WHEN (ft - fb) / ft < 0.06 THEN 10 ELSE 0 END) AS confidence, ft AS breakout_level, bar_no - fl - pl + 1 AS base_start_no,
+ cs[n - fl] - cs[n - fl - pl + 1] AS base_height, pl AS pole_len, fl AS flag_len, move AS pole_move FROM (SELECT *, row_number() OVER (PARTITION BY symbol, bar_no ORDER BY fl, pl) AS r FROM flag2 WHERE pv > qv) WHERE r = 1""")
+cte("wpiv", f"""SELECT symbol, date, bar_no, CASE WHEN bar_no > 3 AND bar_no <= n_bars - 3 AND high > max(high) {over(-3, -1)} AND high > max(high) {over(1, 3)} THEN high END AS ph, open, high, low, close, volume, tr FROM base""")
+cte("wnr", f"SELECT *, list_filter(list(ph) {over(-26, -3)}, lambda x: x IS NOT NULL) AS hs, min(tr) {last(7)} AS mtr, avg(volume) {over(-19, -1)} AS av FROM wpiv")
+cte("plain", f"""SELECT symbol, date, bar_no, 'fifty_two_week_high' AS pattern, 0 AS ix, confidence, breakout_level FROM p52 UNION ALL SELECT symbol, date, bar_no, 'nr7', 1, confidence, breakout_level FROM ({NR.format('wnr')})
+ UNION ALL SELECT symbol, date, bar_no, 'inside_bar', 2, confidence, breakout_level FROM pin UNION ALL SELECT symbol, date, bar_no, 'bollinger_squeeze', 3, confidence, breakout_level FROM psq""")
+oracle("p10_detect_all", "symbol date:d pattern confidence:f", "SELECT * FROM plain")
+oracle("r3_best_pattern", "symbol date:d pattern confidence:f breakout_level:f", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol, date ORDER BY confidence DESC, ix) AS r FROM plain) WHERE r = 1")
+oracle("k4_top_matches", "symbol confidence:f bar_no:i pattern", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY confidence DESC, bar_no, pattern) AS r FROM plain) WHERE r <= 3")
+
+# ── scoring and sizing ───────────────────────────────────────────────────
+
+
+def rs_pts(p: str) -> str:
+    return f"CASE WHEN {p} IS NULL OR {p} <= 50 THEN 0 WHEN {p} >= 75 THEN 15 ELSE ({p} - 50) / 25.0 * 15 END"
+
+
+def vol_pts(v: str) -> str:
+    return f"CASE WHEN {v} <= 1.5 THEN greatest({v}, 0) / 1.5 * 7.5 ELSE least(15, 7.5 + ({v} - 1.5) / 1.5 * 7.5) END"
+
+
+def ext_pen(e: str) -> str:
+    return f"CASE WHEN {e} IS NULL OR {e} <= 2 THEN 0 ELSE least(10, ({e} - 2) / 6.0 * 10) END"
+
+
+CLOSE_PTS = "CASE WHEN cir IS NULL THEN 5 ELSE least(5, greatest(0, cir * 5)) END"
+oracle("m1_rs_points", "symbol date:d points:f", f"SELECT symbol, date, {rs_pts('rs_percentile')} AS points FROM ranks")
+oracle("m2_tightness_points", "symbol date:d points:f", f"SELECT symbol, date, greatest(0, least(10, ({TIGHT}) * 10)) AS points FROM atrs")
+oracle("m3_volume_points", "symbol date:d points:f", f"SELECT symbol, date, {vol_pts('v')} AS points FROM (SELECT *, coalesce(volume / vol_avg_20, 1) AS v FROM base)")
+oracle("m4_extension_penalty", "symbol date:d penalty:f", f"SELECT symbol, date, {ext_pen('e')} AS penalty FROM (SELECT *, CASE WHEN level > 0 THEN (close - level) / level * 100 END AS e FROM lev)")
+oracle("m5_close_points", "symbol date:d points:f", f"SELECT symbol, date, {CLOSE_PTS} AS points FROM base")
+cte("scored", f"""SELECT p.symbol, p.date, p.close, p.cir, p.stage, p.confidence, p.breakout_level AS level, {rs_pts('r.rs_percentile')} AS rs, {vol_pts('coalesce(p.volume_ratio_20, 1)')} AS vp, greatest(0, least(10, (CASE WHEN p.bar_no >= 51 AND p.atr_50 > 0 THEN 1 - p.atr_10 / p.atr_50 ELSE 0 END) * 10)) AS tp,
+ CASE m.sector_trend WHEN 'up' THEN 5 WHEN 'down' THEN 0 ELSE 3 END AS sp FROM p52 p LEFT JOIN ranks r ON r.symbol = p.symbol AND r.date = p.date LEFT JOIN uni u ON u.symbol = p.symbol LEFT JOIN secmed m ON m.date = p.date AND m.sector = u.sector""")
+oracle("m6_composite_score", "symbol date:d score:f", "SELECT symbol, date, CASE WHEN stage = 'STAGE_2' THEN greatest(0, confidence * 0.35 + 15 + rs + vp + tp + 5 + sp) ELSE 0 END AS score FROM scored")
+oracle("m7_rescore", "symbol date:d score:f", f"SELECT symbol, date, greatest(0, confidence * 0.35 + 15 + rs + vp + tp + {CLOSE_PTS} + sp - {ext_pen('((close - level) / level * 100)')}) AS score FROM scored")
+KEYS = (("BANK", ("bank",)), ("IT", ("information technology", "software", " it ")), ("AUTO", ("auto", "automobile")), ("PHARMA", ("pharma", "healthcare", "drug")), ("FMCG", ("fmcg", "consumer goods", "food", "personal")),
+        ("METAL", ("metal", "steel", "mining", "iron")), ("REALTY", ("realty", "real estate", "construction")), ("ENERGY", ("energy", "power", "oil", "gas", "petroleum")), ("FINANCE", ("finance", "financial", "nbfc", "insurance")))
+oracle("m8_classify_sector", "doc_id:i sector", "SELECT doc_id, CASE " + " ".join("WHEN " + " OR ".join(f"contains(x, '{w}')" for w in ws) + f" THEN '{k}'" for k, ws in KEYS) + " END AS sector FROM (SELECT doc_id, ' ' || lower(text) || ' ' AS x FROM documents)")
+oracle("m9_regime", "date:d index_trend market_mood regime_score:i regime risk_multiplier:f", "SELECT * FROM reg")
+oracle("m10_stress_multiplier", "date:d stress_multiplier:f", """SELECT date, least(CASE WHEN vix >= 30 THEN 0.25 WHEN vix >= 25 THEN 0.5 WHEN vix >= 20 THEN 0.75 ELSE 1 END, CASE WHEN breadth_pct < 30 THEN 0.3 WHEN breadth_pct < 40 THEN 0.6 WHEN breadth_pct < 50 THEN 0.8 ELSE 1 END,
+ CASE regime WHEN 'risk_off' THEN 0.5 WHEN 'neutral' THEN 0.8 ELSE 1 END) AS stress_multiplier FROM reg""")
+oracle("m11_sector_multiplier", "date:d sector multiplier:f", "SELECT date, sector, CASE WHEN count(*) >= 2 THEN 0.25 WHEN count(*) >= 1 THEN 0.5 ELSE 1 END AS multiplier FROM cand GROUP BY date, sector")
+oracle("m12_correlated_size", "symbol entry_date:d size:i", "SELECT symbol, entry_date, CAST(trunc(shares * (0.75 * CASE WHEN avg_correlation < 0.3 THEN 1.0 WHEN avg_correlation < 0.5 THEN 0.8 WHEN avg_correlation < 0.7 THEN 0.6 ELSE 0.5 END)) AS BIGINT) AS size FROM trades JOIN avgcorr c ON c.date = entry_date")
+oracle("m13_stop_targets", "symbol date:d stop:f target_1:f target_2:f", "SELECT symbol, date, stop_loss AS stop, close + 2 * abs(close - stop_loss) AS target_1, close + base_height AS target_2 FROM sig")
+oracle("m14_position_size", "symbol date:d shares:i half:i", """SELECT symbol, date, CASE WHEN close = stop_loss THEN 0 ELSE least(floor(500000.0 * (1.0 * 1.0 / 100) / abs(close - stop_loss)), floor(62500.0 / close)) END AS shares,
+ CASE WHEN close = stop_loss THEN 0 ELSE least(floor(500000.0 * (1.0 * 0.5 / 100) / abs(close - stop_loss)), floor(62500.0 / close)) END AS half FROM sig""")
+oracle("m15_gap_aware_stop", "symbol date:d multiplier:f stop:f", """SELECT symbol, date, mu AS multiplier, level - mu * atr_14 AS stop FROM (SELECT s.*, CASE WHEN isodow(s.date) = 5 AND NOT k.trading THEN 3.5 WHEN isodow(s.date) = 5 THEN 2.5 ELSE 1.5 END AS mu FROM sig s LEFT JOIN cal k ON k.date = s.date + 3)""")
+oracle("m16_costs", "l_suppkey:i cost:f max_share:f", f"""SELECT l_suppkey, CAST(sum(CAST(round({trip('e', 'x', 'n')}, 4) AS DECIMAL(20, 4))) AS DOUBLE) AS cost, max({trip('e', 'x', '1.0')}) AS max_share FROM (SELECT l_suppkey, l_quantity AS n, l_extendedprice / l_quantity AS e, l_extendedprice * (1 - l_discount) / l_quantity AS x FROM lineitem) GROUP BY 1""")
+oracle("m17_settlement", "symbol entry_date:d gross_pnl_inr:f costs_inr:f pnl_inr:f pnl_r:f", "SELECT * FROM trades")
+oracle("m18_extension_atr_pct", "symbol alert_date:d extension_pct:f atr_pct:f", "SELECT symbol, entry_date AS alert_date, extension_pct, atr_pct FROM trades")
+
+# ── calendar and session ─────────────────────────────────────────────────
+
+oracle("d1_trading_days", "date:d trading:b", "SELECT * FROM cal")
+oracle("d2_previous_trading_day", "date:d prev_trading:d", "SELECT * FROM cal")
+oracle("d3_last_completed_session", "now:t session:d", """SELECT CAST(date AS TIMESTAMP) + to_hours(CAST(dayofyear(date) % 24 AS INTEGER)) + INTERVAL 45 MINUTE AS now, CASE WHEN trading AND (dayofyear(date) % 24) * 60 + 45 >= 930 THEN date ELSE prev_trading END AS session FROM cal""")
+oracle("d4_business_days", "o_orderkey:i days:i", """SELECT o.o_orderkey, abs(a.biz_no - b.biz_no) AS days FROM orders o JOIN (SELECT l_orderkey, CAST(min(l_shipdate) AS DATE) AS ship FROM lineitem GROUP BY 1) l ON l.l_orderkey = o.o_orderkey
+ JOIN cal a ON a.date = CAST(o.o_orderdate AS DATE) JOIN cal b ON b.date = l.ship""")
+PROFILE = ((0, 0.000), (15, 0.039), (45, 0.117), (75, 0.181), (105, 0.243), (135, 0.316), (165, 0.395), (195, 0.471), (225, 0.543), (255, 0.609), (285, 0.671), (315, 0.747), (345, 0.851), (375, 1.000))
+cte("prof", "SELECT * FROM (VALUES " + ", ".join(f"({m0}, CAST({f0} AS DOUBLE), {m1}, CAST({f1} AS DOUBLE))" for (m0, f0), (m1, f1) in zip(PROFILE, PROFILE[1:])) + ") AS p(m0, f0, m1, f1)")
+cte("mins", """SELECT event_id, value, greatest(0, least(375, hour(t) * 60 + minute(t) - 555)) AS m FROM (SELECT *, ts + INTERVAL 330 MINUTE AS t FROM events)""")
+cte("frac", "SELECT event_id, value, f0 + (m - m0) / CAST(m1 - m0 AS DOUBLE) * (f1 - f0) AS fraction FROM mins JOIN prof ON (m > m0 OR (m = 0 AND m0 = 0)) AND m <= m1")
+oracle("d5_volume_fraction", "event_id:i fraction:f", "SELECT * FROM frac")
+oracle("d6_projected_volume", "event_id:i projected:f", "SELECT event_id, CASE WHEN fraction >= 0.5 THEN value / fraction ELSE value END AS projected FROM frac")
+oracle("d7_volume_profile", "bucket:i median_share:f n_days:i", """SELECT bucket, median(share) AS median_share, count(*) AS n_days FROM (SELECT *, sum(v) OVER (PARTITION BY event_type, day ORDER BY bucket) * 1.0 / sum(v) OVER (PARTITION BY event_type, day) AS share
+ FROM (SELECT event_type, CAST(ts AS DATE) AS day, hour(ts) AS bucket, count(*) AS v FROM events GROUP BY 1, 2, 3)) GROUP BY bucket""")
+
+# ── sorts, sets, maintenance ─────────────────────────────────────────────
+
+oracle("k1_watchlist_order", "date:d symbol score:f", "SELECT * FROM cand ORDER BY score DESC, symbol, date")
+oracle("k2_universe_order", "symbol company_name industry", "SELECT * FROM uni ORDER BY symbol")
+oracle("u1_union_aligned", "symbol date:d close:f note", "SELECT symbol, date, close, NULL::VARCHAR AS note FROM bars WHERE bar_no <= 3 UNION ALL SELECT symbol, date, NULL, 'event' FROM evcal")
+oracle("u2_difference_intersection", "date:d side", """SELECT date, 'only_ship' AS side FROM (SELECT CAST(l_shipdate AS DATE) AS date FROM lineitem EXCEPT SELECT CAST(o_orderdate AS DATE) FROM orders) UNION ALL
+ SELECT date, 'both' FROM (SELECT CAST(l_shipdate AS DATE) AS date FROM lineitem INTERSECT SELECT CAST(o_orderdate AS DATE) FROM orders)""")
+oracle("u3_union_distinct", "date:d", "SELECT date FROM hols UNION SELECT date FROM evcal")
+oracle("t1_rebase_prices", "symbol date:d open:f high:f low:f close:f volume:i", """SELECT c.symbol, c.date, c.open * coalesce(price_factor, 1) AS open, c.high * coalesce(price_factor, 1) AS high, c.low * coalesce(price_factor, 1) AS low, c.close * coalesce(price_factor, 1) AS close,
+ CASE WHEN abs(volume_factor - 1) > 0.005 THEN round_even(c.volume * volume_factor, 0) ELSE c.volume END AS volume FROM cached c LEFT JOIN factor f USING (symbol) WHERE NOT EXISTS (SELECT 1 FROM feed x WHERE x.symbol = c.symbol AND x.date = c.date)
+ UNION ALL SELECT symbol, date, open, high, low, close, volume FROM feed""")
+oracle("t2_rebase_trades", "symbol entry_date:d state entry_price:f stop_loss:f target_2:f shares:i", """SELECT symbol, entry_date, state, entry_price * k AS entry_price, stop_loss * k AS stop_loss, target_2 * k AS target_2, CASE WHEN k = 1 THEN shares ELSE round_even(shares / k, 0) END AS shares
+ FROM (SELECT l.*, CASE WHEN NOT shut THEN coalesce(price_factor, 1) ELSE 1 END AS k FROM live l LEFT JOIN factor f USING (symbol))""")
+oracle("t3_repair_scan", "symbol date:d move:f open_trades:i", "SELECT b.*, (SELECT count(*) FROM live l WHERE l.symbol = b.symbol AND NOT shut) AS open_trades FROM bad35 b")
+oracle("t4_backfill_progress", "symbol entry_date:d days_in_trade max_favorable:f", """SELECT symbol, entry_date, 'D' || (count(*) - 1) AS days_in_trade, greatest(0, max((bh - entry_price) / abs(entry_price - stop_loss)) FILTER (WHERE bdate > entry_date)) AS max_favorable FROM tbars GROUP BY symbol, entry_date""")
+oracle("t5_flag_failed", "symbol breakout_date:d failure_date", """SELECT w.symbol, breakout_date, CASE WHEN date_diff('day', breakout_date, b.date) BETWEEN 0 AND 3 AND b.close < breakout_level THEN CAST(b.date AS VARCHAR) END AS failure_date
+ FROM watch w LEFT JOIN bars b ON b.symbol = w.symbol AND b.bar_no = w.bn + 1""")
+oracle("t6_feature_snapshot", "symbol alert_date:d alert_type pattern score:f volume_ratio:f extension_pct:f close_in_range:f atr_pct:f breakout_level:f entry_price:f base_height:f", "SELECT *, entry_date AS alert_date FROM trades")
+
+# ── state and streams ────────────────────────────────────────────────────
+
+cte("one", """SELECT t.*, b.date AS bd, b.open AS bo, b.high AS bh2, b.low AS bl2, b.close AS bc2, t.entry_no % 3 = 0 AS t1done, CASE WHEN t.entry_no % 3 = 0 THEN greatest(t.entry_price, t.stop_loss) ELSE t.stop_loss END AS st,
+ date_diff('day', t.entry_date, b.date) AS held FROM trades t LEFT JOIN bars b ON b.symbol = t.symbol AND b.bar_no = t.entry_no + 2""")
+cte("one1", """SELECT *, CASE WHEN bd IS NULL THEN CASE WHEN t1done THEN 'TARGET_1_HIT' ELSE 'ENTERED' END WHEN bl2 <= st THEN 'STOPPED_OUT' WHEN bh2 >= target_2 THEN 'TARGET_HIT' WHEN NOT t1done AND bh2 >= target_1 THEN 'TARGET_1_HIT' WHEN held >= 30 THEN 'TIME_EXIT'
+ WHEN t1done THEN 'TARGET_1_HIT' ELSE 'ENTERED' END AS new_state FROM one""")
+cte("one2", "SELECT *, CASE new_state WHEN 'STOPPED_OUT' THEN least(st, bo) WHEN 'TARGET_HIT' THEN target_2 WHEN 'TIME_EXIT' THEN bc2 END AS xp FROM one1")
+oracle("x1_settle", "symbol entry_date:d new_state exit_price:f days_held:f pnl_inr:f pnl_r:f", f"""SELECT symbol, entry_date, new_state, xp AS exit_price, CASE WHEN xp IS NOT NULL THEN held END AS days_held, CASE WHEN xp IS NOT NULL THEN (xp - entry_price) * shares - {trip('entry_price', 'xp', 'shares')} END AS pnl_inr,
+ CASE WHEN xp IS NOT NULL THEN (xp - entry_price - {trip('entry_price', 'xp', '1.0')}) / greatest(1e-9, abs(entry_price - stop_loss)) END AS pnl_r FROM one2""")
+oracle("x2_label_outcomes", "symbol entry_date:d exit_date:d state exit_price:f bars_held:i shares:i pnl_r:f", "SELECT * FROM lab")
+oracle("x3_replay", "symbol entry_date:d exit_date:d state exit_price:f", "SELECT * FROM trades")
+cte("tk0", "SELECT t.*, b.bar_no AS bn, b.date AS bd, b.open AS bo, b.high AS bh2, b.low AS bl2, b.close AS bc2, date_diff('day', t.entry_date, b.date) AS held FROM trades t JOIN bars b ON b.symbol = t.symbol AND b.date > t.entry_date AND b.date <= t.entry_date + 44")
+cte("tk1", "SELECT id, min(bn) FILTER (WHERE bl2 <= stop_loss) AS j_stop, min(bn) FILTER (WHERE bh2 >= target_2) AS j_t2, min(bn) FILTER (WHERE bh2 >= target_1) AS j_t1 FROM tk0 GROUP BY id")
+cte("tk2", "SELECT *, CASE WHEN j_t1 IS NOT NULL AND (j_stop IS NULL OR j_t1 < j_stop) AND (j_t2 IS NULL OR j_t1 < j_t2) THEN j_t1 END AS hit FROM tk1")
+cte("tk3", "SELECT k.id, h.hit, min(k.bn) FILTER (WHERE CASE WHEN h.hit IS NOT NULL AND k.bn > h.hit THEN k.bl2 <= k.entry_price ELSE k.bl2 <= k.stop_loss END) AS js, min(k.bn) FILTER (WHERE k.bh2 >= k.target_2) AS j2, min(k.bn) FILTER (WHERE k.held >= 30 AND k.bn IS DISTINCT FROM h.hit) AS jt FROM tk0 k JOIN tk2 h USING (id) GROUP BY k.id, h.hit")
+cte("tk4", "SELECT *, least(coalesce(js, 1000000000), coalesce(j2, 1000000000), coalesce(jt, 1000000000)) AS jx FROM tk3")
+oracle("x4_stream_tracker", "symbol entry_date:d state date:d price:f", """SELECT k.symbol, k.entry_date, k.bd AS date, CASE WHEN k.bn = x.jx THEN CASE WHEN x.jx = x.js THEN 'STOPPED_OUT' WHEN x.jx = x.j2 THEN 'TARGET_HIT' ELSE 'TIME_EXIT' END ELSE 'TARGET_1_HIT' END AS state,
+ CASE WHEN k.bn = x.jx THEN CASE WHEN x.jx = x.js THEN least(CASE WHEN x.hit < x.jx THEN k.entry_price ELSE k.stop_loss END, k.bo) WHEN x.jx = x.j2 THEN k.target_2 ELSE k.bc2 END ELSE k.target_1 END AS price
+ FROM tk0 k JOIN tk4 x USING (id) WHERE k.bn = x.jx OR (k.bn = x.hit AND x.hit < x.jx)""")
+oracle("x5_stream_bars", "symbol ts:t open:f high:f low:f close:f volume:i", """SELECT event_type AS symbol, date_trunc('hour', ts) AS ts, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*) AS volume FROM events GROUP BY 1, 2""")
+oracle("x6_stream_upsert", "symbol date:d close:f volume:i", "SELECT symbol, date, CASE WHEN bar_no > n_bars - 10 THEN close + 1 ELSE close END AS close, volume FROM bars")
+oracle("x7_stream_confirm", "symbol date:d close:f breakout_level:f", "SELECT l.symbol, l.date, l.close, w.breakout_level FROM lev l JOIN watch w USING (symbol) WHERE l.date >= breakout_date AND l.close > w.breakout_level AND l.vr >= 1.5")
+oracle("x8_expiring_watchlist", "symbol breakout_date:d breakout_level:f original_score:f", "SELECT * FROM watch WHERE breakout_date >= DATE '2000-03-31' - 400")
