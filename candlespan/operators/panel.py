@@ -44,15 +44,17 @@ def warm(value: Column, n: int) -> Column:
     return F.when(F.col("bar_no") >= n, value)
 
 
-def running_totals(df: DataFrame, keys: list[str], block: Column, order: list, sums: dict) -> DataFrame:
+def running_totals(df: DataFrame, keys: list[str], block: Column | str, order: list, sums: dict) -> DataFrame:
     """Running sums per key in two levels: inside `(keys, block)`, plus the totals of the earlier blocks.
 
     `block` must be monotone in `order`. Only one row per block ever meets in a per-key window, so a key that
     holds most of the table is spread over its blocks. `sums` maps an output column to the expression summed;
-    `<out>_all` is that key's grand total.
+    `<out>_all` is that key's grand total. A `block` given by name is a column of `df` and is dropped; when `df`
+    holds nothing beyond keys, order and summed columns, both halves of the plan share one exchange.
     """
     local = Window.partitionBy(*keys, "_blk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = df.withColumn("_blk", block).select(
+    placed = df.withColumnRenamed(block, "_blk") if isinstance(block, str) else df.withColumn("_blk", block)
+    rows = placed.select(
         "*", *[F.sum(expr).over(local).alias(out) for out, expr in sums.items()], F.row_number().over(local).alias("_rn")
     )
     last = rows.groupBy(*keys, "_blk").agg(*[F.max_by(out, "_rn").alias(f"_t_{out}") for out in sums])
@@ -63,9 +65,8 @@ def running_totals(df: DataFrame, keys: list[str], block: Column, order: list, s
         *[F.coalesce(F.sum(f"_t_{o}").over(before), F.lit(0)).alias(f"_o_{o}") for o in sums],
         *[F.sum(f"_t_{o}").over(whole).alias(f"{o}_all") for o in sums],
     )
-    joined = rows.join(offsets, [*keys, "_blk"])
-    plain = [c for c in df.columns]
-    return joined.select(
+    plain = [c for c in placed.columns if c != "_blk"]
+    return rows.join(offsets, [*keys, "_blk"]).select(
         *plain, *[(F.col(o) + F.col(f"_o_{o}")).alias(o) for o in sums], *[F.col(f"{o}_all") for o in sums]
     )
 

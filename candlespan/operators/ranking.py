@@ -14,18 +14,22 @@ from pyspark.sql import functions as F
 from candlespan.operators.panel import running_totals
 
 RANGES = 64
+#: Groups with fewer distinct values than this stay whole.
+SMALL = 200_000
 
 
-def value_counts(df: DataFrame, part: list[str], value: str, ranges: int = RANGES) -> DataFrame:
+def value_counts(df: DataFrame, part: list[str], value: str, ranges: int = RANGES, small: int = SMALL) -> DataFrame:
     """(part, value, n, upto, total): how often a value occurs, how many are not above it, group size."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*part, value).agg(F.count("*").alias("n"))
     steps = [i / ranges for i in range(1, ranges)]
-    cuts = counts.groupBy(*part).agg(F.percentile_approx(value, steps, 2000).alias("_cuts"))
-    placed = counts.join(cuts, part).withColumn(
-        "_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))
-    ).drop("_cuts")
-    out = running_totals(placed, part, F.col("_range"), [value], {"upto": F.col("n")})
-    return out.withColumnRenamed("upto_all", "total").drop("_range")
+    large = counts.groupBy(*part).agg(F.count("*").alias("_m")).filter(F.col("_m") > small).select(*part)
+    cuts = counts.join(large, part, "left_semi").groupBy(*part).agg(F.percentile_approx(value, steps, 1000).alias("_cuts"))
+    placed = counts.join(cuts, part, "left").select(
+        *part, value, "n",
+        F.when(F.col("_cuts").isNull(), 0).otherwise(F.size(F.filter("_cuts", lambda c: c < F.col(value)))).alias("_range"),
+    )
+    out = running_totals(placed, part, "_range", [value], {"upto": F.col("n")})
+    return out.withColumnRenamed("upto_all", "total")
 
 
 def percentile_ranks(df: DataFrame, part: list[str], value: str, out: str = "rs_percentile") -> DataFrame:
