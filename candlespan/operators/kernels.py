@@ -33,7 +33,10 @@ def run_kernels(panel: DataFrame, kernels: list[Kernel]) -> DataFrame:
     if not kernels:
         return panel
     added = [T.StructField(name, kind) for k in kernels for name, kind in k.outputs]
-    schema = T.StructType(panel.schema.fields + added)
+    # dates travel as day numbers: Arrow would otherwise turn every one into a Python object
+    dates = [f.name for f in panel.schema.fields if isinstance(f.dataType, T.DateType)]
+    plain = panel.withColumns({c: F.unix_date(c) for c in dates})
+    schema = T.StructType(plain.schema.fields + added)
 
     def apply(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("bar_no", ignore_index=True)
@@ -41,7 +44,8 @@ def run_kernels(panel: DataFrame, kernels: list[Kernel]) -> DataFrame:
             pdf = pdf.assign(**k.fn(pdf))
         return pdf
 
-    return panel.groupBy("symbol", "seg").applyInPandas(apply, schema)
+    out = plain.groupBy("symbol", "seg").applyInPandas(apply, schema)
+    return out.withColumns({c: F.date_from_unix_date(c) for c in dates})
 
 
 # ── exponential smoothing ────────────────────────────────────────────────

@@ -50,13 +50,13 @@ def assign_ids(new_rows: DataFrame, existing: DataFrame, order: list[str], id_co
     """
     from candlespan.operators.panel import running_totals
 
-    top = existing.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("_top"))
+    top = existing.agg(F.coalesce(F.max(id_col), F.lit(0))).scalar()
     if block:
         rows = running_totals(new_rows.withColumn("_one", F.lit(1)), ["_one"], F.col(block), order, {"_i": F.lit(1)})
         rows = rows.drop("_one", "_i_all")
     else:
         rows = new_rows.withColumn("_i", F.row_number().over(Window.orderBy(*order)))
-    return rows.crossJoin(F.broadcast(top)).withColumn(id_col, (F.col("_top") + F.col("_i")).cast("long")).drop("_top", "_i")
+    return rows.withColumn(id_col, (top + F.col("_i")).cast("long")).drop("_i")
 
 
 def prune(df: DataFrame, column: str, as_of: Column, days: int) -> DataFrame:

@@ -18,8 +18,9 @@ def latest_dates(bars: DataFrame) -> DataFrame:
 
 def freshness(latest: DataFrame, as_of: DataFrame) -> DataFrame:
     """Age in days and freshness per symbol. `as_of` is one row (as_of, required): today and the last closed session."""
+    rows = latest.withColumns({c: as_of.select(c).scalar() for c in ("as_of", "required")})
     age = F.datediff("as_of", "latest")
-    return latest.crossJoin(F.broadcast(as_of)).select(
+    return rows.select(
         "symbol", "latest", age.alias("age_days"), (age >= 1).alias("needs_refetch"),
         (F.col("latest") >= F.col("required")).alias("usable"),
         F.when(F.col("latest") >= F.col("required"), "fresh").when(age >= 7, "very_stale").when(age >= 1, "stale")
@@ -97,10 +98,13 @@ def gate_audit(universe: DataFrame, checked: DataFrame, th: Thresholds = Thresho
     facts = universe.agg(
         F.count("*").alias("n_symbols"), known("market_cap_cr").alias("cap"), known("listing_date").alias("listed"),
         known("promoter_pledge_pct").alias("pledge"),
-    ).crossJoin(checked.agg(
+    )
+    tried = checked.agg(
         F.count("*").alias("n_checked"), F.count_if("adv_rejected").alias("adv_rejected"),
         F.count_if("has_event").alias("with_events"),
-    ))
+    )
+    both = facts.unionByName(tried, allowMissingColumns=True)
+    facts = both.agg(*[F.max(c).alias(c) for c in both.columns])
 
     def line(gate, n, of, idle):
         state = F.lit("ACTIVE") if idle is None else F.when(n > 0, "ACTIVE").otherwise(idle)

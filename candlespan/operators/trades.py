@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from candlespan.config import OPEN_STATES, Costs, PaperTrading, Risk, Settings
+from candlespan.config import OPEN_STATES, Risk, Settings
 from candlespan.functions import sizing as Z
 from candlespan.operators.panel import frame
 
@@ -68,8 +68,8 @@ def non_overlapping(trades: DataFrame) -> DataFrame:
     """Keeps, per symbol, the trades a sequential replay would take: the next entry lies after the previous exit.
 
     A trade that starts after every earlier trade's exit is always taken, so each such trade starts an independent
-    run. Runs are folded one by one, not whole symbols; within a run the trades are few because each spans at most the
-    holding limit.
+    run. Runs are folded one by one, not whole symbols. The window that finds the runs streams over a symbol's signals,
+    of which there is at most one per bar.
     """
     w = Window.partitionBy("symbol").orderBy("entry_no")
     reach = F.max("exit_no").over(w.rowsBetween(Window.unboundedPreceding, -1))
@@ -122,7 +122,7 @@ def settle(trades: DataFrame, today: DataFrame, s: Settings = Settings()) -> Dat
     return rows.withColumns({k: F.when(closed, v) for k, v in pnl.items()}).drop("_open", "_high", "_low", "_close", "_stop")
 
 
-def _with_bars(trades: DataFrame, bars: DataFrame, hold_days: int, include_entry: bool) -> DataFrame:
+def holding_bars(trades: DataFrame, bars: DataFrame, hold_days: int, include_entry: bool) -> DataFrame:
     """Range join of trades and the bars of their holding period, as an equality join on (symbol, date bucket).
 
     A trade is entered into the few buckets its period touches, so the join never compares all dates of a symbol.
@@ -143,7 +143,7 @@ def _with_bars(trades: DataFrame, bars: DataFrame, hold_days: int, include_entry
 def excursions(trades: DataFrame, bars: DataFrame, hold_days: int = 60) -> DataFrame:
     """Best and worst point after the entry day in units of risk, never on the wrong side of zero."""
     risk = F.abs(F.col("entry_price") - F.col("stop_loss"))
-    rows = _with_bars(trades, bars, hold_days, False).filter((risk > 0) & (F.col("entry_price") > 0))
+    rows = holding_bars(trades, bars, hold_days, False).filter((risk > 0) & (F.col("entry_price") > 0))
     return rows.groupBy("id").agg(
         F.greatest(F.lit(0.0), F.max((F.col("high") - F.col("entry_price")) / risk)).alias("max_favorable"),
         F.least(F.lit(0.0), F.min((F.col("low") - F.col("entry_price")) / risk)).alias("max_adverse"),
@@ -155,15 +155,12 @@ def daily_progress(trades: DataFrame, bars: DataFrame, hold_days: int = 60) -> D
 
     The entry bar is D0 and only carries the entry price as the first baseline.
     """
-    rows = _with_bars(trades, bars, hold_days, True).filter(F.col("close").isNotNull() & (F.col("entry_price") > 0))
+    rows = holding_bars(trades, bars, hold_days, True).filter(F.col("close").isNotNull() & (F.col("entry_price") > 0))
     days = rows.groupBy("id").agg(
         F.first("entry_price").alias("e"), F.sort_array(F.collect_list(F.struct("date", "close"))).alias("d")
     )
     base = F.transform("d", lambda x, i: F.when(i <= 1, F.col("e")).otherwise(F.element_at("d", i)["close"]))
     moves = F.slice(F.zip_with("d", base, lambda x, b: (x["close"] - b) / b * 100.0), 2, 1 << 20)
-    text = F.array_join(
-        F.transform(moves, lambda m, i: F.concat(F.lit("D"), (i + 1).cast("string"), F.lit(":"), F.format_string("%.1f", m), F.lit("%"))), ","
-    )
     rows = days.select("id", moves.alias("moves"))
     return rows.select(
         "id", F.concat(F.lit("D"), F.size("moves").cast("string")).alias("days_in_trade"), "moves",
@@ -180,7 +177,7 @@ def open_trades(trades: DataFrame) -> DataFrame:
 def portfolio_health(trades: DataFrame, dates: DataFrame, r: Risk = Risk()) -> DataFrame:
     """Circuit breakers per as-of date: the day's and the month's realised loss, and the number of open positions.
 
-    Trades are summed per exit date first, so the running sums work on one row per day.
+    Trades are summed per exit date first, so the running sums work on one row per day; the calendar bounds them.
     """
     closed = trades.filter(F.col("exit_date").isNotNull()).groupBy(F.col("exit_date").alias("date")).agg(
         F.sum(F.coalesce("pnl_inr", F.lit(0.0))).alias("day_pnl"), F.count("*").alias("closed"))

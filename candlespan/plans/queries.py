@@ -373,18 +373,16 @@ def f8_confirmed(spark, d):
 @query
 def f9_has_bar(spark, d):
     latest = Q.latest_dates(Tables(spark, d).bars())
-    as_of = latest.agg(F.max("latest").alias("as_of"))
-    return tidy(latest.crossJoin(F.broadcast(as_of)).select("symbol", (F.col("latest") == F.col("as_of")).alias("has_bar")))
+    newest = latest.agg(F.max("latest")).scalar()
+    return tidy(latest.select("symbol", (F.col("latest") == newest).alias("has_bar")))
 
 
 @query
 def f10_drop_partial(spark, d):
+    """As of 13:05 on the newest day, that day's bars are partial."""
     e = Tables(spark, d).events
-    now = e.agg(F.max("ts").alias("now"))
-    local = C.local_time(F.col("now"))
-    day = B.event_bars(e, "1 day").withColumn("date", F.to_date("ts")).crossJoin(F.broadcast(now))
+    day = B.event_bars(e, "1 day").withColumn("date", F.to_date("ts")).withColumn("now", e.agg(F.max("ts")).scalar())
     at = F.to_timestamp(F.concat(F.to_date("now").cast("string"), F.lit(" 13:05:00")))
-    del local
     return tidy(day.filter(~C.is_partial(F.col("date"), at)).select("symbol", "date", "close", "volume"))
 
 
@@ -497,7 +495,7 @@ def j3_events_in_reach(spark, d):
 @query
 def j4_trade_bars(spark, d):
     t = Tables(spark, d)
-    rows = TR._with_bars(t.trades(), t.bars(), 60, True)
+    rows = TR.holding_bars(t.trades(), t.bars(), 60, True)
     return tidy(rows.groupBy("symbol", "entry_date").agg(F.count("*").alias("n"), F.max("high").alias("high"), F.min("low").alias("low")))
 
 

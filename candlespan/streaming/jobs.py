@@ -117,12 +117,12 @@ def _tracker(hold_days: int):
 
 def track_trades(spark: SparkSession, trades: DataFrame, bars: DataFrame, s: Settings = Settings()) -> DataFrame:
     """Transitions of every trade as its bars arrive. State is one small row per trade, keyed by trade id."""
-    from candlespan.operators.trades import _with_bars
+    from candlespan.operators.trades import holding_bars
 
     hold = s.paper.hold_max_days
     base = trades.select("id", "symbol", "entry_date", "entry_price", "stop_loss", "target_1", "target_2", F.lit(None).cast("date").alias("exit_date"))
     # a few more days than the limit, so that a limit on a closed day still meets the next bar
-    near = _with_bars(base, bars, hold + 14, False).select("id", "date", "high", "low", "close")
+    near = holding_bars(base, bars, hold + 14, False).select("id", "date", "high", "low", "close")
     opens = bars.select("symbol", "date", "open")
     feed = near.join(base, "id").join(opens, ["symbol", "date"]).drop("exit_date", "symbol")
     stream, _ = _stage(spark, feed, "marks")
