@@ -21,6 +21,8 @@ SMALL = 200_000
 def value_counts(df: DataFrame, part: list[str], value: str, ranges: int = RANGES, small: int = SMALL) -> DataFrame:
     """(part, value, n, upto, total): how often a value occurs, how many are not above it, group size."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*part, value).agg(F.count("*").alias("n"))
+    # always true, but it keeps the count in every branch below, so that all of them read the same exchange
+    counts = counts.filter("n > 0")
     steps = [i / ranges for i in range(1, ranges)]
     large = counts.groupBy(*part).agg(F.count("*").alias("_m")).filter(F.col("_m") > small).select(*part)
     cuts = counts.join(large, part, "left_semi").groupBy(*part).agg(F.percentile_approx(value, steps, 1000).alias("_cuts"))
