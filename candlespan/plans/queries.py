@@ -145,7 +145,7 @@ def trade_columns() -> list:
 
 @query
 def flagship_leaders(spark, d):
-    """Each date's strongest 63-bar performers above their 50-bar mean: the three best percentiles."""
+    """Each date's strongest 63-bar performers (percentile 90 and up) that close above their 50-bar mean."""
     rows = S.prepass(Tables(spark, d).bars()).filter("continuous")
     ranked = R.percentile_ranks(rows.select("symbol", "date", "close", "sma_50", "ret_63"), ["date"], "ret_63")
     best = ranked.filter((F.col("close") > F.col("sma_50")) & (F.col("rs_percentile") >= 90.0))

@@ -136,3 +136,30 @@ def test_indicator_facts(spark):
 def test_dates_are_kept(spark):
     got = number_bars(bars(spark, frame([1, 2, 3], start=dt.date(1999, 12, 30)))).orderBy("date").collect()
     assert [r.bar_no for r in got] == [1, 2, 3] and got[2].date == dt.date(2000, 1, 1)
+
+
+def test_long_series_smooths_across_segments(spark):
+    """9,000 bars make three segments; restarting in the halo must not show."""
+    f = walk(9, 9000)
+    p = panel(bars(spark, f))
+    assert p.select("seg").distinct().count() == 3
+    got = own_rows(I.with_standard(p)).select("bar_no", "atr_50", "atr_14", "sma_200").toPandas().sort_values("bar_no", ignore_index=True)
+    pc = f.close.shift(1)
+    tr = pd.concat([f.high - f.low, (f.high - pc).abs(), (f.low - pc).abs()], axis=1).max(axis=1)
+    assert len(got) == 9000
+    for n in (14, 50):
+        want = tr.ewm(alpha=1 / n, adjust=False, min_periods=n).mean()
+        np.testing.assert_allclose(got[f"atr_{n}"].to_numpy(float), want.to_numpy(), rtol=1e-12)
+    np.testing.assert_allclose(got.sma_200.to_numpy(float), f.close.rolling(200).mean().to_numpy(), rtol=1e-9)
+
+
+def test_scratch_goes_to_the_shared_folder(spark):
+    from candlespan.session import scratch_dir
+
+    class Fake:
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return "hdfs://shared/ck/" if key == "spark.checkpoint.dir" else default
+
+    assert scratch_dir(Fake, "bars").startswith("hdfs://shared/ck/bars-")
