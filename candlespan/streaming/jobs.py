@@ -19,11 +19,14 @@ from candlespan.operators.maintain import upsert
 from candlespan.session import scratch_dir
 
 
-def _stage(spark: SparkSession, df: DataFrame, name: str, files: int | None = None) -> tuple[DataFrame, str]:
-    """Writes a table as files and opens it as a stream."""
+def _stage(spark: SparkSession, df: DataFrame, name: str, key: str | None = None) -> DataFrame:
+    """Writes a table as files and opens it as a stream.
+
+    With `key`, all rows of a key go to one file and hence into one batch, as order across files is not defined.
+    """
     path = scratch_dir(spark, name)
-    (df.repartition(files) if files else df).write.parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 64).parquet(path), path
+    (df.repartition(key) if key else df).write.parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 64).parquet(path)
 
 
 def _finish(writer, spark: SparkSession) -> None:
@@ -64,7 +67,7 @@ def stream_event_bars(spark: SparkSession, folder: str, width: str = "1 hour") -
 
 def stream_upsert(spark: SparkSession, table: DataFrame, incoming: DataFrame) -> DataFrame:
     """Applies a stream of re-sent bars to a table. Re-running a batch writes the same version, so it is idempotent."""
-    stream, _ = _stage(spark, incoming, "feed")
+    stream = _stage(spark, incoming, "feed")
     out = scratch_dir(spark, "late")
 
     def save(batch: DataFrame, version: int) -> None:
@@ -76,7 +79,7 @@ def stream_upsert(spark: SparkSession, table: DataFrame, incoming: DataFrame) ->
 
 def stream_confirm(spark: SparkSession, live: DataFrame, watch: DataFrame, least: float = 1.5) -> DataFrame:
     """Stream-static join: live bars against the watchlist, keeping confirmed crossings after the watch date."""
-    stream, _ = _stage(spark, live, "live")
+    stream = _stage(spark, live, "live")
     out = scratch_dir(spark, "confirmed")
     hits = stream.join(watch.select("symbol", "breakout_date", "breakout_level"), "symbol").filter(
         (F.col("date") >= F.col("breakout_date")) & confirmed(F.col("close"), F.col("breakout_level"), F.col("vr"), least)
@@ -125,7 +128,7 @@ def track_trades(spark: SparkSession, trades: DataFrame, bars: DataFrame, s: Set
     near = holding_bars(base, bars, hold + 14, False).select("id", "date", "high", "low", "close")
     opens = bars.select("symbol", "date", "open")
     feed = near.join(base, "id").join(opens, ["symbol", "date"]).drop("exit_date", "symbol")
-    stream, _ = _stage(spark, feed, "marks")
+    stream = _stage(spark, feed, "marks", "id")
     out = scratch_dir(spark, "moves")
     moves = stream.groupBy("id").applyInPandasWithState(_tracker(hold), TRACK_OUT, TRACK_STATE, "append", "NoTimeout")
     _finish(moves.writeStream.format("parquet").option("path", out).outputMode("append"), spark)
