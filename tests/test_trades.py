@@ -2,11 +2,10 @@ import datetime as dt
 import random
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from candlespan.config import Costs, PaperTrading, Settings
+from candlespan.config import Costs, Settings
 from candlespan.functions import scoring as M
 from candlespan.functions import session_clock as C
 from candlespan.functions import sizing as Z
