@@ -87,9 +87,9 @@ def candidates(index: DataFrame, queries: dict[int, list], spark: SparkSession)
     wanted = spark.createDataFrame(terms, "rule int, clause int, alternative int, size int, trigram string")
     total = {rule: len(clauses) for rule, clauses in queries.items()}
     sizes = F.create_map(*[F.lit(x) for pair in total.items() for x in pair])
-    # the index has a (trigram, doc) once per row with that key, hence the distinct count
+    # the terms are as many as the rules have trigrams, so they may be broadcast; the index has a (trigram, doc) once per row with that key, hence the distinct count
     alternatives = (
-        index.join(wanted, "trigram").groupBy("doc", "rule", "clause", "alternative", "size")
+        index.join(F.broadcast(wanted), "trigram").groupBy("doc", "rule", "clause", "alternative", "size")
         .agg(F.count_distinct("trigram").alias("met")).filter("met = size")
     )
     clauses = alternatives.select("doc", "rule", "clause").distinct()
