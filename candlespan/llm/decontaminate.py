@@ -101,6 +101,9 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, bloc
 def _cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
     out = []
     for text, cuts in zip(texts, spans):
+        if text is None or not len(cuts):
+            out.append(text)
+            continue
         raw = text.encode()
         places = [m.span() for m in WORD.finditer(raw.lower())]
         at, kept = 0, []

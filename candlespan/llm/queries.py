@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlespan.llm import decontaminate, exact_dedup, mixing, secrets, url_filter
+from candlespan.llm import decontaminate, exact_dedup, mixing, secrets, tokenize, url_filter
 from candlespan.sources.walk import table
 
 
@@ -20,6 +20,17 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def vocabulary() -> str:
+    """The byte-level vocabulary file of the public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenize.token_output(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.benchmark_hits(docs, table(spark, sf_dir, "benchmark"))
@@ -44,6 +55,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_token_output": op2_token_output,
     "op3_decontaminate": op3_decontaminate,
     "op4_mix_sources": op4_mix_sources,
     "op6_url_filter": op6_url_filter,
