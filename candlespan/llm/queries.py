@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlespan.llm import decontaminate, exact_dedup, mixing, secrets, tokenize, url_filter
+from candlespan.llm import decontaminate, exact_dedup, mixing, secrets, simhash, tokenize, url_filter
 from candlespan.sources.walk import table
 
 
@@ -53,6 +53,11 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_token_output": op2_token_output,
@@ -60,6 +65,7 @@ QUERIES = {
     "op4_mix_sources": op4_mix_sources,
     "op6_url_filter": op6_url_filter,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_simhash": op9_simhash,
 }
 
 ORACLES = {
