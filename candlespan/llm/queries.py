@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlespan.llm import decontaminate, exact_dedup, mixing, pii, secrets, simhash, tokenize, toxicity, url_filter
+from candlespan.llm import decontaminate, exact_dedup, language_model, mixing, pii, secrets, simhash, tokenize, toxicity, url_filter
 from candlespan.sources.walk import table
 
 
@@ -44,6 +44,10 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scored(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), url_filter.rules_table(spark))
 
@@ -77,6 +81,7 @@ QUERIES = {
     "op2_token_output": op2_token_output,
     "op3_decontaminate": op3_decontaminate,
     "op4_mix_sources": op4_mix_sources,
+    "op5_lm_score": op5_lm_score,
     "op6_url_filter": op6_url_filter,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_personal_data": op8_personal_data,
