@@ -8,11 +8,13 @@ in the whole, so no task and no driver sees more than one row per shard.
 from __future__ import annotations
 
 import os
-import re
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,36 +24,92 @@ from candlespan.llm.token_files import ShardReader, ShardWriter, make_folder
 from candlespan.session import scratch_dir
 
 END_ID = 2
-#: A blank before something that is no white space always starts a new piece of the byte-level scheme, so a text may be cut there.
-CUT = re.compile(r" (?=\S)")
-#: Pieces whose ids a worker remembers.
-REMEMBERED = 400_000
-BATCH = 256
+#: Places where a new piece of the byte-level scheme starts for certain, so that a text may be cut there: before a blank that
+#: stands before something that is no white space; before a mark after a Latin letter or digit; and between a single line end and a
+#: Latin letter. MARK stands for a cut; texts that hold it, or a blank before white space or the end, are encoded whole.
+MARK = "\x00"
+LATIN = r"A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}"
+WHITE = r"\s\x0b\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+ODD = rf"\x00| ([{WHITE}]|$)"
+CUTS = ((rf"([0-9{LATIN}])([.,!?:;])", rf"\1{MARK}\2"), (rf"([0-9{LATIN}.,!?:;])\n([{LATIN}])", f"\\1\n{MARK}\\2"))
+#: Bytes of remembered pieces, by a generous estimate, before a worker forgets them all; characters encoded at a time.
+REMEMBERED = 250 << 20
+SLICE = 4 << 20
 
 
 class PieceEncoder:
-    """Encodes texts with a tokenizers file whose pieces start at blanks; ids of frequent pieces are remembered.
+    """Encodes texts with a tokenizers file of the byte-level scheme.
 
-    Each distinct piece goes through the library; only the repeats are looked up. The result equals encoding the whole text.
+    The distinct pieces of a slice of texts go through the library unless remembered; the ids of all pieces are then put in
+    place with array operations. The result equals encoding each whole text.
     """
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [[p if i == 0 else " " + p for i, p in enumerate(CUT.split(t))] for t in texts]
-        fresh = list(set().union(*cut) - self.known.keys()) if cut else []
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self.known = {}
-            fresh = list(set().union(*cut))
-        for piece, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-            self.known[piece] = np.array(e.ids, "<u4").tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in cut]
+        self.size, self.remembered = 0, remembered
+        # a token of a byte-level vocabulary is written with one character for each byte
+        self.n_bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.n_bytes[i] = len(token)
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Pieces that start with a blank are encoded as one text, which is much cheaper, and parted by their lengths in bytes."""
+        if self.size > self.remembered:
+            self.known, self.size = {}, 0
+        blank = [p for p in pieces if p[:1] == " "]
+        other = [p for p in pieces if p[:1] != " "]
+        found = list(zip(other, self._ids(other)))
+        for i in range(0, len(blank), 4096):
+            part = blank[i : i + 4096]
+            (ids,) = self._ids(["".join(part)])
+            ends = np.cumsum(self.n_bytes[np.frombuffer(ids, "<u4")])
+            cuts = (4 * np.searchsorted(ends, np.cumsum([len(p.encode()) for p in part]), side="right")).tolist()
+            found += zip(part, [ids[a:b] for a, b in zip([0, *cuts], cuts)])
+        for piece, ids in found:
+            self.known[piece] = ids
+            self.size += len(piece) + len(ids) + 200
+
+    def encode(self, texts: pa.StringArray) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit numbers."""
+        sizes = np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False)) // SLICE
+        edges = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(texts)]
+        return [ids for a, b in zip(edges, edges[1:]) if b > a for ids in self._slice(texts.slice(a, b - a))]
+
+    def _slice(self, texts: pa.StringArray) -> list[bytes]:
+        odd = pc.match_substring_regex(texts, ODD)
+        marked = pc.replace_substring(texts, " ", MARK + " ")
+        for pattern, put in CUTS:
+            marked = pc.replace_substring_regex(marked, pattern, put)
+        parts = pc.split_pattern(pc.if_else(odd, "", marked), MARK)
+        coded = parts.flatten().dictionary_encode()
+        pieces = coded.dictionary.to_pylist()
+        known = self.known
+        held = [known.get(p) for p in pieces]
+        if fresh := [p for p, ids in zip(pieces, held) if ids is None]:
+            self._learn(fresh)
+            held = [ids if ids is not None else self.known[p] for p, ids in zip(pieces, held)]
+        lengths = np.fromiter(map(len, held), np.int64, len(held)) // 4
+        tokens = np.frombuffer(b"".join(held), "<u4")
+        index = coded.indices.to_numpy()
+        counts = lengths[index]
+        ends = np.cumsum(counts)
+        # the place of every token: the start of its piece's ids, and how far it is inside the piece
+        place = np.repeat((np.cumsum(lengths) - lengths)[index] - (ends - counts), counts)
+        place += np.arange(len(place))
+        raw = memoryview(tokens[place].tobytes())
+        bounds = 4 * np.append(0, ends)[parts.offsets.to_numpy() - parts.offsets[0].as_py()]
+        out = [raw[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+        whole = np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()
+        for k, ids in zip(whole, self._ids([texts[k].as_py() for k in whole])):
+            out[k] = ids
+        return out
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
@@ -76,22 +134,21 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int = EN
         encoder, writer, shard = _encoder(vocabulary), None, TaskContext.get().partitionId()
         path, n_docs = f"{folder}/shard-{shard:06d}.tok", 0
         for batch in batches:
-            for i in range(0, len(batch), BATCH):
-                part = batch.iloc[i : i + BATCH]
-                for doc_id, ids in zip(part["doc_id"], encoder.encode(part["text"].tolist())):
-                    writer = writer or ShardWriter(path)
-                    ids += end
-                    writer.add(None if pd.isna(doc_id) else int(doc_id), ids, zlib.crc32(ids))
-                    n_docs += 1
+            texts = batch.column("text").cast(pa.large_string())
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts)):
+                writer = writer or ShardWriter(path)
+                ids = b"".join((ids, end))
+                writer.add(doc_id, ids, zlib.crc32(ids))
+                n_docs += 1
         if writer:
-            yield pd.DataFrame({"shard": [shard], "path": [path], "n_docs": [n_docs], "n_tokens": [writer.close()]})
+            yield pa.RecordBatch.from_pylist([{"shard": shard, "path": path, "n_docs": n_docs, "n_tokens": writer.close()}])
 
     rows = subset(docs, "doc_id", "text").select(
-        F.col("doc_id").cast("decimal(20,0)").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"),
-        F.col("doc_id").alias("place"),
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
     ).withColumn("hash", F.xxhash64("text"))
-    ordered = rows.repartitionByRange(F.col("place").asc_nulls_first(), "hash").sortWithinPartitions(F.col("place").asc_nulls_first(), "hash", "text")
-    manifest = ordered.select("doc_id", "text").mapInPandas(write, "shard long, path string, n_docs long, n_tokens long")
+    order = F.col("doc_id").asc_nulls_first()
+    ordered = rows.repartitionByRange(order, "hash").sortWithinPartitions(order, "hash", "text")
+    manifest = ordered.select("doc_id", "text").mapInArrow(write, "shard long, path string, n_docs long, n_tokens long")
     return stored(manifest, "token-manifest")
 
 
@@ -113,7 +170,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
 
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     placed = manifest.withColumn("first", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
-    spread = placed.select("path", "first").repartition(F.col("path"))
+    spread = placed.select("path", "first").repartition(max(1, manifest.count()))
     return spread.mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

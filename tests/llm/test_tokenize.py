@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from tokenizers import Tokenizer
@@ -25,10 +26,16 @@ def ids_of(text):
 
 def test_pieces_equal_whole_texts():
     rng = random.Random(0)
-    bits = [" ", "  ", "\n", "\t", "'s", "'", "a", "B", "é", "1", "22", ".", "<|endoftext|>", " ", "\x1c", " ", "😀", "\x85", "word"]
+    bits = [" ", " ", ",", "ä", "  ", "\n", "\t", "'s", "'", "a", "B", "é", "1", "22", ".", "<|endoftext|>", " ", "\x1c", " ", "😀", "\x85", "word"]
     texts = [t or "" for t in TEXTS] + ["".join(rng.choice(bits) for _ in range(rng.randint(1, 30))) for _ in range(2000)]
-    encoder = PieceEncoder(vocabulary())
-    assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(texts)] == [ids_of(t)[:-1] for t in texts]
+    texts += ["x" * 9_000_000 + " y", "\x00 a \x00b"]
+    want = [ids_of(t)[:-1] for t in texts]
+    for remembered in (1 << 30, 1 << 10):
+        encoder = PieceEncoder(vocabulary(), remembered)
+        for part in (texts, texts[::-1]):
+            got = [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(pa.array(part, pa.large_string()))]
+            assert got == (want if part is texts else want[::-1])
+    assert encoder.encode(pa.array([], pa.large_string())) == []
 
 
 def expected(rows):
