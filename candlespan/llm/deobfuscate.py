@@ -125,24 +125,31 @@ def suspicious(word: str) -> bool:
     return bool(LEET.search(word) and LETTER.search(word) or TRIPLE.search(word))
 
 
-def restored_words(text: str | None, restorer: Restorer, doubled=lambda word: False) -> set[str]:
-    """The distinct lower-case words of a text, with the restored forms of its suspicious stretches.
+def forms(word: str, restorer: Restorer, doubled=lambda word: False) -> set[str]:
+    """What a lower-case stretch without blanks may say: itself, or if it is suspicious, what it is restored to.
 
     `doubled` says for words with a letter twice in a row whether they are worth decoding; such words count in both forms, as
     most are spelt so.
     """
-    low = (text or "").lower()
-    words = {w.strip(EDGES) for w in set(WORD.findall(low))}
-    out = set()
-    for w in words:
-        if suspicious(w):
-            out.update(restorer.word(w).split())
-        elif w:
-            out.add(w)
-            if DOUBLE.search(w) and doubled(w):
-                out.update(restorer.word(w).split())
+    w = word.strip(EDGES)
+    if suspicious(w):
+        return set(restorer.word(w).split())
+    if w and DOUBLE.search(w) and doubled(w):
+        return {w, *restorer.word(w).split()}
+    return {w} if w else set()
+
+
+def spaced_words(low: str, restorer: Restorer) -> set[str]:
+    """The words restored from single letters with blanks or marks between them."""
+    out: set[str] = set()
     for m in SPACED.finditer(low):
         stretch = re.sub(r"[ .*_-]+", " ", m.group())
         if len(set(stretch)) > 3:
             out.update(restorer.word(stretch).split())
     return out
+
+
+def restored_words(text: str | None, restorer: Restorer, doubled=lambda word: False) -> set[str]:
+    """The distinct lower-case words of a text, with the restored forms of its suspicious stretches."""
+    low = (text or "").lower()
+    return spaced_words(low, restorer).union(*[forms(w, restorer, doubled) for w in set(WORD.findall(low))])

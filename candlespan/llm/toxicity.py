@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from candlespan.llm.common import stored
-from candlespan.llm.deobfuscate import SYMBOLS, Restorer, SymbolTable, language_model, restored_words, skeleton
+from candlespan.llm.deobfuscate import SYMBOLS, WORD, Restorer, SymbolTable, forms, language_model, restored_words, skeleton, spaced_words
 
 TRAIN_ROWS = 20_000
+#: Words whose forms a worker remembers before it forgets them all.
+REMEMBERED = 500_000
 #: Likelihood ratio (twice the log) a feature must reach, and the most features kept, the strongest first.
 LEAST_RATIO = 15.0
 MOST_FEATURES = 4000
@@ -79,15 +81,34 @@ class Model:
 
     def __post_init__(self):
         self.restorer = Restorer(self.cost)
+        # features start with one of these, so other words cannot matter
+        self.heads = {f.partition("|")[0][: min(BEGINNINGS)] for f in self.precision}
+        #: The forms that can matter of words seen before, mostly none.
+        self.seen: dict[str, frozenset[str]] = {}
         self.skeletons = {skeleton(f.partition("|")[0]) for f in self.precision}
 
     def doubled(self, word: str) -> bool:
         bare = skeleton(word)
         return bare in self.skeletons or any(bare[:n] in self.skeletons for n in range(2, max(BEGINNINGS) + 1))
 
+    def telling(self, text: str | None) -> set[str]:
+        """Those of a text's restored words that may have a feature."""
+        low, seen, out = (text or "").lower(), self.seen, set()
+        if len(seen) > REMEMBERED:
+            seen.clear()
+        for w in set(WORD.findall(low)):
+            if (known := seen.get(w)) is None:
+                known = seen[w] = self._own(forms(w, self.restorer, self.doubled))
+            if known:
+                out |= known
+        return out | self._own(spaced_words(low, self.restorer))
+
+    def _own(self, words: set[str]) -> frozenset[str]:
+        return frozenset(w for w in words if w[: min(BEGINNINGS)] in self.heads)
+
     def present(self, text: str | None) -> list[str]:
         """The model's features in a text, and the precision levels that the best of them reaches."""
-        own = sorted(features(restored_words(text, self.restorer, self.doubled)) & self.precision.keys())
+        own = sorted(features(self.telling(text)) & self.precision.keys())
         best = max([self.precision[f] for f in own], default=0.0)
         return own + [level(x) for x in LEVELS if best >= x]
 
