@@ -34,7 +34,7 @@ ODD = rf"\x00| ([{WHITE}]|$)"
 CUTS = ((rf"([0-9{LATIN}])([.,!?:;])", rf"\1{MARK}\2"), (rf"([0-9{LATIN}.,!?:;])\n([{LATIN}])", f"\\1\n{MARK}\\2"))
 #: Bytes of remembered pieces, by a generous estimate, before a worker forgets them all; characters encoded at a time.
 REMEMBERED = 250 << 20
-SLICE = 4 << 20
+SLICE = 8 << 20
 
 
 class PieceEncoder:
@@ -65,16 +65,16 @@ class PieceEncoder:
             self.known, self.size = {}, 0
         blank = [p for p in pieces if p[:1] == " "]
         other = [p for p in pieces if p[:1] != " "]
-        found = list(zip(other, self._ids(other)))
-        for i in range(0, len(blank), 4096):
-            part = blank[i : i + 4096]
+        self.known.update(zip(other, self._ids(other)))
+        for i in range(0, len(blank), 8192):
+            part = blank[i : i + 8192]
             (ids,) = self._ids(["".join(part)])
             ends = np.cumsum(self.n_bytes[np.frombuffer(ids, "<u4")])
-            cuts = (4 * np.searchsorted(ends, np.cumsum([len(p.encode()) for p in part]), side="right")).tolist()
-            found += zip(part, [ids[a:b] for a, b in zip([0, *cuts], cuts)])
-        for piece, ids in found:
-            self.known[piece] = ids
-            self.size += len(piece) + len(ids) + 200
+            lengths = np.fromiter(map(len, map(str.encode, part)), np.int64, len(part))
+            cuts = (4 * np.searchsorted(ends, np.cumsum(lengths), side="right")).tolist()
+            self.known.update(zip(part, map(ids.__getitem__, map(slice, [0, *cuts[:-1]], cuts))))
+            self.size += len(ids) + int(lengths.sum())
+        self.size += 200 * len(pieces) + 5 * sum(map(len, other))
 
     def encode(self, texts: pa.StringArray) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
@@ -101,8 +101,9 @@ class PieceEncoder:
         counts = lengths[index]
         ends = np.cumsum(counts)
         # the place of every token: the start of its piece's ids, and how far it is inside the piece
-        place = np.repeat((np.cumsum(lengths) - lengths)[index] - (ends - counts), counts)
-        place += np.arange(len(place))
+        kind = np.int32 if len(counts) and ends[-1] < 1 << 31 else np.int64
+        place = np.repeat(((np.cumsum(lengths) - lengths)[index] - (ends - counts)).astype(kind), counts)
+        place += np.arange(len(place), dtype=kind)
         raw = memoryview(tokens[place].tobytes())
         bounds = 4 * np.append(0, ends)[parts.offsets.to_numpy() - parts.offsets[0].as_py()]
         out = [raw[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
@@ -161,11 +162,13 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                 reader = ShardReader(path)
                 n = len(reader.entries)
                 doc_id = pd.Series(reader.entries["doc_id"], dtype="Int64").mask(reader.entries["known"] == 0)
+                ids = map(reader.tokens, range(n))
+                n_tokens, crc32 = zip(*[(len(x), zlib.crc32(x)) for x in ids])
                 yield pd.DataFrame({
                     "doc_id": doc_id,
-                    "start": int(start) + np.concatenate([[0], np.cumsum(reader.entries["n_tokens"].astype(np.int64))])[:n],
-                    "n_tokens": [len(reader.tokens(k)) for k in range(n)],
-                    "ids_crc32": [zlib.crc32(reader.tokens(k).tobytes()) for k in range(n)],
+                    "start": int(start) + np.concatenate([[0], np.cumsum(n_tokens)[:-1]]),
+                    "n_tokens": n_tokens,
+                    "ids_crc32": crc32,
                 })
 
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
