@@ -4,7 +4,10 @@ import numpy as np
 import pytest
 import xxhash
 
-from candlespan.llm.simhash import VantageTree, band_masks, components, links, near_duplicates, near_pairs, one_of_each, simhash, shingle_hashes
+from candlespan.llm.simhash import (
+    WIDE, VantageTree, band_keys, components, equal_key_pairs, links, near_duplicates, near_pairs, one_of_each, shingle_hashes, similar_groups, simhash,
+    split_bands, wide_bands,
+)
 
 
 def brute_fingerprint(text, size):
@@ -45,7 +48,7 @@ def texts():
 @pytest.mark.parametrize("size", [1, 4, 5])
 def test_fingerprints_match_the_definition(size):
     for t in texts():
-        assert simhash(shingle_hashes(t, size)) & (1 << 64) - 1 == brute_fingerprint(t, size)
+        assert simhash(shingle_hashes(t, size))[0] & (1 << 64) - 1 == brute_fingerprint(t, size)
 
 
 @pytest.mark.parametrize("search", [{}, {"bands": 1, "leaves": 8}, {"bands": 3, "block": 16}, {"sample": 3, "block": 8}])
@@ -63,8 +66,8 @@ def test_links_lose_no_component(spark, radius, bands):
     centre = rng.integers(0, 1 << 63, 30, dtype=np.int64)
     points = np.concatenate([centre, *[centre ^ (1 << rng.integers(0, 63, 30)) ^ (1 << rng.integers(0, 63, 30)) for _ in range(12)]])
     points = np.unique(np.append(points, [-1, 0, 1]))
-    df = spark.createDataFrame([(int(p),) for p in points], "fingerprint long")
-    found = links(df, radius, bands, leaves=4, block=64)
+    df = spark.createDataFrame([(int(p), int(p)) for p in points], "node long, w0 long")
+    found = links(df, radius, split_bands(bands, 1), radius // bands, leaves=4, block=64)
     assert all(a > b for a, b in found.collect())
     roots = {r.node: r.root for r in components(found).collect()}
     label = brute_components([int(p) & (1 << 64) - 1 for p in points], radius)
@@ -77,11 +80,13 @@ def test_trees_deal_partners_into_a_common_leaf():
     other = points ^ (np.uint64(1) << rng.integers(0, 64, 2000).astype("<u8")) ^ (np.uint64(1) << rng.integers(0, 64, 2000).astype("<u8"))
     for bands in (1, 2, 3):
         shared = np.zeros(2000, bool)
-        for mask in band_masks(bands):
-            tree = VantageTree(points[:500], mask, 2 // bands, 16, rng)
-            home = {int(i): int(leaf) for i, leaf, h in zip(*tree.leaves(points)) if h}
+        for bits in split_bands(bands, 1):
+            keys, near = band_keys(points[:, None], bits), band_keys(other[:, None], bits)
+            assert (keys == sum((points >> np.uint64(b) & np.uint64(1)) << np.uint64(k) for k, b in enumerate(bits))).all()
+            tree = VantageTree(keys[:500], 2 // bands, 16, rng)
+            home = {int(i): int(leaf) for i, leaf, h in zip(*tree.leaves(keys)) if h}
             assert len(home) == 2000
-            for i, leaf, _ in zip(*tree.leaves(other)):
+            for i, leaf, _ in zip(*tree.leaves(near)):
                 shared[i] |= home[int(i)] == leaf
         assert shared.all()
 
@@ -90,11 +95,40 @@ def test_search_inside_a_shard_prunes_nothing_needed():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 1500, dtype=np.int64).view("<u8")
     near = base ^ (np.uint64(1) << rng.integers(0, 64, 1500).astype("<u8"))
-    found = {(int(x), int(y)) for a, b in near_pairs(base, near, 3) for x, y in zip(a, b)}
+    found = {(int(x), int(y)) for a, b in near_pairs(base[:, None], near[:, None], 3) for x, y in zip(a, b)}
     x, y = np.nonzero(np.bitwise_count(base[:, None] ^ near[None, :]) <= 3)
     assert found == set(zip(x.tolist(), y.tolist()))
 
 
+def test_pairs_of_equal_keys():
+    rng = np.random.default_rng(2)
+    points = rng.integers(0, 8, (300, 2)).astype("<u8")
+    keys, own = points[:, 0] & np.uint64(3), rng.integers(0, 2, 300)
+    want = {(i, j) for i in range(300) for j in range(i) if keys[i] == keys[j] and np.bitwise_count(points[i] ^ points[j]).sum() <= 2}
+    for low, high in ((0, 0), (0, 1)):
+        pick = np.flatnonzero(own == low) if low == high else np.arange(300)
+        got = {(max(pick[x], pick[y]), min(pick[x], pick[y])) for a, b in equal_key_pairs(points[pick], keys[pick], own[pick], low, high, 2) for x, y in zip(a, b)}
+        assert got == {(i, j) for i, j in want if sorted((own[i], own[j])) == [low, high]}
+
+
+def test_wide_bands_and_recall(spark):
+    assert sorted(np.concatenate(wide_bands()).tolist()) == sorted(2 * list(range(64 * WIDE))) and len(wide_bands()) == 32
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(3000)]
+    rows, n = [], 0
+    for g in range(80):
+        base = [rng.choice(words) for _ in range(200)]
+        for k in range(3):
+            copy = list(base)
+            for _ in range((0, 1, 3)[k]):  # about 0.95 and 0.86 alike
+                copy[rng.randrange(200)] = rng.choice(words)
+            rows.append((g * 3 + k, " ".join(copy)))
+    rows += [(1000 + i, " ".join(base[: 60 + i] + [rng.choice(words) for _ in range(140)])) for i in range(5)]
+    found = {r.doc_id: r.component_id for r in similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(found[i] == i // 3 * 3 for i in range(240)) >= 230
+    assert all(found[i] == i for i in range(1000, 1005)) and all(found[i] // 3 == i // 3 for i in range(240))
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100)] + [(500, i) for i in range(501, 700)] + [(900, 901), (901, 900), (950, 950)]
     random.Random(0).shuffle(edges)
