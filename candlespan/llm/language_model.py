@@ -1,6 +1,6 @@
 """A bigram language model of the training documents, kept in Elias-Fano tries, and the score of every document under it.
 
-The corpus is never gathered in one place. Documents are cut into blocks of about a million tokens. A block sends each shard of
+The corpus is never gathered in one place. Documents are cut into blocks of some hundred thousand tokens. A block sends each shard of
 contexts its distinct bigrams with their training counts, as one compressed array; equal bigrams of a block travel once. A shard, which
 has the contexts of one remainder of the hash, merges the blocks' counts, builds its trie and maps it, looks up what each block asked
 for, and sends back one byte for a bigram and a count for a word. The blocks then score their documents.
@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from candlespan.llm.common import stored
 from candlespan.llm.elias_fano import Trie
 
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS = 600_000
 #: Tokens whose contexts one shard has, about.
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 2_000_000
 #: Reserved word hashes.
 START, END = 0, 1
 KAPPAS = (5.0, 50.0, 500.0, 5_000.0, 50_000.0, float("inf"))
@@ -102,15 +102,13 @@ class Block:
 
     def __init__(self, payload: bytes, shards: int):
         self.hashes, tokens, self.lengths, self.ids, self.no_id, self.held_out = unpack(payload)
-        self.tokens = tokens.astype(np.int64)
-        context = np.empty_like(self.tokens)
-        context[1:] = self.tokens[:-1]
+        context = np.zeros(len(tokens), np.int64)
+        context[1:] = tokens[:-1]
         context[np.cumsum(self.lengths) - self.lengths] = 0
-        self.context = context
-        self.pairs = context << 32 | self.tokens
+        self.pairs = context << 32 | tokens
         self.trained = np.repeat(~self.held_out, self.lengths)
         self.distinct = np.unique(self.pairs)
-        self.first, self.second = self.distinct >> 32, self.distinct & 0xFFFFFFFF
+        self.first, self.second = (self.distinct >> 32).astype(np.int32), (self.distinct & 0xFFFFFFFF).astype(np.int32)
         shard = (self.hashes % np.uint64(shards)).astype(np.int64)[self.first]
         self.order = np.argsort(shard, kind="stable")
         self.edges = np.searchsorted(shard[self.order], np.arange(shards + 1))
@@ -135,57 +133,69 @@ class Block:
         return first[np.flatnonzero(np.diff(first, prepend=-1))]
 
 
-def shard_trie(requests: list[tuple]) -> Trie:
-    """The trie of the counted bigrams of all requests (hashes, first, second, counts)."""
-    words = np.unique(np.concatenate([r[0] for r in requests]))
-    size = max(1, len(words))
-    keys, counts = [], []
-    for hashes, first, second, n in requests:
-        place, seen = np.searchsorted(words, hashes), n > 0
-        keys.append((place[first] * size + place[second])[seen])
-        counts.append(n[seen].astype(np.int64))
-    key, n = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(key, kind="stable")
-    key, n = key[order], n[order]
-    starts = np.flatnonzero(np.diff(key, prepend=-1))
-    key = key[starts]
-    n = np.add.reduceat(n, starts) if len(starts) else n
-    first = key // size
-    roots = np.flatnonzero(np.diff(first, prepend=-1))
-    total = np.add.reduceat(n, roots) if len(roots) else n
-    parent = np.repeat(np.arange(len(roots)), np.diff(np.append(roots, len(key))))
-    return Trie.build(words, [
-        (np.zeros(len(roots), np.int64), first[roots], {"count": total}),
-        (parent, key % size, {"probability": quantised(n / total[parent])}),
-    ])
-
-
-def answers(trie: Trie, requests: list[tuple]) -> Iterator[bytes]:
-    """For each request the counts of its distinct contexts, in order, and the bytes of its bigrams."""
-    total = trie.levels[0]["values"]["count"]
-    probability = trie.levels[1]["values"]["probability"]
-    for hashes, first, second, _ in requests:
-        ids = trie.word(hashes)
-        root = trie.child(0, np.zeros(len(hashes), np.int64), ids)
-        node = trie.child(1, root[first], ids[second])
+class Requests:
+    """What all blocks ask of one shard, laid end to end."""
+
+    def __init__(self, payloads: Iterator[bytes]):
+        hashes, first, second, counts = zip(*map(unpack, payloads))
+        self.pairs = np.cumsum([0, *map(len, first)])
+        words = np.cumsum([0, *map(len, hashes)])
+        if words[-1] >= 1 << 32:
+            raise ValueError("too many words for one shard")
+        self.hashes = np.concatenate(hashes)
+        self.first = np.concatenate([f + np.uint32(w) for f, w in zip(first, words)])
+        self.second = np.concatenate([x + np.uint32(w) for x, w in zip(second, words)])
+        self.counts = np.concatenate([n.astype(np.uint32) for n in counts])
+
+    def trie(self) -> Trie:
+        """The trie of the bigrams that were counted."""
+        words = np.unique(self.hashes)
+        size = max(1, len(words))
+        place, seen = np.searchsorted(words, self.hashes), self.counts > 0
+        key = place[self.first[seen]] * size + place[self.second[seen]]
+        order = np.argsort(key, kind="stable")
+        key, n = key[order], self.counts[seen][order].astype(np.int64)
+        starts = np.flatnonzero(np.diff(key, prepend=-1))
+        key = key[starts]
+        n = np.add.reduceat(n, starts) if len(starts) else n
+        first = key // size
+        roots = np.flatnonzero(np.diff(first, prepend=-1))
+        total = np.add.reduceat(n, roots) if len(roots) else n
+        parent = np.repeat(np.arange(len(roots)), np.diff(np.append(roots, len(key))))
+        return Trie.build(words, [
+            (np.zeros(len(roots), np.int64), first[roots], {"count": total}),
+            (parent, key % size, {"probability": quantised(n / total[parent])}),
+        ])
+
+    def answers(self, trie: Trie) -> Iterator[bytes]:
+        """For each block the counts of its distinct contexts, in order, and the bytes of its bigrams."""
+        total, probability = trie.levels[0]["values"]["count"], trie.levels[1]["values"]["probability"]
+        ids = trie.word(self.hashes)
+        root = trie.child(0, np.zeros(len(ids), np.int64), ids)
+        node = trie.child(1, root[self.first], ids[self.second])
         codes = np.full(len(node), NONE, np.uint8)
-        codes[node >= 0] = probability[node[node >= 0]]
-        asked = root[first[np.flatnonzero(np.diff(first.astype(np.int64), prepend=-1))]]
+        known = node >= 0
+        codes[known] = probability[node[known]]
+        # words of different blocks have different numbers, so a change of the first word is a new context or a new block
+        fresh = np.flatnonzero(np.diff(self.first.astype(np.int64), prepend=-1))
+        asked = root[self.first[fresh]]
         counts = np.where(asked >= 0, total[np.maximum(asked, 0)], 0) if len(total) else np.zeros(len(asked), np.int64)
-        yield pack(thin(counts), codes)
+        bounds = np.searchsorted(fresh, self.pairs)
+        for k in range(len(bounds) - 1):
+            yield pack(thin(counts[bounds[k] : bounds[k + 1]]), codes[self.pairs[k] : self.pairs[k + 1]])
 
 
 def _serve(group: pd.DataFrame) -> pd.DataFrame:
-    requests = [tuple(a.astype(np.int64) if k in (1, 2) else a for k, a in enumerate(unpack(p))) for p in group["payload"]]
-    raw = shard_trie(requests).pack()
+    requests = Requests(group["payload"])
+    raw = requests.trie().pack()
+    size = len(raw)
     with tempfile.TemporaryFile() as file:
         file.write(raw)
         file.flush()
-        size = len(raw)
         del raw
         with mmap.mmap(file.fileno(), size, access=mmap.ACCESS_READ) as mapped:
             trie = Trie.open(mapped)
-            replies = list(answers(trie, requests))
+            replies = list(requests.answers(trie))
             starts = trie.words.values()[trie.levels[0]["keys"].values().astype(np.int64)] == START
             known = trie.levels[0]["keys"].n - int(starts.sum())
             nodes = trie.levels[1]["keys"].n
