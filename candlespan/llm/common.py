@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,3 +29,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def subset(table: DataFrame, *names: str) -> DataFrame:
     """Only the named columns; extra columns of the input, whatever their names, never meet the operator's own."""
     return table.select(*[F.col(f"`{n}`") for n in names])
+
+
+def release() -> None:
+    """Hands free memory of a Python worker back to the system: a worker kept for later tasks must not hold its peak."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library only
+    if trim:
+        trim(0)
+
+
+_KEPT: dict = {}
+
+
+def kept_in_worker(owner: str, make=object):
+    """The one object a Python worker keeps between tasks. Asking for another operator's drops it, so that the caches of a
+    pipeline's stages never add up in one worker."""
+    if owner not in _KEPT:
+        _KEPT.clear()
+        release()
+        _KEPT[owner] = make()
+    return _KEPT[owner]

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from candlespan.llm.common import stored
+from candlespan.llm.common import kept_in_worker, release, stored
 from candlespan.llm.suffix_automaton import WORD, SuffixAutomaton, words_of
 
 #: Words of the items in one automaton; some 300 bytes each in a task.
@@ -26,11 +26,13 @@ def _matcher(spark, items: list[tuple[str, str | None]], window: int):
 
     @F.pandas_udf(FOUND)
     def match(texts: pd.Series) -> pd.DataFrame:
+        kept_in_worker("decontaminate")
         rows = []
         for text in texts:
             words = words_of(text)
             spans, names = automaton.value.scan(words)
             rows.append((len(words), [{"first": a, "end": b} for a, b in spans], sorted(names)))
+        release()
         return pd.DataFrame(rows, columns=["n_words", "spans", "items"])
 
     # Spark repeats deterministic functions below and above a filter on their result

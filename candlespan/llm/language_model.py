@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candlespan.llm.common import stored
+from candlespan.llm.common import kept_in_worker, release, stored
 from candlespan.llm.elias_fano import Trie
 
 BLOCK_TOKENS = 600_000
@@ -186,6 +186,7 @@ class Requests:
 
 
 def _serve(group: pd.DataFrame) -> pd.DataFrame:
+    kept_in_worker("language model")
     requests = Requests(group["payload"])
     raw = requests.trie().pack()
     size = len(raw)
@@ -199,7 +200,8 @@ def _serve(group: pd.DataFrame) -> pd.DataFrame:
             starts = trie.words.values()[trie.levels[0]["keys"].values().astype(np.int64)] == START
             known = trie.levels[0]["keys"].n - int(starts.sum())
             nodes = trie.levels[1]["keys"].n
-            del trie, starts
+            del trie, starts, requests
+    release()
     out = pd.DataFrame({"block": group["block"], "shard": group["shard"], "payload": replies})
     summary = {"block": [-1], "shard": [int(group["shard"].iloc[0])], "payload": [pack(known, nodes, size)]}
     return pd.concat([out, pd.DataFrame(summary)])
@@ -256,6 +258,7 @@ def scored(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, shard_tokens: int
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), held.alias("held_out"), "text")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept_in_worker("language model")
         task, builder, k = TaskContext.get().partitionId(), BlockBuilder(), 0
 
         def finished() -> pd.DataFrame:
@@ -271,6 +274,7 @@ def scored(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, shard_tokens: int
                 if builder.size >= block_tokens:
                     yield finished()
                     builder, k = BlockBuilder(), k + 1
+                    release()
         if builder.docs:
             yield finished()
 
@@ -284,6 +288,8 @@ def scored(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, shard_tokens: int
             for name, payload in zip(batch["block"], batch["payload"]):
                 asked = list(Block(payload, shards).requests())
                 yield pd.DataFrame({"block": name, "shard": [s for s, _ in asked], "payload": [p for _, p in asked]})
+                del asked
+                release()
 
     shape = "block long, shard int, payload binary"
     asked = blocks.select("block", "payload").mapInPandas(ask, shape)
@@ -292,7 +298,9 @@ def scored(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, shard_tokens: int
 
     def score(group: pd.DataFrame) -> pd.DataFrame:
         by = dict(zip(group["shard"], group["payload"]))
-        return score_block(Block(by.pop(-1), shards), by, n_train, n_types, n_docs)
+        found = score_block(Block(by.pop(-1), shards), by, n_train, n_types, n_docs)
+        release()
+        return found
 
     both = blocks.select("block", F.lit(-1).alias("shard"), "payload").unionByName(served.filter("block >= 0"))
     result = both.groupBy("block").applyInPandas(

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from candlespan.llm.common import stored, subset
+from candlespan.llm.common import kept_in_worker, stored, subset
 
 #: Relative weights of the sources in code point order (null last), repeating.
 WEIGHTS = (5, 2, 1)
@@ -118,6 +118,7 @@ def landing(chance: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def _fly(last: bool):
     def run(group: pd.DataFrame) -> pd.DataFrame:
+        kept_in_worker("mixing")
         group = group.sort_values(["spot", "key", "size"], kind="stable")
         seed = int(group["spot"].astype("int64").to_numpy().view("uint64").sum() & np.uint64(0x7FFFFFFF))
         chance = flight(group["chance"].to_numpy(), group["size"].to_numpy(), np.random.default_rng(seed))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from candlespan.llm.common import stored
+from candlespan.llm.common import kept_in_worker, release, stored
 
 SEED = 42
 BANDS = 5
@@ -86,8 +86,11 @@ def fingerprints(docs: DataFrame, shingle: int, words: int = 1, distinct: bool =
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def run(texts: pd.Series) -> pd.Series:
+        kept_in_worker("simhash")
         hashes = (shingle_hashes(t, shingle) for t in texts)
-        return pd.Series([simhash(np.unique(h) if distinct else h, words) for h in hashes])
+        out = pd.Series([simhash(np.unique(h) if distinct else h, words) for h in hashes])
+        release()
+        return out
 
     found = docs.select("doc_id", run.asNondeterministic()("text").alias("w"))
     return found.select("doc_id", *[F.col("w")[k].alias(f"w{k}") for k in range(words)])

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from candlespan.llm.common import stored, subset
+from candlespan.llm.common import kept_in_worker, release, stored, subset
 from candlespan.llm.token_files import ShardReader, ShardWriter, make_folder
 from candlespan.session import scratch_dir
 
@@ -34,7 +34,7 @@ ODD = rf"\x00| ([{WHITE}]|$)"
 CUTS = ((rf"([0-9{LATIN}])([.,!?:;])", rf"\1{MARK}\2"), (rf"([0-9{LATIN}.,!?:;])\n([{LATIN}])", f"\\1\n{MARK}\\2"))
 #: Bytes of remembered pieces, by a generous estimate, before a worker forgets them all; characters encoded at a time.
 REMEMBERED = 250 << 20
-SLICE = 8 << 20
+SLICE = 16 << 20
 
 
 class PieceEncoder:
@@ -113,15 +113,6 @@ class PieceEncoder:
         return out
 
 
-_ENCODERS: dict[str, PieceEncoder] = {}
-
-
-def _encoder(vocabulary: str) -> PieceEncoder:
-    if vocabulary not in _ENCODERS:
-        _ENCODERS[vocabulary] = PieceEncoder(vocabulary)
-    return _ENCODERS[vocabulary]
-
-
 def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END_ID) -> DataFrame:
     """The manifest (shard, path, n_docs, n_tokens) after writing docs (doc_id, text) under `folder`, a shared one.
 
@@ -132,7 +123,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int = EN
     end = np.array([end_id], "<u4").tobytes()
 
     def write(batches):
-        encoder, writer, shard = _encoder(vocabulary), None, TaskContext.get().partitionId()
+        encoder, writer, shard = kept_in_worker(f"tokens {vocabulary}", lambda: PieceEncoder(vocabulary)), None, TaskContext.get().partitionId()
         path, n_docs = f"{folder}/shard-{shard:06d}.tok", 0
         for batch in batches:
             texts = batch.column("text").cast(pa.large_string())
@@ -141,6 +132,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int = EN
                 ids = b"".join((ids, end))
                 writer.add(doc_id, ids, zlib.crc32(ids))
                 n_docs += 1
+            release()
         if writer:
             yield pa.RecordBatch.from_pylist([{"shard": shard, "path": path, "n_docs": n_docs, "n_tokens": writer.close()}])
 
@@ -160,10 +152,8 @@ def read_shards(manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for path, start in zip(batch["path"], batch["first"]):
                 reader = ShardReader(path)
-                n = len(reader.entries)
                 doc_id = pd.Series(reader.entries["doc_id"], dtype="Int64").mask(reader.entries["known"] == 0)
-                ids = map(reader.tokens, range(n))
-                n_tokens, crc32 = zip(*[(len(x), zlib.crc32(x)) for x in ids])
+                n_tokens, crc32 = zip(*reader.documents())
                 yield pd.DataFrame({
                     "doc_id": doc_id,
                     "start": int(start) + np.concatenate([[0], np.cumsum(n_tokens)[:-1]]),

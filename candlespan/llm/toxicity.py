@@ -16,12 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from candlespan.llm.common import stored
+from candlespan.llm.common import kept_in_worker, release, stored
 from candlespan.llm.deobfuscate import SYMBOLS, WORD, Restorer, SymbolTable, forms, language_model, restored_words, skeleton, spaced_words
 
 TRAIN_ROWS = 20_000
 #: Words whose forms a worker remembers before it forgets them all.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 #: Likelihood ratio (twice the log) a feature must reach, and the most features kept, the strongest first.
 LEAST_RATIO = 15.0
 MOST_FEATURES = 4000
@@ -42,11 +42,13 @@ def symbol_counts(docs: DataFrame) -> np.ndarray:
     """Four-gram counts over all texts. Each task sums its own; what reaches the driver has at most SYMBOLS ** 4 rows."""
 
     def count(batches):
+        kept_in_worker("toxicity")
         table, total = SymbolTable(), np.zeros(SYMBOLS**4, np.int64)
         for batch in batches:
             for text in batch["text"]:
                 if text:
                     table.counts(text, total)
+            release()
         code = np.flatnonzero(total)
         yield pd.DataFrame({"code": code, "n": total[code]})
 
@@ -195,6 +197,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def present(texts: pd.Series) -> pd.Series:
+        kept_in_worker("toxicity")
         return pd.Series([draft.value.present(t) for t in texts])
 
     rows = sample.select(present("text"), "toxic").collect()
@@ -209,7 +212,10 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     @F.pandas_udf(T.DoubleType())
     def score(texts: pd.Series) -> pd.Series:
-        return pd.Series([sent.value.score(t) for t in texts], dtype="float64")
+        kept_in_worker("toxicity")
+        out = pd.Series([sent.value.score(t) for t in texts], dtype="float64")
+        release()
+        return out
 
     return docs.withColumn("toxicity", score.asNondeterministic()("text"))
 
