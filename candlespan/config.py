@@ -6,7 +6,6 @@ from dataclasses import dataclass, field
 
 # The states a trade can be in.
 OPEN_STATES = ("ALERTED", "ENTERED", "TARGET_1_HIT")
-CLOSED_STATES = ("TARGET_HIT", "STOPPED_OUT", "TIME_EXIT", "CANCELED")
 
 # Pattern names in dispatch order (ties in confidence go to the earlier name).
 PATTERN_ORDER = (
@@ -85,7 +84,6 @@ class Thresholds:
     min_listing_days: int = 365
     max_pledge_pct: float = 30.0
     near_breakout_pct: float = 2.0
-    pullback_window_days: int = 10
     min_history: int = 200
 
 
@@ -104,7 +102,6 @@ class Regime:
     index_sma: int = 200
     index_slope_lookback: int = 20
     flat_band: float = 0.005
-    breadth_sma: int = 50
     breadth_up_pct: float = 60.0
     breadth_down_pct: float = 40.0
     risk_off_multiplier: float = 0.5

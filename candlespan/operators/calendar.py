@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from candlespan.config import SESSION_CLOSE_MINUTE
+from candlespan.config import FIXED_HOLIDAYS, SESSION_CLOSE_MINUTE
 
 
 def _days():
@@ -16,10 +16,11 @@ def _days():
 def calendar(span: DataFrame, holidays: DataFrame) -> DataFrame:
     """Days lo..hi of `span` (one row: lo, hi) with trading flag, previous trading day and business-day number.
 
-    `biz_no` counts Mondays to Fridays before the day, so the number of business days in [a, b) is the difference.
+    The holidays known in advance (`FIXED_HOLIDAYS`) count besides those given. `biz_no` counts Mondays to Fridays before the day, so the number of business days in [a, b) is the difference.
     """
     days = span.select(F.explode(F.sequence("lo", "hi")).alias("date")).withColumn("cal", F.lit(0))
-    hol = holidays.select("date").distinct().withColumn("holiday", F.lit(True))
+    known = span.select(F.explode(F.array(*[F.lit(d).cast("date") for d in FIXED_HOLIDAYS])).alias("date"))
+    hol = holidays.select("date").unionByName(known).distinct().withColumn("holiday", F.lit(True))
     weekday = F.weekday("date") < 5
     rows = days.join(hol, "date", "left").withColumns({
         "weekday": weekday, "trading": weekday & F.col("holiday").isNull(),

@@ -83,30 +83,21 @@ def relative_strength(stock: Column, bench: Column) -> Column:
     return F.when(1.0 + bench > 0, (1.0 + stock) / (1.0 + bench))
 
 
-def mean_abs_correlation(returns: DataFrame, cohorts: DataFrame, window: int = 63, least: int = 10,
-                         max_members: int = 8) -> DataFrame:
-    """Mean absolute pairwise return correlation inside each date's cohort of positions.
+def mean_abs_correlation(returns: DataFrame, cohorts: DataFrame, window: int = 63, least: int = 10) -> DataFrame:
+    """Mean absolute pairwise return correlation inside each date's cohort of positions, of any size.
 
-    `cohorts` is (date, symbol); a cohort is a book of open positions, so its size is bounded by the position limit,
-    which is checked: a larger cohort stops the job instead of exploding into pairs. `returns` is
-    (symbol, date, hist) where `hist` holds the last `window` (date, return) pairs up to that date.
+    `cohorts` is (date, symbol), `returns` (symbol, date, bar_no, ret_1). Only the cohorts' own returns are looked up, by (symbol,
+    bar number); they pair up by equality on (cohort date, return date).
     """
-    sized = cohorts.groupBy("date").agg(F.collect_set("symbol").alias("m"))
-    sized = sized.withColumn("m", F.when(
-        F.size("m") > max_members, F.raise_error(F.lit(f"cohort larger than {max_members} positions"))
-    ).otherwise(F.col("m")))
-    pairs = sized.select("date", F.explode("m").alias("a"), F.col("m")).select(
-        "date", "a", F.explode(F.filter("m", lambda x: x > F.col("a"))).alias("b")
-    )
-    h = returns.select("symbol", "date", "hist")
-    both = (
-        pairs.join(h.select(F.col("symbol").alias("a"), "date", F.col("hist").alias("ha")), ["a", "date"])
-        .join(h.select(F.col("symbol").alias("b"), "date", F.col("hist").alias("hb")), ["b", "date"])
-    )
-    matched = both.select("date", "a", "b", "hb", F.inline("ha")).toDF("date", "a", "b", "hb", "d", "x")
-    other = F.get(F.filter("hb", lambda e: e["d"] == F.col("d")), F.lit(0))["x"]
+    r = returns.select("symbol", "date", "bar_no", "ret_1")
+    reach = F.sequence(F.greatest(F.lit(1), F.col("bar_no") - (window - 1)), F.col("bar_no"))
+    members = cohorts.select("date", "symbol").distinct().join(r.select("symbol", "date", "bar_no"), ["symbol", "date"])
+    past = r.filter(F.col("ret_1").isNotNull()).select("symbol", "bar_no", F.col("date").alias("d"), F.col("ret_1").alias("x"))
+    seen = members.withColumn("bar_no", F.explode(reach)).join(past, ["symbol", "bar_no"])
+    a = seen.select("date", "d", F.col("symbol").alias("a"), "x")
+    b = seen.select("date", "d", F.col("symbol").alias("b"), F.col("x").alias("y"))
     corr = (
-        matched.select("date", "a", "b", "x", other.alias("y")).filter(F.col("y").isNotNull() & F.col("x").isNotNull())
+        a.join(b, ["date", "d"]).filter(F.col("a") < F.col("b"))
         .groupBy("date", "a", "b").agg(F.corr("x", "y").alias("c"), F.count("*").alias("n"))
         .filter((F.col("n") >= least) & F.col("c").isNotNull())
     )

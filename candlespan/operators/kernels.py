@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from candlespan.operators.panel import BACK
+from candlespan.operators.panel import BACK, SEG_ROWS, panel
 
 
 @dataclass(frozen=True)
@@ -65,13 +65,27 @@ class Smooth:
     min_periods: int = 1
 
 
+def halo_rows(alpha: float) -> int:
+    """Rows after which a recursive mean has forgotten its start, to double precision."""
+    return 1 if alpha >= 1 else math.ceil(math.log(1e-16) / math.log1p(-alpha))
+
+
+def smoothing_panel(bars: DataFrame, specs: list[Smooth]) -> DataFrame:
+    """A panel whose segments carry as many rows before their own as the slowest of the means needs."""
+    back = max([BACK, *[halo_rows(s.alpha) for s in specs]])
+    return panel(bars, seg_rows=max(SEG_ROWS, back), back=back)
+
+
 def smoothing(specs: list[Smooth]) -> Kernel:
-    """A segment's halo restarts the recursion; its error, (1-alpha)^BACK, must be below double precision."""
-    for s in specs:
-        if s.alpha < 1 and BACK * math.log1p(-s.alpha) > math.log(1e-16):
-            raise ValueError(f"{s.out}: alpha {s.alpha} is too small for the halo")
+    """Recursive means of any period. A segment that starts with the series is exact; a later one restarts the recursion at its halo,
+    which must be long enough for the start to fade below double precision: `smoothing_panel` cuts it so."""
 
     def fn(pdf: pd.DataFrame) -> dict:
+        if pdf["bar_no"].iloc[0] > 1:
+            halo = int(np.argmax(pdf["own"].to_numpy(bool)))
+            for s in specs:
+                if halo < halo_rows(s.alpha):
+                    raise ValueError(f"{s.out}: a halo of {halo} rows is too short for alpha {s.alpha}; use smoothing_panel")
         work = pdf.copy(deep=False)
         out = {}
         for s in specs:

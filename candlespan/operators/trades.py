@@ -122,50 +122,51 @@ def settle(trades: DataFrame, today: DataFrame, s: Settings = Settings()) -> Dat
     return rows.withColumns({k: F.when(closed, v) for k, v in pnl.items()}).drop("_open", "_high", "_low", "_close", "_stop")
 
 
-def holding_bars(trades: DataFrame, bars: DataFrame, hold_days: int, include_entry: bool) -> DataFrame:
+def holding_bars(trades: DataFrame, bars: DataFrame, include_entry: bool, as_of=None) -> DataFrame:
     """Range join of trades and the bars of their holding period, as an equality join on (symbol, date bucket).
 
-    A trade is entered into the few buckets its period touches, so the join never compares all dates of a symbol.
+    A trade is held until its exit; an open one until `as_of` (a date column of the trades or a literal), or else the newest bar.
+    It is entered into the buckets its period touches, so the join never compares all dates of a symbol.
     """
     epoch = F.lit("1970-01-01").cast("date")
 
     def cell(c):
         return F.floor(F.datediff(c, epoch) / BUCKET_DAYS)
 
-    until = F.least(F.coalesce("exit_date", F.date_add("entry_date", hold_days)), F.date_add("entry_date", hold_days))
-    t = trades.select("symbol", "id", "entry_date", "entry_price", "stop_loss", until.alias("until"))
-    t = t.withColumn("_b", F.explode(F.sequence(cell("entry_date"), cell("until"))))
+    newest = bars.agg(F.max("date")).scalar() if as_of is None else as_of
+    t = trades.select("symbol", "id", "entry_date", "entry_price", "stop_loss", F.coalesce("exit_date", newest).alias("until"))
+    t = t.filter(F.col("until") >= F.col("entry_date")).withColumn("_b", F.explode(F.sequence(cell("entry_date"), cell("until"))))
     b = bars.select("symbol", "date", "high", "low", "close").withColumn("_b", cell("date"))
     lower = F.col("date") >= F.col("entry_date") if include_entry else F.col("date") > F.col("entry_date")
     return t.join(b, ["symbol", "_b"]).filter(lower & (F.col("date") <= F.col("until")))
 
 
-def excursions(trades: DataFrame, bars: DataFrame, hold_days: int = 60) -> DataFrame:
+def excursions(trades: DataFrame, bars: DataFrame, as_of=None) -> DataFrame:
     """Best and worst point after the entry day in units of risk, never on the wrong side of zero."""
     risk = F.abs(F.col("entry_price") - F.col("stop_loss"))
-    rows = holding_bars(trades, bars, hold_days, False).filter((risk > 0) & (F.col("entry_price") > 0))
+    rows = holding_bars(trades, bars, False, as_of).filter((risk > 0) & (F.col("entry_price") > 0))
     return rows.groupBy("id").agg(
         F.greatest(F.lit(0.0), F.max((F.col("high") - F.col("entry_price")) / risk)).alias("max_favorable"),
         F.least(F.lit(0.0), F.min((F.col("low") - F.col("entry_price")) / risk)).alias("max_adverse"),
     )
 
 
-def daily_progress(trades: DataFrame, bars: DataFrame, hold_days: int = 60) -> DataFrame:
+def daily_progress(trades: DataFrame, bars: DataFrame, as_of=None) -> DataFrame:
     """Days since entry and each day's own move in percent, as an array and as 'D1:1.0%,D2:-0.3%'.
 
     The entry bar is D0 and only carries the entry price as the first baseline.
     """
-    rows = holding_bars(trades, bars, hold_days, True).filter(F.col("close").isNotNull() & (F.col("entry_price") > 0))
+    rows = holding_bars(trades, bars, True, as_of).filter(F.col("close").isNotNull() & (F.col("entry_price") > 0))
     days = rows.groupBy("id").agg(
         F.first("entry_price").alias("e"), F.sort_array(F.collect_list(F.struct("date", "close"))).alias("d")
     )
     base = F.transform("d", lambda x, i: F.when(i <= 1, F.col("e")).otherwise(F.element_at("d", i)["close"]))
-    moves = F.slice(F.zip_with("d", base, lambda x, b: (x["close"] - b) / b * 100.0), 2, 1 << 20)
+    moves = F.slice(F.zip_with("d", base, lambda x, b: (x["close"] - b) / b * 100.0), F.lit(2), F.greatest(F.size("d") - 1, F.lit(0)))
     rows = days.select("id", moves.alias("moves"))
     return rows.select(
         "id", F.concat(F.lit("D"), F.size("moves").cast("string")).alias("days_in_trade"), "moves",
         F.when(F.size("moves") > 0, F.array_join(F.transform(
-            "moves", lambda m, i: F.concat(F.lit("D"), (i + 1).cast("string"), F.lit(":"), F.format_string("%.1f", m), F.lit("%"))
+            "moves", lambda m, i: F.concat(F.lit("D"), (i + 1).cast("string"), F.lit(":"), F.when((m < 0) & (F.bround(m, 1) == 0), "-0.0").otherwise(F.format_string("%.1f", F.bround(m, 1))), F.lit("%"))
         ), ",")).alias("daily_moves"),
     )
 

@@ -10,7 +10,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlespan.config import Regime, Settings, Thresholds
+from candlespan.config import PATTERN_ORDER, Regime, Settings, Thresholds
 from candlespan.functions import scoring as M
 from candlespan.functions import session_clock as C
 from candlespan.functions import sizing as Z
@@ -25,7 +25,7 @@ from candlespan.operators import ranking as R
 from candlespan.operators import reports as A
 from candlespan.operators import trades as TR
 from candlespan.operators.calendar import business_days_between, calendar, last_completed_session, monday_after, volume_profile
-from candlespan.operators.kernels import Smooth, reseeded, run_kernels, smoothing
+from candlespan.operators.kernels import Smooth, reseeded, run_kernels, smoothing, smoothing_panel
 from candlespan.operators.panel import own_rows, panel, series, trailing, warm
 from candlespan.operators.stage import with_stage
 from candlespan.plans import scan as S
@@ -495,7 +495,7 @@ def j3_events_in_reach(spark, d):
 @query
 def j4_trade_bars(spark, d):
     t = Tables(spark, d)
-    rows = TR.holding_bars(t.trades(), t.bars(), 60, True)
+    rows = TR.holding_bars(t.trades(), t.bars(), True)
     return tidy(rows.groupBy("symbol", "entry_date").agg(F.count("*").alias("n"), F.max("high").alias("high"), F.min("low").alias("low")))
 
 
@@ -517,7 +517,8 @@ def j6_sector_lookup(spark, d):
 def j7_market_wide(spark, d):
     t = Tables(spark, d)
     pre = S.prepass(t.bars())
-    return tidy(pre.join(X.breadth(pre), "date", "left").select("symbol", "date", "close", "breadth_pct"))
+    daily = X.breadth(pre).join(_moods(t).select("date", "vix"), "date", "full").join(_regime_rows(t).select("date", "regime", "risk_multiplier"), "date", "full")
+    return tidy(pre.join(daily, "date", "left").select("symbol", "date", "close", "breadth_pct", "vix", "regime", "risk_multiplier"))
 
 
 @query
@@ -528,10 +529,8 @@ def j8_semi_anti(spark, d):
     return tidy(t.bars().join(fresh, "symbol", "left_semi").join(broken, "symbol", "left_anti").select("symbol", "date", "close"))
 
 
-def _histories(t: Tables) -> DataFrame:
-    p = t.panel().withColumn("ret_1", I.daily_return())
-    return own_rows(p.withColumn("hist", F.collect_list(
-        F.when(F.col("ret_1").isNotNull(), F.struct(F.col("date").alias("d"), F.col("ret_1").alias("x")))).over(trailing(63))))
+def _returns(t: Tables) -> DataFrame:
+    return own_rows(t.panel().withColumn("ret_1", I.daily_return())).select("symbol", "date", "bar_no", "ret_1")
 
 
 def _candidates(t: Tables) -> DataFrame:
@@ -646,7 +645,7 @@ def a11_sector_trends(spark, d):
 @query
 def a12_mean_correlation(spark, d):
     t = Tables(spark, d)
-    return tidy(X.mean_abs_correlation(_histories(t), _cohorts(t)))
+    return tidy(X.mean_abs_correlation(_returns(t), _candidates(t).select("date", "symbol")))
 
 
 @query
@@ -733,7 +732,8 @@ def w1_sma(spark, d):
 
 @query
 def w2_ema(spark, d):
-    return _show(run_kernels(Tables(spark, d).panel(), [smoothing([I.ema_spec("ema_12", "close", 12)])]), "ema_12")
+    specs = [I.ema_spec("ema_12", "close", 12), I.ema_spec("ema_200", "close", 200)]
+    return _show(run_kernels(smoothing_panel(Tables(spark, d).bars(), specs), [smoothing(specs)]), "ema_12", "ema_200")
 
 
 @query
@@ -743,9 +743,10 @@ def w3_true_range(spark, d):
 
 @query
 def w4_atr(spark, d):
-    p = Tables(spark, d).panel().withColumn("tr", I.true_range())
-    p = run_kernels(p, [smoothing([*I.atr_specs(14, 50), Smooth("atr_raw", "tr", 1 / 14)])])
-    return _show(p.withColumn("atr_14_seeded_60", warm(reseeded("atr_raw", "tr", 1 / 14, 60), 14)), "atr_14", "atr_50", "atr_14_seeded_60")
+    specs = [*I.atr_specs(14, 50, 100), Smooth("atr_raw", "tr", 1 / 14)]
+    p = run_kernels(smoothing_panel(Tables(spark, d).bars(), specs).withColumn("tr", I.true_range()), [smoothing(specs)])
+    p = p.withColumn("atr_14_seeded_60", warm(reseeded("atr_raw", "tr", 1 / 14, 60), 14))
+    return _show(p, "atr_14", "atr_50", "atr_100", "atr_14_seeded_60")
 
 
 @query
@@ -855,7 +856,7 @@ def w22_daily_progress(spark, d):
     tr = t.trades()
     rows = TR.daily_progress(tr, t.bars()).join(tr.select("id", "symbol", "entry_date"), "id")
     total = F.aggregate("moves", F.lit(0.0), lambda s, m: s + m)
-    return tidy(rows.select("symbol", "entry_date", "days_in_trade", F.get("moves", F.lit(0)).alias("first_move"), total.alias("sum_moves")))
+    return tidy(rows.select("symbol", "entry_date", "days_in_trade", F.get("moves", F.lit(0)).alias("first_move"), total.alias("sum_moves"), "daily_moves"))
 
 
 @query
@@ -880,13 +881,9 @@ def r2_relative_strength(spark, d):
     return tidy(rows.select("symbol", "date", X.relative_strength(F.col("ret_63"), F.col("bench")).alias("rs")))
 
 
-#: Patterns whose definition SQL can follow on whole tables; the searches have their own queries.
-PLAIN = ["fifty_two_week_high", "nr7", "inside_bar", "bollinger_squeeze"]
-
-
 @query
 def r3_best_pattern(spark, d):
-    p = P.with_patterns(Tables(spark, d).panel(), PLAIN).withColumn("best", P.best_pattern(PLAIN))
+    p = P.with_patterns(Tables(spark, d).panel()).withColumn("best", P.best_pattern())
     return _show(p.filter("best is not null"), "best.pattern", "best.confidence", "best.breakout_level")
 
 
@@ -969,7 +966,7 @@ def p9_flag(spark, d):
 @query
 def p10_detect_all(spark, d):
     """All enabled patterns as rows; names that do not exist are ignored."""
-    names = ["unknown_pattern", *PLAIN]
+    names = ["unknown_pattern", *PATTERN_ORDER]
     return tidy(P.pattern_rows(P.with_patterns(Tables(spark, d).panel(), names), names).select("symbol", "date", "pattern", "confidence"))
 
 
@@ -1075,9 +1072,12 @@ def m11_sector_multiplier(spark, d):
 @query
 def m12_correlated_size(spark, d):
     t = Tables(spark, d)
-    corr = X.mean_abs_correlation(_histories(t), _cohorts(t))
-    rows = t.trades().join(corr, F.col("entry_date") == F.col("date"))
-    return tidy(rows.select("symbol", "entry_date", M.correlated_size(F.col("shares"), F.col("avg_correlation"), F.lit(0.75)).alias("size")))
+    corr = X.mean_abs_correlation(_returns(t), _cohorts(t))
+    held = _occupied(t).select(F.col("date").alias("entry_date"), "sector", "n_open")
+    rows = t.trades().join(corr, F.col("entry_date") == F.col("date")).join(t.universe().select("symbol", "sector"), "symbol", "left")
+    rows = rows.join(held, ["entry_date", "sector"], "left")
+    size = M.correlated_size(F.col("shares"), F.col("avg_correlation"), M.sector_multiplier(F.col("n_open")))
+    return tidy(rows.select("symbol", "entry_date", size.alias("size")))
 
 
 @query
@@ -1189,7 +1189,7 @@ def k2_universe_order(spark, d):
 @query
 def k4_top_matches(spark, d):
     """Three most confident matches per symbol."""
-    rows = P.pattern_rows(P.with_patterns(Tables(spark, d).panel(), PLAIN), PLAIN)
+    rows = P.pattern_rows(P.with_patterns(Tables(spark, d).panel()))
     best = F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("c"), "bar_no", "pattern")))
     part = rows.groupBy("symbol", F.floor(F.col("bar_no") / 64).alias("b")).agg(F.slice(best, 1, 3).alias("t"))
     top = part.groupBy("symbol").agg(F.slice(F.array_sort(F.flatten(F.collect_list("t"))), 1, 3).alias("t"))
@@ -1200,7 +1200,7 @@ def k4_top_matches(spark, d):
 def u1_union_aligned(spark, d):
     t = Tables(spark, d)
     types = {"symbol": "string", "date": "date", "close": "double", "note": "string"}
-    a = T.align(t.bars().filter("bar_no <= 3"), list(types), types)
+    a = T.align(t.bars(), list(types), types)
     e = T.align(t.events_cal().withColumn("note", F.lit("event")), list(types), types)
     return tidy(a.unionByName(e))
 
@@ -1323,7 +1323,7 @@ def x5_stream_bars(spark, d):
 @query
 def x6_stream_upsert(spark, d):
     b = Tables(spark, d).bars()
-    return tidy(ST.stream_upsert(spark, b.filter(F.col("bar_no") <= F.col("n_bars") - 5), _late(b)).select("symbol", "date", "close", "volume"))
+    return tidy(ST.stream_upsert(spark, b.filter(F.col("bar_no") <= F.col("n_bars") - 5), _late(b).withColumn("arrival", F.unix_date("date").cast("long")), batches=3).select("symbol", "date", "close", "volume"))
 
 
 @query

@@ -35,10 +35,13 @@ def build_session(app: str = "candlespan", master: str | None = None, shuffle_pa
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new path on the storage the cluster shares.
 
-    `spark.checkpoint.dir` names that storage. Only where it is unset (single-machine tests) is a temporary
-    folder used, since executors on other machines could not read one.
+    `spark.checkpoint.dir` names that storage. Only where it is unset and everything runs on one machine is a temporary
+    folder used; executors elsewhere could not read one, so on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="candlespan-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -65,18 +65,21 @@ def ticker(s: Column, suffix: str = ".NS") -> Column:
 
 
 def universe_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Universe file with either header style; blank symbols are skipped."""
+    """Universe file with either header style; blank symbols are skipped. A file without any symbol is an error."""
     raw = spark.read.option("header", True).csv(path)
 
     def first(*names):
         cols = [F.nullif(F.col(f"`{n}`"), F.lit("")) for n in names if n in raw.columns]
         return F.trim(F.coalesce(*cols, F.lit("")))
 
-    return raw.select(
+    rows = raw.select(
         first("Symbol", "symbol").alias("symbol"), first("Company Name", "company_name").alias("company_name"),
         first("Industry", "sector").alias("sector"), first("Industry", "industry").alias("industry"),
         F.lit(None).cast("double").alias("market_cap_cr"),
     ).filter(F.col("symbol") != "")
+    if rows.isEmpty():
+        raise ValueError(f"no symbols in {path}")
+    return rows
 
 
 def events_csv(spark: SparkSession, path: str, as_of: Column, back_days: int = 60) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from typing import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,27 @@ def _finish(writer, spark: SparkSession) -> None:
     writer.option("checkpointLocation", scratch_dir(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
 
 
+def _open(spark: SparkSession, feed: DataFrame, path: str) -> DataFrame:
+    """A stream over a folder that `_in_parts` will fill with rows of `feed`."""
+    feed.limit(0).write.parquet(path)
+    return spark.readStream.schema(feed.schema).parquet(path)
+
+
+def _in_parts(spark: SparkSession, feed: DataFrame, by: str, parts: int, path: str, writer) -> None:
+    """Feeds a stream over `path` in parts of ascending `by`: each part is written and worked off before the next one.
+
+    The query is started anew for every part with the same checkpoint, so state is read back between them.
+    """
+    place = scratch_dir(spark, "stream")
+    number = F.col(by).cast("double") if dict(feed.dtypes)[by] != "date" else F.unix_date(by).cast("double")
+    cuts = feed.select(number.alias("x")).approxQuantile("x", [k / parts for k in range(1, parts)], 0.01) if parts > 1 else []
+    edges = [None, *sorted(set(cuts)), None]
+    for low, high in zip(edges, edges[1:]):
+        part = feed if low is None else feed.filter(number > low)
+        (part if high is None else part.filter(number <= high)).write.mode("append").parquet(path)
+        writer.option("checkpointLocation", place).trigger(availableNow=True).start().awaitTermination()
+
+
 def tick_bars(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Tumbling OHLCV bars of an event stream; ticks later than `late` are dropped."""
     at = F.struct("ts", "event_id")
@@ -65,16 +87,27 @@ def stream_event_bars(spark: SparkSession, folder: str, width: str = "1 hour") -
     return _newest(spark, out, ["symbol", "ts"])
 
 
-def stream_upsert(spark: SparkSession, table: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Applies a stream of re-sent bars to a table. Re-running a batch writes the same version, so it is idempotent."""
-    stream = _stage(spark, incoming, "feed")
-    out = scratch_dir(spark, "late")
+def stream_upsert(spark: SparkSession, table: DataFrame, incoming: DataFrame, batches: int = 1) -> DataFrame:
+    """Applies a stream of re-sent bars to a table. Re-running a batch writes the same version, so it is idempotent.
+
+    Of bars sent again, the one with the greatest `arrival` wins, in one batch or over several; ties, and feeds without that
+    column, go by the values, so every run picks the same row. The feed is cut into `batches` by arrival.
+    """
+    keys, body = ["symbol", "date"], [c for c in incoming.columns if c not in ("symbol", "date", "arrival")]
+    known = "arrival" in incoming.columns
+    feed = incoming if known else incoming.withColumn("arrival", F.lit(0).cast("long"))
+    path, out = scratch_dir(spark, "feed"), scratch_dir(spark, "late")
 
     def save(batch: DataFrame, version: int) -> None:
-        batch.dropDuplicates(["symbol", "date"]).write.mode("overwrite").parquet(f"{out}/version={version}")
+        row = F.struct("arrival", *body)
+        newest = batch.groupBy(*keys).agg(F.max(row).alias("r")).select(*keys, "r.*")
+        newest.write.mode("overwrite").parquet(f"{out}/version={version}")
 
-    _finish(stream.writeStream.foreachBatch(save), spark)
-    return upsert(table, _newest(spark, out, ["symbol", "date"]).select(*incoming.columns), ["symbol", "date"])
+    stream = _open(spark, feed, path)
+    _in_parts(spark, feed, "arrival", batches, path, stream.writeStream.foreachBatch(save))
+    rows = spark.read.parquet(out)
+    late = rows.groupBy(*keys).agg(F.max(F.struct("arrival", *body)).alias("r")).select(*keys, *[f"r.{c}" for c in body])
+    return upsert(table, late.select(*[c for c in incoming.columns if c != "arrival"]), keys)
 
 
 def stream_confirm(spark: SparkSession, live: DataFrame, watch: DataFrame, least: float = 1.5) -> DataFrame:
@@ -92,45 +125,73 @@ TRACK_STATE = "state string, stop double"
 TRACK_OUT = "id string, state string, date date, price double"
 
 
+def _first(hit: np.ndarray, after: int = 0) -> int:
+    """The first true position from `after` on; the length if there is none."""
+    found = np.flatnonzero(hit[after:])
+    return after + int(found[0]) if len(found) else len(hit)
+
+
 def _tracker(hold_days: int):
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        """Moves one trade through its new bars: stop, target 2, target 1 (then the stop is the entry), time exit."""
-        now, stop = state.get if state.exists else ("ENTERED", None)
-        rows, out = pd.concat(list(batches)).sort_values("date"), []
-        for r in rows.itertuples(index=False):
-            stop = r.stop_loss if stop is None else stop
-            if now not in ("ENTERED", "TARGET_1_HIT") or r.date <= r.entry_date:
-                continue
-            if r.low <= stop:
-                now, price = "STOPPED_OUT", min(stop, r.open)
-            elif r.high >= r.target_2:
-                now, price = "TARGET_HIT", r.target_2
-            elif now == "ENTERED" and r.high >= r.target_1:
-                now, price, stop = "TARGET_1_HIT", r.target_1, r.entry_price
-            elif (r.date - r.entry_date).days >= hold_days:
-                now, price = "TIME_EXIT", r.close
-            else:
-                continue
-            out.append((key[0], now, r.date, float(price)))
-        state.update((now, float(stop)))
-        yield pd.DataFrame(out, columns=["id", "state", "date", "price"])
+        """Moves one trade through its new bars: stop, target 2, target 1 (then the stop is the entry), time exit.
+
+        A trade that ended keeps a mark until its last bar has passed, so that further bars do not start it anew; then the
+        time-out drops its state.
+        """
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches)).sort_values("date", ignore_index=True)
+        entry, target_1, target_2 = (float(rows[c].iloc[0]) for c in ("entry_price", "target_1", "target_2"))
+        now, stop = state.get if state.exists else ("ENTERED", float(rows["stop_loss"].iloc[0]))
+        low, high = rows["low"].to_numpy(float), rows["high"].to_numpy(float)
+        due, out, at = rows["held"].to_numpy() >= hold_days, [], 0
+        if now == "ENTERED":
+            hit = _first(high >= target_1)
+            if hit < len(rows) and hit < min(_first(low <= stop), _first(high >= target_2)) and hit <= _first(due):
+                out.append((key[0], "TARGET_1_HIT", rows["date"].iloc[hit], target_1))
+                now, stop, at = "TARGET_1_HIT", entry, hit + 1
+        if now in ("ENTERED", "TARGET_1_HIT"):
+            ends = [_first(low <= stop, at), _first(high >= target_2, at), _first(due, at)]
+            end = min(ends)
+            if end < len(rows):
+                now = ("STOPPED_OUT", "TARGET_HIT", "TIME_EXIT")[ends.index(end)]
+                price = {"STOPPED_OUT": min(stop, rows["open"].iloc[end]), "TARGET_HIT": target_2, "TIME_EXIT": rows["close"].iloc[end]}[now]
+                out.append((key[0], now, rows["date"].iloc[end], float(price)))
+        state.update((now, stop))
+        limit = int(rows["limit"].iloc[0].timestamp() * 1000)
+        state.setTimeoutTimestamp(max(limit, state.getCurrentWatermarkMs() + 1))
+        if out:
+            yield pd.DataFrame(out, columns=["id", "state", "date", "price"])
 
     return step
 
 
-def track_trades(spark: SparkSession, trades: DataFrame, bars: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """Transitions of every trade as its bars arrive. State is one small row per trade, keyed by trade id."""
+def track_trades(spark: SparkSession, trades: DataFrame, bars: DataFrame, s: Settings = Settings(), batches: int = 3) -> DataFrame:
+    """Transitions of every trade as its bars arrive, in `batches` parts by date. State is one small row per trade.
+
+    A trade ends at the latest with the second bar from its holding limit on (the first one may still be its first target), so
+    that bar's date is its last; the state is dropped once the event time has passed it.
+    """
     from candlespan.operators.trades import holding_bars
 
     hold = s.paper.hold_max_days
     base = trades.select("id", "symbol", "entry_date", "entry_price", "stop_loss", "target_1", "target_2", F.lit(None).cast("date").alias("exit_date"))
-    # a few more days than the limit, so that a limit on a closed day still meets the next bar
-    near = holding_bars(base, bars, hold + 14, False).select("id", "date", "high", "low", "close")
+    due = base.join(bars.select("symbol", "date"), "symbol").filter(F.col("date") >= F.date_add("entry_date", hold))
+    last = due.groupBy("id").agg(F.min("date").alias("one"))
+    two = due.join(last, "id").filter(F.col("date") > F.col("one")).groupBy("id").agg(F.min("date").alias("two"))
+    ends = last.join(two, "id", "left").select("id", F.coalesce("two", "one").alias("exit_date"))
+    whole = base.drop("exit_date").join(ends, "id", "left")
+    near = holding_bars(whole, bars, False).select("id", "date", "high", "low", "close")
     opens = bars.select("symbol", "date", "open")
-    feed = near.join(base, "id").join(opens, ["symbol", "date"]).drop("exit_date", "symbol")
-    stream = _stage(spark, feed, "marks", "id")
-    out = scratch_dir(spark, "moves")
-    moves = stream.groupBy("id").applyInPandasWithState(_tracker(hold), TRACK_OUT, TRACK_STATE, "append", "NoTimeout")
-    _finish(moves.writeStream.format("parquet").option("path", out).outputMode("append"), spark)
+    feed = near.join(whole, "id").join(opens, ["symbol", "date"]).select(
+        "id", "date", "open", "high", "low", "close", "entry_price", "stop_loss", "target_1", "target_2",
+        F.datediff("date", "entry_date").alias("held"), F.col("date").cast("timestamp").alias("ts"),
+        F.coalesce("exit_date", F.date_add("date", hold)).cast("timestamp").alias("limit"),
+    )
+    path, out = scratch_dir(spark, "marks"), scratch_dir(spark, "moves")
+    stream = _open(spark, feed, path).withWatermark("ts", "1 day")
+    moves = stream.groupBy("id").applyInPandasWithState(_tracker(hold), TRACK_OUT, TRACK_STATE, "append", "EventTimeTimeout")
+    _in_parts(spark, feed, "date", batches, path, moves.writeStream.format("parquet").option("path", out).outputMode("append"))
     got = spark.read.schema(moves.schema).parquet(out)
     return got.join(trades.select("id", "symbol", "entry_date"), "id").select("symbol", "entry_date", "state", "date", "price")

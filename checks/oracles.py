@@ -10,6 +10,7 @@ import re
 
 CTES: dict[str, str] = {}
 ORACLES: dict[str, str] = {}
+BODIES: dict[str, str] = {}
 
 
 def cte(name: str, sql: str) -> None:
@@ -41,6 +42,7 @@ def oracle(name: str, cols: str, body: str) -> None:
             "i": f"CAST({n} AS BIGINT) AS {n}", "b": f"CAST({n} AS BOOLEAN) AS {n}",
             "t": f"strftime({n}, '%Y-%m-%d %H:%M:%S') AS {n}",
         }[kind])
+    BODIES[name] = body
     used = _order(body)
     head = "WITH RECURSIVE " + ", ".join(f"{n} AS ({CTES[n]})" for n in used) + " " if used else ""
     ORACLES[name] = f"{head}SELECT {', '.join(out)} FROM ({body}) AS result"
@@ -185,7 +187,7 @@ cte("trades", """SELECT l.*, l.symbol || '-' || l.entry_no AS id, (entry_price -
 cte("live", """SELECT id, symbol, entry_no, entry_date, entry_price, stop_loss, target_1, target_2, shares, volume_ratio, shut, CASE WHEN shut THEN state WHEN volume_ratio > 1 THEN 'TARGET_1_HIT' ELSE 'ENTERED' END AS state,
  CASE WHEN shut THEN exit_date END AS exit_date, CASE WHEN shut THEN pnl_r END AS pnl_r, CASE WHEN shut THEN pnl_inr END AS pnl_inr, CASE WHEN shut THEN gross_pnl_inr END AS gross_pnl_inr,
  CASE WHEN shut THEN costs_inr END AS costs_inr, CASE WHEN shut THEN days_held END AS days_held FROM (SELECT *, exit_date <= DATE '1999-06-30' AS shut FROM trades WHERE entry_date <= DATE '1999-06-30')""")
-cte("tbars", "SELECT t.*, b.date AS bdate, b.high AS bh, b.low AS bl, b.close AS bc FROM trades t JOIN bars b ON b.symbol = t.symbol AND b.date >= t.entry_date AND b.date <= least(t.exit_date, t.entry_date + 60)")
+cte("tbars", "SELECT t.*, b.date AS bdate, b.high AS bh, b.low AS bl, b.close AS bc FROM trades t JOIN bars b ON b.symbol = t.symbol AND b.date >= t.entry_date AND b.date <= t.exit_date")
 PERF = """count(pnl_r) AS n, count(*) FILTER (WHERE pnl_r > 0) AS wins, count(*) FILTER (WHERE pnl_r <= 0) AS losses,
  CASE WHEN count(pnl_r) > 0 THEN 100.0 * count(*) FILTER (WHERE pnl_r > 0) / count(pnl_r) ELSE 0 END AS win_rate, coalesce(avg(pnl_r), 0) AS avg_r,
  CASE WHEN coalesce(sum(pnl_inr) FILTER (WHERE pnl_inr < 0), 0) < 0 THEN coalesce(sum(pnl_inr) FILTER (WHERE pnl_inr > 0), 0) / -sum(pnl_inr) FILTER (WHERE pnl_inr < 0)
@@ -212,10 +214,12 @@ allocation("alloc", "cand0", "occ", 8, 3)
 allocation("alloc1", "cand1", "occ0", 5, 2)
 ALLOC = """SELECT *, surv AND before_ < free_ AS accepted, CASE WHEN surv AND before_ < free_ THEN 'taken' WHEN before_ >= free_ THEN 'position_limit' ELSE 'sector_limit' END AS reason FROM {0}"""
 cte("cohort", "SELECT date, symbol FROM alloc WHERE surv AND before_ < free_")
-cte("corrs", """SELECT date, avg(abs(c)) AS m FROM (SELECT a.date, a.symbol AS s1, b.symbol AS s2, corr(x.ret_1, y.ret_1) AS c FROM cohort a JOIN cohort b ON a.date = b.date AND a.symbol < b.symbol
+CORRS = """SELECT date, avg(abs(c)) AS m FROM (SELECT a.date, a.symbol AS s1, b.symbol AS s2, corr(x.ret_1, y.ret_1) AS c FROM {0} a JOIN {0} b ON a.date = b.date AND a.symbol < b.symbol
  JOIN base ab ON ab.symbol = a.symbol AND ab.date = a.date JOIN base bb ON bb.symbol = b.symbol AND bb.date = b.date
  JOIN base x ON x.symbol = a.symbol AND x.bar_no BETWEEN ab.bar_no - 62 AND ab.bar_no JOIN base y ON y.symbol = b.symbol AND y.date = x.date AND y.bar_no BETWEEN bb.bar_no - 62 AND bb.bar_no
- WHERE x.ret_1 IS NOT NULL AND y.ret_1 IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) >= 10) WHERE c IS NOT NULL AND NOT isnan(c) GROUP BY date""")
+ WHERE x.ret_1 IS NOT NULL AND y.ret_1 IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) >= 10) WHERE c IS NOT NULL AND NOT isnan(c) GROUP BY date"""
+cte("corrs", CORRS.format("cohort"))
+cte("corrall", CORRS.format("cand"))
 cte("avgcorr", "SELECT d.date, coalesce(c.m, 0) AS avg_correlation FROM (SELECT DISTINCT date FROM cohort) d LEFT JOIN corrs c USING (date)")
 cte("late", "SELECT symbol, date, close + 1 AS close, volume FROM bars WHERE bar_no > n_bars - 10")
 cte("cached", "SELECT * FROM bars WHERE bar_no <= n_bars - 4")
@@ -302,7 +306,7 @@ oracle("j2_overlap", "symbol date:d close_old:f volume_old:i close_new:f volume_
 oracle("j4_trade_bars", "symbol entry_date:d n:i high:f low:f", "SELECT symbol, entry_date, count(*) AS n, max(bh) AS high, min(bl) AS low FROM tbars GROUP BY symbol, entry_date")
 oracle("j5_last_bar", "symbol date:d close:f", "SELECT * FROM bars WHERE bar_no = n_bars")
 oracle("j6_sector_lookup", "sector n:i", "SELECT coalesce(u.sector, 'unknown') AS sector, count(*) AS n FROM trades t LEFT JOIN (SELECT * FROM uni WHERE sector <> 'EUROPE') u USING (symbol) GROUP BY 1")
-oracle("j7_market_wide", "symbol date:d close:f breadth_pct:f", "SELECT * FROM bars JOIN breadth USING (date)")
+oracle("j7_market_wide", "symbol date:d close:f breadth_pct:f vix:f regime risk_multiplier:f", "SELECT b.symbol, b.date, b.close, h.breadth_pct, m.vix, r.regime, r.risk_multiplier FROM bars b LEFT JOIN breadth h USING (date) LEFT JOIN moods m USING (date) LEFT JOIN reg r USING (date)")
 oracle("j8_semi_anti", "symbol date:d close:f", "SELECT * FROM bars b WHERE symbol IN (SELECT symbol FROM bars GROUP BY symbol HAVING max(date) >= DATE '2001-10-15') AND symbol NOT IN (SELECT symbol FROM bad4)")
 oracle("j9_pair_join", "date:d pairs:i", "SELECT a.date, count(*) AS pairs FROM cohort a JOIN cohort b ON a.date = b.date AND a.symbol < b.symbol GROUP BY a.date")
 oracle("j10_precedence_merge", "date:d sector sector_trend", """SELECT coalesce(r.date, p.date) AS date, coalesce(r.index_symbol, p.sector) AS sector, coalesce(r.trend, p.sector_trend) AS sector_trend
@@ -334,7 +338,7 @@ oracle("a8_full_report", f"section grp bucket {PCOLS}", f"""SELECT CASE scope WH
 oracle("a9_historic", "n:i wins:i losses:i win_rate:f avg_r:f profit_factor:f avg_days_held:f net_inr:f", f"SELECT {PERF} FROM live")
 oracle("a10_breadth", "date:d breadth_pct:f", "SELECT * FROM breadth")
 oracle("a11_sector_trends", "date:d sector median_return:f sector_trend", "SELECT * FROM secmed")
-oracle("a12_mean_correlation", "date:d avg_correlation:f", "SELECT * FROM avgcorr")
+oracle("a12_mean_correlation", "date:d avg_correlation:f", "SELECT d.date, coalesce(c.m, 0) AS avg_correlation FROM (SELECT DISTINCT date FROM cand) d LEFT JOIN corrall c USING (date)")
 oracle("a13_sector_exposure", "sector n_open:i", "SELECT CASE WHEN sector = 'AFRICA' THEN 'unknown' ELSE sector END AS sector, count(*) AS n_open FROM live JOIN uni USING (symbol) WHERE NOT shut GROUP BY 1")
 oracle("a14_portfolio_health", "date:d daily_pct:f monthly_pct:f n_open:i reasons healthy:b", """SELECT *, array_to_string(list_filter([CASE WHEN daily_pct < -3 THEN 'daily_loss' END, CASE WHEN monthly_pct < -10 THEN 'monthly_loss' END,
  CASE WHEN n_open >= 8 THEN 'position_limit' END], lambda x: x IS NOT NULL), ';') AS reasons, NOT coalesce(daily_pct < -3, false) AND NOT coalesce(monthly_pct < -10, false) AND n_open < 8 AS healthy FROM (
@@ -362,9 +366,9 @@ oracle("a19_latest", "symbol latest:d age_days:i", "SELECT symbol, max(date) AS
 # ── indicators ───────────────────────────────────────────────────────────
 
 oracle("w1_sma", "symbol date:d sma_50:f sma_200:f", "SELECT * FROM base")
-oracle("w2_ema", "symbol date:d ema_12:f", f"SELECT symbol, date, {ema('close', '(2.0/13)')} AS ema_12 FROM bars")
+oracle("w2_ema", "symbol date:d ema_12:f ema_200:f", f"SELECT symbol, date, {ema('close', '(2.0/13)')} AS ema_12, {ema('close', '(2.0/201)')} AS ema_200 FROM bars")
 oracle("w3_true_range", "symbol date:d tr:f", "SELECT * FROM base")
-oracle("w4_atr", "symbol date:d atr_14:f atr_50:f atr_14_seeded_60:f", f"""SELECT symbol, date, atr_14, atr_50, CASE WHEN bar_no >= 14 THEN e - coalesce(lag(e - tr, 59) OVER ({W}), 0) * pow(13.0/14, 59) END AS atr_14_seeded_60
+oracle("w4_atr", "symbol date:d atr_14:f atr_50:f atr_100:f atr_14_seeded_60:f", f"""SELECT symbol, date, atr_14, atr_50, {ema('tr', '(1.0/100)', 1, 100)} AS atr_100, CASE WHEN bar_no >= 14 THEN e - coalesce(lag(e - tr, 59) OVER ({W}), 0) * pow(13.0/14, 59) END AS atr_14_seeded_60
  FROM (SELECT *, {ema('tr', '(1.0/14)')} AS e FROM atrs)""")
 cte("gl", f"""SELECT *, CASE WHEN bar_no > 1 THEN greatest(close - pc, 0) END AS gain, CASE WHEN bar_no > 1 THEN greatest(pc - close, 0) END AS loss, high - lag(high) OVER ({W}) AS up, lag(low) OVER ({W}) - low AS dn FROM base""")
 oracle("w5_rsi", "symbol date:d rsi:f", f"""SELECT symbol, date, CASE WHEN al = 0 THEN 100 ELSE 100 - 100 / (1 + ag / al) END AS rsi FROM (SELECT *, {ema('gain', '(1.0/14)', 2, 15)} AS ag, {ema('loss', '(1.0/14)', 2, 15)} AS al FROM gl)""")
@@ -401,7 +405,7 @@ oracle("w19_pivot_strength", "symbol date:d kind price:f strength:i", """SELECT
  AND CASE p.kind WHEN 'HIGH' THEN b.high >= p.price ELSE b.low <= p.price END GROUP BY p.symbol, p.date, p.kind, p.price, p.bar_no, p.n_bars""")
 oracle("w20_last_pivots", "symbol kind back:i date:d price:f", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol, kind ORDER BY bar_no DESC) AS back FROM piv5_rows) WHERE back <= 3")
 oracle("w21_confirmed_pivots", "symbol date:d kind confirmed_on:d", "SELECT * FROM piv3_rows")
-oracle("w22_daily_progress", "symbol entry_date:d days_in_trade first_move:f sum_moves:f", """SELECT symbol, entry_date, 'D' || (count(*) - 1) AS days_in_trade, max(mv) FILTER (WHERE k = 2) AS first_move, coalesce(sum(mv) FILTER (WHERE k > 1), 0) AS sum_moves FROM (
+oracle("w22_daily_progress", "symbol entry_date:d days_in_trade first_move:f sum_moves:f daily_moves", """SELECT symbol, entry_date, string_agg('D' || (k - 1) || ':' || printf('%.1f', mv) || '%', ',' ORDER BY k) FILTER (WHERE k > 1) AS daily_moves, 'D' || (count(*) - 1) AS days_in_trade, max(mv) FILTER (WHERE k = 2) AS first_move, coalesce(sum(mv) FILTER (WHERE k > 1), 0) AS sum_moves FROM (
  SELECT *, (bc - CASE WHEN k = 2 THEN entry_price ELSE prev END) / CASE WHEN k = 2 THEN entry_price ELSE prev END * 100 AS mv FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY bdate) AS k, lag(bc) OVER (PARTITION BY id ORDER BY bdate) AS prev FROM tbars)) GROUP BY symbol, entry_date""")
 oracle("w23_close_in_range", "symbol date:d cir:f", "SELECT * FROM base")
 oracle("r1_rs_percentile", "symbol date:d ret_63:f rs_percentile:f", "SELECT * FROM ranks")
@@ -454,10 +458,41 @@ cte("flag2", """SELECT *, list_avg(vs[n - fl - pl + 1:n - fl]) AS pv, CASE WHEN
  SELECT *, (cs[n - fl] - cs[n - fl - pl + 1]) / cs[n - fl - pl + 1] AS move FROM flag1 WHERE n - fl - pl >= 0) WHERE move >= 0.15""")
 oracle("p9_flag", f"{PC} base_start_no:i base_height:f pole_len:f flag_len:f pole_move:f", """SELECT *, least(100, 60 + least(20, (move - 0.15) / 0.15 * 20) + CASE WHEN (ft - fb) / ft < 0.06 THEN 10 ELSE 0 END) AS confidence, ft AS breakout_level, bar_no - fl - pl + 1 AS base_start_no,
  cs[n - fl] - cs[n - fl - pl + 1] AS base_height, pl AS pole_len, fl AS flag_len, move AS pole_move FROM (SELECT *, row_number() OVER (PARTITION BY symbol, bar_no ORDER BY fl, pl) AS r FROM flag2 WHERE pv > qv) WHERE r = 1""")
-cte("wpiv", f"""SELECT symbol, date, bar_no, CASE WHEN bar_no > 3 AND bar_no <= n_bars - 3 AND high > max(high) {over(-3, -1)} AND high > max(high) {over(1, 3)} THEN high END AS ph, open, high, low, close, volume, tr FROM base""")
+VCP = [
+    ("ev", "SELECT symbol, bar_no AS e, 0 AS kind, ph AS price FROM {p} WHERE ph IS NOT NULL UNION ALL SELECT symbol, bar_no, 1, pl FROM {p} WHERE pl IS NOT NULL"),
+    ("win", """SELECT b.symbol, b.bar_no AS t, v.e, v.kind, v.price, CASE WHEN lag(v.kind) OVER (PARTITION BY b.symbol, b.bar_no ORDER BY v.e, v.kind) IS DISTINCT FROM v.kind THEN 1 ELSE 0 END AS fresh
+ FROM {p} b JOIN {n}ev v ON v.symbol = b.symbol AND v.e BETWEEN greatest(b.bar_no - 249, 1) + 3 AND b.bar_no - 3 WHERE b.bar_no >= 8"""),
+    ("isl", """SELECT symbol, t, k, kind, CASE kind WHEN 0 THEN max(price) ELSE min(price) END AS price, CASE kind WHEN 0 THEN arg_max(e, (price, -e)) ELSE arg_min(e, (price, e)) END AS e
+ FROM (SELECT *, sum(fresh) OVER (PARTITION BY symbol, t ORDER BY e, kind) AS k FROM {n}win) GROUP BY symbol, t, k, kind"""),
+    ("leg", """SELECT *, (price - low_) / price AS depth, row_number() OVER (PARTITION BY symbol, t ORDER BY k DESC) AS r FROM (SELECT *, lead(price) OVER (PARTITION BY symbol, t ORDER BY k) AS low_, lead(e) OVER (PARTITION BY symbol, t ORDER BY k) AS le
+ FROM {n}isl) WHERE kind = 0 AND low_ IS NOT NULL AND price > 0 AND price > low_"""),
+    ("run", """SELECT *, min(CASE WHEN holds THEN NULL ELSE r END) OVER (PARTITION BY symbol, t) AS n_run FROM (SELECT *, coalesce(depth <= lead(depth) OVER (PARTITION BY symbol, t ORDER BY r) * 0.6, false) AS holds FROM {n}leg)"""),
+    ("cum", "SELECT symbol, bar_no, sum(volume) OVER (PARTITION BY symbol ORDER BY bar_no) AS cv FROM {p}"),
+    ("vol", """SELECT q.*, (z.cv - coalesce(a.cv, 0)) / (q.le - q.e + 1) AS mv FROM {n}run q JOIN {n}cum z ON z.symbol = q.symbol AND z.bar_no = q.le LEFT JOIN {n}cum a ON a.symbol = q.symbol AND a.bar_no = q.e - 1 WHERE n_run >= 3 AND r <= n_run"""),
+    ("sum", """SELECT symbol, t, max(n_run) AS n_run, arg_min(le, r) AS last_low, arg_min(low_, r) AS low1, arg_max(e, r) AS start_, bool_and(falls) AS falling FROM (
+ SELECT *, coalesce(mv <= lead(mv) OVER (PARTITION BY symbol, t ORDER BY r), true) AS falls FROM {n}vol) GROUP BY symbol, t"""),
+]
+
+
+def contraction(prefix: str, pivs: str) -> str:
+    """Merged pivots as islands of one kind, pullbacks as a high and the low after it, the run as the newest unbroken prefix."""
+    for name, sql in VCP:
+        cte(f"{prefix}{name}", sql.format(p=pivs, n=prefix))
+    return f"""SELECT v.symbol, any_value(b.date) AS date, v.t AS bar_no, least(100, 60 + CASE WHEN any_value(falling) THEN 15 ELSE 0 END + least(15, (any_value(n_run) - 3) * 7.5)) AS confidence, max(h.high) AS breakout_level,
+ any_value(start_) AS base_start_no, max(h.high) - any_value(low1) AS base_height, CASE WHEN any_value(falling) THEN 1 ELSE 0 END AS volume_decreasing, any_value(n_run) AS n_contractions
+ FROM {prefix}sum v JOIN {pivs} b ON b.symbol = v.symbol AND b.bar_no = v.t JOIN {pivs} h ON h.symbol = v.symbol AND h.bar_no BETWEEN v.last_low AND v.t GROUP BY v.symbol, v.t"""
+
+
+oracle("p7_vcp", f"{PC} base_start_no:i base_height:f volume_decreasing:f n_contractions:f", contraction("gv", "piv3"))
+cte("wpiv", f"""SELECT symbol, date, bar_no, CASE WHEN bar_no > 3 AND bar_no <= n_bars - 3 AND high > max(high) {over(-3, -1)} AND high > max(high) {over(1, 3)} THEN high END AS ph,
+ CASE WHEN bar_no > 3 AND bar_no <= n_bars - 3 AND low < min(low) {over(-3, -1)} AND low < min(low) {over(1, 3)} THEN low END AS pl, open, high, low, close, volume, tr FROM base""")
 cte("wnr", f"SELECT *, list_filter(list(ph) {over(-26, -3)}, lambda x: x IS NOT NULL) AS hs, min(tr) {last(7)} AS mtr, avg(volume) {over(-19, -1)} AS av FROM wpiv")
-cte("plain", f"""SELECT symbol, date, bar_no, 'fifty_two_week_high' AS pattern, 0 AS ix, confidence, breakout_level FROM p52 UNION ALL SELECT symbol, date, bar_no, 'nr7', 1, confidence, breakout_level FROM ({NR.format('wnr')})
- UNION ALL SELECT symbol, date, bar_no, 'inside_bar', 2, confidence, breakout_level FROM pin UNION ALL SELECT symbol, date, bar_no, 'bollinger_squeeze', 3, confidence, breakout_level FROM psq""")
+cte("wtri", CTES["tri0"].replace("FROM piv3", "FROM wpiv"))
+FOUND = {
+    "fifty_two_week_high": "p52", "darvas_box": f"({BODIES['p2_darvas_box'].replace('b.date,', 'b.date, b.bar_no,', 1)})", "nr7": f"({NR.format('wnr')})", "inside_bar": "pin", "bollinger_squeeze": "psq",
+    "ascending_triangle": f"({BODIES['p6_ascending_triangle'].replace('tri0', 'wtri')})", "vcp": f"({contraction('wv', 'wpiv')})", "cup_and_handle": f"({BODIES['p8_cup_and_handle']})", "flag": f"({BODIES['p9_flag']})",
+}
+cte("plain", " UNION ALL ".join(f"SELECT symbol, date, bar_no, '{name}' AS pattern, {k} AS ix, confidence, breakout_level FROM {src}" for k, (name, src) in enumerate(FOUND.items())))
 oracle("p10_detect_all", "symbol date:d pattern confidence:f", "SELECT * FROM plain")
 oracle("r3_best_pattern", "symbol date:d pattern confidence:f breakout_level:f", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol, date ORDER BY confidence DESC, ix) AS r FROM plain) WHERE r = 1")
 oracle("k4_top_matches", "symbol confidence:f bar_no:i pattern", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY confidence DESC, bar_no, pattern) AS r FROM plain) WHERE r <= 3")
@@ -494,7 +529,7 @@ oracle("m9_regime", "date:d index_trend market_mood regime_score:i regime risk_m
 oracle("m10_stress_multiplier", "date:d stress_multiplier:f", """SELECT date, least(CASE WHEN vix >= 30 THEN 0.25 WHEN vix >= 25 THEN 0.5 WHEN vix >= 20 THEN 0.75 ELSE 1 END, CASE WHEN breadth_pct < 30 THEN 0.3 WHEN breadth_pct < 40 THEN 0.6 WHEN breadth_pct < 50 THEN 0.8 ELSE 1 END,
  CASE regime WHEN 'risk_off' THEN 0.5 WHEN 'neutral' THEN 0.8 ELSE 1 END) AS stress_multiplier FROM reg""")
 oracle("m11_sector_multiplier", "date:d sector multiplier:f", "SELECT date, sector, CASE WHEN count(*) >= 2 THEN 0.25 WHEN count(*) >= 1 THEN 0.5 ELSE 1 END AS multiplier FROM cand GROUP BY date, sector")
-oracle("m12_correlated_size", "symbol entry_date:d size:i", "SELECT symbol, entry_date, CAST(trunc(shares * (0.75 * CASE WHEN avg_correlation < 0.3 THEN 1.0 WHEN avg_correlation < 0.5 THEN 0.8 WHEN avg_correlation < 0.7 THEN 0.6 ELSE 0.5 END)) AS BIGINT) AS size FROM trades JOIN avgcorr c ON c.date = entry_date")
+oracle("m12_correlated_size", "symbol entry_date:d size:i", "SELECT t.symbol, t.entry_date, CAST(trunc(t.shares * (CASE WHEN n_open >= 2 THEN 0.25 WHEN n_open >= 1 THEN 0.5 ELSE 1.0 END * CASE WHEN avg_correlation < 0.3 THEN 1.0 WHEN avg_correlation < 0.5 THEN 0.8 WHEN avg_correlation < 0.7 THEN 0.6 ELSE 0.5 END)) AS BIGINT) AS size FROM trades t JOIN avgcorr c ON c.date = t.entry_date LEFT JOIN uni u ON u.symbol = t.symbol LEFT JOIN occ o ON o.date = t.entry_date AND o.sector = u.sector")
 oracle("m13_stop_targets", "symbol date:d stop:f target_1:f target_2:f", "SELECT symbol, date, stop_loss AS stop, close + 2 * abs(close - stop_loss) AS target_1, close + base_height AS target_2 FROM sig")
 oracle("m14_position_size", "symbol date:d shares:i half:i", """SELECT symbol, date, CASE WHEN close = stop_loss THEN 0 ELSE least(floor(500000.0 * (1.0 * 1.0 / 100) / abs(close - stop_loss)), floor(62500.0 / close)) END AS shares,
  CASE WHEN close = stop_loss THEN 0 ELSE least(floor(500000.0 * (1.0 * 0.5 / 100) / abs(close - stop_loss)), floor(62500.0 / close)) END AS half FROM sig""")
@@ -523,7 +558,7 @@ oracle("d7_volume_profile", "bucket:i median_share:f n_days:i", """SELECT bucket
 
 oracle("k1_watchlist_order", "date:d symbol score:f", "SELECT * FROM cand ORDER BY score DESC, symbol, date")
 oracle("k2_universe_order", "symbol company_name industry", "SELECT * FROM uni ORDER BY symbol")
-oracle("u1_union_aligned", "symbol date:d close:f note", "SELECT symbol, date, close, NULL::VARCHAR AS note FROM bars WHERE bar_no <= 3 UNION ALL SELECT symbol, date, NULL, 'event' FROM evcal")
+oracle("u1_union_aligned", "symbol date:d close:f note", "SELECT symbol, date, close, NULL::VARCHAR AS note FROM bars UNION ALL SELECT symbol, date, NULL, 'event' FROM evcal")
 oracle("u2_difference_intersection", "date:d side", """SELECT date, 'only_ship' AS side FROM (SELECT CAST(l_shipdate AS DATE) AS date FROM lineitem EXCEPT SELECT CAST(o_orderdate AS DATE) FROM orders) UNION ALL
  SELECT date, 'both' FROM (SELECT CAST(l_shipdate AS DATE) AS date FROM lineitem INTERSECT SELECT CAST(o_orderdate AS DATE) FROM orders)""")
 oracle("u3_union_distinct", "date:d", "SELECT date FROM hols UNION SELECT date FROM evcal")
@@ -549,7 +584,7 @@ oracle("x1_settle", "symbol entry_date:d new_state exit_price:f days_held:f pnl_
  CASE WHEN xp IS NOT NULL THEN (xp - entry_price - {trip('entry_price', 'xp', '1.0')}) / greatest(1e-9, abs(entry_price - stop_loss)) END AS pnl_r FROM one2""")
 oracle("x2_label_outcomes", "symbol entry_date:d exit_date:d state exit_price:f bars_held:i shares:i pnl_r:f", "SELECT * FROM lab")
 oracle("x3_replay", "symbol entry_date:d exit_date:d state exit_price:f", "SELECT * FROM trades")
-cte("tk0", "SELECT t.*, b.bar_no AS bn, b.date AS bd, b.open AS bo, b.high AS bh2, b.low AS bl2, b.close AS bc2, date_diff('day', t.entry_date, b.date) AS held FROM trades t JOIN bars b ON b.symbol = t.symbol AND b.date > t.entry_date AND b.date <= t.entry_date + 44")
+cte("tk0", "SELECT t.*, b.bar_no AS bn, b.date AS bd, b.open AS bo, b.high AS bh2, b.low AS bl2, b.close AS bc2, date_diff('day', t.entry_date, b.date) AS held FROM trades t JOIN bars b ON b.symbol = t.symbol AND b.date > t.entry_date")
 cte("tk1", "SELECT id, min(bn) FILTER (WHERE bl2 <= stop_loss) AS j_stop, min(bn) FILTER (WHERE bh2 >= target_2) AS j_t2, min(bn) FILTER (WHERE bh2 >= target_1) AS j_t1 FROM tk0 GROUP BY id")
 cte("tk2", "SELECT *, CASE WHEN j_t1 IS NOT NULL AND (j_stop IS NULL OR j_t1 < j_stop) AND (j_t2 IS NULL OR j_t1 < j_t2) THEN j_t1 END AS hit FROM tk1")
 cte("tk3", "SELECT k.id, h.hit, min(k.bn) FILTER (WHERE CASE WHEN h.hit IS NOT NULL AND k.bn > h.hit THEN k.bl2 <= k.entry_price ELSE k.bl2 <= k.stop_loss END) AS js, min(k.bn) FILTER (WHERE k.bh2 >= k.target_2) AS j2, min(k.bn) FILTER (WHERE k.held >= 30 AND k.bn IS DISTINCT FROM h.hit) AS jt FROM tk0 k JOIN tk2 h USING (id) GROUP BY k.id, h.hit")

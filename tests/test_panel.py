@@ -2,6 +2,7 @@ import datetime as dt
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from candlespan.operators import indicators as I
@@ -163,3 +164,37 @@ def test_scratch_goes_to_the_shared_folder(spark):
                 return "hdfs://shared/ck/" if key == "spark.checkpoint.dir" else default
 
     assert scratch_dir(Fake, "bars").startswith("hdfs://shared/ck/bars-")
+    Fake.conf.get = staticmethod(lambda key, default=None: "yarn" if key == "spark.master" else default)
+    with pytest.raises(ValueError):
+        scratch_dir(Fake, "bars")
+
+
+def test_smoothing_of_long_periods_over_segments(spark):
+    from candlespan.operators.kernels import halo_rows, run_kernels, smoothing
+    from candlespan.operators.panel import own_rows, panel
+
+    f = walk(3, 9000)
+    specs = [I.ema_spec("ema_200", "close", 200), I.wilder_spec("mean_100", "close", 100)]
+    assert halo_rows(2 / 201) > 2048
+    cut = panel(bars(spark, f), seg_rows=4000, back=3800)
+    got = own_rows(run_kernels(cut, [smoothing(specs)])).orderBy("bar_no").toPandas()
+    np.testing.assert_allclose(got.ema_200.to_numpy(float), f.close.ewm(alpha=2 / 201, adjust=False).mean().to_numpy(), rtol=1e-12)
+    np.testing.assert_allclose(got.mean_100.to_numpy(float)[99:], f.close.ewm(alpha=0.01, adjust=False).mean().to_numpy()[99:], rtol=1e-12)
+    with pytest.raises(Exception, match="too short"):
+        own_rows(run_kernels(panel(bars(spark, f)), [smoothing(specs)])).collect()
+
+
+def test_a_universe_without_symbols_is_an_error(spark, tmp_path):
+    from candlespan.sources.files import universe_csv
+
+    (tmp_path / "u.csv").write_text("Symbol,Company Name,Industry\n,x,y\n")
+    with pytest.raises(ValueError):
+        universe_csv(spark, str(tmp_path / "u.csv"))
+
+
+def test_holidays_known_in_advance_count(spark):
+    from candlespan.operators.calendar import calendar
+
+    span = spark.createDataFrame([(dt.date(2026, 1, 20), dt.date(2026, 1, 30))], "lo date, hi date")
+    days = {r.date.day: r.trading for r in calendar(span, spark.createDataFrame([(dt.date(2026, 1, 21),)], "date date")).collect()}
+    assert not days[26] and not days[21] and days[27]

@@ -201,3 +201,32 @@ def test_retest(spark, o, h, l, c, hit):
     r = one(spark, open=F.lit(float(o)), high=F.lit(float(h)), low=F.lit(float(l)), close=F.lit(float(c)))
     df = spark.createDataFrame([tuple(r)], "open double, high double, low double, close double")
     assert df.select(K.retest(F.lit(100.0)).alias("x")).collect()[0].x == hit
+
+
+def test_bars_of_a_long_trade_are_not_cut(spark):
+    """A trade held 196 days keeps its late high, an open one runs to the newest bar or to the date asked for."""
+    close = np.full(250, 100.0)
+    high = np.full(250, 101.0)
+    high[190], high[240] = 150.0, 170.0
+    b = bars(spark, frame(close, high=high))
+    start = dt.date(2020, 1, 1)
+    shape = "symbol string, id long, entry_date date, exit_date date, entry_price double, stop_loss double"
+    t = spark.createDataFrame([("S", 1, start, start + dt.timedelta(days=196), 100.0, 90.0), ("S", 2, start, None, 100.0, 90.0)], shape)
+    got = {r.id: r.max_favorable for r in TR.excursions(t, b).collect()}
+    assert got == {1: 5.0, 2: 7.0}
+    early = {r.id: r.max_favorable for r in TR.excursions(t, b, F.lit(start + dt.timedelta(days=100))).collect()}
+    assert early == {1: 5.0, 2: pytest.approx(0.1)}
+    assert {r.id: r.days_in_trade for r in TR.daily_progress(t, b).collect()} == {1: "D196", 2: "D249"}
+
+
+def test_correlation_of_a_large_cohort(spark):
+    from candlespan.operators.crosssection import mean_abs_correlation
+
+    rng = np.random.default_rng(0)
+    rets = rng.normal(size=(80, 11))
+    days = [dt.date(2020, 1, 1) + dt.timedelta(days=i) for i in range(80)]
+    rows = [(f"S{j}", days[i], i + 1, float(rets[i, j])) for i in range(80) for j in range(11)]
+    r = spark.createDataFrame(rows, "symbol string, date date, bar_no int, ret_1 double")
+    cohort = spark.createDataFrame([(days[79], f"S{j}") for j in range(11)], "date date, symbol string")
+    want = np.corrcoef(rets[-63:].T)[np.triu_indices(11, 1)]
+    assert np.isclose(mean_abs_correlation(r, cohort).collect()[0].avg_correlation, np.abs(want).mean())
