@@ -154,7 +154,7 @@ def excursions(trades: DataFrame, bars: DataFrame, as_of=None) -> DataFrame:
 def daily_progress(trades: DataFrame, bars: DataFrame, as_of=None) -> DataFrame:
     """Days since entry and each day's own move in percent, as an array and as 'D1:1.0%,D2:-0.3%'.
 
-    The entry bar is D0 and only carries the entry price as the first baseline.
+    The entry bar is D0 and only carries the entry price as the first baseline. Moves are shown to one place, ties to the even digit.
     """
     rows = holding_bars(trades, bars, True, as_of).filter(F.col("close").isNotNull() & (F.col("entry_price") > 0))
     days = rows.groupBy("id").agg(

@@ -29,7 +29,7 @@ from candlespan.operators.kernels import Smooth, reseeded, run_kernels, smoothin
 from candlespan.operators.panel import own_rows, panel, series, trailing, warm
 from candlespan.operators.stage import with_stage
 from candlespan.plans import scan as S
-from candlespan.session import scratch_dir
+from candlespan.session import scratch_dir, stored
 from candlespan.sources import files as IO
 from candlespan.sources import walk as B
 from candlespan.streaming import jobs as ST
@@ -227,12 +227,10 @@ def s8_symbols(spark, d):
 
 
 def _alerts(t: Tables) -> DataFrame:
-    none = F.lit(None).cast("string")
-    return t.trades().select(
+    return _featured(t).select(
         F.col("entry_date").alias("run_date"), "alert_type", "symbol", "score", F.coalesce("pattern", F.lit("none")).alias("pattern"),
         "breakout_level", "entry_price", "stop_loss", "target_1", "target_2", F.col("shares").alias("position_size"), "volume_ratio",
-        F.lit("STAGE_2").alias("stage"), F.lit(0.0).alias("rs_rank"), "close_in_range", F.lit(0.0).alias("tightness"),
-        F.lit("unknown").alias("sector"), none.alias("notes"),
+        "stage", F.col("rs_percentile").alias("rs_rank"), "close_in_range", "tightness", "sector", F.lit(None).cast("string").alias("notes"),
     )
 
 
@@ -243,7 +241,8 @@ def s9_alert_sink(spark, d):
     back = spark.read.option("header", True).csv(path)
     return tidy(back.select(
         F.col("run_date").cast("string").alias("run_date"), "symbol", "alert_type", "pattern", F.col("position_size").cast("long").alias("position_size"),
-        *[F.col(c).cast("double").alias(c) for c in ("entry_price", "target_1", "target_2")],
+        *[F.col(c).cast("double").alias(c) for c in ("entry_price", "target_1", "target_2")], "stage", "sector",
+        F.round(F.col("rs_rank").cast("double"), 2).alias("rs_rank"),
     ))
 
 
@@ -463,11 +462,39 @@ def f18_states(spark, d):
 # ── joins ────────────────────────────────────────────────────────────────
 
 
+def _context(t: Tables) -> DataFrame:
+    """What the market looked like on each date: stress, mood, breadth, trend and regime."""
+    return _regime_rows(t).select(
+        "date", "vix", "market_mood", "regime", "regime_score", "breadth_pct", F.col("index_trend").alias("nifty_trend"), "risk_multiplier")
+
+
+def _featured(t: Tables) -> DataFrame:
+    """Trades with every feature known when they were entered; `volume_ratio_morning` is that of the session before."""
+    keys = ["symbol", "entry_date"]
+    trades = t.trades()
+    bar = S.analysed(t.bars()).withColumn("volume_ratio_morning", F.lag("volume_ratio_20").over(series()))
+    bar = own_rows(bar).select(
+        "symbol", F.col("date").alias("entry_date"), "stage", "tightness", "adv_cr", F.col("best")["confidence"].alias("pattern_confidence"), "volume_ratio_morning")
+    rank = R.percentile_ranks(S.prepass(t.bars()).select("symbol", "date", "ret_63"), ["date"], "ret_63").withColumnRenamed("date", "entry_date")
+    rows = trades.join(bar, keys).join(rank.select(*keys, F.coalesce("rs_percentile", F.lit(0.0)).alias("rs_percentile")), keys)
+    rows = rows.join(t.universe().select("symbol", "sector"), "symbol", "left")
+    trends = _sector_trend_rows(t).select(F.col("date").alias("entry_date"), "sector", "sector_trend")
+    rows = rows.join(trends, ["entry_date", "sector"], "left").join(_context(t).withColumnRenamed("date", "entry_date"), "entry_date", "left")
+    dates = Q.blackout(trades.select("symbol", F.col("entry_date").alias("date")), t.events_cal(), t.calendar())
+    rows = rows.join(dates.select("symbol", F.col("date").alias("entry_date"), F.col("blackout").alias("earnings_blackout")), keys, "left")
+    return rows.withColumns({
+        "sector_trend": F.coalesce("sector_trend", F.lit("flat")), "rs_points": M.rs_points(F.col("rs_percentile")),
+        "extension_pct": Z.extension_pct(F.col("entry_price"), F.col("breakout_level")),
+        "distance_pct": (F.col("breakout_level") - F.col("entry_price")) / F.col("breakout_level") * 100.0,
+    })
+
+
 def _snapshot(t: Tables) -> DataFrame:
-    return t.trades().select(
-        F.col("id").alias("trade_id"), "symbol", F.col("entry_date").alias("alert_date"), "alert_type", "pattern", "score", "volume_ratio",
-        Z.extension_pct(F.col("entry_price"), F.col("breakout_level")).alias("extension_pct"), "close_in_range", "atr_pct",
-        "breakout_level", "entry_price", "base_height",
+    return _featured(t).select(
+        F.col("id").alias("trade_id"), "symbol", F.col("entry_date").alias("alert_date"), "alert_type", "pattern", "score", "pattern_confidence",
+        "stage", "rs_percentile", "rs_points", "tightness", "volume_ratio", "volume_ratio_morning", "sector", "sector_trend", "distance_pct",
+        "extension_pct", "close_in_range", "atr_pct", "adv_cr", "earnings_blackout", "vix", "market_mood", "regime", "regime_score", "breadth_pct",
+        "nifty_trend", "risk_multiplier", "breakout_level", "entry_price", "base_height",
     )
 
 
@@ -589,7 +616,7 @@ def a4_by_sector(spark, d):
 
 @query
 def a5_terciles(spark, d):
-    return tidy(A.terciles(_featured(Tables(spark, d)), ["volume_ratio"]))
+    return tidy(A.terciles(Tables(spark, d).trades(), ["volume_ratio"]))
 
 
 @query
@@ -597,24 +624,15 @@ def a6_by_category(spark, d):
     return tidy(A.by_category(Tables(spark, d).trades(), "pattern"))
 
 
-NUM, CAT = ["volume_ratio", "close_in_range", "atr_pct", "extension_pct"], ["alert_type", "pattern", "regime"]
-
-
-def _featured(t: Tables) -> DataFrame:
-    return t.trades().withColumns({
-        "extension_pct": Z.extension_pct(F.col("entry_price"), F.col("breakout_level")), "regime": F.lit("neutral"),
-    })
-
-
 @query
 def a7_feature_report(spark, d):
-    return tidy(A.feature_report(_featured(Tables(spark, d)), NUM, CAT))
+    return tidy(A.feature_report(stored(_featured(Tables(spark, d)), "featured")))
 
 
 @query
 def a8_full_report(spark, d):
     t = Tables(spark, d)
-    return tidy(A.full_report(_featured(t), t.universe(), NUM, CAT))
+    return tidy(A.full_report(stored(_featured(t), "featured").drop("sector"), t.universe()))
 
 
 @query
@@ -1265,7 +1283,7 @@ def t5_flag_failed(spark, d):
 
 @query
 def t6_feature_snapshot(spark, d):
-    return tidy(_snapshot(Tables(spark, d)).drop("trade_id"))
+    return tidy(_snapshot(Tables(spark, d)))
 
 
 # ── state and streams ────────────────────────────────────────────────────

@@ -9,8 +9,8 @@ from __future__ import annotations
 import re
 
 CTES: dict[str, str] = {}
-ORACLES: dict[str, str] = {}
 BODIES: dict[str, str] = {}
+COLUMNS: dict[str, str] = {}
 
 
 def cte(name: str, sql: str) -> None:
@@ -34,18 +34,21 @@ def _order(sql: str) -> list[str]:
 
 def oracle(name: str, cols: str, body: str) -> None:
     """`cols` lists output columns with a kind: plain text, :f double, :d date, :i integer, :b boolean, :t timestamp."""
+    BODIES[name], COLUMNS[name] = body, cols
+
+
+def statement(name: str) -> str:
     out = []
-    for c in cols.split():
+    for c in COLUMNS[name].split():
         n, _, kind = c.partition(":")
         out.append({
             "": n, "f": f"round(CAST({n} AS DOUBLE), 6) + 0.0 AS {n}", "d": f"CAST(CAST({n} AS DATE) AS VARCHAR) AS {n}",
             "i": f"CAST({n} AS BIGINT) AS {n}", "b": f"CAST({n} AS BOOLEAN) AS {n}",
             "t": f"strftime({n}, '%Y-%m-%d %H:%M:%S') AS {n}",
         }[kind])
-    BODIES[name] = body
-    used = _order(body)
+    used = _order(BODIES[name])
     head = "WITH RECURSIVE " + ", ".join(f"{n} AS ({CTES[n]})" for n in used) + " " if used else ""
-    ORACLES[name] = f"{head}SELECT {', '.join(out)} FROM ({body}) AS result"
+    return f"{head}SELECT {', '.join(out)} FROM ({BODIES[name]}) AS result"
 
 
 W = "PARTITION BY symbol ORDER BY bar_no"
@@ -257,8 +260,8 @@ oracle("s6_holidays_text", "date:d", "SELECT date FROM hols")
 oracle("s7_holidays_json", "date:d", "SELECT date FROM hols")
 oracle("s8_symbols", "raw symbol ticker", """SELECT raw, regexp_replace(upper(replace(replace(raw, '.NS', ''), '.BO', '')), '-EQ$', '') AS symbol,
  CASE WHEN raw LIKE '%.NS' THEN raw ELSE raw || '.NS' END AS ticker FROM (SELECT CASE s_suppkey % 3 WHEN 0 THEN s_name || '-EQ' WHEN 1 THEN s_name || '.NS' ELSE s_name END AS raw FROM supplier)""")
-oracle("s9_alert_sink", "run_date:d symbol alert_type pattern position_size:i entry_price:f target_1:f target_2:f", """SELECT entry_date AS run_date, symbol, alert_type, coalesce(pattern, 'none') AS pattern,
- shares AS position_size, round(entry_price, 2) AS entry_price, round(target_1, 2) AS target_1, round(target_2, 2) AS target_2 FROM trades""")
+oracle("s9_alert_sink", "run_date:d symbol alert_type pattern position_size:i entry_price:f target_1:f target_2:f stage sector rs_rank:f", """SELECT entry_date AS run_date, symbol, alert_type, stage, sector, round(rs_percentile, 2) AS rs_rank, coalesce(pattern, 'none') AS pattern,
+ shares AS position_size, round(entry_price, 2) AS entry_price, round(target_1, 2) AS target_1, round(target_2, 2) AS target_2 FROM feat""")
 oracle("s10_replace_table", "symbol industry detected_date", "SELECT symbol, industry, CASE WHEN length(symbol) = 1 THEN '1999-01-01' ELSE '1998-06-30' END AS detected_date FROM uni")
 oracle("s11_upsert", "symbol date:d close:f volume:i", """SELECT symbol, date, CASE WHEN bar_no > n_bars - 10 THEN close + 1 ELSE close END AS close, volume FROM bars""")
 oracle("s12_delete", "symbol date:d close:f", "SELECT * FROM bars WHERE symbol NOT IN (SELECT symbol FROM uni WHERE sector = 'ASIA')")
@@ -321,13 +324,27 @@ BANDS = f"""SELECT lo || '-' || least(hi - 1, 100) AS band, {PERF} FROM (VALUES
 oracle("a3_score_bands", f"band {PCOLS}", BANDS)
 SECT = f"SELECT coalesce(sector, 'unknown') AS sector, {PERF} FROM trades LEFT JOIN uni USING (symbol) GROUP BY 1"
 oracle("a4_by_sector", f"sector {PCOLS}", SECT)
-FEATS = ("volume_ratio", "close_in_range", "atr_pct", "extension_pct")
-cte("flong", " UNION ALL ".join(f"SELECT '{f}' AS feature, {f} AS value, pnl_r, pnl_inr, days_held, costs_inr, gross_pnl_inr FROM trades WHERE {f} IS NOT NULL" for f in FEATS))
+def rs_pts(p: str) -> str:
+    return f"CASE WHEN {p} IS NULL OR {p} <= 50 THEN 0 WHEN {p} >= 75 THEN 15 ELSE ({p} - 50) / 25.0 * 15 END"
+
+
+FEATS = ("pattern_confidence", "rs_percentile", "tightness", "volume_ratio", "distance_pct", "extension_pct", "close_in_range", "atr_pct", "vix", "breadth_pct", "regime_score")
+CATS = ("sector_trend", "market_mood", "stage", "alert_type", "regime", "nifty_trend")
+cte("bestp", "SELECT symbol, date, confidence AS pattern_confidence FROM (SELECT *, row_number() OVER (PARTITION BY symbol, date ORDER BY confidence DESC, ix) AS r FROM plain) WHERE r = 1")
+cte("morning", f"SELECT symbol, date, bar_no, adv_cr, CASE WHEN bar_no >= 51 AND atr_50 > 0 THEN 1 - atr_10 / atr_50 ELSE 0 END AS tightness, lag(volume_ratio_20) OVER ({W}) AS volume_ratio_morning FROM atrs")
+cte("blk", BLK.format("AND e.event_date >= b.date"))
+cte("feat", f"""SELECT t.*, id AS trade_id, t.entry_date AS alert_date, p.pattern_confidence, g.stage, coalesce(k.rs_percentile, 0) AS rs_percentile, {rs_pts('coalesce(k.rs_percentile, 0)')} AS rs_points, a.tightness, a.volume_ratio_morning, u.sector,
+ coalesce(s.sector_trend, 'flat') AS sector_trend, (t.breakout_level - t.entry_price) / t.breakout_level * 100 AS distance_pct, a.adv_cr, x.blackout AS earnings_blackout, r.vix, r.market_mood, r.regime, r.regime_score, r.breadth_pct,
+ r.index_trend AS nifty_trend, r.risk_multiplier FROM (SELECT id, symbol, alert_type, pattern, score, volume_ratio, close_in_range, atr_pct, extension_pct, breakout_level, entry_price, entry_date, base_height, stop_loss, target_1, target_2, shares,
+ pnl_r, pnl_inr, days_held, costs_inr, gross_pnl_inr FROM trades) t JOIN morning a ON a.symbol = t.symbol AND a.date = t.entry_date JOIN stg g ON g.symbol = t.symbol AND g.date = t.entry_date LEFT JOIN bestp p ON p.symbol = t.symbol AND p.date = t.entry_date
+ LEFT JOIN ranks k ON k.symbol = t.symbol AND k.date = t.entry_date LEFT JOIN uni u ON u.symbol = t.symbol LEFT JOIN secmed s ON s.date = t.entry_date AND s.sector = u.sector LEFT JOIN reg r ON r.date = t.entry_date
+ LEFT JOIN blk x ON x.symbol = t.symbol AND x.date = t.entry_date""")
+cte("flong", " UNION ALL ".join(f"SELECT '{f}' AS feature, CAST({f} AS DOUBLE) AS value, pnl_r, pnl_inr, days_held, costs_inr, gross_pnl_inr FROM feat WHERE {f} IS NOT NULL" for f in FEATS))
 cte("fsort", "SELECT *, row_number() OVER (PARTITION BY feature ORDER BY value) - 1 AS k, count(*) OVER (PARTITION BY feature) AS nn FROM flong")
 cte("fcut", "SELECT feature, max(value) FILTER (WHERE k = nn // 3) AS lo, max(value) FILTER (WHERE k = 2 * nn // 3) AS hi, min(value) AS a, max(value) AS b, max(nn) AS nn FROM fsort GROUP BY feature")
 cte("tert", f"""SELECT f.feature, CASE WHEN nn < 6 OR a = b OR lo = hi THEN 'all' WHEN value < lo THEN 'low' WHEN value >= hi THEN 'high' ELSE 'mid' END AS bucket, {PERF} FROM flong f JOIN fcut USING (feature) GROUP BY 1, 2""")
-cte("catr", f"""SELECT * FROM (SELECT feature, bucket, {PERF}, count(*) OVER (PARTITION BY feature) AS kk FROM (SELECT 'alert_type' AS feature, alert_type AS bucket, * FROM trades UNION ALL SELECT 'pattern', coalesce(pattern, 'unknown'), * FROM trades
- UNION ALL SELECT 'regime', 'neutral', * FROM trades) GROUP BY 1, 2) WHERE kk > 1""")
+cte("cats", " UNION ALL ".join(f"SELECT '{f}' AS feature, coalesce({f}, 'unknown') AS bucket, pnl_r, pnl_inr, days_held, costs_inr, gross_pnl_inr FROM feat" for f in CATS))
+cte("catr", f"SELECT * FROM (SELECT feature, bucket, {PERF}, count(*) OVER (PARTITION BY feature) AS kk FROM cats GROUP BY 1, 2) WHERE kk > 1")
 oracle("a5_terciles", f"feature bucket {PCOLS}", "SELECT * FROM tert WHERE feature = 'volume_ratio'")
 oracle("a6_by_category", f"bucket {PCOLS}", f"SELECT coalesce(pattern, 'unknown') AS bucket, {PERF} FROM trades GROUP BY 1")
 STAT = "n, wins, losses, win_rate, avg_r, profit_factor, avg_days_held, net_inr, gross_inr, costs_inr"
@@ -405,7 +422,7 @@ oracle("w19_pivot_strength", "symbol date:d kind price:f strength:i", """SELECT
  AND CASE p.kind WHEN 'HIGH' THEN b.high >= p.price ELSE b.low <= p.price END GROUP BY p.symbol, p.date, p.kind, p.price, p.bar_no, p.n_bars""")
 oracle("w20_last_pivots", "symbol kind back:i date:d price:f", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol, kind ORDER BY bar_no DESC) AS back FROM piv5_rows) WHERE back <= 3")
 oracle("w21_confirmed_pivots", "symbol date:d kind confirmed_on:d", "SELECT * FROM piv3_rows")
-oracle("w22_daily_progress", "symbol entry_date:d days_in_trade first_move:f sum_moves:f daily_moves", """SELECT symbol, entry_date, string_agg('D' || (k - 1) || ':' || printf('%.1f', mv) || '%', ',' ORDER BY k) FILTER (WHERE k > 1) AS daily_moves, 'D' || (count(*) - 1) AS days_in_trade, max(mv) FILTER (WHERE k = 2) AS first_move, coalesce(sum(mv) FILTER (WHERE k > 1), 0) AS sum_moves FROM (
+oracle("w22_daily_progress", "symbol entry_date:d days_in_trade first_move:f sum_moves:f daily_moves", """SELECT symbol, entry_date, string_agg('D' || (k - 1) || ':' || printf('%.1f', round_even(mv, 1)) || '%', ',' ORDER BY k) FILTER (WHERE k > 1) AS daily_moves, 'D' || (count(*) - 1) AS days_in_trade, max(mv) FILTER (WHERE k = 2) AS first_move, coalesce(sum(mv) FILTER (WHERE k > 1), 0) AS sum_moves FROM (
  SELECT *, (bc - CASE WHEN k = 2 THEN entry_price ELSE prev END) / CASE WHEN k = 2 THEN entry_price ELSE prev END * 100 AS mv FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY bdate) AS k, lag(bc) OVER (PARTITION BY id ORDER BY bdate) AS prev FROM tbars)) GROUP BY symbol, entry_date""")
 oracle("w23_close_in_range", "symbol date:d cir:f", "SELECT * FROM base")
 oracle("r1_rs_percentile", "symbol date:d ret_63:f rs_percentile:f", "SELECT * FROM ranks")
@@ -500,8 +517,7 @@ oracle("k4_top_matches", "symbol confidence:f bar_no:i pattern", "SELECT * FROM
 # ── scoring and sizing ───────────────────────────────────────────────────
 
 
-def rs_pts(p: str) -> str:
-    return f"CASE WHEN {p} IS NULL OR {p} <= 50 THEN 0 WHEN {p} >= 75 THEN 15 ELSE ({p} - 50) / 25.0 * 15 END"
+
 
 
 def vol_pts(v: str) -> str:
@@ -571,7 +587,7 @@ oracle("t3_repair_scan", "symbol date:d move:f open_trades:i", "SELECT b.*, (SEL
 oracle("t4_backfill_progress", "symbol entry_date:d days_in_trade max_favorable:f", """SELECT symbol, entry_date, 'D' || (count(*) - 1) AS days_in_trade, greatest(0, max((bh - entry_price) / abs(entry_price - stop_loss)) FILTER (WHERE bdate > entry_date)) AS max_favorable FROM tbars GROUP BY symbol, entry_date""")
 oracle("t5_flag_failed", "symbol breakout_date:d failure_date", """SELECT w.symbol, breakout_date, CASE WHEN date_diff('day', breakout_date, b.date) BETWEEN 0 AND 3 AND b.close < breakout_level THEN CAST(b.date AS VARCHAR) END AS failure_date
  FROM watch w LEFT JOIN bars b ON b.symbol = w.symbol AND b.bar_no = w.bn + 1""")
-oracle("t6_feature_snapshot", "symbol alert_date:d alert_type pattern score:f volume_ratio:f extension_pct:f close_in_range:f atr_pct:f breakout_level:f entry_price:f base_height:f", "SELECT *, entry_date AS alert_date FROM trades")
+oracle("t6_feature_snapshot", "trade_id symbol alert_date:d alert_type pattern score:f pattern_confidence:f stage rs_percentile:f rs_points:f tightness:f volume_ratio:f volume_ratio_morning:f sector sector_trend distance_pct:f extension_pct:f close_in_range:f atr_pct:f adv_cr:f earnings_blackout:b vix:f market_mood regime regime_score:i breadth_pct:f nifty_trend risk_multiplier:f breakout_level:f entry_price:f base_height:f", "SELECT * FROM feat")
 
 # ── state and streams ────────────────────────────────────────────────────
 
@@ -596,3 +612,5 @@ oracle("x5_stream_bars", "symbol ts:t open:f high:f low:f close:f volume:i", """
 oracle("x6_stream_upsert", "symbol date:d close:f volume:i", "SELECT symbol, date, CASE WHEN bar_no > n_bars - 10 THEN close + 1 ELSE close END AS close, volume FROM bars")
 oracle("x7_stream_confirm", "symbol date:d close:f breakout_level:f", "SELECT l.symbol, l.date, l.close, w.breakout_level FROM lev l JOIN watch w USING (symbol) WHERE l.date >= breakout_date AND l.close > w.breakout_level AND l.vr >= 1.5")
 oracle("x8_expiring_watchlist", "symbol breakout_date:d breakout_level:f original_score:f", "SELECT * FROM watch WHERE breakout_date >= DATE '2000-03-31' - 400")
+
+ORACLES: dict[str, str] = {name: statement(name) for name in BODIES}
