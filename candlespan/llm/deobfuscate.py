@@ -139,9 +139,12 @@ def forms(word: str, restorer: Restorer, doubled=lambda word: False) -> set[str]
     return {w} if w else set()
 
 
-def spaced_words(low: str, restorer: Restorer) -> set[str]:
-    """The words restored from single letters with blanks or marks between them."""
+def spaced_words(low: str, words: set[str], restorer: Restorer) -> set[str]:
+    """The words restored from single letters with blanks or marks between them. `words` are the text's: without three different
+    single letters among them, or marks that may stand inside a word, there is no such stretch."""
     out: set[str] = set()
+    if sum(len(w) == 1 for w in words) < 3 and "_" not in low and "*" not in low:
+        return out
     for m in SPACED.finditer(low):
         stretch = re.sub(r"[ .*_-]+", " ", m.group())
         if len(set(stretch)) > 3:
@@ -152,4 +155,5 @@ def spaced_words(low: str, restorer: Restorer) -> set[str]:
 def restored_words(text: str | None, restorer: Restorer, doubled=lambda word: False) -> set[str]:
     """The distinct lower-case words of a text, with the restored forms of its suspicious stretches."""
     low = (text or "").lower()
-    return spaced_words(low, restorer).union(*[forms(w, restorer, doubled) for w in set(WORD.findall(low))])
+    words = set(WORD.findall(low))
+    return spaced_words(low, words, restorer).union(*[forms(w, restorer, doubled) for w in words])

@@ -68,8 +68,9 @@ def features(words: set[str]) -> set[str]:
     document has with it: one word of a frequent beginning says less than several."""
     out = set(words)
     for n in BEGINNINGS:
-        for beginning, k in Counter(w[:n] for w in words if len(w) > n).items():
-            out.update(f"{beginning}|{i}" for i in range(1, min(k, MOST_TOGETHER) + 1))
+        seen = Counter([w[:n] for w in words if len(w) > n])
+        out.update([b + "|1" for b in seen])
+        out.update([f"{b}|{i}" for b, k in seen.items() if k > 1 for i in range(2, min(k, MOST_TOGETHER) + 1)])
     return out
 
 
@@ -98,12 +99,13 @@ class Model:
         low, seen, out = (text or "").lower(), self.seen, set()
         if len(seen) > REMEMBERED:
             seen.clear()
-        for w in set(WORD.findall(low)):
+        words = set(WORD.findall(low))
+        for w in words:
             if (known := seen.get(w)) is None:
                 known = seen[w] = self._own(forms(w, self.restorer, self.doubled))
             if known:
                 out |= known
-        return out | self._own(spaced_words(low, self.restorer))
+        return out | self._own(spaced_words(low, words, self.restorer))
 
     def _own(self, words: set[str]) -> frozenset[str]:
         return frozenset(w for w in words if w[: min(BEGINNINGS)] in self.heads)
