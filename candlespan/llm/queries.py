@@ -89,7 +89,48 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
+#: Places are running sums of the lengths of the pieces between matches and of the matches.
+SECRETS_SQL = """
+        WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+        rules(kind_no, kind, pattern, grp, least_) AS (VALUES @@RULES@@),
+        cut AS (
+            SELECT doc_id, kind_no, kind, pattern, grp, least_, regexp_extract_all(text, pattern) AS hits, regexp_split_to_array(text, pattern) AS gaps
+            FROM docs CROSS JOIN rules WHERE regexp_matches(text, pattern)
+        ), each AS (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM cut),
+        placed AS (
+            SELECT doc_id, kind_no, kind, length(hits[i]) AS size,
+                coalesce(list_sum(list_transform(gaps[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS start
+            FROM each WHERE length(CASE grp WHEN 2 THEN regexp_extract(hits[i], pattern, 2) ELSE hits[i] END) >= least_
+        ), spans AS (
+            SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+                string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(start + size AS BIGINT), ',' ORDER BY start, kind_no) FILTER (WHERE kind_no < 3) AS base,
+                string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(start + size AS BIGINT), ',' ORDER BY start, kind_no) AS spans
+            FROM placed GROUP BY doc_id
+        )
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+            sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs LEFT JOIN spans USING (doc_id)"""
+_quoted = lambda x: "'" + x.replace("'", "''") + "'"
+
 ORACLES = {
+    "op1_secret_scan": SECRETS_SQL.replace("@@RULES@@", ", ".join(
+        f"({i}, {_quoted(r.kind)}, {_quoted(r.pattern)}, {r.group}, {r.least})" for i, r in enumerate(secrets.BASE + secrets.MORE)
+    )),
+    "op3_decontaminate": r"""
+        WITH words AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+        ), items AS (
+            SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+        ), windows AS (
+            SELECT DISTINCT item_id, size, array_to_string(w[i:i + size - 1], ' ') AS gram FROM (
+                SELECT *, unnest(range(1, len(w) - size + 2)) AS i FROM (SELECT *, least(10, len(w)) AS size FROM items WHERE len(w) > 0))
+        ), places AS (
+            SELECT doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') AS gram FROM (
+                SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM words, (SELECT DISTINCT size FROM windows))
+        ), hits AS (SELECT p.doc_id, p.i, p.size, x.item_id FROM places p JOIN windows x ON x.size = p.size AND x.gram = p.gram),
+        covered AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS pos FROM hits) GROUP BY doc_id),
+        found AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM hits) GROUP BY doc_id)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM words LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)""".replace("\\\\", "\\"),
     "op6_url_filter": r"""
         WITH parts AS (
             SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
