@@ -32,7 +32,9 @@ from candlespan.llm.elias_fano import Trie
 
 BLOCK_TOKENS = 600_000
 #: Tokens whose contexts one shard has, about.
-SHARD_TOKENS = 2_000_000
+SHARD_TOKENS = 1_200_000
+#: Look-ups made at a time.
+CHUNK = 1 << 17
 #: Reserved word hashes.
 START, END = 0, 1
 KAPPAS = (5.0, 50.0, 500.0, 5_000.0, 50_000.0, float("inf"))
@@ -153,8 +155,10 @@ class Requests:
         size = max(1, len(words))
         place, seen = np.searchsorted(words, self.hashes), self.counts > 0
         key = place[self.first[seen]] * size + place[self.second[seen]]
-        order = np.argsort(key, kind="stable")
+        del place
+        order = np.argsort(key)
         key, n = key[order], self.counts[seen][order].astype(np.int64)
+        del order, seen
         starts = np.flatnonzero(np.diff(key, prepend=-1))
         key = key[starts]
         n = np.add.reduceat(n, starts) if len(starts) else n
@@ -170,14 +174,17 @@ class Requests:
     def answers(self, trie: Trie) -> Iterator[bytes]:
         """For each block the counts of its distinct contexts, in order, and the bytes of its bigrams."""
         total, probability = trie.levels[0]["values"]["count"], trie.levels[1]["values"]["probability"]
-        ids = trie.word(self.hashes)
-        root = trie.child(0, np.zeros(len(ids), np.int64), ids)
-        node = trie.child(1, root[self.first], ids[self.second])
-        codes = np.full(len(node), NONE, np.uint8)
-        known = node >= 0
-        codes[known] = probability[node[known]]
+        ids, root = np.empty(len(self.hashes), np.int32), np.empty(len(self.hashes), np.int32)
+        for i in range(0, len(ids), CHUNK):
+            ids[i : i + CHUNK] = trie.word(self.hashes[i : i + CHUNK])
+            root[i : i + CHUNK] = trie.child(0, np.zeros(len(ids[i : i + CHUNK]), np.int64), ids[i : i + CHUNK])
+        codes = np.full(len(self.first), NONE, np.uint8)
+        for i in range(0, len(codes), CHUNK):
+            node = trie.child(1, root[self.first[i : i + CHUNK]], ids[self.second[i : i + CHUNK]])
+            known = np.flatnonzero(node >= 0)
+            codes[i + known] = probability[node[known]]
         # words of different blocks have different numbers, so a change of the first word is a new context or a new block
-        fresh = np.flatnonzero(np.diff(self.first.astype(np.int64), prepend=-1))
+        fresh = np.flatnonzero(np.append(True, self.first[1:] != self.first[:-1])) if len(self.first) else np.empty(0, np.int64)
         asked = root[self.first[fresh]]
         counts = np.where(asked >= 0, total[np.maximum(asked, 0)], 0) if len(total) else np.zeros(len(asked), np.int64)
         bounds = np.searchsorted(fresh, self.pairs)
@@ -190,6 +197,7 @@ def _serve(group: pd.DataFrame) -> pd.DataFrame:
     requests = Requests(group["payload"])
     raw = requests.trie().pack()
     size = len(raw)
+    release()
     with tempfile.TemporaryFile() as file:
         file.write(raw)
         file.flush()
