@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from candlespan.llm.common import kept_in_worker, release, stored
+from candlespan.llm.common import drawn, kept_in_worker, release, stored
 
 SEED = 42
 BANDS = 5
@@ -249,9 +249,9 @@ def links(
     """
     spark = points.sparkSession
     names = [c for c in points.columns if c != "node"]
-    drawn = points.orderBy(F.xxhash64("node"), "node").limit(sample).select(*names).collect()
-    seeds = np.array([tuple(r) for r in drawn], "<i8").reshape(-1, len(names))
-    leaves = max(1, min(leaves, points.count() // LEAF_SIZE))
+    n_points = points.count()
+    seeds = np.array([tuple(r) for r in drawn(points, n_points, sample, "node").orderBy("node").select(*names).collect()], "<i8").reshape(-1, len(names))
+    leaves = max(1, min(leaves, n_points // LEAF_SIZE))
     rng = np.random.default_rng(SEED)
     trees = [VantageTree(band_keys(seeds, bits), margin, leaves, rng) for bits in bands]
     sent = spark.sparkContext.broadcast((trees, bands))

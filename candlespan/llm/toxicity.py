@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from candlespan.llm.common import kept_in_worker, release, stored
+from candlespan.llm.common import drawn, kept_in_worker, release, stored
 from candlespan.llm.deobfuscate import SYMBOLS, WORD, Restorer, SymbolTable, forms, language_model, restored_words, skeleton, spaced_words
 
 TRAIN_ROWS = 20_000
@@ -161,11 +161,8 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
     cost = language_model(symbol_counts(docs))
     marked = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     marked = marked.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    n = marked.count()
-    million = 1_000_000
-    share = min(million, million * train_rows // max(n, 1))
-    drawn = marked.filter(F.pmod(F.xxhash64("doc_id"), F.lit(million)) < share)
-    sample = stored(docs.select("doc_id", "text").join(drawn, "doc_id").select("text", "toxic"), "toxic-sample")
+    taught = drawn(marked, marked.count(), train_rows, "doc_id")
+    sample = stored(docs.select("doc_id", "text").join(taught, "doc_id").select("text", "toxic"), "toxic-sample")
     sent = spark.sparkContext.broadcast(cost)
 
     def count(batches):
