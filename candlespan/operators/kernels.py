@@ -113,15 +113,21 @@ def reseeded(y: str, x: str, alpha: float, seed_bars: int) -> Column:
 
 
 def _run_before(values: np.ndarray) -> np.ndarray:
-    """For each position, how many directly preceding values are strictly smaller."""
-    out = np.zeros(len(values), dtype=np.int64)
-    stack: list[int] = []
-    for i, v in enumerate(values):
-        while stack and values[stack[-1]] < v:
-            stack.pop()
-        out[i] = i - (stack[-1] + 1 if stack else 0)
-        stack.append(i)
-    return out
+    """For each position, how many directly preceding values are strictly smaller.
+
+    Maxima of all stretches of 1, 2, 4, ... values, then one descent over the widths for all positions at once.
+    """
+    n = len(values)
+    tops, width = [values], 1
+    while 2 * width <= n:
+        tops.append(np.maximum(tops[-1][: n - 2 * width + 1], tops[-1][width:]))
+        width *= 2
+    at = np.arange(n)
+    for k in range(len(tops) - 1, -1, -1):
+        width = 1 << k
+        room = np.flatnonzero(at >= width)
+        at[room[tops[k][at[room] - width] < values[room]]] -= width
+    return np.arange(n) - at
 
 
 def dominance_kernel() -> Kernel:
@@ -240,22 +246,21 @@ def contraction_kernel(lookback: int = 250, n: int = 3, min_run: int = 3, ratio:
                 j -= 1
             return run, begin
 
-        seen = None
-        for t in range(2 * n + 1, size):
-            stop, begin = int(ends[t]), int(starts[t])
-            if seen is None or seen[0] != stop or seen[2] < begin:
-                run, oldest = walk(stop, begin)
-                seen = (stop, run, oldest)
-            if len(seen[1]) < min_run:
-                continue
-            legs = seen[1][::-1]
-            means = [(vol[c[2] + 1] - vol[c[1]]) / (c[2] - c[1] + 1) for c in legs]
-            falling = all(b <= a for a, b in zip(means, means[1:]))
-            level = high[legs[-1][2] : t + 1].max()
-            conf = min(100.0, 60.0 + (15.0 if falling else 0.0) + min(15.0, (len(legs) - min_run) * 7.5))
-            for name, v in zip(names, (conf, level, first + legs[0][1], level - legs[-1][3], falling, len(legs))):
-                out[f"vcp_{name}"][t] = v
-            moves[t] = [round(c[0], 3) for c in legs]
+        # the run changes where a pivot is confirmed, or where the oldest one it rests on leaves the lookback; between, only the level moves
+        t = 2 * n + 1
+        while t < size:
+            run, oldest = walk(int(ends[t]), int(starts[t]))
+            until = min(int(np.searchsorted(ends, ends[t], side="right")), max(t + 1, int(np.searchsorted(starts, oldest, side="right"))))
+            if len(run) >= min_run:
+                legs = run[::-1]
+                means = [(vol[c[2] + 1] - vol[c[1]]) / (c[2] - c[1] + 1) for c in legs]
+                falling = all(b <= a for a, b in zip(means, means[1:]))
+                level = np.maximum.accumulate(high[legs[-1][2] : until])[t - legs[-1][2] :]
+                conf = min(100.0, 60.0 + (15.0 if falling else 0.0) + min(15.0, (len(legs) - min_run) * 7.5))
+                for name, v in zip(names, (conf, level, first + legs[0][1], level - legs[-1][3], falling, len(legs))):
+                    out[f"vcp_{name}"][t:until] = v
+                moves[t:until] = [[round(c[0], 3) for c in legs]] * (until - t)
+            t = until
         return {**out, "vcp_moves": moves}
 
     return Kernel((*_doubles("vcp", names), ("vcp_moves", T.ArrayType(T.DoubleType()))), fn)

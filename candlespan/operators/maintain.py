@@ -6,7 +6,7 @@ recomputing partitions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candlespan.config import OPEN_STATES
@@ -42,21 +42,21 @@ def patch(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     return joined.select(*[F.coalesce(f"_n_{c}", c).alias(c) if c in fields else F.col(c) for c in base.columns])
 
 
-def assign_ids(new_rows: DataFrame, existing: DataFrame, order: list[str], id_col: str = "id", block: str | None = None) -> DataFrame:
+def assign_ids(
+    new_rows: DataFrame, existing: DataFrame, order: list[str], id_col: str = "id", block: Column | str | None = None
+) -> DataFrame:
     """max(id)+1, +2, ... in the given order; ids start at 1 for an empty table.
 
-    With `block` (a column monotone in the order, such as the date) numbering runs inside the blocks and over block
-    totals instead of sorting all new rows in one task.
+    Numbering runs inside blocks and over block totals, so all new rows are never sorted in one task. A block is a column or
+    expression monotone in the order; by default it is the first order column. Where one of its values may hold a large share
+    of the rows, add a range of the next one: `F.struct("date", F.floor(F.col("key") / 65536))`.
     """
     from candlespan.operators.panel import running_totals
 
     top = existing.agg(F.coalesce(F.max(id_col), F.lit(0))).scalar()
-    if block:
-        rows = running_totals(new_rows.withColumn("_one", F.lit(1)), ["_one"], F.col(block), order, {"_i": F.lit(1)})
-        rows = rows.drop("_one", "_i_all")
-    else:
-        rows = new_rows.withColumn("_i", F.row_number().over(Window.orderBy(*order)))
-    return rows.withColumn(id_col, (top + F.col("_i")).cast("long")).drop("_i")
+    cell = F.col(block or order[0]) if block is None or isinstance(block, str) else block
+    rows = running_totals(new_rows.withColumn("_one", F.lit(1)), ["_one"], cell, order, {"_i": F.lit(1)})
+    return rows.drop("_one", "_i_all").withColumn(id_col, (top + F.col("_i")).cast("long")).drop("_i")
 
 
 def prune(df: DataFrame, column: str, as_of: Column, days: int) -> DataFrame:

@@ -289,7 +289,7 @@ def s14_assign_ids(spark, d):
     o = Tables(spark, d).orders
     new = o.filter(F.col("o_orderpriority") == "1-URGENT").select("o_orderkey", F.to_date("o_orderdate").alias("date"))
     old = o.filter(F.col("o_orderpriority") != "1-URGENT").select(F.col("o_orderkey").alias("id"))
-    return tidy(T.assign_ids(new, old, ["date", "o_orderkey"], block="date"))
+    return tidy(T.assign_ids(new, old, ["date", "o_orderkey"], block=F.struct("date", F.floor(F.col("o_orderkey") / 65536))))
 
 
 @query
