@@ -68,28 +68,27 @@ def non_overlapping(trades: DataFrame) -> DataFrame:
     """Keeps, per symbol, the trades a sequential replay would take: the next entry lies after the previous exit.
 
     A trade that starts after every earlier trade's exit is always taken, so each such trade starts an independent
-    run. Runs are folded one by one, not whole symbols. The window that finds the runs streams over a symbol's signals,
-    of which there is at most one per bar.
+    run. Runs are folded one by one, not whole symbols, and only as pairs of bar numbers; the trades themselves are found again by an
+    equality join. The window that finds the runs streams over a symbol's signals, of which there is at most one per bar.
+    Give it stored rows: it reads them twice.
     """
     w = Window.partitionBy("symbol").orderBy("entry_no")
     reach = F.max("exit_no").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    runs = trades.withColumn("_new", F.coalesce((F.col("entry_no") > reach).cast("long"), F.lit(1)))
-    runs = runs.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
-    whole = F.struct("entry_no", "exit_no", *[c for c in trades.columns if c not in ("symbol", "entry_no", "exit_no")])
+    span = trades.select("symbol", F.col("entry_no").cast("long").alias("entry_no"), F.col("exit_no").cast("long").alias("exit_no"))
+    runs = span.withColumn("_new", F.coalesce((F.col("entry_no") > reach).cast("long"), F.lit(1)))
+    runs = runs.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     empty = F.struct(F.lit(0).cast("long").alias("until"), F.array().cast("array<bigint>").alias("taken"))
 
     def take(acc, t):
         return F.when(t["entry_no"] > acc["until"], F.struct(
-            t["exit_no"].cast("long").alias("until"), F.concat(acc["taken"], F.array(t["entry_no"].cast("long"))).alias("taken")
+            t["exit_no"].alias("until"), F.concat(acc["taken"], F.array(t["entry_no"])).alias("taken")
         )).otherwise(acc)
 
-    return (
-        runs.groupBy("symbol", "_run").agg(F.array_sort(
-            F.collect_list(whole), lambda x, y: F.when(x["entry_no"] < y["entry_no"], -1).otherwise(1)
-        ).alias("ts"))
-        .withColumn("taken", F.aggregate("ts", empty, take)["taken"])
-        .select("symbol", F.inline(F.filter("ts", lambda t: F.array_contains("taken", t["entry_no"].cast("long")))))
+    taken = (
+        runs.groupBy("symbol", "_run").agg(F.sort_array(F.collect_list(F.struct("entry_no", "exit_no"))).alias("ts"))
+        .select("symbol", F.explode(F.aggregate("ts", empty, take)["taken"]).alias("entry_no"))
     )
+    return trades.join(taken, ["symbol", "entry_no"], "left_semi")
 
 
 def settle(trades: DataFrame, today: DataFrame, s: Settings = Settings()) -> DataFrame:

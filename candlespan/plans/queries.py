@@ -69,6 +69,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, d: str):
         self.spark, self.d = spark, d
+        self._trades: DataFrame | None = None
 
     def __getattr__(self, name: str) -> DataFrame:
         return B.table(self.spark, self.d, name)
@@ -113,9 +114,11 @@ class Tables:
         return near_high(p).filter("own")
 
     def trades(self) -> DataFrame:
-        """Non-overlapping labelled signals; symbol and entry bar identify a trade, so ids need no numbering pass."""
-        t = TR.non_overlapping(TR.label_outcomes(self.signals()).select(*trade_columns()))
-        return t.withColumn("id", F.concat_ws("-", "symbol", "entry_no"))
+        """Non-overlapping labelled signals, worked out once; symbol and entry bar identify a trade, so ids need no numbering pass."""
+        if self._trades is None:
+            labelled = stored(TR.label_outcomes(self.signals()).select(*trade_columns()), "labelled")
+            self._trades = TR.non_overlapping(labelled).withColumn("id", F.concat_ws("-", "symbol", "entry_no"))
+        return self._trades
 
 
 def near_high(p: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ from candlespan.operators.quality import bad_move, continuous, first_failure
 from candlespan.operators.ranking import percentile_ranks
 from candlespan.operators.stage import with_stage
 from candlespan.operators.trades import label_outcomes, non_overlapping, with_future
+from candlespan.session import stored
 
 Signal = Callable[[DataFrame, Settings], DataFrame]
 
@@ -109,4 +110,4 @@ def replay(rows: DataFrame, signal: Signal = default_signal, s: Settings = Setti
     if lookback:
         rows = rows.filter(F.col("bar_no") > F.col("n_bars") - lookback)
     fired = signal(rows.filter("own"), s).filter(F.col("atr_14").isNotNull())
-    return non_overlapping(label_outcomes(fired, s))
+    return non_overlapping(stored(label_outcomes(fired, s), "labelled"))
