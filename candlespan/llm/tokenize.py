@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import zlib
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,9 +33,11 @@ LATIN = r"A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}"
 WHITE = r"\s\x0b\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 ODD = rf"\x00| ([{WHITE}]|$)"
 CUTS = ((rf"([0-9{LATIN}])([.,!?:;])", rf"\1{MARK}\2"), (rf"([0-9{LATIN}.,!?:;])\n([{LATIN}])", f"\\1\n{MARK}\\2"))
+#: Pieces that are one word to the scheme.
+PLAIN = rf"^ ?[{LATIN}]+$"
 #: Bytes of remembered pieces, by a generous estimate, before a worker forgets them all; characters encoded at a time.
 REMEMBERED = 250 << 20
-SLICE = 16 << 20
+SLICE = 8 << 20
 
 
 class PieceEncoder:
@@ -46,9 +49,12 @@ class PieceEncoder:
 
     def __init__(self, vocabulary: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        #: The same tokenizer for words that are already cut.
+        self.words = Tokenizer.from_file(vocabulary)
+        self.words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.known: dict[str, bytes] = {}
         self.size, self.remembered = 0, remembered
         # a token of a byte-level vocabulary is written with one character for each byte
@@ -59,30 +65,37 @@ class PieceEncoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Pieces that start with a blank are encoded as one text, which is much cheaper, and parted by their lengths in bytes."""
+    def _learn(self, pieces: list[str], plain: list[bool]) -> None:
+        """Remembers the ids of new pieces. Those that are one word of Latin letters go to the library as words that need no
+        further cutting, others as they are."""
         if self.size > self.remembered:
             self.known, self.size = {}, 0
-        blank = [p for p in pieces if p[:1] == " "]
-        other = [p for p in pieces if p[:1] != " "]
-        self.known.update(zip(other, self._ids(other)))
-        for i in range(0, len(blank), 8192):
-            part = blank[i : i + 8192]
-            (ids,) = self._ids(["".join(part)])
+        other = [p for p, one in zip(pieces, plain) if not one]
+        found = self._ids(other)
+        self.known.update(zip(other, found))
+        self.size += sum(map(len, found))
+        words = [p for p, one in zip(pieces, plain) if one]
+        for i in range(0, len(words), 8192):
+            part = words[i : i + 8192]
+            (e,) = self.words.encode_batch_fast([part], is_pretokenized=True, add_special_tokens=False)
+            ids = array("I", e.ids).tobytes()
             ends = np.cumsum(self.n_bytes[np.frombuffer(ids, "<u4")])
             lengths = np.fromiter(map(len, map(str.encode, part)), np.int64, len(part))
             cuts = (4 * np.searchsorted(ends, np.cumsum(lengths), side="right")).tolist()
             self.known.update(zip(part, map(ids.__getitem__, map(slice, [0, *cuts[:-1]], cuts))))
-            self.size += len(ids) + int(lengths.sum())
-        self.size += 200 * len(pieces) + 5 * sum(map(len, other))
+            self.size += len(ids)
+        self.size += 200 * len(pieces) + sum(map(len, pieces))
 
-    def encode(self, texts: pa.StringArray) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit numbers."""
+    def encode(self, texts: pa.StringArray) -> Iterator[bytes]:
+        """The ids of each text as little-endian 32-bit numbers, worked out a slice of the texts at a time."""
         sizes = np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False)) // SLICE
         edges = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(texts)]
-        return [ids for a, b in zip(edges, edges[1:]) if b > a for ids in self._slice(texts.slice(a, b - a))]
+        for a, b in zip(edges, edges[1:]):
+            yield from self._slice(texts.slice(a, b - a))
 
     def _slice(self, texts: pa.StringArray) -> list[bytes]:
+        if not len(texts):
+            return []
         odd = pc.match_substring_regex(texts, ODD)
         marked = pc.replace_substring(texts, " ", MARK + " ")
         for pattern, put in CUTS:
@@ -92,8 +105,9 @@ class PieceEncoder:
         pieces = coded.dictionary.to_pylist()
         known = self.known
         held = [known.get(p) for p in pieces]
-        if fresh := [p for p, ids in zip(pieces, held) if ids is None]:
-            self._learn(fresh)
+        if None in held:
+            plain = pc.match_substring_regex(coded.dictionary, PLAIN).to_pylist()
+            self._learn(*zip(*[(p, one) for p, ids, one in zip(pieces, held, plain) if ids is None]))
             held = [ids if ids is not None else self.known[p] for p, ids in zip(pieces, held)]
         lengths = np.fromiter(map(len, held), np.int64, len(held)) // 4
         tokens = np.frombuffer(b"".join(held), "<u4")
