@@ -8,6 +8,7 @@ in the whole, so no task and no driver sees more than one row per shard.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -33,11 +34,11 @@ LATIN = r"A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}"
 WHITE = r"\s\x0b\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 ODD = rf"\x00| ([{WHITE}]|$)"
 CUTS = ((rf"([0-9{LATIN}])([.,!?:;])", rf"\1{MARK}\2"), (rf"([0-9{LATIN}.,!?:;])\n([{LATIN}])", f"\\1\n{MARK}\\2"))
-#: Pieces that are one word to the scheme.
-PLAIN = rf"^ ?[{LATIN}]+$"
+#: Pieces that may follow a single line end.
+LETTERED = re.compile("[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F](?:.*\\S)?\\Z", re.S)
 #: Bytes of remembered pieces, by a generous estimate, before a worker forgets them all; characters encoded at a time.
 REMEMBERED = 250 << 20
-SLICE = 8 << 20
+SLICE = 16 << 20
 
 
 class PieceEncoder:
@@ -49,12 +50,9 @@ class PieceEncoder:
 
     def __init__(self, vocabulary: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        #: The same tokenizer for words that are already cut.
-        self.words = Tokenizer.from_file(vocabulary)
-        self.words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.known: dict[str, bytes] = {}
         self.size, self.remembered = 0, remembered
         # a token of a byte-level vocabulary is written with one character for each byte
@@ -65,26 +63,31 @@ class PieceEncoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str], plain: list[bool]) -> None:
-        """Remembers the ids of new pieces. Those that are one word of Latin letters go to the library as words that need no
-        further cutting, others as they are."""
+    def _learn(self, pieces: list[str]) -> None:
+        """Remembers the ids of new pieces. Those that start with a blank, and after a line end those that are a word, are encoded
+        as one text, which is much cheaper, and parted by their lengths in bytes."""
         if self.size > self.remembered:
             self.known, self.size = {}, 0
-        other = [p for p, one in zip(pieces, plain) if not one]
+        other: list[str] = []
+        for skip, part in ((0, [p for p in pieces if p[:1] == " "]), (1, [p for p in pieces if p[:1] != " "])):
+            if skip:
+                other = [p for p in part if not LETTERED.match(p)]
+                part = [p for p in part if LETTERED.match(p)]
+            for i in range(0, len(part), 8192):
+                self._learn_as_one(part[i : i + 8192], skip)
         found = self._ids(other)
         self.known.update(zip(other, found))
-        self.size += sum(map(len, found))
-        words = [p for p, one in zip(pieces, plain) if one]
-        for i in range(0, len(words), 8192):
-            part = words[i : i + 8192]
-            (e,) = self.words.encode_batch_fast([part], is_pretokenized=True, add_special_tokens=False)
-            ids = array("I", e.ids).tobytes()
-            ends = np.cumsum(self.n_bytes[np.frombuffer(ids, "<u4")])
-            lengths = np.fromiter(map(len, map(str.encode, part)), np.int64, len(part))
-            cuts = (4 * np.searchsorted(ends, np.cumsum(lengths), side="right")).tolist()
-            self.known.update(zip(part, map(ids.__getitem__, map(slice, [0, *cuts[:-1]], cuts))))
-            self.size += len(ids)
-        self.size += 200 * len(pieces) + sum(map(len, pieces))
+        self.size += 200 * len(pieces) + sum(map(len, found))
+
+    def _learn_as_one(self, part: list[str], skip: int) -> None:
+        (ids,) = self._ids(["".join(part) if not skip else "\n" + "\n".join(part)])
+        ends = np.cumsum(self.n_bytes[np.frombuffer(ids, "<u4")])
+        lengths = np.fromiter(map(len, map(str.encode, part)), np.int64, len(part)) + skip
+        cuts = (4 * np.searchsorted(ends, np.cumsum(lengths), side="right")).tolist()
+        # the line end before a word is a token of its own
+        starts = [a + 4 * skip for a in [0, *cuts[:-1]]]
+        self.known.update(zip(part, map(ids.__getitem__, map(slice, starts, cuts))))
+        self.size += len(ids) + int(lengths.sum())
 
     def encode(self, texts: pa.StringArray) -> Iterator[bytes]:
         """The ids of each text as little-endian 32-bit numbers, worked out a slice of the texts at a time."""
@@ -105,9 +108,8 @@ class PieceEncoder:
         pieces = coded.dictionary.to_pylist()
         known = self.known
         held = [known.get(p) for p in pieces]
-        if None in held:
-            plain = pc.match_substring_regex(coded.dictionary, PLAIN).to_pylist()
-            self._learn(*zip(*[(p, one) for p, ids, one in zip(pieces, held, plain) if ids is None]))
+        if fresh := [p for p, ids in zip(pieces, held) if ids is None]:
+            self._learn(fresh)
             held = [ids if ids is not None else self.known[p] for p, ids in zip(pieces, held)]
         lengths = np.fromiter(map(len, held), np.int64, len(held)) // 4
         tokens = np.frombuffer(b"".join(held), "<u4")
