@@ -38,7 +38,7 @@ CUTS = ((rf"([0-9{LATIN}])([.,!?:;])", rf"\1{MARK}\2"), (rf"([0-9{LATIN}.,!?:;])
 LETTERED = re.compile("[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F](?:.*\\S)?\\Z", re.S)
 #: Bytes of remembered pieces, by a generous estimate, before a worker forgets them all; characters encoded at a time.
 REMEMBERED = 250 << 20
-SLICE = 16 << 20
+SLICE = 4 << 20
 
 
 class PieceEncoder:
