@@ -17,6 +17,7 @@ from candlespan.operators.panel import own_rows, panel  # noqa: E402
 from candlespan.operators.ranking import percentile_ranks  # noqa: E402
 from candlespan.operators.stage import with_stage  # noqa: E402
 from candlespan.plans import scan  # noqa: E402
+from candlespan.plans.queries import QUERIES  # noqa: E402
 from candlespan.session import build_session, scratch_dir  # noqa: E402
 from candlespan.sources.walk import table, universe, walk_bars  # noqa: E402
 
@@ -50,6 +51,10 @@ def main() -> None:
     run("panel_all_patterns", own_rows(scan.analysed(bars, s)))
     run("morning_scan", scan.morning_scan(bars, dims, s))
     run("replay", scan.replay(scan.analysed(bars, s), s=s))
+    for name, query in (("correlation", "a12_mean_correlation"), ("excursions", "a18_excursions"), ("full_report", "a8_full_report"), ("trade_stream", "x4_stream_tracker")):
+        start = time.time()
+        QUERIES[query](spark, folder).write.format("noop").mode("overwrite").save()
+        times[name] = round(time.time() - start, 3)
     sf = re.search(r"sf([\d.]+)", folder)
     print(json.dumps({
         "metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
