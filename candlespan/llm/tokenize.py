@@ -37,7 +37,7 @@ CUTS = ((rf"([0-9{LATIN}])([.,!?:;])", rf"\1{MARK}\2"), (rf"([0-9{LATIN}.,!?:;])
 #: Pieces that may follow a single line end.
 LETTERED = re.compile("[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F](?:.*\\S)?\\Z", re.S)
 #: Bytes of remembered pieces, by a generous estimate, before a worker forgets them all; characters encoded at a time.
-REMEMBERED = 250 << 20
+REMEMBERED = 160 << 20
 SLICE = 4 << 20
 
 
@@ -94,7 +94,8 @@ class PieceEncoder:
         sizes = np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False)) // SLICE
         edges = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(texts)]
         for a, b in zip(edges, edges[1:]):
-            yield from self._slice(texts.slice(a, b - a))
+            yield from self._slice(texts.slice(a, b - a).cast(pa.large_string()))
+            release()
 
     def _slice(self, texts: pa.StringArray) -> list[bytes]:
         if not len(texts):
@@ -142,13 +143,11 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int = EN
         encoder, writer, shard = kept_in_worker(f"tokens {vocabulary}", lambda: PieceEncoder(vocabulary)), None, TaskContext.get().partitionId()
         path, n_docs = f"{folder}/shard-{shard:06d}.tok", 0
         for batch in batches:
-            texts = batch.column("text").cast(pa.large_string())
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts)):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text"))):
                 writer = writer or ShardWriter(path)
                 ids = b"".join((ids, end))
                 writer.add(doc_id, ids, zlib.crc32(ids))
                 n_docs += 1
-            release()
         if writer:
             yield pa.RecordBatch.from_pylist([{"shard": shard, "path": path, "n_docs": n_docs, "n_tokens": writer.close()}])
 
