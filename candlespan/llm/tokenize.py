@@ -37,7 +37,7 @@ CUTS = ((rf"([0-9{LATIN}])([.,!?:;])", rf"\1{MARK}\2"), (rf"([0-9{LATIN}.,!?:;])
 #: Pieces that may follow a single line end.
 LETTERED = re.compile("[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F](?:.*\\S)?\\Z", re.S)
 #: Bytes of remembered pieces, by a generous estimate, before a worker forgets them all; characters encoded at a time.
-REMEMBERED = 160 << 20
+REMEMBERED = 250 << 20
 SLICE = 4 << 20
 
 
@@ -130,7 +130,7 @@ class PieceEncoder:
         return out
 
 
-def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END_ID) -> DataFrame:
+def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END_ID, remembered: int = REMEMBERED) -> DataFrame:
     """The manifest (shard, path, n_docs, n_tokens) after writing docs (doc_id, text) under `folder`, a shared one.
 
     Null text is empty, each document ends with `end_id`. Null doc_ids come first; equal ones are in the order of the hash of
@@ -140,7 +140,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int = EN
     end = np.array([end_id], "<u4").tobytes()
 
     def write(batches):
-        encoder, writer, shard = kept_in_worker(f"tokens {vocabulary}", lambda: PieceEncoder(vocabulary)), None, TaskContext.get().partitionId()
+        encoder, writer, shard = kept_in_worker(f"tokens {vocabulary} {remembered}", lambda: PieceEncoder(vocabulary, remembered)), None, TaskContext.get().partitionId()
         path, n_docs = f"{folder}/shard-{shard:06d}.tok", 0
         for batch in batches:
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text"))):
@@ -182,10 +182,13 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     return spread.mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def token_output(docs: DataFrame, vocabulary: str, folder: str | None = None, end_id: int = END_ID) -> DataFrame:
+def token_output(
+    docs: DataFrame, vocabulary: str, folder: str | None = None, end_id: int = END_ID, remembered: int = REMEMBERED
+) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of docs (doc_id, text) written to and read back from token files.
 
     Other columns are ignored. Null text is empty and gives the end id alone. Repeated rows are written as often as they come. An
-    empty table writes no file and gives no rows. Without `folder`, a new one in the shared folder is used.
+    empty table writes no file and gives no rows. Without `folder`, a new one in the shared folder is used. `remembered` bounds a
+    worker's memory of pieces and bears on speed alone.
     """
-    return read_shards(write_shards(docs, folder or scratch_dir(docs.sparkSession, "tokens"), vocabulary, end_id))
+    return read_shards(write_shards(docs, folder or scratch_dir(docs.sparkSession, "tokens"), vocabulary, end_id, remembered))
