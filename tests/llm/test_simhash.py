@@ -148,3 +148,20 @@ def test_empty_and_single(spark):
     docs = spark.createDataFrame([(None, None)], "doc_id long, text string")
     assert [tuple(r) for r in near_duplicates(docs).collect()] == [(None, 0, None)]
     assert near_duplicates(docs.limit(0)).collect() == []
+
+
+def test_similar_groups_are_those_of_exact_similarity(spark):
+    rng = random.Random(11)
+    rows, want = [], {}
+    for g in range(300):
+        n, similar = (200, 40, 14)[g % 3], g % 2 == 0
+        base = [f"w{rng.randrange(10**9)}" for _ in range(n)]
+        # the last r words differ: (m - r) shingles of m + r are common
+        m = n - 4
+        r = max(k for k in range(m) if (m - k) / (m + k) >= 0.8) + (0 if similar else 1)
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(base[: n - r] + [f"v{rng.randrange(10**9)}" for _ in range(r)]))]
+        want[2 * g + 1] = 2 * g if similar else 2 * g + 1
+    found = {r.doc_id: r.component_id for r in similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(found[i] != i for i, c in want.items() if c == i)
+    met = sum(found[i] == c for i, c in want.items() if c != i)
+    assert met >= 0.94 * 150, met
