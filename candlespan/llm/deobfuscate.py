@@ -25,7 +25,9 @@ LEET_COST, KEEP_COST, REPEAT_COST, LONG_REPEAT_COST, DROP_COST = 1.0, 6.0, 2.0,
 
 WORD = re.compile(r"[\w@$!|+*]+")
 EDGES = "!|+*_"
-SPACED = re.compile(r"(?<![^\W_])(?:[^\W_][ .*_-]{1,2}){3,}[^\W_](?![^\W_])")
+SPACED = re.compile(r"(?<![^\W_])(?:(?:[^\W_]|[@$!|+])[ .*_-]{1,2}){2,}(?:[^\W_]|[@$!|+])(?![^\W_])")
+#: Every match of SPACED has its last two letters like this.
+SPACED_END = re.compile(r"[ .*_-](?:[^\W_]|[@$!|+])[ .*_-]{1,2}(?:[^\W_]|[@$!|+])(?![^\W_])")
 LEET = re.compile(r"[0-9@$!|+*]")
 LETTER = re.compile(r"[^\W\d_]")
 TRIPLE = re.compile(r"([^\W\d_])\1\1")
@@ -79,10 +81,14 @@ def _symbol(c: str) -> int:
 class Restorer:
     def __init__(self, model: np.ndarray):
         self.cost = model.ravel()
-        self.known: dict[str, str] = {}
+        self.known: dict[str, tuple[float, str]] = {}
 
     def decode(self, observed: str) -> str:
         """The most likely reading of a lower-case stretch; blanks in it separate single letters."""
+        return self._decoded(observed)[1]
+
+    def _decoded(self, observed: str) -> tuple[float, str]:
+        """The cost of the most likely reading, and the reading."""
         # context of three symbols and the last letter read -> (cost, reading)
         beam: dict[tuple[int, str], tuple[float, str]] = {(0, ""): (0.0, "")}
         cube, cost = SYMBOLS**3, self.cost
@@ -110,45 +116,65 @@ class Restorer:
                     code = context * SYMBOLS + OTHER
                     offer(code % cube, "", price + float(cost[code]) + KEEP_COST, reading + c)
             beam = nxt
-        return min(((price + float(cost[context * SYMBOLS]), reading) for (context, _), (price, reading) in beam.items()))[1]
+        return min(((price + float(cost[context * SYMBOLS]), reading) for (context, _), (price, reading) in beam.items()))
 
-    def word(self, word: str) -> str:
+    def weighed(self, word: str) -> tuple[float, str]:
         if (found := self.known.get(word)) is None:
             if len(self.known) > 200_000:
                 self.known.clear()
-            found = self.known[word] = self.decode(word)
+            found = self.known[word] = self._decoded(word)
         return found
 
+    def word(self, word: str) -> str:
+        return self.weighed(word)[1]
+
 
 def suspicious(word: str) -> bool:
     """Whether a lower-case word may hide another one: look-alikes among letters, or a letter three times in a row."""
     return bool(LEET.search(word) and LETTER.search(word) or TRIPLE.search(word))
 
 
+def _with_edges(edged: str, bare: str, restorer: Restorer) -> set[str]:
+    """The words of a stretch's reading with the marks at its edges, if it is likelier than that without them."""
+    price, reading = restorer.weighed(edged)
+    if price >= restorer.weighed(bare)[0]:
+        return set()
+    return {w for part in reading.split() if (w := part.strip(EDGES))}
+
+
 def forms(word: str, restorer: Restorer, doubled=lambda word: False) -> set[str]:
     """What a lower-case stretch without blanks may say: itself, or if it is suspicious, what it is restored to.
 
     `doubled` says for words with a letter twice in a row whether they are worth decoding; such words count in both forms, as
-    most are spelt so.
+    most are spelt so. Marks at the edges may be punctuation or letters, so words with such are read both ways, and
+    the reading with marks counts too where it is the likelier one.
     """
     w = word.strip(EDGES)
     if suspicious(w):
-        return set(restorer.word(w).split())
-    if w and DOUBLE.search(w) and doubled(w):
-        return {w, *restorer.word(w).split()}
-    return {w} if w else set()
+        out = set(restorer.word(w).split())
+    elif w and DOUBLE.search(w) and doubled(w):
+        out = {w, *restorer.word(w).split()}
+    else:
+        out = {w} if w else set()
+    edged = word.strip("*_")
+    if edged != w and LETTER.search(edged):
+        out |= _with_edges(edged, w, restorer)
+    return out
 
 
-def spaced_words(low: str, words: set[str], restorer: Restorer) -> set[str]:
-    """The words restored from single letters with blanks or marks between them. `words` are the text's: without three different
-    single letters among them, or marks that may stand inside a word, there is no such stretch."""
+def spaced_words(low: str, restorer: Restorer) -> set[str]:
+    """The words restored from three or more single letters or look-alikes with blanks or marks between them."""
     out: set[str] = set()
-    if sum(len(w) == 1 for w in words) < 3 and "_" not in low and "*" not in low:
+    if not SPACED_END.search(low):
         return out
     for m in SPACED.finditer(low):
         stretch = re.sub(r"[ .*_-]+", " ", m.group())
-        if len(set(stretch)) > 3:
-            out.update(restorer.word(stretch).split())
+        if len(set(stretch)) > 2:
+            # as in words, marks at the edges may be punctuation
+            bare = stretch.strip(EDGES + " ")
+            out.update(restorer.word(bare).split())
+            if bare != stretch:
+                out.update(_with_edges(stretch, bare, restorer))
     return out
 
 
@@ -156,4 +182,4 @@ def restored_words(text: str | None, restorer: Restorer, doubled=lambda word: Fa
     """The distinct lower-case words of a text, with the restored forms of its suspicious stretches."""
     low = (text or "").lower()
     words = set(WORD.findall(low))
-    return spaced_words(low, words, restorer).union(*[forms(w, restorer, doubled) for w in words])
+    return spaced_words(low, restorer).union(*[forms(w, restorer, doubled) for w in words])

@@ -90,3 +90,15 @@ def test_filter_keeps_columns_and_edge_cases(tables, spark):
     assert {r.score < 0.01 for r in toxicity(docs, labels.limit(0)).collect()} == {True}
     twice = spark.createDataFrame([(None, "x"), (None, "x"), (1, None)], "doc_id long, text string")
     assert sorted((r.doc_id is None, r.held_out, r.predicted) for r in toxicity(twice, labels).collect()) == [(False, False, 0), (True, True, 0), (True, True, 0)]
+
+
+def test_short_spaced_and_edge_marked_words_are_restored():
+    table, total = SymbolTable(), np.zeros(SYMBOLS**4, np.int64)
+    table.counts(" ".join(BAD + WORDS + ["tits", "noob", "ass", "shit"]) * 20, total)
+    r = Restorer(language_model(total))
+    for text, meant in {
+        "t i t s!": "tits", "n o o b!!": "noob", "river a s s": "ass", "@ s s": "ass", "s h ! t": "shit", "s-h-i-+": "shit",
+        "idio+": "idiot", "!diot": "idiot", "idiot!": "idiot", "i d i o t !": "idiot",
+    }.items():
+        assert meant in restored_words(text, r), text
+    assert restored_words("green river!", r) == {"green", "river"} and restored_words("a - a - a", r) == {"a"}
