@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlespan.llm import decontaminate, exact_dedup, language_model, mixing, pii, secrets, simhash, tokenize, toxicity, url_filter
+from candlespan.llm import bpe, decontaminate, exact_dedup, language_model, mixing, pii, secrets, simhash, tokenize, toxicity, url_filter
 from candlespan.sources.walk import table
 
 
@@ -76,6 +76,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def word_vocabulary() -> str:
+    """The vocabulary file with word ends of the public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op13_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode_texts(table(spark, sf_dir, "documents"), word_vocabulary(), decoded=True)
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_token_output": op2_token_output,
@@ -87,6 +102,7 @@ QUERIES = {
     "op8_personal_data": op8_personal_data,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
+    "op13_bpe_round_trip": op13_bpe_round_trip,
 }
 
 #: Places are running sums of the lengths of the pieces between matches and of the matches.
