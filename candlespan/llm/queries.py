@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlespan.llm import bpe, decontaminate, exact_dedup, language_model, mixing, pii, secrets, simhash, tokenize, toxicity, url_filter
+from candlespan.llm import bpe, decontaminate, exact_dedup, language_model, mixing, pii, secrets, simhash, tokenize, toxicity, url_filter, vector_codes
 from candlespan.sources.walk import table
 
 
@@ -83,6 +85,15 @@ def word_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.compress_vectors(table(spark, sf_dir, "embeddings"))
+    digest = hashlib.sha256(",".join(str(x) for book in books for x in book.ravel().tolist()).encode()).hexdigest()
+    return vector_codes.label_errors(codes).select(
+        F.col("id").alias("vec_id"), vector_codes.code_text(F.col("code")).alias("code"), "error", "label_error",
+        F.lit(digest).alias("codebooks_sha256"),
+    )
+
+
 def op13_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_texts(table(spark, sf_dir, "documents"), word_vocabulary(), decoded=True)
     return coded.select(
@@ -102,6 +113,7 @@ QUERIES = {
     "op8_personal_data": op8_personal_data,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
+    "op12_vector_codes": op12_vector_codes,
     "op13_bpe_round_trip": op13_bpe_round_trip,
 }
 
@@ -125,6 +137,39 @@ SECRETS_SQL = """
         )
         SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
             sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs LEFT JOIN spans USING (doc_id)"""
+
+
+def codebook_sql(entries: int = 256, parts: int = 4, rounds: int = 4, width: int = 16) -> str:
+    """Every point against every entry, in doubles that hold whole numbers; one pair of tables for each round."""
+    near = """
+        near{r} AS MATERIALIZED (
+            SELECT row, p, arg_min(e, dist * 1000 + e) AS e, CAST(min(dist) AS BIGINT) AS dist FROM (
+                SELECT row, x.p, e, list_inner_product(v, v) - 2 * list_inner_product(v, c) + list_inner_product(c, c) AS dist
+                FROM points x JOIN book{r} b ON x.p = b.p) GROUP BY row, p),"""
+    moved = """
+        book{n} AS MATERIALIZED (
+            SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM book{r} b LEFT JOIN (
+                SELECT p, e, list(mean ORDER BY i) AS c FROM (
+                    SELECT n.p, n.e, i, floor(sum(v[i]) / count(*)) AS mean
+                    FROM near{r} n JOIN points x ON x.row = n.row AND x.p = n.p, range(1, @width + 1) t(i) GROUP BY n.p, n.e, i)
+                GROUP BY p, e) m ON m.p = b.p AND m.e = b.e),"""
+    text = """
+        WITH kept AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY vec_id, embedding) AS row, vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v
+            FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        points AS MATERIALIZED (SELECT row, p, v[p * @width + 1:(p + 1) * @width] AS v FROM kept, range(@parts) t(p)),
+        book0 AS MATERIALIZED (SELECT p, row - 1 AS e, v AS c FROM points WHERE row <= @entries),"""
+    for r in range(rounds + 1):
+        text += near.format(r=r) + (moved.format(r=r, n=r + 1) if r < rounds else "")
+    text += """
+        codes AS (SELECT row, string_agg(lpad(lower(to_hex(e)), 2, '0'), '' ORDER BY p) AS code, CAST(sum(dist) AS BIGINT) AS error FROM near@rounds GROUP BY row),
+        book AS (SELECT sha256(string_agg(CAST(CAST(c[i] AS BIGINT) AS VARCHAR), ',' ORDER BY p, e, i)) AS codebooks_sha256 FROM book@rounds, range(1, @width + 1) t(i))
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM kept JOIN codes USING (row), book"""
+    for name, value in (("@entries", entries), ("@parts", parts), ("@rounds", rounds), ("@width", width)):
+        text = text.replace(name, str(value))
+    return text
+
+
 _quoted = lambda x: "'" + x.replace("'", "''") + "'"
 
 ORACLES = {
@@ -162,6 +207,7 @@ ORACLES = {
             coalesce((SELECT arg_max(verdict, length(rule_host || rule_path)) FROM rules
              WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)), 'allow') AS verdict
         FROM urls""",
+    "op12_vector_codes": codebook_sql(),
     "op7_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
