@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlespan.llm import bpe, decontaminate, exact_dedup, language_model, mixing, pii, secrets, simhash, tokenize, toxicity, url_filter, vector_codes
+from candlespan.llm import bpe, decontaminate, exact_dedup, language_model, mixing, pii, secrets, simhash, spelling, tokenize, toxicity, url_filter, vector_codes
 from candlespan.sources.walk import table
 
 
@@ -85,6 +85,10 @@ def word_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes, books = vector_codes.compress_vectors(table(spark, sf_dir, "embeddings"))
     digest = hashlib.sha256(",".join(str(x) for book in books for x in book.ravel().tolist()).encode()).hexdigest()
@@ -113,6 +117,7 @@ QUERIES = {
     "op8_personal_data": op8_personal_data,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_vector_codes": op12_vector_codes,
     "op13_bpe_round_trip": op13_bpe_round_trip,
 }
@@ -172,6 +177,39 @@ def codebook_sql(entries: int = 256, parts: int = 4, rounds: int = 4, width: int
 
 _quoted = lambda x: "'" + x.replace("'", "''") + "'"
 
+#: A word one letter shorter equals the longer one without some letter; words of one length, without the letter at one place.
+SPELLING_SQL = r"""
+        WITH RECURSIVE crc_table AS (
+            SELECT list(c ORDER BY k) AS t FROM (SELECT k, list_reduce(list_prepend(k, range(8)), lambda c, x: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)) AS c FROM range(256) b(k))
+        ), runs AS (
+            SELECT doc_id, run, count(*) AS n FROM (
+                SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents)
+            WHERE length(run) >= 6 GROUP BY ALL
+        ), bytes AS (
+            SELECT *, list_transform(range(CAST(length(code) / 2 AS BIGINT)), lambda i: 16 * (strpos('0123456789ABCDEF', code[2 * i + 1]) - 1) + strpos('0123456789ABCDEF', code[2 * i + 2]) - 1) AS b
+            FROM (SELECT *, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS code FROM runs)
+        ), hashed AS (
+            SELECT run, n, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM bytes, crc_table
+        ), words AS MATERIALIZED (
+            SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed)
+            WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+        ), less AS MATERIALIZED (
+            SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT *, unnest(range(length(word))) AS i FROM words)
+        ), pairs AS (
+            SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+            UNION SELECT a.word, a.n, b.word, b.n FROM less a JOIN words b ON a.rest = b.word
+            UNION SELECT b.word, b.n, a.word, a.n FROM less a JOIN words b ON a.rest = b.word
+        ), best AS MATERIALIZED (
+            SELECT word, n, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS near, max(near_n) AS near_n FROM pairs GROUP BY word, n
+        ), forms AS MATERIALIZED (
+            SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * w.n THEN near END AS form, CASE WHEN near_n >= 5 * w.n THEN near_n END AS form_n
+            FROM words w LEFT JOIN best b ON b.word = w.word
+        ), walk AS (
+            SELECT word, word AS at FROM forms
+            UNION ALL SELECT k.word, f.form FROM walk k JOIN forms f ON f.word = k.at WHERE f.form IS NOT NULL
+        ), ends AS (SELECT k.word, k.at AS root FROM walk k JOIN forms f ON f.word = k.at WHERE f.form IS NULL)
+        SELECT word, form, root, n, n_near, form_n FROM forms JOIN ends USING (word)"""
+
 ORACLES = {
     "op1_secret_scan": SECRETS_SQL.replace("@@RULES@@", ", ".join(
         f"({i}, {_quoted(r.kind)}, {_quoted(r.pattern)}, {r.group}, {r.least})" for i, r in enumerate(secrets.BASE + secrets.MORE)
@@ -207,6 +245,7 @@ ORACLES = {
             coalesce((SELECT arg_max(verdict, length(rule_host || rule_path)) FROM rules
              WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)), 'allow') AS verdict
         FROM urls""",
+    "op11_spelling_variants": SPELLING_SQL,
     "op12_vector_codes": codebook_sql(),
     "op7_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
