@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from candlespan.llm import toxicity as toxicity_module
 from candlespan.llm.deobfuscate import SYMBOLS, Restorer, SymbolTable, language_model, restored_words, suspicious
 from candlespan.llm.toxicity import clean_only, scored, symbol_counts, toxicity, train
 
@@ -32,7 +33,7 @@ def tables(spark):
     return rows, docs, labels
 
 
-def test_symbol_counts_match_brute_force(spark):
+def test_symbol_counts_match_brute_force(spark, monkeypatch):
     texts = ["Ab é-c", None, "", "x" * 5000 + " " + "yé1" * 900]
     want = Counter()
     for t in texts:
@@ -41,6 +42,9 @@ def test_symbol_counts_match_brute_force(spark):
             want.update(((s[i] * SYMBOLS + s[i + 1]) * SYMBOLS + s[i + 2]) * SYMBOLS + s[i + 3] for i in range(len(s) - 3))
     got = symbol_counts(spark.createDataFrame([(t,) for t in texts], "text string"))
     assert {i: got[i] for i in np.flatnonzero(got)} == want
+    monkeypatch.setattr(toxicity_module, "JOINED", 300)
+    many = symbol_counts(spark.createDataFrame([(t,) for t in texts * 40], "text string").coalesce(1))
+    assert (many == 40 * got).all()
     table, total = SymbolTable(), np.zeros(SYMBOLS**4, np.int64)
     table.counts(texts[3], total, chunk=7)
     table.counts(texts[0], total)
