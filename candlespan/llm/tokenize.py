@@ -48,13 +48,13 @@ class PieceEncoder:
     place with array operations. The result equals encoding each whole text.
     """
 
-    def __init__(self, vocabulary: str, remembered: int = REMEMBERED):
+    def __init__(self, vocabulary: str, remembered: int = REMEMBERED, size: int = SLICE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.known: dict[str, bytes] = {}
-        self.size, self.remembered = 0, remembered
+        self.size, self.remembered, self.slice = 0, remembered, size
         # a token of a byte-level vocabulary is written with one character for each byte
         self.n_bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab().items():
@@ -91,7 +91,7 @@ class PieceEncoder:
 
     def encode(self, texts: pa.StringArray) -> Iterator[bytes]:
         """The ids of each text as little-endian 32-bit numbers, worked out a slice of the texts at a time."""
-        sizes = np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False)) // SLICE
+        sizes = np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False)) // self.slice
         edges = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(texts)]
         for a, b in zip(edges, edges[1:]):
             yield from self._slice(texts.slice(a, b - a).cast(pa.large_string()))
@@ -130,7 +130,9 @@ class PieceEncoder:
         return out
 
 
-def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END_ID, remembered: int = REMEMBERED) -> DataFrame:
+def write_shards(
+    docs: DataFrame, folder: str, vocabulary: str, end_id: int = END_ID, remembered: int = REMEMBERED, size: int = SLICE
+) -> DataFrame:
     """The manifest (shard, path, n_docs, n_tokens) after writing docs (doc_id, text) under `folder`, a shared one.
 
     Null text is empty, each document ends with `end_id`. Null doc_ids come first; equal ones are in the order of the hash of
@@ -140,7 +142,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int = EN
     end = np.array([end_id], "<u4").tobytes()
 
     def write(batches):
-        encoder, writer, shard = kept_in_worker(f"tokens {vocabulary} {remembered}", lambda: PieceEncoder(vocabulary, remembered)), None, TaskContext.get().partitionId()
+        encoder, writer, shard = kept_in_worker(f"tokens {vocabulary} {remembered} {size}", lambda: PieceEncoder(vocabulary, remembered, size)), None, TaskContext.get().partitionId()
         path, n_docs = f"{folder}/shard-{shard:06d}.tok", 0
         for batch in batches:
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text"))):
@@ -183,12 +185,12 @@ def read_shards(manifest: DataFrame) -> DataFrame:
 
 
 def token_output(
-    docs: DataFrame, vocabulary: str, folder: str | None = None, end_id: int = END_ID, remembered: int = REMEMBERED
+    docs: DataFrame, vocabulary: str, folder: str | None = None, end_id: int = END_ID, remembered: int = REMEMBERED, size: int = SLICE
 ) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of docs (doc_id, text) written to and read back from token files.
 
     Other columns are ignored. Null text is empty and gives the end id alone. Repeated rows are written as often as they come. An
     empty table writes no file and gives no rows. Without `folder`, a new one in the shared folder is used. `remembered` bounds a
-    worker's memory of pieces and bears on speed alone.
+    worker's memory of pieces and `size` the characters it works on at a time; both bear on speed and memory alone.
     """
-    return read_shards(write_shards(docs, folder or scratch_dir(docs.sparkSession, "tokens"), vocabulary, end_id, remembered))
+    return read_shards(write_shards(docs, folder or scratch_dir(docs.sparkSession, "tokens"), vocabulary, end_id, remembered, size))
