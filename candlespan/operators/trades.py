@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from candlespan.config import OPEN_STATES, Risk, Settings
 from candlespan.functions import sizing as Z
 from candlespan.operators.panel import frame
+from candlespan.session import stored
 
 BUCKET_DAYS = 64
+#: Bars in a block of the choice of non-overlapping trades.
+BLOCK_BARS = 4096
 
 
 def label_outcomes(signals: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -64,30 +73,87 @@ def with_future(panel: DataFrame, hold: int = 30) -> DataFrame:
     return panel.withColumn("ahead", F.collect_list(F.struct("date", "open", "high", "low", "close")).over(frame(1, hold)))
 
 
-def non_overlapping(trades: DataFrame) -> DataFrame:
+def _links(entries: np.ndarray, exits: np.ndarray) -> np.ndarray:
+    """The place of each trade's successor in its block: the first entry after its exit; the length where none is left."""
+    return np.searchsorted(entries, exits, side="right")
+
+
+def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds to each block, for every trade, the bar from which a replay that took it looks for its next trade outside the block."""
+    for batch in batches:
+        out = []
+        for k in range(len(batch)):
+            entries, exits = (batch.column(c)[k].values.to_numpy() for c in ("entries", "exits"))
+            n = len(entries)
+            to = _links(entries, exits)
+            last = np.where(to == n, np.arange(n), to)  # the chain inside the block, twice as far in each round
+            while not np.array_equal(last, further := last[last]):
+                last = further
+            out.append(exits[last] + 1)
+        yield batch.append_column("leaves", pa.array(out, pa.list_(pa.int64())))
+
+
+def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The entries taken in each block from the one it is reached at."""
+    for batch in batches:
+        owner, taken = [], []
+        for k, landing in enumerate(batch.column("landing").to_pylist()):
+            entries, exits = (batch.column(c)[k].values.to_numpy() for c in ("entries", "exits"))
+            to, i = _links(entries, exits).tolist(), int(np.searchsorted(entries, landing))
+            while i < len(to):
+                owner.append(k)
+                taken.append(entries[i])
+                i = to[i]
+        yield pa.RecordBatch.from_arrays([batch.column("symbol").take(pa.array(owner, pa.int64())), pa.array(taken, pa.int64())], ["symbol", "entry_no"])
+
+
+def non_overlapping(trades: DataFrame, block: int = BLOCK_BARS) -> DataFrame:
     """Keeps, per symbol, the trades a sequential replay would take: the next entry lies after the previous exit.
 
-    A trade that starts after every earlier trade's exit is always taken, so each such trade starts an independent
-    run. Runs are folded one by one, not whole symbols, and only as pairs of bar numbers; the trades themselves are found again by an
-    equality join. The window that finds the runs streams over a symbol's signals, of which there is at most one per bar.
-    Give it stored rows: it reads them twice.
+    A trade's successor is the first entry after its exit. Trades are packed into blocks of `block` bars; inside a block all chains of
+    successors are followed at once. A chain leaves its block at some bar, and finds the trade it goes on with by an equality
+    join on (symbol, block): these crossings, at most as many for a block as bars a trade is held, are the nodes of a much smaller
+    graph. Those that the chain from the symbol's first trade reaches are marked by pointer doubling, in as many rounds
+    as the number of a symbol's blocks has binary digits. Each block is then walked from the one trade it is reached at. So a task never
+    holds more than a block of one symbol, however long its signals overlap, and the one window has a row for a block.
+
+    A symbol has at most one trade per entry bar, as signals are one per bar, and trades exit after their entry. Give it stored
+    rows: it reads them twice.
     """
-    w = Window.partitionBy("symbol").orderBy("entry_no")
-    reach = F.max("exit_no").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    span = trades.select("symbol", F.col("entry_no").cast("long").alias("entry_no"), F.col("exit_no").cast("long").alias("exit_no"))
-    runs = span.withColumn("_new", F.coalesce((F.col("entry_no") > reach).cast("long"), F.lit(1)))
-    runs = runs.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    empty = F.struct(F.lit(0).cast("long").alias("until"), F.array().cast("array<bigint>").alias("taken"))
-
-    def take(acc, t):
-        return F.when(t["entry_no"] > acc["until"], F.struct(
-            t["exit_no"].alias("until"), F.concat(acc["taken"], F.array(t["entry_no"])).alias("taken")
-        )).otherwise(acc)
-
-    taken = (
-        runs.groupBy("symbol", "_run").agg(F.sort_array(F.collect_list(F.struct("entry_no", "exit_no"))).alias("ts"))
-        .select("symbol", F.explode(F.aggregate("ts", empty, take)["taken"]).alias("entry_no"))
-    )
+    number = lambda c: F.col(c).cast("long").alias(c)
+    span = trades.select("symbol", number("entry_no"), number("exit_no"))
+    packed = span.groupBy("symbol", F.floor(F.col("entry_no") / block).alias("block")).agg(
+        F.sort_array(F.collect_list(F.struct("entry_no", "exit_no"))).alias("ts")
+    ).select("symbol", "block", F.col("ts.entry_no").alias("entries"), F.col("ts.exit_no").alias("exits"))
+    blocks = stored(packed.mapInArrow(_leaves, T.StructType([*packed.schema, T.StructField("leaves", T.ArrayType(T.LongType()))])), "trade-blocks")
+
+    first = blocks.groupBy("symbol").agg(F.min(F.col("entries")[0]).alias("x"), F.count("*").alias("n"))
+    most = first.agg(F.max("n")).first()[0] or 1
+    reached = first.select("symbol", "x")
+    nodes = blocks.select("symbol", F.explode(F.array_distinct("leaves")).alias("x")).unionByName(reached).distinct()
+    nodes = nodes.withColumn("own", F.floor(F.col("x") / block))
+    # where a bar's trade is found: in its own block if that has a later entry, else in the symbol's next block with trades
+    places = blocks.select("symbol", "block", F.element_at("entries", -1).alias("last"))
+    places = places.unionByName(nodes.select("symbol", F.col("own").alias("block")).distinct(), allowMissingColumns=True)
+    places = places.groupBy("symbol", "block").agg(F.max("last").alias("last"))
+    later = Window.partitionBy("symbol").orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
+    places = places.withColumn("next", F.min(F.when(F.col("last").isNotNull(), F.col("block"))).over(later))
+    nodes = nodes.join(places.withColumnRenamed("block", "own"), ["symbol", "own"])
+    nodes = nodes.select("symbol", "x", F.when(F.col("last") >= F.col("x"), F.col("own")).otherwise(F.col("next")).alias("block"))
+    skipped = F.size(F.filter("entries", lambda e: e < F.col("x")))
+    links = stored(nodes.join(blocks, ["symbol", "block"]).select(
+        "symbol", "x", "block", F.col("entries")[skipped].alias("landing"), F.col("leaves")[skipped].alias("to")
+    ), "trade-links")
+
+    jumps = links.select("symbol", "x", "to")
+    for k in range(math.ceil(math.log2(most))):
+        far = reached.join(jumps, ["symbol", "x"]).select("symbol", F.col("to").alias("x"))
+        reached = stored(reached.unionByName(far).distinct(), "trade-reached")
+        again = jumps.select("symbol", F.col("x").alias("to"), F.col("to").alias("further"))
+        jumps = stored(jumps.join(again, ["symbol", "to"]).select("symbol", "x", F.col("further").alias("to")), "trade-jumps")
+    landed = links.join(reached, ["symbol", "x"], "left_semi").select("symbol", "block", "landing")
+    taken = blocks.join(landed, ["symbol", "block"]).select("symbol", "entries", "exits", "landing").mapInArrow(
+        _walked, T.StructType([span.schema["symbol"], T.StructField("entry_no", T.LongType())]))
     return trades.join(taken, ["symbol", "entry_no"], "left_semi")
 
 

@@ -2,6 +2,7 @@ import datetime as dt
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,6 +63,35 @@ def test_replay_choice_equals_the_sequential_one(spark):
                 free = spans[e]
     df = spark.createDataFrame(rows, "symbol string, entry_no long, exit_no long")
     assert {(r.symbol, r.entry_no) for r in TR.non_overlapping(df).collect()} == want
+    for block in (1, 4, 16):
+        assert {(r.symbol, r.entry_no) for r in TR.non_overlapping(df, block).collect()} == want
+
+
+def one_by_one(entries, exits):
+    taken, until = [], -1
+    for e, x in zip(entries, exits):
+        if e > until:
+            taken.append(e)
+            until = x
+    return taken
+
+
+def test_a_run_of_200000_overlapping_signals(spark):
+    """Every bar of one symbol has a signal that overlaps the next; others have gaps of many blocks, one trade, or none that follows."""
+    rng = np.random.default_rng(11)
+    long_run = np.arange(1, 200_001)
+    gaps = np.sort(rng.choice(10_000_000, 3_000, replace=False))
+    frames = {"RUN": (long_run, long_run + rng.integers(1, 31, 200_000)), "GAP": (gaps, gaps + rng.integers(1, 20_000, 3_000)), "ONE": (np.array([5]), np.array([9]))}
+    df = spark.createDataFrame(pd.concat([pd.DataFrame({"symbol": k, "entry_no": e, "exit_no": x}) for k, (e, x) in frames.items()]))
+    got = TR.non_overlapping(df).toPandas()
+    assert list(got.columns) == ["symbol", "entry_no", "exit_no"]
+    for symbol, (entries, exits) in frames.items():
+        assert sorted(got[got.symbol == symbol].entry_no) == one_by_one(entries, exits)
+
+
+def test_no_trades(spark):
+    df = spark.createDataFrame([], "symbol string, entry_no long, exit_no long")
+    assert TR.non_overlapping(df).collect() == []
 
 
 def _trade(state="ENTERED", entry="2026-01-01"):
