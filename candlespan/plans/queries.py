@@ -1341,10 +1341,22 @@ def x5_stream_bars(spark, d):
     return tidy(ST.stream_event_bars(spark, d))
 
 
+def _resent(b: DataFrame) -> DataFrame:
+    """Re-sent bars as messages, a third of them sent twice."""
+    sent = _late(b).withColumn("arrival", F.unix_date("date").cast("long"))
+    return sent.unionByName(sent.filter(F.col("volume") % 3 == 0))
+
+
 @query
 def x6_stream_upsert(spark, d):
     b = Tables(spark, d).bars()
-    return tidy(ST.stream_upsert(spark, b.filter(F.col("bar_no") <= F.col("n_bars") - 5), _late(b).withColumn("arrival", F.unix_date("date").cast("long")), batches=3).select("symbol", "date", "close", "volume"))
+    return tidy(ST.stream_upsert(spark, b.filter(F.col("bar_no") <= F.col("n_bars") - 5), _resent(b), batches=3).select("symbol", "date", "close", "volume"))
+
+
+@query
+def x6_stream_counts(spark, d):
+    """What became of the messages of the stream above."""
+    return tidy(ST.resent_bars(spark, _resent(Tables(spark, d).bars()), batches=3)[1])
 
 
 @query
@@ -1357,3 +1369,13 @@ def x7_stream_confirm(spark, d):
 @query
 def x8_expiring_watchlist(spark, d):
     return tidy(T.prune(_watch(Tables(spark, d)), "breakout_date", F.lit("2000-03-31").cast("date"), 400))
+
+
+@query
+def x8_stream_watchlist(spark, d):
+    """Change log of a watchlist over the stream of confirmed crossings, whose entries live 20 days unless the symbol falls 10 % below its level."""
+    rows = stored(_levels(Tables(spark, d)).select("symbol", "date", "close", "level", "vr"), "levels")
+    adds = rows.filter(K.confirmed(F.col("close"), F.col("level"), F.col("vr"), 1.2)).select(
+        "symbol", "date", F.col("date").alias("breakout_date"), F.col("level").alias("breakout_level"), (F.col("close") / 20.0).alias("original_score"))
+    gone = rows.filter(F.col("close") < 0.9 * F.col("level")).select("symbol", "date")
+    return tidy(ST.stream_watchlist(spark, adds, gone, 20).drop("turn"))

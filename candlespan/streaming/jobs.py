@@ -7,17 +7,14 @@ scratch folder, so a lost executor is replayed from the checkpoint.
 
 from __future__ import annotations
 
-from typing import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlespan.config import Settings
 from candlespan.operators.confirm import confirmed
 from candlespan.operators.maintain import upsert
-from candlespan.session import scratch_dir
+from candlespan.session import scratch_dir, stored
+from candlespan.streaming.stateful import ExpiringWatchlist, InOrder, TradeTracker, rocksdb
 
 
 def _stage(spark: SparkSession, df: DataFrame, name: str, key: str | None = None) -> DataFrame:
@@ -40,19 +37,23 @@ def _open(spark: SparkSession, feed: DataFrame, path: str) -> DataFrame:
     return spark.readStream.schema(feed.schema).parquet(path)
 
 
-def _in_parts(spark: SparkSession, feed: DataFrame, by: str, parts: int, path: str, writer) -> None:
+def _in_parts(spark: SparkSession, feed: DataFrame, by: str, parts: int, path: str, writer) -> list[dict]:
     """Feeds a stream over `path` in parts of ascending `by`: each part is written and worked off before the next one.
 
-    The query is started anew for every part with the same checkpoint, so state is read back between them.
+    The query is started anew for every part with the same checkpoint, so state is read back between them. Give it a stored feed: it
+    is read once for every part. Returns the progress reports of all batches.
     """
     place = scratch_dir(spark, "stream")
     number = F.col(by).cast("double") if dict(feed.dtypes)[by] != "date" else F.unix_date(by).cast("double")
     cuts = feed.select(number.alias("x")).approxQuantile("x", [k / parts for k in range(1, parts)], 0.01) if parts > 1 else []
-    edges = [None, *sorted(set(cuts)), None]
+    edges, done = [None, *sorted(set(cuts)), None], []
     for low, high in zip(edges, edges[1:]):
         part = feed if low is None else feed.filter(number > low)
         (part if high is None else part.filter(number <= high)).write.mode("append").parquet(path)
-        writer.option("checkpointLocation", place).trigger(availableNow=True).start().awaitTermination()
+        query = writer.option("checkpointLocation", place).trigger(availableNow=True).start()
+        query.awaitTermination()
+        done += query.recentProgress
+    return done
 
 
 def tick_bars(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
@@ -87,27 +88,46 @@ def stream_event_bars(spark: SparkSession, folder: str, width: str = "1 hour") -
     return _newest(spark, out, ["symbol", "ts"])
 
 
-def stream_upsert(spark: SparkSession, table: DataFrame, incoming: DataFrame, batches: int = 1) -> DataFrame:
-    """Applies a stream of re-sent bars to a table. Re-running a batch writes the same version, so it is idempotent.
+def resent_bars(
+    spark: SparkSession, incoming: DataFrame, batches: int = 1, within: str = "30 days", by: str = "arrival"
+) -> tuple[DataFrame, DataFrame]:
+    """The newest version of every bar of a stream of re-sent bars, and what became of the rows: (read, late, repeated, kept).
 
-    Of bars sent again, the one with the greatest `arrival` wins, in one batch or over several; ties, and feeds without that
-    column, go by the values, so every run picks the same row. The feed is cut into `batches` by arrival.
+    `arrival` is the day number on which a message was sent, its event time. A message sent again as it was, with the same arrival, is
+    dropped if it comes while event time is at most `within` past it; one that comes later still is dropped as late, repeated or not. So the
+    state holds the messages of that time alone. The counts are those of the streaming engine. `by` is the column the feed is cut by.
     """
-    keys, body = ["symbol", "date"], [c for c in incoming.columns if c not in ("symbol", "date", "arrival")]
-    known = "arrival" in incoming.columns
-    feed = incoming if known else incoming.withColumn("arrival", F.lit(0).cast("long"))
+    keys, body = ["symbol", "date"], [c for c in incoming.columns if c not in ("symbol", "date", "arrival", by)]
+    feed = incoming if "arrival" in incoming.columns else incoming.withColumn("arrival", F.lit(0).cast("long"))
+    feed = feed.withColumn("arrival", F.coalesce("arrival", F.lit(0)).cast("long"))
+    feed = stored(feed.withColumn("sent", F.timestamp_seconds(F.col("arrival") * 86400)), "resent")
     path, out = scratch_dir(spark, "feed"), scratch_dir(spark, "late")
 
     def save(batch: DataFrame, version: int) -> None:
-        row = F.struct("arrival", *body)
-        newest = batch.groupBy(*keys).agg(F.max(row).alias("r")).select(*keys, "r.*")
+        newest = batch.groupBy(*keys).agg(F.max(F.struct("arrival", *body)).alias("r")).select(*keys, "r.*")
         newest.write.mode("overwrite").parquet(f"{out}/version={version}")
 
-    stream = _open(spark, feed, path)
-    _in_parts(spark, feed, "arrival", batches, path, stream.writeStream.foreachBatch(save))
+    stream = _open(spark, feed, path).withWatermark("sent", within).dropDuplicatesWithinWatermark([*keys, "arrival", *body])
+    with rocksdb(spark):
+        done = _in_parts(spark, feed, by, batches, path, stream.writeStream.foreachBatch(save))
     rows = spark.read.parquet(out)
-    late = rows.groupBy(*keys).agg(F.max(F.struct("arrival", *body)).alias("r")).select(*keys, *[f"r.{c}" for c in body])
-    return upsert(table, late.select(*[c for c in incoming.columns if c != "arrival"]), keys)
+    newest = rows.groupBy(*keys).agg(F.max(F.struct("arrival", *body)).alias("r")).select(*keys, *[f"r.{c}" for c in body])
+    read = sum(p["numInputRows"] for p in done)
+    late = sum(o["numRowsDroppedByWatermark"] for p in done for o in p["stateOperators"])
+    repeated = sum(o["customMetrics"].get("numDroppedDuplicateRows", 0) for p in done for o in p["stateOperators"])
+    counts = spark.createDataFrame([(read, late, repeated, read - late - repeated)], "read long, late long, repeated long, kept long")
+    return newest, counts
+
+
+def stream_upsert(spark: SparkSession, table: DataFrame, incoming: DataFrame, batches: int = 1, within: str = "30 days") -> DataFrame:
+    """Applies a stream of re-sent bars to a table. Re-running a batch writes the same version, so it is idempotent.
+
+    Of bars sent again, the one with the greatest `arrival` wins, in one batch or over several; ties, and feeds without that
+    column, go by the values, so every run picks the same row. The feed is cut into `batches` by arrival; repeated messages are dropped
+    before the merge, and so are those more than `within` behind (see `resent_bars`).
+    """
+    newest, _ = resent_bars(spark, incoming, batches, within)
+    return upsert(table, newest, ["symbol", "date"])
 
 
 def stream_confirm(spark: SparkSession, live: DataFrame, watch: DataFrame, least: float = 1.5) -> DataFrame:
@@ -121,77 +141,59 @@ def stream_confirm(spark: SparkSession, live: DataFrame, watch: DataFrame, least
     return spark.read.schema(hits.schema).parquet(out)
 
 
-TRACK_STATE = "state string, stop double"
-TRACK_OUT = "id string, state string, date date, price double"
-
-
-def _first(hit: np.ndarray, after: int = 0) -> int:
-    """The first true position from `after` on; the length if there is none."""
-    found = np.flatnonzero(hit[after:])
-    return after + int(found[0]) if len(found) else len(hit)
-
-
-def _tracker(hold_days: int):
-    def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        """Moves one trade through its new bars: stop, target 2, target 1 (then the stop is the entry), time exit.
-
-        A trade that ended keeps a mark until its last bar has passed, so that further bars do not start it anew; then the
-        time-out drops its state.
-        """
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values("date", ignore_index=True)
-        entry, target_1, target_2 = (float(rows[c].iloc[0]) for c in ("entry_price", "target_1", "target_2"))
-        now, stop = state.get if state.exists else ("ENTERED", float(rows["stop_loss"].iloc[0]))
-        low, high = rows["low"].to_numpy(float), rows["high"].to_numpy(float)
-        due, out, at = rows["held"].to_numpy() >= hold_days, [], 0
-        if now == "ENTERED":
-            hit = _first(high >= target_1)
-            if hit < len(rows) and hit < min(_first(low <= stop), _first(high >= target_2)) and hit <= _first(due):
-                out.append((key[0], "TARGET_1_HIT", rows["date"].iloc[hit], target_1))
-                now, stop, at = "TARGET_1_HIT", entry, hit + 1
-        if now in ("ENTERED", "TARGET_1_HIT"):
-            ends = [_first(low <= stop, at), _first(high >= target_2, at), _first(due, at)]
-            end = min(ends)
-            if end < len(rows):
-                now = ("STOPPED_OUT", "TARGET_HIT", "TIME_EXIT")[ends.index(end)]
-                price = {"STOPPED_OUT": min(stop, rows["open"].iloc[end]), "TARGET_HIT": target_2, "TIME_EXIT": rows["close"].iloc[end]}[now]
-                out.append((key[0], now, rows["date"].iloc[end], float(price)))
-        state.update((now, stop))
-        limit = int(rows["limit"].iloc[0].timestamp() * 1000)
-        state.setTimeoutTimestamp(max(limit, state.getCurrentWatermarkMs() + 1))
-        if out:
-            yield pd.DataFrame(out, columns=["id", "state", "date", "price"])
-
-    return step
+def _replayed(spark: SparkSession, feed: DataFrame, key: str, work: InOrder, batches: int) -> DataFrame:
+    """What a stateful operator puts out over a feed with a column `day`, arriving in `batches` parts by day.
+
+    After the last part a row without a key, one day later, lets event time pass that part's last day as well.
+    """
+    feed = stored(feed.filter("day is not null").withColumn("ts", F.timestamp_seconds(F.col("day") * 86400)), "feed")
+    path, out = scratch_dir(spark, "parts"), scratch_dir(spark, "moves")
+    stream = _open(spark, feed, path).withWatermark("ts", "1 day")
+    rows = stream.groupBy(key).transformWithStateInPandas(work, work.OUT, "append", "EventTime")
+    writer = rows.writeStream.format("parquet").option("path", out).outputMode("append")
+    end = feed.agg((F.max("day") + 1).cast("int").alias("day")).filter("day is not null")
+    clock = stored(end.withColumn("ts", F.timestamp_seconds(F.col("day") * 86400)), "clock")
+    for c in feed.columns:
+        if c not in clock.columns:
+            clock = clock.withColumn(c, F.lit("" if c == key else 0).cast(feed.schema[c].dataType))
+    with rocksdb(spark):
+        _in_parts(spark, feed.unionByName(clock), "day", batches, path, writer)
+    return spark.read.schema(rows.schema).parquet(out)
 
 
 def track_trades(spark: SparkSession, trades: DataFrame, bars: DataFrame, s: Settings = Settings(), batches: int = 3) -> DataFrame:
-    """Transitions of every trade as its bars arrive, in `batches` parts by date. State is one small row per trade.
+    """Transitions of every trade as trades and bars arrive, in `batches` parts by date.
 
-    A trade ends at the latest with the second bar from its holding limit on (the first one may still be its first target), so
-    that bar's date is its last; the state is dropped once the event time has passed it.
+    State is one row per open trade, and the bars and trades that event time has not passed; an ended trade leaves none.
     """
-    from candlespan.operators.trades import holding_bars
-
-    hold = s.paper.hold_max_days
-    base = trades.select("id", "symbol", "entry_date", "entry_price", "stop_loss", "target_1", "target_2", F.lit(None).cast("date").alias("exit_date"))
-    due = base.join(bars.select("symbol", "date"), "symbol").filter(F.col("date") >= F.date_add("entry_date", hold))
-    last = due.groupBy("id").agg(F.min("date").alias("one"))
-    two = due.join(last, "id").filter(F.col("date") > F.col("one")).groupBy("id").agg(F.min("date").alias("two"))
-    ends = last.join(two, "id", "left").select("id", F.coalesce("two", "one").alias("exit_date"))
-    whole = base.drop("exit_date").join(ends, "id", "left")
-    near = holding_bars(whole, bars, False).select("id", "date", "high", "low", "close")
-    opens = bars.select("symbol", "date", "open")
-    feed = near.join(whole, "id").join(opens, ["symbol", "date"]).select(
-        "id", "date", "open", "high", "low", "close", "entry_price", "stop_loss", "target_1", "target_2",
-        F.datediff("date", "entry_date").alias("held"), F.col("date").cast("timestamp").alias("ts"),
-        F.coalesce("exit_date", F.date_add("date", hold)).cast("timestamp").alias("limit"),
-    )
-    path, out = scratch_dir(spark, "marks"), scratch_dir(spark, "moves")
-    stream = _open(spark, feed, path).withWatermark("ts", "1 day")
-    moves = stream.groupBy("id").applyInPandasWithState(_tracker(hold), TRACK_OUT, TRACK_STATE, "append", "EventTimeTimeout")
-    _in_parts(spark, feed, "date", batches, path, moves.writeStream.format("parquet").option("path", out).outputMode("append"))
-    got = spark.read.schema(moves.schema).parquet(out)
-    return got.join(trades.select("id", "symbol", "entry_date"), "id").select("symbol", "entry_date", "state", "date", "price")
+    bar = bars.select(
+        "symbol", F.unix_date("date").alias("day"), F.lit(True).alias("is_bar"), F.lit("").alias("id"),
+        *[F.col(c).cast("double").alias(x) for c, x in zip(("open", "high", "low", "close"), "abcd")])
+    entered = trades.select(
+        "symbol", F.unix_date("entry_date").alias("day"), F.lit(False).alias("is_bar"), "id",
+        *[F.col(c).cast("double").alias(x) for c, x in zip(("entry_price", "stop_loss", "target_1", "target_2"), "abcd")])
+    got = _replayed(spark, bar.unionByName(entered), "symbol", TradeTracker(s.paper.hold_max_days), batches)
+    return got.select("symbol", "entry_date", "state", "date", "price")
+
+
+def stream_watchlist(spark: SparkSession, adds: DataFrame, removals: DataFrame, days: int, batches: int = 3) -> DataFrame:
+    """The change log (symbol, date, turn, change, breakout_date, breakout_level, original_score) of a watchlist fed by a stream.
+
+    `adds` is (symbol, date, breakout_date, breakout_level, original_score), `removals` (symbol, date). An entry lives until `days`
+    days after its breakout date, unless another add replaces it or a removal ends it. One that is older when it is added expires at
+    once; undated ones are left out. The log ends with the last date of the feed.
+    """
+    number = lambda c: F.unix_date(c)
+    added = adds.filter("breakout_date is not null").select(
+        "symbol", number("date").alias("day"), F.lit(False).alias("removes"), number("breakout_date").alias("breakout_day"),
+        F.col("breakout_level").cast("double").alias("level"), F.col("original_score").cast("double").alias("score"))
+    gone = removals.select(
+        "symbol", number("date").alias("day"), F.lit(True).alias("removes"), F.lit(0).alias("breakout_day"), F.lit(0.0).alias("level"), F.lit(0.0).alias("score"))
+    return _replayed(spark, added.unionByName(gone), "symbol", ExpiringWatchlist(days), batches)
+
+
+def watchlist_on(log: DataFrame, as_of) -> DataFrame:
+    """The watchlist at the end of a day, from its change log."""
+    entry = F.struct("change", "breakout_date", "breakout_level", "original_score")
+    newest = log.filter(F.col("date") <= as_of).groupBy("symbol").agg(F.max_by(entry, F.struct("date", "turn")).alias("c"))
+    return newest.filter("c.change = 'added'").select("symbol", "c.breakout_date", "c.breakout_level", "c.original_score")

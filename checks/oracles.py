@@ -610,7 +610,14 @@ oracle("x4_stream_tracker", "symbol entry_date:d state date:d price:f", """SELEC
  FROM tk0 k JOIN tk4 x USING (id) WHERE k.bn = x.jx OR (k.bn = x.hit AND x.hit < x.jx)""")
 oracle("x5_stream_bars", "symbol ts:t open:f high:f low:f close:f volume:i", """SELECT event_type AS symbol, date_trunc('hour', ts) AS ts, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*) AS volume FROM events GROUP BY 1, 2""")
 oracle("x6_stream_upsert", "symbol date:d close:f volume:i", "SELECT symbol, date, CASE WHEN bar_no > n_bars - 10 THEN close + 1 ELSE close END AS close, volume FROM bars")
+oracle("x6_stream_counts", "read:i late:i repeated:i kept:i", """SELECT count(*) + count(*) FILTER (WHERE volume % 3 = 0) AS read, 0 AS late, count(*) FILTER (WHERE volume % 3 = 0) AS repeated, count(*) AS kept
+ FROM bars WHERE bar_no > n_bars - 10""")
 oracle("x7_stream_confirm", "symbol date:d close:f breakout_level:f", "SELECT l.symbol, l.date, l.close, w.breakout_level FROM lev l JOIN watch w USING (symbol) WHERE l.date >= breakout_date AND l.close > w.breakout_level AND l.vr >= 1.5")
 oracle("x8_expiring_watchlist", "symbol breakout_date:d breakout_level:f original_score:f", "SELECT * FROM watch WHERE breakout_date >= DATE '2000-03-31' - 400")
+oracle("x8_stream_watchlist", "symbol date:d change breakout_date:d breakout_level:f original_score:f", """SELECT k.symbol, c.date, c.change, k.date AS breakout_date, k.level AS breakout_level, k.score AS original_score FROM (
+ SELECT *, lead(date) OVER (PARTITION BY symbol ORDER BY date) AS nd, lead(removes) OVER (PARTITION BY symbol ORDER BY date) AS nr, max(date) OVER () AS fin FROM (
+ SELECT symbol, date, false AS removes, level, close / 20.0 AS score FROM lev WHERE close > level AND vr >= 1.2 UNION ALL SELECT symbol, date, true, NULL, NULL FROM lev WHERE close < 0.9 * level)) k,
+ LATERAL (SELECT k.date AS date, 'added' AS change UNION ALL SELECT k.nd, 'removed' WHERE k.nr AND k.nd <= k.date + 20 UNION ALL SELECT k.date + 21, 'expired' WHERE coalesce(k.nd > k.date + 20, true) AND k.date + 21 <= k.fin) c
+ WHERE NOT k.removes""")
 
 ORACLES: dict[str, str] = {name: statement(name) for name in BODIES}

@@ -2,12 +2,15 @@
 
 import datetime as dt
 import math
+import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
+from candlespan.operators.maintain import prune
 from candlespan.sources import walk as B
 from candlespan.streaming import jobs as ST
 
@@ -92,3 +95,92 @@ def test_a_trade_is_tracked_over_several_batches(spark):
     for batches in (1, 3):
         got = sorted((r.date, r.state, r.price) for r in ST.track_trades(spark, trades, bars, batches=batches).collect())
         assert got == [(start + dt.timedelta(days=2), "TARGET_1_HIT", 110.0), (start + dt.timedelta(days=4), "STOPPED_OUT", 100.0)]
+
+
+def test_trades_are_moved_alike_in_one_batch_and_in_twelve(spark):
+    rng = np.random.default_rng(2)
+    start, shape = dt.date(2020, 1, 1), "symbol string, date date, open double, high double, low double, close double"
+    bars, trades = [], []
+    for s in "AB":
+        close = 100 + np.cumsum(rng.normal(0, 0.8, 150))
+        for i, c in enumerate(close):
+            bars.append((s, start + dt.timedelta(days=i), float(c - 0.5), float(c + rng.uniform(0, 1)), float(c - rng.uniform(0, 1)), float(c)))
+        trades += [(f"{s}{i}", s, start + dt.timedelta(days=i), float(close[i]), float(close[i] - 6), float(close[i] + 5), float(close[i] + 10)) for i in range(0, 149, 7)]
+    trades.append(("lost", "C", start, 1.0, 0.5, 2.0, 3.0))
+    b = spark.createDataFrame(bars, shape)
+    t = spark.createDataFrame(trades, "id string, symbol string, entry_date date, entry_price double, stop_loss double, target_1 double, target_2 double")
+    want = []
+    for _, s, entered, entry, stop, one, two in trades:
+        now = "ENTERED"
+        for _, day, o, h, lo, c in sorted(x for x in bars if x[0] == s and x[1] > entered):
+            if lo <= stop:
+                now, price = "STOPPED_OUT", min(stop, o)
+            elif h >= two:
+                now, price = "TARGET_HIT", two
+            elif now == "ENTERED" and h >= one:
+                now, price, stop = "TARGET_1_HIT", one, entry
+            elif (day - entered).days >= 30:
+                now, price = "TIME_EXIT", c
+            else:
+                continue
+            want.append((s, entered, now, day, price))
+            if now != "TARGET_1_HIT":
+                break
+    assert len({w[2] for w in want}) == 4
+    for batches in (1, 12):
+        assert sorted(map(tuple, ST.track_trades(spark, t, b, batches=batches).collect())) == sorted(want)
+
+
+def test_a_bar_that_event_time_has_not_passed_moves_no_trade(spark):
+    """Without the row that lets event time pass the last day, that day's bar stays in state."""
+    from candlespan.streaming.stateful import TradeTracker
+
+    tracker, day = TradeTracker(30), 100
+    trade, bar = (day, False, "t", 100.0, 90.0, 110.0, 130.0), (day + 1, True, "", 100.0, 100.0, 80.0, 85.0)
+    out, held = tracker.passed(("S",), [trade], [], day)
+    assert out == [] and held == [("t", day, "ENTERED", 90.0, 100.0, 110.0, 130.0)]
+    out, held = tracker.passed(("S",), [bar], held, day + 1)
+    assert out == [("t", "S", day, "STOPPED_OUT", day + 1, 90.0)] and held == []
+
+
+def test_watchlist_stream_equals_the_batch_prune_on_every_day(spark):
+    rng, start, life = random.Random(4), dt.date(2020, 1, 1), 20
+    on = lambda d: start + dt.timedelta(days=d)
+    adds, gone = [], []
+    for s in "abc":
+        adds += [(s, on(d), on(d - rng.choice([0, 0, 0, 2, 30])), float(d), 2.0) for d in sorted(rng.sample(range(150), 12))]
+        gone += [(s, on(d)) for d in rng.sample(range(150), 8)]
+    adds.append(("a", on(3), None, 1.0, 1.0))
+    a = spark.createDataFrame(adds, "symbol string, date date, breakout_date date, breakout_level double, original_score double")
+    g = spark.createDataFrame(gone, "symbol string, date date")
+    logs = [sorted(map(tuple, ST.stream_watchlist(spark, a, g, life, n).collect())) for n in (1, 5)]
+    assert logs[0] == logs[1] and {r[3] for r in logs[0]} == {"added", "removed", "expired"}
+    log = spark.createDataFrame(logs[0], "symbol string, date date, turn int, change string, breakout_date date, breakout_level double, original_score double").cache()
+    last = max(x[1] for x in [*adds, *gone])
+    for day in (on(d) for d in range(0, 151, 10)):
+        if day > last:
+            break
+        table = {}
+        for row in sorted([(x[1], 0, x) for x in adds if x[2]] + [(x[1], 1, x) for x in gone], key=lambda r: r[:2]):
+            if row[0] <= day:
+                if row[1]:
+                    entry = table.get(row[2][0])
+                    if entry and entry[2] >= row[0] - dt.timedelta(days=life):
+                        del table[row[2][0]]
+                else:
+                    table[row[2][0]] = row[2]
+        listed = spark.createDataFrame([(x[0], *x[2:]) for x in table.values()], "symbol string, breakout_date date, breakout_level double, original_score double")
+        want = prune(listed, "breakout_date", F.lit(day), life)
+        assert sorted(map(tuple, ST.watchlist_on(log, day).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_repeated_and_late_messages_are_dropped_and_counted(spark):
+    """A copy inside the watermark is a repeat, one far behind it is late; another value of the same arrival is neither."""
+    day, shape = dt.date(2020, 1, 1), "symbol string, date date, close double, arrival long, part long"
+    first = [("A", day, 1.0, 10), ("A", day, 1.0, 10), ("B", day, 2.0, 10), ("C", day, 5.0, 11)]
+    second = [("A", day, 1.0, 10), ("A", day, 3.0, 10), ("D", day, 1.0, 60)]
+    third = [("B", day, 9.0, 12), ("C", day, 5.0, 11), ("C", day, 6.0, 70), ("D", day, 1.0, 60)]
+    feed = spark.createDataFrame([(*r, k) for k, rows in enumerate((first, second, third)) for r in rows], shape)
+    newest, counts = ST.resent_bars(spark, feed, 3, "20 days", by="part")
+    assert {r.symbol: r.close for r in newest.collect()} == {"A": 3.0, "B": 2.0, "C": 6.0, "D": 1.0}
+    assert tuple(counts.first()) == (11, 2, 3, 6)
