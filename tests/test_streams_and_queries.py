@@ -105,7 +105,7 @@ def test_trades_are_moved_alike_in_one_batch_and_in_twelve(spark):
         close = 100 + np.cumsum(rng.normal(0, 0.8, 150))
         for i, c in enumerate(close):
             bars.append((s, start + dt.timedelta(days=i), float(c - 0.5), float(c + rng.uniform(0, 1)), float(c - rng.uniform(0, 1)), float(c)))
-        trades += [(f"{s}{i}", s, start + dt.timedelta(days=i), float(close[i]), float(close[i] - 6), float(close[i] + 5), float(close[i] + 10)) for i in range(0, 149, 7)]
+        trades += [(f"{s}{i}", s, start + dt.timedelta(days=i), float(close[i]), float(close[i] - 6), float(close[i] + 2), float(close[i] + (3 if i % 2 else 10))) for i in range(0, 149, 7)]
     trades.append(("lost", "C", start, 1.0, 0.5, 2.0, 3.0))
     b = spark.createDataFrame(bars, shape)
     t = spark.createDataFrame(trades, "id string, symbol string, entry_date date, entry_price double, stop_loss double, target_1 double, target_2 double")
@@ -178,9 +178,9 @@ def test_repeated_and_late_messages_are_dropped_and_counted(spark):
     """A copy inside the watermark is a repeat, one far behind it is late; another value of the same arrival is neither."""
     day, shape = dt.date(2020, 1, 1), "symbol string, date date, close double, arrival long, part long"
     first = [("A", day, 1.0, 10), ("A", day, 1.0, 10), ("B", day, 2.0, 10), ("C", day, 5.0, 11)]
-    second = [("A", day, 1.0, 10), ("A", day, 3.0, 10), ("D", day, 1.0, 60)]
+    second = [("A", day, 1.0, 10), ("A", day, 3.0, 10), ("D", day, 1.0, 60), ("E", day, 1.0, 60)]
     third = [("B", day, 9.0, 12), ("C", day, 5.0, 11), ("C", day, 6.0, 70), ("D", day, 1.0, 60)]
     feed = spark.createDataFrame([(*r, k) for k, rows in enumerate((first, second, third)) for r in rows], shape)
     newest, counts = ST.resent_bars(spark, feed, 3, "20 days", by="part")
-    assert {r.symbol: r.close for r in newest.collect()} == {"A": 3.0, "B": 2.0, "C": 6.0, "D": 1.0}
-    assert tuple(counts.first()) == (11, 2, 3, 6)
+    assert {r.symbol: r.close for r in newest.collect()} == {"A": 3.0, "B": 2.0, "C": 6.0, "D": 1.0, "E": 1.0}
+    assert tuple(counts.first()) == (12, 2, 3, 7)
