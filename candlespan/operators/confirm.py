@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,3 +90,47 @@ def allocate(candidates: DataFrame, open_counts: DataFrame, max_total: int = 8,
         *candidates.columns, F.coalesce("accepted", F.lit(False)).alias("accepted"),
         F.when(F.col("accepted"), "taken").when(by_total, "position_limit").otherwise("sector_limit").alias("reason"),
     )
+
+
+def living_book(candidates: DataFrame, max_total: int = 8, max_sector: int = 3) -> DataFrame:
+    """The candidates that a book takes day by day, when what it takes stays open until its exit and only then frees its slots.
+
+    `candidates` is (date, symbol, score, sector, exit_date[, priority]); the order of a day is priority, best score, symbol. A position is
+    open through its exit date, for the exit comes after that day's entries; one without an exit stays open. Returned are the taken ones
+    with the positions open before each: `n_open` in all and `n_sector` in its sector (unknown sectors are one). A cap of 0 switches that
+    limit off.
+
+    Of a day only the first `max_sector` of a sector can be taken, and as a book of `max_total` has at most max_total / max_sector full
+    sectors, only so many more than `max_total` of those need a look. These few rows a day, whatever the number of candidates, pass
+    in order of time through a fold whose state is the open positions. Candidates with neither cap are all taken.
+    """
+    rows = candidates if "priority" in candidates.columns else candidates.withColumn("priority", F.lit(0))
+    rows = rows.withColumn("sector", F.coalesce("sector", F.lit("unknown"))).filter(F.col("date").isNotNull())
+    order = [F.col("priority"), F.desc("score"), F.col("symbol")]
+    if max_sector > 0:
+        rows = rows.withColumn("_s", F.row_number().over(Window.partitionBy("date", "sector").orderBy(*order)))
+        rows = rows.filter(F.col("_s") <= max_sector).drop("_s")
+    if max_total > 0:
+        look = max_total + (max_total // max_sector * max_sector if max_sector > 0 else 0)
+        rows = rows.withColumn("_t", F.row_number().over(Window.partitionBy("date").orderBy(*order)))
+        rows = rows.filter(F.col("_t") <= look).drop("_t")
+    rows = rows.select("date", "symbol", "score", "sector", "exit_date", F.lit(0).alias("n_open"), F.lit(0).alias("n_sector"), "priority")
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        book: list[tuple] = []  # (exit date or None, sector) of the open positions
+        for batch in batches:
+            keep, opened, inside = [], [], []
+            for k, (date, sector, ends) in enumerate(zip(batch["date"], batch["sector"], batch["exit_date"])):
+                book = [p for p in book if p[0] is None or p[0] >= date]
+                n_sector = sum(p[1] == sector for p in book)
+                if (max_total <= 0 or len(book) < max_total) and (max_sector <= 0 or n_sector < max_sector):
+                    keep.append(k)
+                    opened.append(len(book))
+                    inside.append(n_sector)
+                    book.append((None if pd.isna(ends) else ends, sector))
+            yield batch.iloc[keep].assign(n_open=opened, n_sector=inside).drop(columns="priority")
+
+    # one book: a few rows for each day of the calendar
+    ordered = rows.repartition(1).sortWithinPartitions("date", *order)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "priority")
+    return ordered.mapInPandas(fold, kinds)

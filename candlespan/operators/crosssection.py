@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,25 +85,53 @@ def relative_strength(stock: Column, bench: Column) -> Column:
     return F.when(1.0 + bench > 0, (1.0 + stock) / (1.0 + bench))
 
 
-def mean_abs_correlation(returns: DataFrame, cohorts: DataFrame, window: int = 63, least: int = 10) -> DataFrame:
+def _tile_correlations(least: int):
+    """Sum of absolute correlations and number of pairs between the symbols of two tiles (or within one), from matrix products."""
+
+    def work(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        days, place = np.unique(np.concatenate(rows["days"].to_list()), return_inverse=True)
+        owner = np.repeat(np.arange(len(rows)), rows["days"].map(len).to_numpy())
+        x, seen = np.zeros((len(rows), len(days))), np.zeros((len(rows), len(days)))
+        values = np.concatenate(rows["xs"].to_list())
+        # a shift of a whole series changes no correlation and keeps the sums small
+        x[owner, place] = values - (np.bincount(owner, values) / np.bincount(owner))[owner]
+        seen[owner, place] = 1.0
+        mine = (rows["tile"] == key[1]).to_numpy()
+        a, b = (mine, mine) if key[1] == key[2] else (mine, ~mine)
+        xa, sa, xb, sb = x[a], seen[a], x[b], seen[b]
+        n, ta, tb = sa @ sb.T, xa @ sb.T, sa @ xb.T
+        va, vb = n * ((xa * xa) @ sb.T) - ta * ta, n * (sa @ (xb * xb).T) - tb * tb
+        whole = (n >= least) & (va > 1e-12 * n * ((xa * xa) @ sb.T)) & (vb > 1e-12 * n * (sa @ (xb * xb).T))
+        if key[1] == key[2]:
+            whole &= np.triu(np.ones_like(whole), 1)
+        c = np.abs((n * (xa @ xb.T) - ta * tb)[whole] / np.sqrt(va[whole] * vb[whole]))
+        return pd.DataFrame({"date": [key[0]], "total": [c.sum()], "pairs": [len(c)]})
+
+    return work
+
+
+def mean_abs_correlation(returns: DataFrame, cohorts: DataFrame, window: int = 63, least: int = 10, tile: int = 1024) -> DataFrame:
     """Mean absolute pairwise return correlation inside each date's cohort of positions, of any size.
 
     `cohorts` is (date, symbol), `returns` (symbol, date, bar_no, ret_1). Only the cohorts' own returns are looked up, by (symbol,
-    bar number); they pair up by equality on (cohort date, return date).
+    bar number). A cohort is dealt into tiles of about `tile` symbols, one row for a symbol and its returns; the sums over common days
+    of all pairs of two tiles come from products of their matrices, so no pair is ever a row. A cohort of up to a tile is sent once; a
+    larger one once for every tile it has. Pairs with fewer than `least` common days, or without variance on them, do not count.
     """
     r = returns.select("symbol", "date", "bar_no", "ret_1")
     reach = F.sequence(F.greatest(F.lit(1), F.col("bar_no") - (window - 1)), F.col("bar_no"))
-    members = cohorts.select("date", "symbol").distinct().join(r.select("symbol", "date", "bar_no"), ["symbol", "date"])
+    members = cohorts.select("date", "symbol").distinct()
+    tiles = members.groupBy("date").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    members = members.join(r.select("symbol", "date", "bar_no"), ["symbol", "date"])
     past = r.filter(F.col("ret_1").isNotNull()).select("symbol", "bar_no", F.col("date").alias("d"), F.col("ret_1").alias("x"))
     seen = members.withColumn("bar_no", F.explode(reach)).join(past, ["symbol", "bar_no"])
-    a = seen.select("date", "d", F.col("symbol").alias("a"), "x")
-    b = seen.select("date", "d", F.col("symbol").alias("b"), F.col("x").alias("y"))
-    corr = (
-        a.join(b, ["date", "d"]).filter(F.col("a") < F.col("b"))
-        .groupBy("date", "a", "b").agg(F.corr("x", "y").alias("c"), F.count("*").alias("n"))
-        .filter((F.col("n") >= least) & F.col("c").isNotNull())
-    )
-    means = corr.groupBy("date").agg(F.avg(F.abs("c")).alias("avg_correlation"))
+    rows = seen.groupBy("date", "symbol").agg(F.collect_list(F.struct(F.unix_date("d").alias("day"), "x")).alias("r"))
+    rows = rows.join(tiles, "date").withColumn("tile", F.pmod(F.xxhash64("symbol"), F.col("tiles")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    pairs = rows.select("date", "tile", F.col("r.day").alias("days"), F.col("r.x").alias("xs"), other.alias("other"))
+    sums = pairs.groupBy("date", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j")).applyInPandas(
+        _tile_correlations(least), "date date, total double, pairs long")
+    means = sums.groupBy("date").agg(F.sum("total").alias("total"), F.sum("pairs").alias("pairs"))
     return cohorts.select("date").distinct().join(means, "date", "left").select(
-        "date", F.coalesce("avg_correlation", F.lit(0.0)).alias("avg_correlation")
+        "date", F.when(F.col("pairs") > 0, F.col("total") / F.col("pairs")).otherwise(0.0).alias("avg_correlation")
     )

@@ -240,8 +240,10 @@ def _alerts(t: Tables) -> DataFrame:
 @query
 def s9_alert_sink(spark, d):
     path = scratch_dir(spark, "alerts")
-    IO.write_alerts(_alerts(Tables(spark, d)), path)
-    back = spark.read.option("header", True).csv(path)
+    alerts = stored(_alerts(Tables(spark, d)), "alerts")
+    for _ in range(2):  # a repeated run leaves each alert once
+        IO.write_alerts(alerts, path)
+    back = IO.read_alerts(spark, path)
     return tidy(back.select(
         F.col("run_date").cast("string").alias("run_date"), "symbol", "alert_type", "pattern", F.col("position_size").cast("long").alias("position_size"),
         *[F.col(c).cast("double").alias(c) for c in ("entry_price", "target_1", "target_2")], "stage", "sector",
@@ -270,6 +272,16 @@ def s11_upsert(spark, d):
     return tidy(T.upsert(b.filter(F.col("bar_no") <= F.col("n_bars") - 5), _late(b), ["symbol", "date"]).select("symbol", "date", "close", "volume"))
 
 
+@query
+def s11_merge_store(spark, d):
+    """The same upsert into a stored table, of which only the folders that change are rewritten."""
+    b, path = stored(Tables(spark, d).bars(), "bars"), scratch_dir(spark, "bar-store")
+    columns = ("symbol", "date", "open", "high", "low", "close", "volume")
+    IO.write_bar_store(b.filter(F.col("bar_no") <= F.col("n_bars") - 5).select(*columns), path)
+    IO.merge_bar_store(spark, path, _late(b).select(*columns))
+    return tidy(IO.read_bar_store(spark, path).select("symbol", "date", "close", "volume"))
+
+
 @query
 def s12_delete(spark, d):
     t = Tables(spark, d)
@@ -922,6 +934,14 @@ def r5_capacity_by_priority(spark, d):
     return tidy(K.allocate(c, none, 5, 2))
 
 
+@query
+def r5_living_book(spark, d):
+    """A book of three positions, one per sector, that lives from day to day: what the replay's trades would find room for."""
+    t = Tables(spark, d)
+    c = t.trades().join(t.universe().select("symbol", "sector"), "symbol", "left")
+    return tidy(K.living_book(c.select(F.col("entry_date").alias("date"), "symbol", "score", "sector", "exit_date"), 3, 1))
+
+
 @query
 def r6_latest_k(spark, d):
     return tidy(IO.read_prices(Tables(spark, d).bars(), 5).select("symbol", "date", (F.col("n_bars") - F.col("bar_no") + 1).alias("back")))

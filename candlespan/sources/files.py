@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from candlespan.session import stored
+
 BARS = ("open", "high", "low", "close", "volume")
 ALERT_FIELDS = (
     "alert_type", "symbol", "score", "pattern", "breakout_level", "entry_price", "stop_loss", "target_1", "target_2",
@@ -113,10 +118,71 @@ def holidays_json(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def write_alerts(alerts: DataFrame, path: str) -> None:
-    """Appends alerts as CSV, one folder per run date, numbers rounded to two places."""
+def write_alerts(alerts: DataFrame, path: str, run: str = "scan", dates: DataFrame | None = None) -> None:
+    """Adds the alerts of a run as CSV, numbers rounded to two places, so that each alert is there once however often the run is repeated.
+
+    The rows go to a folder of this attempt's own, one subfolder per run date. Once all are written, one more small write commits them:
+    (run_date, run, attempt, version), of which `read_alerts` takes the newest of each run and date. So what a failed attempt
+    leaves is never read, a repeated run replaces its earlier rows, and another run of the same date adds to them. `dates` (run_date)
+    names the dates that the run covers; those without alerts lose the ones an earlier attempt had. By default the alerts' own dates.
+    """
+    spark, attempt = alerts.sparkSession, uuid.uuid4().hex
     cols = [F.round(F.col(c), 2).alias(c) if c in ALERT_ROUNDED else F.col(c) for c in ALERT_FIELDS]
-    alerts.select("run_date", *cols).write.partitionBy("run_date").mode("append").option("header", True).csv(path)
+    place = f"{path}/data/attempt={attempt}"
+    alerts.select("run_date", *cols).write.partitionBy("run_date").option("header", True).csv(place)
+    covered = alerts.select("run_date") if dates is None else dates.select("run_date")
+    done = covered.select(F.col("run_date").cast("string").alias("run_date")).distinct().withColumns({
+        "run": F.lit(run), "attempt": F.lit(attempt), "version": F.lit(time.time_ns()),
+    })
+    done.coalesce(1).write.mode("append").parquet(f"{path}/commits")
+
+
+def read_alerts(spark: SparkSession, path: str) -> DataFrame:
+    """The committed alerts: run_date, run and the alert fields as text."""
+    commits = spark.read.schema("run_date string, run string, attempt string, version long").parquet(f"{path}/commits")
+    newest = commits.groupBy("run_date", "run").agg(F.max_by("attempt", "version").alias("attempt"))
+    schema = ", ".join(f"{c} string" for c in [*ALERT_FIELDS, "attempt", "run_date"])
+    rows = spark.read.schema(schema).option("header", True).csv(f"{path}/data")
+    return rows.join(newest, ["attempt", "run_date"]).select("run_date", "run", *ALERT_FIELDS)
+
+
+def _dealt(df: DataFrame, buckets: int) -> DataFrame:
+    return df.withColumns({"bucket": F.pmod(F.xxhash64("symbol"), F.lit(buckets)).cast("int"), "month": F.date_format("date", "yyyy-MM")})
+
+
+def write_bar_store(bars: DataFrame, path: str, buckets: int = 8) -> None:
+    """A table of bars in folders by bucket of symbols and month, one file each, so that later merges rewrite few of them."""
+    rows = _dealt(bars, buckets).repartition("bucket", "month")
+    rows.write.mode("overwrite").partitionBy("bucket", "month").parquet(path)
+
+
+def read_bar_store(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("bucket", "month")
+
+
+def merge_bar_store(spark: SparkSession, path: str, incoming: DataFrame, buckets: int = 8) -> int:
+    """Upserts bars on (symbol, date) into the store, rewriting only the folders in which a row really changes; returns how many those are.
+
+    Incoming rows equal to the stored ones change nothing, so a repeated merge writes nothing. Only the folders that incoming rows
+    fall into are read. The merged folders are worked out and stored beside first, then put in place by Spark's dynamic
+    partition overwrite: a merge that fails leaves the table as it was or, folder by folder, in part merged, and repeating it completes it.
+    Of several incoming rows of one key the greatest by value stays.
+    """
+    table = spark.read.parquet(path)
+    names = [c for c in table.columns if c not in ("bucket", "month")]
+    body = [c for c in names if c not in ("symbol", "date")]
+    incoming = incoming.groupBy("symbol", "date").agg(F.max(F.struct(*body)).alias("r")).select("symbol", "date", "r.*").select(*names)
+    new = stored(_dealt(incoming, buckets), "incoming")
+    near = table.join(new.select("bucket", "month").distinct(), ["bucket", "month"], "left_semi")
+    same = [F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}")) for c in [*names, "bucket", "month"]]
+    changed = stored(new.alias("n").join(near.alias("o"), same, "left_anti"), "changed")
+    folders = changed.select("bucket", "month").distinct()
+    count = folders.count()
+    if count:
+        old = table.join(folders, ["bucket", "month"], "left_semi").join(changed.select("symbol", "date"), ["symbol", "date"], "left_anti")
+        merged = stored(old.unionByName(changed), "merged").repartition("bucket", "month")
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "month").parquet(path)
+    return count
 
 
 def replace_table(df: DataFrame, path: str, columns: list[str], defaults: dict[str, Column] | None = None) -> None:

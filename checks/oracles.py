@@ -47,7 +47,7 @@ def statement(name: str) -> str:
             "t": f"strftime({n}, '%Y-%m-%d %H:%M:%S') AS {n}",
         }[kind])
     used = _order(BODIES[name])
-    head = "WITH RECURSIVE " + ", ".join(f"{n} AS ({CTES[n]})" for n in used) + " " if used else ""
+    head = "WITH RECURSIVE " + ", ".join(f"{n} AS MATERIALIZED ({CTES[n]})" for n in used) + " " if used else ""
     return f"{head}SELECT {', '.join(out)} FROM ({BODIES[name]}) AS result"
 
 
@@ -264,6 +264,7 @@ oracle("s9_alert_sink", "run_date:d symbol alert_type pattern position_size:i en
  shares AS position_size, round(entry_price, 2) AS entry_price, round(target_1, 2) AS target_1, round(target_2, 2) AS target_2 FROM feat""")
 oracle("s10_replace_table", "symbol industry detected_date", "SELECT symbol, industry, CASE WHEN length(symbol) = 1 THEN '1999-01-01' ELSE '1998-06-30' END AS detected_date FROM uni")
 oracle("s11_upsert", "symbol date:d close:f volume:i", """SELECT symbol, date, CASE WHEN bar_no > n_bars - 10 THEN close + 1 ELSE close END AS close, volume FROM bars""")
+oracle("s11_merge_store", "symbol date:d close:f volume:i", """SELECT symbol, date, CASE WHEN bar_no > n_bars - 10 THEN close + 1 ELSE close END AS close, volume FROM bars""")
 oracle("s12_delete", "symbol date:d close:f", "SELECT * FROM bars WHERE symbol NOT IN (SELECT symbol FROM uni WHERE sector = 'ASIA')")
 oracle("s13_patch", "id:i notes balance:f state", """SELECT s_suppkey AS id, s_name AS notes, CASE WHEN n % 2 = 0 THEN b ELSE s_acctbal END AS balance,
  CASE WHEN n % 3 = 0 THEN 'CLOSED' ELSE 'OPEN' END AS state FROM supplier LEFT JOIN (SELECT l_suppkey, sum(l_quantity) AS b, count(*) AS n FROM lineitem GROUP BY 1) ON l_suppkey = s_suppkey""")
@@ -429,6 +430,12 @@ oracle("r1_rs_percentile", "symbol date:d ret_63:f rs_percentile:f", "SELECT * F
 oracle("r2_relative_strength", "symbol date:d rs:f", """SELECT b.symbol, b.date, CASE WHEN 1 + i.r > 0 THEN (1 + b.ret_63) / (1 + i.r) END AS rs FROM base b JOIN (SELECT date, close / lag(close, 63) OVER (ORDER BY date) - 1 AS r FROM allix) i USING (date)""")
 oracle("r4_slot_allocation", "date:d symbol score:f sector accepted:b reason", ALLOC.format("alloc"))
 oracle("r5_capacity_by_priority", "date:d symbol score:f sector priority:i accepted:b reason", ALLOC.format("alloc1"))
+cte("bookc", """SELECT row_number() OVER (ORDER BY entry_date, score DESC, symbol) AS rn, CAST(entry_date AS DATE) AS date, symbol, score, coalesce(sector, 'unknown') AS sector, CAST(exit_date AS DATE) AS exit_date
+ FROM trades LEFT JOIN uni USING (symbol)""")
+cte("bookf", """SELECT CAST(0 AS BIGINT) AS rn, CAST([] AS STRUCT(sector VARCHAR, fin DATE)[]) AS book, false AS taken, CAST(0 AS BIGINT) AS n_open, CAST(0 AS BIGINT) AS n_sector
+ UNION ALL SELECT rn, CASE WHEN ok THEN list_append(kept, {'sector': sector, 'fin': exit_date}) ELSE kept END, ok, len(kept), same FROM (SELECT *, len(kept) < 3 AND same < 1 AS ok FROM (
+ SELECT *, len(list_filter(kept, lambda x: x.sector = sector)) AS same FROM (SELECT c.*, list_filter(f.book, lambda x: x.fin >= c.date) AS kept FROM bookf f JOIN bookc c ON c.rn = f.rn + 1)))""")
+oracle("r5_living_book", "date:d symbol score:f sector exit_date:d n_open:i n_sector:i", "SELECT c.*, f.n_open, f.n_sector FROM bookc c JOIN bookf f USING (rn) WHERE f.taken")
 oracle("r6_latest_k", "symbol date:d back:i", "SELECT symbol, date, n_bars - bar_no + 1 AS back FROM bars WHERE bar_no > n_bars - 5")
 
 # ── patterns ─────────────────────────────────────────────────────────────
