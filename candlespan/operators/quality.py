@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candlespan.config import Thresholds
@@ -28,6 +28,26 @@ def freshness(latest: DataFrame, as_of: DataFrame) -> DataFrame:
     )
 
 
+def stale_days(bars: DataFrame, calendar: DataFrame) -> DataFrame:
+    """Freshness as of every session: (symbol, date, latest, age_days) of the sessions on which a symbol that has traded has no bar.
+
+    `bars` is (symbol, date, next_date), with the symbol's next bar's date. A stale symbol has no row on that session, so each bar
+    stands for the sessions up to the next one, or after the last bar up to the newest date of all: their numbers come from the calendar by
+    equality, and as many rows are made as there are stale symbols.
+    """
+    day = Window.partitionBy(F.lit(0)).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)  # one row per day of the calendar
+    days = calendar.select("date", "trading", F.count_if("trading").over(day).alias("session"))
+    newest = bars.agg(F.max("date")).scalar()
+    upto = days.select(F.col("date").alias("end"), (F.col("session") - F.col("trading").cast("long")).alias("last"), F.col("session").alias("at"))
+    rows = bars.select("symbol", "date", "next_date", F.coalesce("next_date", newest).alias("end"))
+    rows = rows.join(days.select("date", "session"), "date").join(upto, "end")
+    last = F.when(F.col("next_date").isNull(), F.col("at")).otherwise(F.col("last"))
+    gaps = rows.filter(last > F.col("session")).select(
+        "symbol", F.col("date").alias("latest"), F.explode(F.sequence(F.col("session") + 1, last)).alias("session"))
+    out = gaps.join(days.filter("trading").select("date", "session"), "session")
+    return out.select("symbol", "date", "latest", F.datediff("date", "latest").alias("age_days"))
+
+
 def bad_move(max_drop: float = 0.25, max_jump: float = 0.40) -> Column:
     """The one-bar move where it is implausible, else NULL."""
     move = F.col("close") / F.lag("close").over(series()) - 1.0

@@ -70,12 +70,19 @@ class Tables:
     def __init__(self, spark: SparkSession, d: str):
         self.spark, self.d = spark, d
         self._trades: DataFrame | None = None
+        self._bars: DataFrame | None = None
 
     def __getattr__(self, name: str) -> DataFrame:
         return B.table(self.spark, self.d, name)
 
     def bars(self) -> DataFrame:
-        return B.walk_bars(self.lineitem)
+        return B.walk_bars(self.lineitem) if self._bars is None else self._bars
+
+    def stored_bars(self) -> DataFrame:
+        """The bars, worked out once: for plans that read them several times. From then on `bars` gives these."""
+        if self._bars is None:
+            self._bars = stored(self.bars(), "bars")
+        return self._bars
 
     def gap_bars(self) -> DataFrame:
         return B.walk_bars(self.lineitem, gap_open=True)
@@ -324,6 +331,13 @@ def f1_freshness(spark, d):
     return tidy(Q.freshness(Q.latest_dates(b), as_of))
 
 
+@query
+def f1_stale_days(spark, d):
+    """The sessions on which a symbol's newest bar is an older one."""
+    t = Tables(spark, d)
+    return tidy(Q.stale_days(S.prepass(t.stored_bars()).select("symbol", "date", "next_date"), t.calendar()))
+
+
 @query
 def f2_discontinuities(spark, d):
     return tidy(Q.discontinuities(Tables(spark, d).panel(), 0.03, 0.03))
@@ -486,11 +500,12 @@ def _context(t: Tables) -> DataFrame:
 def _featured(t: Tables) -> DataFrame:
     """Trades with every feature known when they were entered; `volume_ratio_morning` is that of the session before."""
     keys = ["symbol", "entry_date"]
+    t.stored_bars()
     trades = t.trades()
-    bar = S.analysed(t.bars()).withColumn("volume_ratio_morning", F.lag("volume_ratio_20").over(series()))
+    bar = S.analysed(t.stored_bars()).withColumn("volume_ratio_morning", F.lag("volume_ratio_20").over(series()))
     bar = own_rows(bar).select(
         "symbol", F.col("date").alias("entry_date"), "stage", "tightness", "adv_cr", F.col("best")["confidence"].alias("pattern_confidence"), "volume_ratio_morning")
-    rank = R.percentile_ranks(S.prepass(t.bars()).select("symbol", "date", "ret_63"), ["date"], "ret_63").withColumnRenamed("date", "entry_date")
+    rank = R.percentile_ranks(S.prepass(t.stored_bars()).select("symbol", "date", "ret_63"), ["date"], "ret_63").withColumnRenamed("date", "entry_date")
     rows = trades.join(bar, keys).join(rank.select(*keys, F.coalesce("rs_percentile", F.lit(0.0)).alias("rs_percentile")), keys)
     rows = rows.join(t.universe().select("symbol", "sector"), "symbol", "left")
     trends = _sector_trend_rows(t).select(F.col("date").alias("entry_date"), "sector", "sector_trend")
@@ -537,6 +552,7 @@ def j3_events_in_reach(spark, d):
 @query
 def j4_trade_bars(spark, d):
     t = Tables(spark, d)
+    t.stored_bars()
     rows = TR.holding_bars(t.trades(), t.bars(), True)
     return tidy(rows.groupBy("symbol", "entry_date").agg(F.count("*").alias("n"), F.max("high").alias("high"), F.min("low").alias("low")))
 
@@ -700,26 +716,22 @@ def a15_gate_audit(spark, d):
     th = Thresholds(min_adv_cr=0.004)
     u = t.universe().withColumns({"listing_date": F.lit(None).cast("date"), "promoter_pledge_pct": F.lit(None).cast("double")})
     last = own_rows(t.panel().withColumn("adv_cr", I.adv_crores())).filter("bar_no = n_bars")
-    ev = t.events_cal().filter("dayofmonth(date) < 3").select("symbol").distinct().withColumn("has_event", F.lit(True))
+    ev = t.events_cal().select("symbol").distinct().withColumn("has_event", F.lit(True))
     checked = last.join(ev, "symbol", "left").select(
         (F.col("adv_cr") < th.min_adv_cr).alias("adv_rejected"), F.coalesce("has_event", F.lit(False)).alias("has_event"))
     return tidy(Q.gate_audit(u, checked, th))
 
 
+def _scan(t: Tables) -> DataFrame:
+    """The whole morning scan, with sessions without a bar and with announcements."""
+    return S.morning_scan(t.stored_bars(), t.universe(), TEST_SETTINGS, t.calendar(), t.events_cal())
+
+
 @query
 def a16_skip_funnel(spark, d):
-    """First failing gate of every (symbol, date) with the 52-week-high pattern alone, counted per year."""
-    t = Tables(spark, d)
-    th = TEST_SETTINGS.thresholds
-    p = t.panel().withColumns({"adv_cr": I.adv_crores(), "bad": Q.bad_move(0.035, 0.035)})
-    p = with_stage(P.fifty_two_week_high(p.withColumn("ok", Q.continuous(300))))
-    m = F.col("p_fifty_two_week_high")
-    gate = Q.first_failure(
-        discontinuous=~F.col("ok"), insufficient_data=F.col("bar_no") < th.min_history, quality=F.col("adv_cr") < th.min_adv_cr,
-        stage=F.col("stage") != "STAGE_2", no_pattern=m.isNull(), low_score=m["confidence"] < 80,
-    )
-    rows = own_rows(p).withColumn("year", F.year("date").cast("long"))
-    return tidy(Q.funnel(rows, gate, ["year"]))
+    """First failing gate of every (symbol, session) of the morning scan, counted per year."""
+    rows = _scan(Tables(spark, d)).withColumn("year", F.year("date").cast("long"))
+    return tidy(Q.funnel(rows, F.col("gate"), ["year"]))
 
 
 def _resent(t: Tables) -> tuple[DataFrame, DataFrame]:
@@ -1345,15 +1357,15 @@ def x3_replay_default_signal(spark, d):
 
 @query
 def morning_scan_gates(spark, d):
-    """Gate and score of the whole scan for every (symbol, date)."""
-    t = Tables(spark, d)
-    return tidy(S.morning_scan(t.bars(), t.universe(), TEST_SETTINGS).select("symbol", "date", "stage", "gate", "score", "rs_percentile"))
+    """Gate and score of the whole scan for every (symbol, session)."""
+    return tidy(_scan(Tables(spark, d)).select("symbol", "date", "stage", "gate", "score", "rs_percentile", "earnings_blackout"))
 
 
 @query
 def x4_stream_tracker(spark, d):
     t = Tables(spark, d)
-    return tidy(ST.track_trades(spark, t.trades(), t.bars()))
+    bars = t.stored_bars()
+    return tidy(ST.track_trades(spark, t.trades(), bars))
 
 
 @query
@@ -1361,7 +1373,7 @@ def x5_stream_bars(spark, d):
     return tidy(ST.stream_event_bars(spark, d))
 
 
-def _resent(b: DataFrame) -> DataFrame:
+def _messages(b: DataFrame) -> DataFrame:
     """Re-sent bars as messages, a third of them sent twice."""
     sent = _late(b).withColumn("arrival", F.unix_date("date").cast("long"))
     return sent.unionByName(sent.filter(F.col("volume") % 3 == 0))
@@ -1370,13 +1382,13 @@ def _resent(b: DataFrame) -> DataFrame:
 @query
 def x6_stream_upsert(spark, d):
     b = Tables(spark, d).bars()
-    return tidy(ST.stream_upsert(spark, b.filter(F.col("bar_no") <= F.col("n_bars") - 5), _resent(b), batches=3).select("symbol", "date", "close", "volume"))
+    return tidy(ST.stream_upsert(spark, b.filter(F.col("bar_no") <= F.col("n_bars") - 5), _messages(b), batches=3).select("symbol", "date", "close", "volume"))
 
 
 @query
 def x6_stream_counts(spark, d):
     """What became of the messages of the stream above."""
-    return tidy(ST.resent_bars(spark, _resent(Tables(spark, d).bars()), batches=3)[1])
+    return tidy(ST.resent_bars(spark, _messages(Tables(spark, d).bars()), batches=3)[1])
 
 
 @query

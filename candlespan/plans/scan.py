@@ -14,9 +14,9 @@ from candlespan.operators import crosssection as X
 from candlespan.operators import indicators as I
 from candlespan.operators.confirm import near_level
 from candlespan.operators.kernels import smoothing
-from candlespan.operators.panel import own_rows, panel
+from candlespan.operators.panel import own_rows, panel, series
 from candlespan.operators.patterns import best_pattern, with_patterns
-from candlespan.operators.quality import bad_move, continuous, first_failure
+from candlespan.operators.quality import bad_move, blackout, continuous, first_failure, quality, stale_days
 from candlespan.operators.ranking import percentile_ranks
 from candlespan.operators.stage import with_stage
 from candlespan.operators.trades import label_outcomes, non_overlapping, with_future
@@ -29,6 +29,7 @@ def prepass(bars: DataFrame) -> DataFrame:
     """What the cross-section needs of every bar: returns, moving average and continuity, all plain windows."""
     p = panel(bars).withColumns({
         "bad": bad_move(), "ret_63": I.period_return(63), "ret_1": I.daily_return(), "sma_50": I.sma("close", 50),
+        "next_date": F.lead("date").over(series()),
     })
     return own_rows(p.withColumn("continuous", continuous())).drop("bad")
 
@@ -47,24 +48,41 @@ def analysed(bars: DataFrame, s: Settings = Settings()) -> DataFrame:
     )
 
 
-def morning_scan(bars: DataFrame, universe: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """Score, gates and features of every (symbol, date); `gate` names the first gate that fails."""
+def morning_scan(
+    bars: DataFrame, universe: DataFrame, s: Settings = Settings(), calendar: DataFrame | None = None, events: DataFrame | None = None
+) -> DataFrame:
+    """Score, gates and features of every (symbol, date); `gate` names the first gate that fails.
+
+    With a `calendar`, the sessions on which a symbol that has traded before has no bar are rows as well, with the gate `stale` and no
+    features. With `events` too, an announcement ahead is a blackout: like a failed quality check or another stage it makes the score 0.
+    The quality floor looks at what the universe knows of market_cap_cr, listing_date and promoter_pledge_pct; unknown facts pass. A symbol
+    without a sector gets the one its industry's words stand for.
+    """
     th = s.thresholds
-    sectors = universe.select("symbol", "sector")
-    light = prepass(bars).filter("continuous").select("symbol", "date", "ret_63").join(sectors, "symbol", "left")
-    ranked = percentile_ranks(light, ["date"], "ret_63").select("symbol", "date", "rs_percentile")
-    trends = X.sector_trends(light, "ret_63").select("date", "sector", "sector_trend")
-    rows = own_rows(analysed(bars, s)).join(sectors, "symbol", "left")
+    known = {c: F.col(c) if c in universe.columns else F.lit(None).cast(t) for c, t in (
+        ("sector", "string"), ("industry", "string"), ("market_cap_cr", "double"), ("listing_date", "date"), ("promoter_pledge_pct", "double"))}
+    facts = universe.select("symbol", *[c.alias(n) for n, c in known.items()])
+    facts = facts.withColumn("sector", F.coalesce(F.nullif(F.trim("sector"), F.lit("")), M.classify_sector(F.col("industry")))).drop("industry")
+    light = prepass(bars).select("symbol", "date", "ret_63", "continuous", "next_date")
+    fair = light.filter("continuous").select("symbol", "date", "ret_63").join(facts.select("symbol", "sector"), "symbol", "left")
+    ranked = percentile_ranks(fair, ["date"], "ret_63").select("symbol", "date", "rs_percentile")
+    trends = X.sector_trends(fair, "ret_63").select("date", "sector", "sector_trend")
+    rows = own_rows(analysed(bars, s)).join(facts, "symbol", "left")
     rows = rows.join(ranked, ["symbol", "date"], "left").join(trends, ["date", "sector"], "left")
+    if events is None:
+        rows = rows.withColumn("earnings_blackout", F.lit(False))
+    else:
+        rows = rows.join(blackout(light.select("symbol", "date"), events, calendar), ["symbol", "date"], "left").withColumnRenamed("blackout", "earnings_blackout")
     level = F.col("best")["breakout_level"]
+    failed = quality(F.col("adv_cr"), F.col("market_cap_cr"), F.datediff("date", "listing_date"), F.col("promoter_pledge_pct"), th)
     rows = rows.withColumns({
         "rs_percentile": F.coalesce("rs_percentile", F.lit(0.0)), "sector_trend": F.coalesce("sector_trend", F.lit("flat")),
         "volume_ratio": F.coalesce("volume_ratio_20", F.lit(1.0)), "distance_pct": (level - F.col("close")) / level * 100.0,
-        "quality_ok": F.col("adv_cr") >= th.min_adv_cr,
+        "quality_failed": failed, "quality_ok": F.size(failed) == 0,
     }).withColumn("rs_points", M.rs_points(F.col("rs_percentile")))
     score = M.composite_score(
         F.col("best")["confidence"], F.col("rs_points"), F.col("volume_ratio"), F.col("tightness"), F.col("sector_trend"),
-        F.lit(None).cast("double"), F.lit(None).cast("double"), F.col("stage") == "STAGE_2", th,
+        F.lit(None).cast("double"), F.lit(None).cast("double"), F.col("quality_ok") & (F.col("stage") == "STAGE_2") & ~F.col("earnings_blackout"), th,
     )
     rows = rows.withColumn("score", score)
     gate = first_failure(
@@ -72,7 +90,11 @@ def morning_scan(bars: DataFrame, universe: DataFrame, s: Settings = Settings())
         stage=F.col("stage") != "STAGE_2", no_pattern=F.col("best").isNull() | (level <= 0),
         far_from_breakout=~near_level(F.col("close"), level, th.near_breakout_pct), low_score=F.col("score") < th.watchlist_min_score,
     )
-    return rows.withColumn("gate", gate)
+    rows = rows.withColumn("gate", gate)
+    if calendar is None:
+        return rows
+    stale = stale_days(light, calendar).select("symbol", "date", F.lit("stale").alias("gate"))
+    return rows.unionByName(stale, allowMissingColumns=True)
 
 
 def watchlist(scan: DataFrame) -> DataFrame:

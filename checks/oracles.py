@@ -365,7 +365,7 @@ oracle("a14_portfolio_health", "date:d daily_pct:f monthly_pct:f n_open:i reason
  LEFT JOIN (SELECT exit_date AS date, sum(pnl_inr) AS dp, count(*) AS cl FROM trades GROUP BY 1) c USING (date) LEFT JOIN (SELECT entry_date AS date, count(*) AS op FROM trades GROUP BY 1) o USING (date))""")
 oracle("a15_gate_audit", "gate state n:i of:i pct:f", """SELECT g.gate, g.state, g.n, g.of, CASE WHEN g.of > 0 THEN g.n * 100.0 / g.of ELSE 0 END AS pct FROM (
  SELECT (SELECT count(*) FROM base WHERE bar_no = n_bars) AS nc, (SELECT count(*) FROM base WHERE bar_no = n_bars AND adv_cr < 0.004) AS ar, (SELECT count(*) FROM uni) AS nu, (SELECT count(market_cap_cr) FROM uni) AS nm,
- (SELECT count(*) FROM base WHERE bar_no = n_bars AND symbol IN (SELECT symbol FROM evcal WHERE day(date) < 3)) AS ne) f, LATERAL (VALUES ('adv', 'ACTIVE', ar, nc),
+ (SELECT count(*) FROM base WHERE bar_no = n_bars AND symbol IN (SELECT symbol FROM evcal)) AS ne) f, LATERAL (VALUES ('adv', 'ACTIVE', ar, nc),
  ('market_cap', CASE WHEN nm > 0 THEN 'ACTIVE' ELSE 'REDUNDANT' END, nm, nu), ('listing_age', 'REDUNDANT', 0, nu), ('promoter_pledge', 'INERT', 0, nu), ('earnings_blackout', CASE WHEN ne > 0 THEN 'ACTIVE' ELSE 'INERT' END, ne, nc)) AS g(gate, state, n, of)""")
 cte("hi52", f"""SELECT *, max(high) {last(252)} AS top_ FROM stg""")
 cte("m52", """SELECT h.*, (SELECT count(*) FROM bars b WHERE b.symbol = h.symbol AND b.bar_no BETWEEN h.bar_no - 125 AND h.bar_no AND b.high >= h.top_ * (1 - 0.015)) AS touches,
@@ -373,9 +373,9 @@ cte("m52", """SELECT h.*, (SELECT count(*) FROM bars b WHERE b.symbol = h.symbol
  FROM hi52 h WHERE h.bar_no >= 252 AND (h.top_ - h.close) / h.top_ <= 0.02""")
 cte("p52", """SELECT m.*, least(100, 50 + greatest(touches - 1, 0) * 5.0) AS confidence, top_ AS breakout_level, top_ - (SELECT min(b.low) FROM bars b WHERE b.symbol = m.symbol AND b.bar_no BETWEEN m.start_no AND m.bar_no) AS base_height,
  (SELECT b.date FROM bars b WHERE b.symbol = m.symbol AND b.bar_no = m.start_no) AS base_start_date FROM m52 m""")
-oracle("a16_skip_funnel", "year:i gate n:i", f"""SELECT year(date) AS year, CASE WHEN nbad > 0 THEN 'discontinuous' WHEN bar_no < 200 THEN 'insufficient_data' WHEN adv_cr < 0.004 THEN 'quality' WHEN stage <> 'STAGE_2' THEN 'stage'
- WHEN confidence IS NULL THEN 'no_pattern' WHEN confidence < 80 THEN 'low_score' ELSE 'passed' END AS gate, count(*) AS n FROM (SELECT s.*, count({bad(0.035)}) {last(299)} AS nbad FROM stg s) x
- LEFT JOIN (SELECT symbol, bar_no, confidence FROM p52) p USING (symbol, bar_no) GROUP BY 1, 2""")
+cte("gaps", """SELECT g.symbol, g.date, b.date AS latest, date_diff('day', b.date, g.date) AS age_days FROM (SELECT s.symbol, c.date FROM (SELECT symbol, min(date) AS f, (SELECT max(date) FROM bars) AS t FROM bars GROUP BY symbol) s
+ JOIN cal c ON c.trading AND c.date > s.f AND c.date <= s.t) g ASOF JOIN bars b ON b.symbol = g.symbol AND g.date >= b.date WHERE b.date < g.date""")
+oracle("f1_stale_days", "symbol date:d latest:d age_days:i", "SELECT * FROM gaps")
 oracle("a17_adjustment_ratio", "symbol n:i price_factor:f volume_factor:f", "SELECT * FROM factor")
 oracle("a18_excursions", "symbol entry_date:d max_favorable:f max_adverse:f", """SELECT symbol, entry_date, greatest(0, max((bh - entry_price) / abs(entry_price - stop_loss))) AS max_favorable,
  least(0, min((bl - entry_price) / abs(entry_price - stop_loss))) AS max_adverse FROM tbars WHERE bdate > entry_date GROUP BY symbol, entry_date""")
@@ -516,7 +516,7 @@ FOUND = {
     "fifty_two_week_high": "p52", "darvas_box": f"({BODIES['p2_darvas_box'].replace('b.date,', 'b.date, b.bar_no,', 1)})", "nr7": f"({NR.format('wnr')})", "inside_bar": "pin", "bollinger_squeeze": "psq",
     "ascending_triangle": f"({BODIES['p6_ascending_triangle'].replace('tri0', 'wtri')})", "vcp": f"({contraction('wv', 'wpiv')})", "cup_and_handle": f"({BODIES['p8_cup_and_handle']})", "flag": f"({BODIES['p9_flag']})",
 }
-cte("plain", " UNION ALL ".join(f"SELECT symbol, date, bar_no, '{name}' AS pattern, {k} AS ix, confidence, breakout_level FROM {src}" for k, (name, src) in enumerate(FOUND.items())))
+cte("plain", " UNION ALL ".join(f"SELECT symbol, date, bar_no, '{name}' AS pattern, {k} AS ix, confidence, breakout_level, base_height FROM {src}" for k, (name, src) in enumerate(FOUND.items())))
 oracle("p10_detect_all", "symbol date:d pattern confidence:f", "SELECT * FROM plain")
 oracle("r3_best_pattern", "symbol date:d pattern confidence:f breakout_level:f", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol, date ORDER BY confidence DESC, ix) AS r FROM plain) WHERE r = 1")
 oracle("k4_top_matches", "symbol confidence:f bar_no:i pattern", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY confidence DESC, bar_no, pattern) AS r FROM plain) WHERE r <= 3")
@@ -545,6 +545,22 @@ cte("scored", f"""SELECT p.symbol, p.date, p.close, p.cir, p.stage, p.confidence
  CASE m.sector_trend WHEN 'up' THEN 5 WHEN 'down' THEN 0 ELSE 3 END AS sp FROM p52 p LEFT JOIN ranks r ON r.symbol = p.symbol AND r.date = p.date LEFT JOIN uni u ON u.symbol = p.symbol LEFT JOIN secmed m ON m.date = p.date AND m.sector = u.sector""")
 oracle("m6_composite_score", "symbol date:d score:f", "SELECT symbol, date, CASE WHEN stage = 'STAGE_2' THEN greatest(0, confidence * 0.35 + 15 + rs + vp + tp + 5 + sp) ELSE 0 END AS score FROM scored")
 oracle("m7_rescore", "symbol date:d score:f", f"SELECT symbol, date, greatest(0, confidence * 0.35 + 15 + rs + vp + tp + {CLOSE_PTS} + sp - {ext_pen('((close - level) / level * 100)')}) AS score FROM scored")
+cte("cont", f"SELECT *, count(CASE WHEN close / pc - 1 <= -0.25 OR close / pc - 1 >= 0.40 THEN 1 END) {last(299)} AS nbad FROM base")
+cte("fair", "SELECT symbol, date, ret_63 FROM cont WHERE nbad = 0 AND ret_63 IS NOT NULL")
+cte("fairrank", """SELECT *, CASE WHEN count(*) OVER (PARTITION BY date) = 1 THEN 50.0 ELSE (rank() OVER (PARTITION BY date ORDER BY ret_63) - 1 + (count(*) OVER (PARTITION BY date, ret_63) - 1) / 2.0)
+ / (count(*) OVER (PARTITION BY date) - 1) * 100.0 END AS rs_percentile FROM fair""")
+cte("fairsec", "SELECT date, sector, CASE WHEN median(ret_63) > 0.02 THEN 5 WHEN median(ret_63) < -0.02 THEN 0 ELSE 3 END AS sp FROM fair JOIN uni USING (symbol) GROUP BY date, sector")
+cte("blk1", BLK.format("AND e.event_date >= b.date"))
+cte("scan0", f"""SELECT s.symbol, s.date, s.bar_no, s.stage, s.close, c.nbad, s.adv_cr < 0.004 OR coalesce(u.market_cap_cr < 500, false) AS poor, p.confidence, p.breakout_level, coalesce(r.rs_percentile, 0) AS rs_percentile, x.blackout AS earnings_blackout,
+ {rs_pts('coalesce(r.rs_percentile, 0)')} AS rs, {vol_pts('coalesce(s.volume_ratio_20, 1)')} AS vp, greatest(0, least(10, (CASE WHEN s.bar_no >= 51 AND s.atr_50 > 0 THEN 1 - s.atr_10 / s.atr_50 ELSE 0 END) * 10)) AS tp, coalesce(m.sp, 3) AS sp
+ FROM stg s JOIN cont c ON c.symbol = s.symbol AND c.date = s.date LEFT JOIN uni u ON u.symbol = s.symbol LEFT JOIN blk1 x ON x.symbol = s.symbol AND x.date = s.date LEFT JOIN fairrank r ON r.symbol = s.symbol AND r.date = s.date
+ LEFT JOIN fairsec m ON m.date = s.date AND m.sector = u.sector LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY symbol, date ORDER BY confidence DESC, ix) AS r FROM plain) p ON p.symbol = s.symbol AND p.date = s.date AND p.r = 1""")
+cte("scan1", "SELECT *, CASE WHEN confidence IS NOT NULL AND stage = 'STAGE_2' AND NOT poor AND NOT earnings_blackout THEN greatest(0, confidence * 0.35 + 15 + rs + vp + tp + 5 + sp) ELSE 0 END AS score FROM scan0")
+cte("scan2", """SELECT symbol, date, stage, CASE WHEN nbad > 0 THEN 'discontinuous' WHEN bar_no < 200 THEN 'insufficient_data' WHEN poor THEN 'quality' WHEN stage <> 'STAGE_2' THEN 'stage' WHEN confidence IS NULL OR breakout_level <= 0 THEN 'no_pattern'
+ WHEN (breakout_level - close) / breakout_level > 0.02 THEN 'far_from_breakout' WHEN score < 50 THEN 'low_score' ELSE 'passed' END AS gate, score, rs_percentile, earnings_blackout FROM scan1
+ UNION ALL SELECT symbol, date, NULL, 'stale', NULL, NULL, NULL FROM gaps""")
+oracle("a16_skip_funnel", "year:i gate n:i", "SELECT year(date) AS year, gate, count(*) AS n FROM scan2 GROUP BY 1, 2")
+oracle("morning_scan_gates", "symbol date:d stage gate score:f rs_percentile:f earnings_blackout:b", "SELECT * FROM scan2")
 KEYS = (("BANK", ("bank",)), ("IT", ("information technology", "software", " it ")), ("AUTO", ("auto", "automobile")), ("PHARMA", ("pharma", "healthcare", "drug")), ("FMCG", ("fmcg", "consumer goods", "food", "personal")),
         ("METAL", ("metal", "steel", "mining", "iron")), ("REALTY", ("realty", "real estate", "construction")), ("ENERGY", ("energy", "power", "oil", "gas", "petroleum")), ("FINANCE", ("finance", "financial", "nbfc", "insurance")))
 oracle("m8_classify_sector", "doc_id:i sector", "SELECT doc_id, CASE " + " ".join("WHEN " + " OR ".join(f"contains(x, '{w}')" for w in ws) + f" THEN '{k}'" for k, ws in KEYS) + " END AS sector FROM (SELECT doc_id, ' ' || lower(text) || ' ' AS x FROM documents)")
@@ -607,6 +623,14 @@ oracle("x1_settle", "symbol entry_date:d new_state exit_price:f days_held:f pnl_
  CASE WHEN xp IS NOT NULL THEN (xp - entry_price - {trip('entry_price', 'xp', '1.0')}) / greatest(1e-9, abs(entry_price - stop_loss)) END AS pnl_r FROM one2""")
 oracle("x2_label_outcomes", "symbol entry_date:d exit_date:d state exit_price:f bars_held:i shares:i pnl_r:f", "SELECT * FROM lab")
 oracle("x3_replay", "symbol entry_date:d exit_date:d state exit_price:f", "SELECT * FROM trades")
+# the same labels and choice over the scanner's own signal
+cte("dsig", f"""SELECT * FROM (SELECT s.*, p.pattern, p.breakout_level AS level, p.base_height, p.breakout_level - 1.5 * s.atr_14 AS stop_loss, CASE WHEN s.stage = 'STAGE_2' THEN greatest(0, p.confidence * 0.35 + 15 + {vol_pts('coalesce(s.volume_ratio_20, 1)')}
+ + {CLOSE_PTS} + 3 - {ext_pen('(CASE WHEN p.breakout_level > 0 THEN (s.close - p.breakout_level) / p.breakout_level * 100 END)')}) ELSE 0 END AS score
+ FROM stg s JOIN (SELECT *, row_number() OVER (PARTITION BY symbol, date ORDER BY confidence DESC, ix) AS r FROM plain) p ON p.symbol = s.symbol AND p.date = s.date AND p.r = 1)
+ WHERE bar_no > 200 AND bar_no < n_bars AND level > 0 AND (level - close) / level <= 0.02 AND score >= 60 AND atr_14 IS NOT NULL""")
+for name in ("lab0", "lab1", "lab2", "lab3", "lab4", "lab5", "lab", "nxt", "pick", "trades"):
+    cte(f"d{name}", re.sub(r"\b(sig|lab[0-5]?|nxt|pick|trades)\b", r"d\1", CTES[name]))
+oracle("x3_replay_default_signal", "symbol entry_date:d exit_date:d pattern score:f state exit_price:f pnl_r:f", "SELECT * FROM dtrades")
 cte("tk0", "SELECT t.*, b.bar_no AS bn, b.date AS bd, b.open AS bo, b.high AS bh2, b.low AS bl2, b.close AS bc2, date_diff('day', t.entry_date, b.date) AS held FROM trades t JOIN bars b ON b.symbol = t.symbol AND b.date > t.entry_date")
 cte("tk1", "SELECT id, min(bn) FILTER (WHERE bl2 <= stop_loss) AS j_stop, min(bn) FILTER (WHERE bh2 >= target_2) AS j_t2, min(bn) FILTER (WHERE bh2 >= target_1) AS j_t1 FROM tk0 GROUP BY id")
 cte("tk2", "SELECT *, CASE WHEN j_t1 IS NOT NULL AND (j_stop IS NULL OR j_t1 < j_stop) AND (j_t2 IS NULL OR j_t1 < j_t2) THEN j_t1 END AS hit FROM tk1")

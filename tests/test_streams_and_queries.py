@@ -52,7 +52,7 @@ def test_entry(spark):
 
 
 def test_every_query_has_sql_or_is_known_to_have_none():
-    assert set(E.queries()) - set(E.oracle_sql()) == {"x3_replay_default_signal", "morning_scan_gates", "pipeline"} & set(E.queries()) | {
+    assert set(E.queries()) - set(E.oracle_sql()) == {"pipeline"} & set(E.queries()) | {
         q for q in set(E.queries()) - set(E.oracle_sql()) if q.startswith("op")
     }
 
