@@ -246,12 +246,37 @@ class Forest:
         return child, label[child]
 
 
+def shortest_forest(n: int, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Which of the pairs (a, b) of n points are a spanning forest of least length: in every turn each tree takes its shortest way out."""
+    order = np.argsort(length, kind="stable")
+    left, right = a[order], b[order]
+    at, forest, taken = np.arange(len(order)), Forest(n), []
+    while True:
+        label = np.array([forest.root(x) for x in range(n)])
+        la, lb = label[left[at]], label[right[at]]
+        apart = la != lb
+        at, la, lb = at[apart], la[apart], lb[apart]
+        if not len(at):
+            return order[np.array(taken, np.int64)]
+        best = np.full(n, len(order))
+        for side in (la, lb):
+            np.minimum.at(best, side, at)
+        for k in np.unique(best[best < len(order)]).tolist():
+            x, y = forest.root(int(left[k])), forest.root(int(right[k]))
+            if x != y:
+                forest.up[max(x, y)] = min(x, y)
+                taken.append(k)
+
+
 def links(
-    points: DataFrame, radius: int, bands: list[np.ndarray], margin: int = 0, sample: int = SAMPLE, leaves: int = LEAVES, block: int = BLOCK
+    points: DataFrame, radius: int, bands: list[np.ndarray], margin: int = 0, sample: int = SAMPLE, leaves: int = LEAVES, block: int = BLOCK,
+    direct: bool = False,
 ) -> DataFrame:
     """(a, b) with a > b: links between the points (node, w0, w1, ...) whose transitive closure is that of all pairs within the radius
     that are within `margin` of each other in a band. If points have a column `label`, all such pairs of different labels instead.
 
+    With `direct` every link is itself such a pair, and of those that connect the same points the shortest are taken.
+
     `sample` bounds the points the trees are built from; every point is in the trees' leaves whatever the sample, so it
     bears on speed alone.
     """
@@ -300,6 +325,17 @@ def links(
             apart = [(x[pick], y[pick]) for x, y in found if (pick := label[x] != label[y]).any()]
             x, y = map(np.concatenate, zip(*apart)) if apart else (np.empty(0, np.int64), np.empty(0, np.int64))
             return pd.DataFrame({"a": np.maximum(node[x], node[y]), "b": np.minimum(node[x], node[y])})
+        if direct:
+            x = y = np.empty(0, np.int64)
+            for new_x, new_y in found:
+                differ = node[new_x] != node[new_y]
+                x, y = np.concatenate([x, new_x[differ]]), np.concatenate([y, new_y[differ]])
+                if len(x) > 1 << 18:
+                    keep = shortest_forest(len(node), x, y, distance(words[x], words[y]))
+                    x, y = x[keep], y[keep]
+            keep = shortest_forest(len(node), x, y, distance(words[x], words[y]))
+            x, y = x[keep], y[keep]
+            return pd.DataFrame({"a": np.maximum(node[x], node[y]), "b": np.minimum(node[x], node[y])})
         forest, held, n = Forest(len(node)), [], 0
         for x, y in found:
             differ = node[x] != node[y]
@@ -435,7 +471,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, *
     marked = stored(_set_prints(docs, shingle), "fingerprints")
     points = _points(marked)
     bare = points.drop("doc_id")
-    near = _verified(links(bare, radius, wide_bands()[:NEAR_BANDS], **search), points, docs, shingle, similarity)
+    near = _verified(links(bare, radius, wide_bands()[:NEAR_BANDS], direct=True, **search), points, docs, shingle, similarity)
     labels = bare.join(components(near), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
     pairs = links(stored(labels, "simhash-labels"), wide, pair_bands(), **search)
     more = _verified(pairs, points, docs, shingle, similarity)
