@@ -31,6 +31,14 @@ def subset(table: DataFrame, *names: str) -> DataFrame:
     return table.select(*[F.col(f"`{n}`") for n in names])
 
 
+def spare_name(wanted: str, *tables: DataFrame) -> str:
+    """`wanted`, with underscores before it until none of the tables has a column of that name, in any case of letters."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while wanted.lower() in taken:
+        wanted = f"_{wanted}"
+    return wanted
+
+
 def drawn(df: DataFrame, n_rows: int, bound: int, *names: str) -> DataFrame:
     """About `bound` of the `n_rows` rows, or all if there are fewer: those whose columns' hash is small enough.
 

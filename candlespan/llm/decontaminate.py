@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from candlespan.llm.common import kept_in_worker, release, stored
+from candlespan.llm.common import kept_in_worker, release, spare_name, stored
 from candlespan.llm.suffix_automaton import WORD, SuffixAutomaton, words_of
 
 #: Words of the items in one automaton; some 300 bytes each in a task.
@@ -73,8 +73,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, bloc
         _, match = _matcher(spark, [tuple(r) for r in blocks[0].collect()], window)
         out = docs.withColumn("found", match("text"))
     else:
-        key = F.xxhash64(F.coalesce("text", F.lit("")))
-        parts = None
+        key, name, parts = F.xxhash64(F.coalesce("text", F.lit(""))), spare_name("text_key", docs), None
         for items in blocks:
             automaton, match = _matcher(spark, [tuple(r) for r in items.collect()], window)
             hits = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("found", match("text"))
@@ -93,8 +92,8 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, bloc
             F.array().cast("array<struct<first:int,end:int>>").alias("spans"), F.array().cast("array<string>").alias("items"),
         )
         out = (
-            docs.drop("found").withColumn("text_key", key).join(merged, "text_key", "left")
-            .withColumn("found", F.coalesce("found", none)).drop("text_key")
+            docs.drop("found").withColumn(name, key).join(merged.withColumnRenamed("text_key", name), name, "left")
+            .withColumn("found", F.coalesce("found", none)).drop(name)
         )
     return out.withColumn("found", F.struct("found.*", _covered(F.col("found.spans")).alias("n_hit")))
 
@@ -125,11 +124,12 @@ def decontaminate(
     Rows without a hit stay unchanged. `n_chars`, where docs has it, is set anew for changed texts. Only columns that came in
     come out. The cut ends at word bounds, so the text around it stays as it was.
     """
-    hit = benchmark_hits(docs.withColumnRenamed("found", "__found"), benchmark, window, block_words)
+    aside = spare_name("found_before", docs)
+    hit = benchmark_hits(docs.withColumnRenamed("found", aside), benchmark, window, block_words)
     kept = hit.filter(F.col("found.n_hit") <= max_coverage * F.col("found.n_words"))
     changed = F.col("found.n_hit") > 0
     out = kept.withColumn("text", F.when(changed, _cut("text", "found.spans")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.drop("found").withColumnRenamed("__found", "found").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.drop("found").withColumnRenamed(aside, "found").select(*[F.col(f"`{c}`") for c in docs.columns])

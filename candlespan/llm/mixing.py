@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from candlespan.llm.common import kept_in_worker, stored, subset
+from candlespan.llm.common import kept_in_worker, spare_name, stored, subset
 
 #: Relative weights of the sources in code point order (null last), repeating.
 WEIGHTS = (5, 2, 1)
@@ -177,11 +177,12 @@ def mix_report(docs: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame) -> DataFrame:
     """The rows of docs as often as the mix takes them; the columns stay as they are."""
     names = docs.columns
-    keyed = docs.withColumn("__key", F.xxhash64(*[F.col(f"`{n}`") for n in names]))
-    rows = keyed.select(F.col("__key").alias("key"), "source", word_count(F.col("text")).alias("size"))
-    total = copies(rows).groupBy(F.col("key").alias("__key")).agg(F.sum("copies").alias("__total"), F.count(F.lit(1)).alias("__rows"))
+    key, total, number, nth, copy = (spare_name(n, docs) for n in ("mix_key", "mix_total", "mix_rows", "mix_nth", "mix_copy"))
+    keyed = docs.withColumn(key, F.xxhash64(*[F.col(f"`{n}`") for n in names]))
+    rows = keyed.select(F.col(key).alias("key"), "source", word_count(F.col("text")).alias("size"))
+    totals = copies(rows).groupBy(F.col("key").alias(key)).agg(F.sum("copies").alias(total), F.count(F.lit(1)).alias(number))
     # rows that are equal in all columns share their copies out among themselves
-    nth = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
-    share = F.floor(F.col("__total") / F.col("__rows")) + (F.col("__nth") <= F.col("__total") % F.col("__rows")).cast("long")
-    out = keyed.join(total, "__key").withColumn("__nth", nth).withColumn("__copies", share).filter("__copies > 0")
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*[F.col(f"`{n}`") for n in names])
+    place = F.row_number().over(Window.partitionBy(key).orderBy(key))
+    share = F.floor(F.col(total) / F.col(number)) + (F.col(nth) <= F.col(total) % F.col(number)).cast("long")
+    out = keyed.join(totals, key).withColumn(nth, place).withColumn(copy, share.cast("int")).filter(F.col(copy) > 0)
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copy)))).select(*[F.col(f"`{n}`") for n in names])

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from candlespan.llm.common import drawn, kept_in_worker, release, stored
+from candlespan.llm.common import drawn, kept_in_worker, release, spare_name, stored
 
 SEED = 42
 BANDS = 5
@@ -488,6 +488,7 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, **se
     key = F.xxhash64(*names)
     thin = docs.select(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", key.alias("key")).alias("doc_id"), "text")
     found = similar_groups(thin, shingle, similarity, **search)
-    kept = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id.key").alias("__key")).distinct()
-    nth = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
-    return docs.withColumn("__key", key).join(kept, "__key").withColumn("__nth", nth).filter("__nth = 1").select(*names)
+    own, nth = spare_name("copy_key", docs), spare_name("copy_nth", docs)
+    kept = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id.key").alias(own)).distinct()
+    place = F.row_number().over(Window.partitionBy(own).orderBy(own))
+    return docs.withColumn(own, key).join(kept, own).withColumn(nth, place).filter(F.col(nth) == 1).select(*names)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from candlespan.llm.common import drawn, kept_in_worker, release, stored
+from candlespan.llm.common import drawn, kept_in_worker, release, spare_name, stored
 from candlespan.llm.deobfuscate import SYMBOLS, WORD, Restorer, SymbolTable, forms, language_model, restored_words, skeleton, spaced_words
 
 TRAIN_ROWS = 20_000
@@ -239,6 +239,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def clean_only(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs whose score is below 0.5; the columns stay as they are."""
     names = [F.col(f"`{n}`") for n in docs.columns]
-    inner = docs.withColumnRenamed("toxicity", "__toxicity")
+    aside = spare_name("toxicity_before", docs)
+    inner = docs.withColumnRenamed("toxicity", aside)
     kept = scored(inner, train(docs.select("doc_id", "text"), labels)).filter("toxicity < 0.5").drop("toxicity")
-    return kept.withColumnRenamed("__toxicity", "toxicity").select(*names)
+    return kept.withColumnRenamed(aside, "toxicity").select(*names)

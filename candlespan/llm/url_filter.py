@@ -43,8 +43,8 @@ def best_rules(hosts_paths: DataFrame, rules: DataFrame) -> DataFrame:
     """(host, path, rule, verdict) for the distinct (host, path) that some rule fits.
 
     Longest means the rule's host and path together; of equally long ones the longer host wins, then block. A rule with an
-    empty host fits nothing. The lengths of the rules' paths, a few small numbers, are looked up first; more than
-    `MAX_PREFIX_LENGTHS` different ones are refused, as the expansion would no longer be small.
+    empty host fits nothing. The lengths of the rules' paths and the numbers of labels of their hosts, a few small numbers each, are looked
+    up first; more than `MAX_PREFIX_LENGTHS` different ones are refused, as the expansion would no longer be small.
     """
     rules = rules.filter((F.col("host") != "") & F.col("verdict").isin("allow", "block")).select(
         ascii_lower(F.col("host")).alias("rule_host"), F.coalesce("path", F.lit("")).alias("rule_path"), F.col("verdict").alias("rule_verdict")
@@ -55,11 +55,13 @@ def best_rules(hosts_paths: DataFrame, rules: DataFrame) -> DataFrame:
     hashed = rules.withColumn("full", _digest(F.col("rule_host"), F.col("rule_path"))).withColumn(
         "short", F.substring("full", 1, 2 * PREFIX_BYTES)
     )
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
-        lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."),
-    )
+    # only suffixes of as many labels as some rule has can fit, so a host of thousands of labels makes no more of them than another
+    dots = lambda c: F.length(c) - F.length(F.replace(F.col(c), F.lit("."), F.lit("")))
+    counts = sorted(r[0] for r in rules.select(dots("rule_host") + 1).distinct().limit(MAX_PREFIX_LENGTHS + 1).collect())
+    if len(counts) > MAX_PREFIX_LENGTHS:
+        raise ValueError("the rules' hosts have too many different numbers of labels")
+    fitting = [F.when(dots("host") >= n - 1, F.substring_index("host", ".", -n)) for n in counts]
+    suffixes = F.array_compact(F.array(*fitting)) if fitting else F.array().cast("array<string>")
     cuts = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("path"))
     expressions = (
         hosts_paths.filter(F.col("host") != "").distinct()

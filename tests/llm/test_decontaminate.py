@@ -67,3 +67,13 @@ def test_empty_tables(spark):
     assert benchmark_hits(docs.limit(0), bench).collect() == []
     assert [r.found.n_hit for r in benchmark_hits(docs, bench.limit(0)).collect()] == [0]
     assert decontaminate(docs, bench.limit(0)).collect() == docs.collect()
+
+
+@pytest.mark.parametrize("block_words", [300_000, 4])
+def test_columns_named_like_the_operators_own(spark, block_words):
+    bench = spark.createDataFrame([("i1", "one two three four five"), ("i2", "six seven eight nine ten")], "item_id string, text string")
+    rows = [(1, "x one two three four five y z w v u t s", "a", "b", "c"), (2, "none of it", "d", "e", "f"), (2, "none of it", "d", "e", "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, text_key string, found string, Found_Before string")
+    got = decontaminate(docs, bench, 4, block_words=block_words)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect())) == sorted([(1, "x  y z w v u t s", "a", "b", "c"), *rows[1:]])

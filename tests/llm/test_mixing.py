@@ -71,3 +71,12 @@ def test_mixed_repeats_rows_and_keeps_columns(spark):
     assert out.agg(F.sum(F.coalesce(F.regexp_count("text", F.lit(r"\S+")), F.lit(0)))).first()[0] == pytest.approx(report, rel=0.02)
     assert out.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 6
     assert mixed(docs.limit(0)).collect() == []
+
+
+def test_columns_named_like_the_mix_own(spark):
+    rows = [(i, "a b c d", "xy"[i % 2], i, "k", 5) for i in range(40)] + [(99, "a b", "x", 0, "k", 5)] * 6
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_key long, __key string, mix_total int")
+    got = mixed(docs)
+    assert got.columns == docs.columns and {tuple(r) for r in got.collect()} <= set(rows)
+    plain = mixed(docs.drop("mix_key", "__key", "mix_total"))
+    assert sorted(r.doc_id for r in got.collect() if r.doc_id == 99) in ([99] * k for k in range(60)) and plain.count() > 0

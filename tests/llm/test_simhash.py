@@ -5,7 +5,7 @@ import pytest
 import xxhash
 
 from candlespan.llm.simhash import (
-    WIDE, VantageTree, band_keys, components, equal_key_pairs, links, near_duplicates, near_pairs, one_of_each, shingle_hashes, similar_groups, simhash,
+    WIDE, VantageTree, band_keys, components, equal_key_pairs, links, near_duplicates, near_pairs, one_of_each, shingle_hashes, shortest_forest, similar_groups, simhash,
     split_bands, wide_bands,
 )
 
@@ -165,3 +165,25 @@ def test_similar_groups_are_those_of_exact_similarity(spark):
     assert not any(found[i] != i for i, c in want.items() if c == i)
     met = sum(found[i] == c for i, c in want.items() if c != i)
     assert met >= 0.94 * 150, met
+
+
+def test_shortest_forest_has_the_least_length():
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 30, 60):
+        a, b = rng.integers(0, n, 150), rng.integers(0, n, 150)
+        a, b = a[a != b], b[a != b]
+        length = rng.integers(0, 9, len(a))
+        got = shortest_forest(n, a, b, length)
+        group, total, edges = list(range(n)), 0, 0
+        for k in np.argsort(length, kind="stable"):  # one by one, the shortest first
+            x, y = group[a[k]], group[b[k]]
+            if x != y:
+                group = [x if g == y else g for g in group]
+                total, edges = total + length[k], edges + 1
+        assert len(got) == edges and length[got].sum() == total
+
+
+def test_columns_named_like_the_operators_own_stay(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", "k", 1), (2, "a b c d e f", "l", 2), (3, "g h i j k", "m", 3)], "doc_id long, text string, copy_key string, COPY_NTH int")
+    got = one_of_each(docs)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == [(1, "a b c d e f", "k", 1), (3, "g h i j k", "m", 3)]

@@ -43,3 +43,8 @@ def test_tie_and_null_id(spark):
     assert [tuple(r) for r in judge_urls(pages, rules).collect()] == [(None, "a", "/b", "a/b", "block")] * 2
     assert judge_urls(pages.limit(0), rules).collect() == []
     assert {r.verdict for r in judge_urls(pages, rules.limit(0)).collect()} == {"allow"}
+
+
+def test_hosts_of_very_many_labels(spark):
+    long = "a." * 20_000
+    check(spark, [f"http://{long}org/x", f"http://{long}example.org/es/1", f"http://{long}/x", "http://" + "." * 20_000 + "org/"], RULES)
