@@ -92,6 +92,23 @@ def allocate(candidates: DataFrame, open_counts: DataFrame, max_total: int = 8,
     )
 
 
+def taking_order() -> list[Column]:
+    """The order in which a day's candidates are looked at."""
+    return [F.col("priority"), F.desc("score"), F.col("symbol")]
+
+
+def first_of_day(rows: DataFrame, max_total: int, max_sector: int) -> DataFrame:
+    """The candidates (date, symbol, score, sector, priority) that a book can take at all, whatever it holds: a bounded number a day."""
+    if max_sector > 0:
+        rows = rows.withColumn("_s", F.row_number().over(Window.partitionBy("date", "sector").orderBy(*taking_order())))
+        rows = rows.filter(F.col("_s") <= max_sector).drop("_s")
+    if max_total > 0:
+        look = max_total + (max_total // max_sector * max_sector if max_sector > 0 else 0)
+        rows = rows.withColumn("_t", F.row_number().over(Window.partitionBy("date").orderBy(*taking_order())))
+        rows = rows.filter(F.col("_t") <= look).drop("_t")
+    return rows
+
+
 def living_book(candidates: DataFrame, max_total: int = 8, max_sector: int = 3) -> DataFrame:
     """The candidates that a book takes day by day, when what it takes stays open until its exit and only then frees its slots.
 
@@ -106,14 +123,7 @@ def living_book(candidates: DataFrame, max_total: int = 8, max_sector: int = 3)
     """
     rows = candidates if "priority" in candidates.columns else candidates.withColumn("priority", F.lit(0))
     rows = rows.withColumn("sector", F.coalesce("sector", F.lit("unknown"))).filter(F.col("date").isNotNull())
-    order = [F.col("priority"), F.desc("score"), F.col("symbol")]
-    if max_sector > 0:
-        rows = rows.withColumn("_s", F.row_number().over(Window.partitionBy("date", "sector").orderBy(*order)))
-        rows = rows.filter(F.col("_s") <= max_sector).drop("_s")
-    if max_total > 0:
-        look = max_total + (max_total // max_sector * max_sector if max_sector > 0 else 0)
-        rows = rows.withColumn("_t", F.row_number().over(Window.partitionBy("date").orderBy(*order)))
-        rows = rows.filter(F.col("_t") <= look).drop("_t")
+    rows = first_of_day(rows, max_total, max_sector)
     rows = rows.select("date", "symbol", "score", "sector", "exit_date", F.lit(0).alias("n_open"), F.lit(0).alias("n_sector"), "priority")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -131,6 +141,6 @@ def living_book(candidates: DataFrame, max_total: int = 8, max_sector: int = 3)
             yield batch.iloc[keep].assign(n_open=opened, n_sector=inside).drop(columns="priority")
 
     # one book: a few rows for each day of the calendar
-    ordered = rows.repartition(1).sortWithinPartitions("date", *order)
+    ordered = rows.repartition(1).sortWithinPartitions("date", *taking_order())
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "priority")
     return ordered.mapInPandas(fold, kinds)

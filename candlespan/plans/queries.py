@@ -28,6 +28,7 @@ from candlespan.operators.calendar import business_days_between, calendar, last_
 from candlespan.operators.kernels import Smooth, reseeded, run_kernels, smoothing, smoothing_panel
 from candlespan.operators.panel import own_rows, panel, series, trailing, warm
 from candlespan.operators.stage import with_stage
+from candlespan.plans import days as DY
 from candlespan.plans import scan as S
 from candlespan.session import scratch_dir, stored
 from candlespan.sources import files as IO
@@ -954,6 +955,24 @@ def r5_living_book(spark, d):
     return tidy(K.living_book(c.select(F.col("entry_date").alias("date"), "symbol", "score", "sector", "exit_date"), 3, 1))
 
 
+@query
+def daily_runs(spark, d):
+    """Pre-close and end-of-day runs of all days: crossings of the highest high of 20 bars as setups, sizes scaled by the day's stress."""
+    t = Tables(spark, d)
+    t.stored_bars()
+    before = series().rowsBetween(-20, -1)
+    p = TR.with_future(I.with_standard(t.panel()).withColumn("bad", Q.bad_move()), TEST_SETTINGS.paper.hold_max_days + 1)
+    top = F.max("high").over(before)
+    rows = own_rows(p.withColumns({
+        "continuous": Q.continuous(), "level": F.when(F.col("bar_no") > 20, top), "base_height": top - F.min("low").over(before),
+        "pattern": F.lit("channel"), "score": F.coalesce(I.close_in_range() * 40.0 + 38.0, F.lit(38.0)),
+        "volume_ratio": F.when(F.col("bar_no") > 20, F.col("volume") / F.avg("volume").over(before)),
+    }))
+    rows = rows.join(t.universe().select("symbol", "sector"), "symbol", "left").join(monday_after(t.calendar()), "date", "left")
+    rows = rows.join(_regime_rows(t).select("date", F.col("stress_multiplier").alias("risk_multiplier")), "date", "left")
+    return tidy(DY.trading_days(rows, TEST_SETTINGS))
+
+
 @query
 def r6_latest_k(spark, d):
     return tidy(IO.read_prices(Tables(spark, d).bars(), 5).select("symbol", "date", (F.col("n_bars") - F.col("bar_no") + 1).alias("back")))
