@@ -612,6 +612,40 @@ oracle("t5_flag_failed", "symbol breakout_date:d failure_date", """SELECT w.symb
  FROM watch w LEFT JOIN bars b ON b.symbol = w.symbol AND b.bar_no = w.bn + 1""")
 oracle("t6_feature_snapshot", "trade_id symbol alert_date:d alert_type pattern score:f pattern_confidence:f stage rs_percentile:f rs_points:f tightness:f volume_ratio:f volume_ratio_morning:f sector sector_trend distance_pct:f extension_pct:f close_in_range:f atr_pct:f adv_cr:f earnings_blackout:b vix:f market_mood regime regime_score:i breadth_pct:f nifty_trend risk_multiplier:f breakout_level:f entry_price:f base_height:f", "SELECT * FROM feat")
 
+# the daily runs: outcomes by first bars at which something ends, the days as one recursion over all events
+cte("stress", """SELECT date, least(CASE WHEN vix >= 30 THEN 0.25 WHEN vix >= 25 THEN 0.5 WHEN vix >= 20 THEN 0.75 ELSE 1 END, CASE WHEN breadth_pct < 30 THEN 0.3 WHEN breadth_pct < 40 THEN 0.6 WHEN breadth_pct < 50 THEN 0.8 ELSE 1 END,
+CASE regime WHEN 'risk_off' THEN 0.5 WHEN 'neutral' THEN 0.8 ELSE 1 END) AS scale FROM reg""")
+cte("dayrow0", f"""SELECT symbol, date, bar_no, open, high, low, close, atr_14, nbad = 0 AS fine, CASE WHEN bar_no > 20 THEN max(high) {over(-20, -1)} END AS level, max(high) {over(-20, -1)} - min(low) {over(-20, -1)} AS base_height,
+ coalesce(cir * 40 + 38, 38) AS score, CASE WHEN bar_no > 20 THEN volume / avg(volume) {over(-20, -1)} END AS vr FROM atrs JOIN (SELECT symbol, bar_no, nbad FROM cont) USING (symbol, bar_no)""")
+cte("dayrow", """SELECT d.*, coalesce(u.sector, 'unknown') AS sector, coalesce(s.scale, 1) AS scale, CASE WHEN isodow(d.date) = 5 AND NOT k.trading THEN 3.5 WHEN isodow(d.date) = 5 THEN 2.5 ELSE 1.5 END AS mu
+ FROM dayrow0 d LEFT JOIN uni u USING (symbol) LEFT JOIN stress s ON s.date = d.date LEFT JOIN cal k ON k.date = d.date + 3""")
+cte("crossed", "SELECT *, 0 AS prio, date AS since, 'BREAKOUT' AS alert_type, 'channel' AS pattern FROM dayrow WHERE fine AND close > level AND level > 0 AND vr >= 1.5 AND score >= 60 AND atr_14 IS NOT NULL")
+cte("after_", """SELECT c.symbol, c.since, c.level, c.score, d.date, d.bar_no, d.open, d.high, d.low, d.close, d.atr_14, d.fine, d.sector, d.scale, d.mu,
+ min(CASE WHEN d.close < c.level AND d.date - c.since BETWEEN 0 AND 3 THEN d.date END) OVER (PARTITION BY c.symbol, c.since) AS failed_on FROM crossed c JOIN dayrow d ON d.symbol = c.symbol AND d.date - c.since BETWEEN 0 AND 10""")
+cte("entries", """SELECT symbol, date, bar_no, close, atr_14, level, base_height, score, sector, scale, mu, prio, since, alert_type, pattern FROM crossed UNION ALL
+ SELECT symbol, date, bar_no, close, atr_14, level, greatest(0.0, close - level), score, sector, scale, mu, 1, since, 'PULLBACK_ENTRY', 'pullback' FROM after_ WHERE fine AND bar_no > 20 AND atr_14 IS NOT NULL AND (failed_on IS NULL OR date < failed_on)
+ AND level <= low AND low <= level * 1.01 AND close > level AND (least(open, close) - low > abs(close - open) OR close > open) AND (CASE WHEN high > low THEN (close - low) / (high - low) ELSE 0 END >= 0.5 OR close - level >= level * 0.01)""")
+cte("placed0", "SELECT *, level - mu * atr_14 AS sl, close + 2.0 * abs(close - (level - mu * atr_14)) AS t1, close + base_height AS t2 FROM entries")
+cte("placed1", """SELECT p.symbol, p.date, p.since, p.prio, min(b.bar_no) FILTER (WHERE b.low <= p.sl OR b.high >= p.t2 OR (b.date - p.date >= 30 AND b.high < p.t1)) AS e1, min(b.bar_no) FILTER (WHERE b.high >= p.t1) AS tb
+ FROM placed0 p JOIN bars b ON b.symbol = p.symbol AND b.bar_no BETWEEN p.bar_no + 1 AND p.bar_no + 40 GROUP BY ALL""")
+cte("placed2", """SELECT p.symbol, p.date, p.since, p.prio, any_value(q.e1) AS e1, any_value(q.tb) AS tb, min(b.bar_no) FILTER (WHERE b.bar_no > q.tb AND (b.low <= p.close OR b.high >= p.t2 OR b.date - p.date >= 30)) AS e2
+ FROM placed0 p JOIN placed1 q USING (symbol, date, since, prio) JOIN bars b ON b.symbol = p.symbol AND b.bar_no BETWEEN p.bar_no + 1 AND p.bar_no + 40 GROUP BY ALL""")
+cte("placed3", """SELECT p.*, coalesce(tb < e1 OR (e1 IS NULL AND tb IS NOT NULL), false) AS half, CASE WHEN coalesce(tb < e1 OR (e1 IS NULL AND tb IS NOT NULL), false) THEN e2 ELSE e1 END AS fin_no,
+ CASE WHEN coalesce(tb < e1 OR (e1 IS NULL AND tb IS NOT NULL), false) THEN close ELSE sl END AS live FROM placed0 p LEFT JOIN placed2 USING (symbol, date, since, prio)""")
+cte("placed", """SELECT p.*, b.date AS exit_date, CASE WHEN b.date IS NULL THEN CASE WHEN half THEN 'TARGET_1_HIT' ELSE 'ENTERED' END WHEN b.low <= live THEN 'STOPPED_OUT' WHEN b.high >= t2 THEN 'TARGET_HIT' ELSE 'TIME_EXIT' END AS state,
+ CASE WHEN b.low <= live THEN least(live, b.open) WHEN b.high >= t2 THEN t2 ELSE b.close END AS exit_price, least(CAST(floor(500000.0 * (1.0 * p.scale / 100) / abs(p.close - sl)) AS BIGINT), CAST(floor(62500.0 / p.close) AS BIGINT)) AS shares,
+ row_number() OVER (ORDER BY p.date, prio, CASE prio WHEN 0 THEN -score ELSE 0 END, p.symbol, since) AS rn FROM placed3 p LEFT JOIN bars b ON b.symbol = p.symbol AND b.bar_no = fin_no""")
+cte("dayfold", """SELECT CAST(0 AS BIGINT) AS rn, CAST([] AS STRUCT(sector VARCHAR, fin DATE)[]) AS book, CAST([] AS STRUCT(symbol VARCHAR, since DATE)[]) AS listed, CAST([] AS STRUCT(symbol VARCHAR, level DOUBLE)[]) AS fired, false AS taken, CAST(0 AS BIGINT) AS n_open, CAST(0 AS BIGINT) AS n_sector
+ UNION ALL SELECT rn, CASE WHEN ok THEN list_append(kept, {'sector': sector, 'fin': exit_date}) ELSE kept END, CASE WHEN ok AND prio = 0 THEN list_append(others, {'symbol': symbol, 'since': since}) WHEN ok THEN others ELSE listed END,
+ CASE WHEN ok AND prio = 1 THEN list_append(fired, {'symbol': symbol, 'level': level}) ELSE fired END, ok, len(kept), same FROM (SELECT *, len(kept) < 8 AND same < 3 AND (prio = 0 OR (waits AND NOT again)) AS ok FROM (
+ SELECT *, len(list_filter(kept, lambda x: x.sector = sector)) AS same FROM (SELECT c.*, f.listed, f.fired, list_filter(f.book, lambda x: x.fin IS NULL OR x.fin >= c.date) AS kept,
+ list_filter(f.listed, lambda x: x.symbol <> c.symbol AND x.since >= c.date - 10) AS others, len(list_filter(f.listed, lambda x: x.symbol = c.symbol AND x.since = c.since)) > 0 AS waits,
+ len(list_filter(f.fired, lambda x: x.symbol = c.symbol AND abs(x.level - c.level) < 0.01)) > 0 AS again
+ FROM dayfold f JOIN (SELECT rn, CAST(date AS DATE) AS date, symbol, sector, CAST(since AS DATE) AS since, level, CAST(exit_date AS DATE) AS exit_date, prio FROM placed) c ON c.rn = f.rn + 1)))""")
+oracle("daily_runs", "date:d symbol alert_type pattern score:f sector breakout_level:f since:d entry_price:f stop_loss:f target_1:f target_2:f shares:i state exit_date:d exit_price:f pnl_inr:f pnl_r:f n_open:i n_sector:i",
+ f"""SELECT c.*, level AS breakout_level, close AS entry_price, sl AS stop_loss, t1 AS target_1, t2 AS target_2, (exit_price - close) * shares - {trip('close', 'exit_price', 'shares')} AS pnl_inr,
+ ((exit_price - close) - {trip('close', 'exit_price', '1.0')}) / greatest(1e-9, abs(close - sl)) AS pnl_r, f.n_open, f.n_sector FROM placed c JOIN dayfold f USING (rn) WHERE f.taken""")
+
 # ── state and streams ────────────────────────────────────────────────────
 
 cte("one", """SELECT t.*, b.date AS bd, b.open AS bo, b.high AS bh2, b.low AS bl2, b.close AS bc2, t.entry_no % 3 = 0 AS t1done, CASE WHEN t.entry_no % 3 = 0 THEN greatest(t.entry_price, t.stop_loss) ELSE t.stop_loss END AS st,
