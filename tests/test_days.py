@@ -119,8 +119,8 @@ def test_the_plan_equals_a_walk_through_the_days(spark, seed, total, sector_cap)
     b = sorted(show(t["date"], t["symbol"], t["kind"], t["score"], t["sector"], t["level"], t["since"], t["entry"], t["stop"], t["t1"], t["t2"], t["shares"], t["state"], str(t["exit"]), t["price"] or 0.0, *t["full"]) for t in want)
     assert a == b
     states, kinds = {t["state"] for t in want}, {t["kind"] for t in want}
-    # one slot a sector leaves no room for a retest beside the breakout itself
-    assert {"STOPPED_OUT", "TARGET_HIT"} <= states and ("PULLBACK_ENTRY" in kinds or sector_cap == 1) and len({r[1] for r in rows}) >= 60
+    # the smaller books are full of breakouts whenever a retest comes
+    assert {"STOPPED_OUT", "TARGET_HIT"} <= states and ("PULLBACK_ENTRY" in kinds or 0 < total < 8) and len({r[1] for r in rows}) >= 60
 
 
 def test_no_days(spark):
