@@ -17,8 +17,10 @@ with a margin, a second tree over whole fingerprints prunes by the same bounds w
 instead of all pairs, the links of a spanning forest: no component is lost.
 
 Similar sets. Where fingerprints only estimate a similarity, their pairs are candidates: pairs well beyond the expected distance are
-taken too, and each is checked on the shingle sets themselves. Near links are checked first and contracted, then all
-candidates between different groups, so a large group of near copies does not bring up all its pairs.
+taken too, and each is checked on the shingle sets themselves. Near links are checked first and contracted. Of the candidates between
+different groups only a spanning forest leaves the search; its trees say which sets can meet at all. The sets of a tree, cut into
+blocks where it is large, are then compared inside one group, which finds the candidate pairs again from the fingerprints, checks each and
+returns a spanning forest of the links. So no candidate pair is ever a row, however many a group of near copies has.
 
 Components. Stars are contracted round by round: each point's larger neighbours are joined to its smallest one, then its
 smaller ones.
@@ -52,6 +54,10 @@ LEAF_SIZE = 1000
 BLOCK = 2048
 SALTS = 8
 LEAF_POINTS = 512
+#: Sets that small trees of candidates share a group with, and sets and shingles in a block of a large tree, on average.
+SETS = 512
+SET_BLOCK = 2048
+SET_SHINGLES = 1 << 20
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -273,7 +279,7 @@ def links(
     direct: bool = False,
 ) -> DataFrame:
     """(a, b) with a > b: links between the points (node, w0, w1, ...) whose transitive closure is that of all pairs within the radius
-    that are within `margin` of each other in a band. If points have a column `label`, all such pairs of different labels instead.
+    that are within `margin` of each other in a band. If points have a column `label`, only pairs of different labels count.
 
     With `direct` every link is itself such a pair, and of those that connect the same points the shortest are taken.
 
@@ -322,9 +328,7 @@ def links(
             found = equal_key_pairs(words, keys, own, low, high, radius)
         if more:
             label = group["label"].to_numpy()
-            apart = [(x[pick], y[pick]) for x, y in found if (pick := label[x] != label[y]).any()]
-            x, y = map(np.concatenate, zip(*apart)) if apart else (np.empty(0, np.int64), np.empty(0, np.int64))
-            return pd.DataFrame({"a": np.maximum(node[x], node[y]), "b": np.minimum(node[x], node[y])})
+            found = ((x[pick], y[pick]) for x, y in found if (pick := label[x] != label[y]).any())
         if direct:
             x = y = np.empty(0, np.int64)
             for new_x, new_y in found:
@@ -436,8 +440,8 @@ def _set_prints(docs: DataFrame, shingle: int) -> DataFrame:
     return found.select("doc_id", F.col("w")[0].alias("node"), *[F.col("w")[k + 1].alias(f"w{k}") for k in range(WIDE)])
 
 
-def _verified(pairs: DataFrame, points: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) of points whose shingle sets have at least the Jaccard similarity."""
+def _sets(nodes: DataFrame, points: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """(node, shingles) of the given distinct nodes, each from the text of its point's doc_id."""
     shape = T.StructType([T.StructField("node", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
 
     @F.pandas_udf(shape)
@@ -446,17 +450,97 @@ def _verified(pairs: DataFrame, points: DataFrame, docs: DataFrame, shingle: int
         sets = [np.unique(shingle_hashes(t, shingle)) for t in texts]
         return pd.DataFrame({"node": [_set_name(s) for s in sets], "shingles": pd.Series([s.view("<i8") for s in sets], dtype=object)})
 
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    asked = asked.join(points.select("node", F.col("doc_id").alias("from")), "node")
+    asked = nodes.join(points.select("node", F.col("doc_id").alias("from")), "node")
     texts = docs.select("doc_id", "text").join(asked, F.col("doc_id").eqNullSafe(F.col("from"))).select("node", "text")
     sets = texts.withColumn("own", run.asNondeterministic()("text")).filter("own.node = node").select("node", "own.shingles")
-    sets = stored(sets.dropDuplicates(["node"]), "simhash-sets")
+    return stored(sets.dropDuplicates(["node"]), "simhash-sets")
+
+
+def _verified(pairs: DataFrame, points: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of points whose shingle sets have at least the Jaccard similarity."""
+    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), points, docs, shingle)
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     common = F.size(F.array_intersect("sa", "sb")).cast("double")
     found = both.filter(common / (F.size("sa") + F.size("sb") - common) >= similarity)
     return stored(found.select("a", "b"), "simhash-verified")
 
 
+def candidate_pairs(words: np.ndarray, label: np.ndarray, own: np.ndarray, low: int, high: int, radius: int,
+                    bands: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """(place, places): for each point of block `low` the later ones it must be checked against, those of block `high` if that is another.
+
+    These are the points of another label within the radius that agree with it on a whole band.
+    """
+    keys = np.stack([band_keys(words, bits) for bits in bands])
+    left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
+    for at, x in enumerate(left):
+        y = right[at + 1 :] if low == high else right
+        y = y[(label[y] != label[x]) & (distance(words[y], words[x]) <= radius)]
+        y = y[(keys[:, y] == keys[:, x, None]).any(axis=0)]
+        if len(y):
+            yield int(x), y
+
+
+def similar_pairs(shingles: list[np.ndarray], pairs: Iterator[tuple[int, np.ndarray]], similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Those of the pairs (place, places) whose sets of shingles have at least the Jaccard similarity, in batches."""
+    size = np.array([len(s) for s in shingles])
+    ends = np.cumsum(size)
+    number = np.unique(np.concatenate(shingles), return_inverse=True)[1]
+    mine = np.zeros(len(number) + 1, bool)
+    for x, y in pairs:
+        own = number[ends[x] - size[x] : ends[x]]
+        mine[own] = True
+        common = np.array([np.count_nonzero(mine[number[ends[k] - size[k] : ends[k]]]) for k in y], float)
+        mine[own] = False
+        y = y[common / (size[x] + size[y] - common) >= similarity]
+        if len(y):
+            yield np.full(len(y), x), y
+
+
+def _links_inside(trees: DataFrame, labels: DataFrame, points: DataFrame, docs: DataFrame, shingle: int, similarity: float, radius: int,
+                  bands: list[np.ndarray], sets_in_group: int = SETS, sets_in_block: int = SET_BLOCK, shingles_in_block: int = SET_SHINGLES) -> DataFrame:
+    """(a, b): links whose closure is that of all candidate pairs of points whose shingle sets have at least the Jaccard similarity.
+
+    `trees` are the `components` of the candidate pairs: no candidate pair joins two of them, so any number of small trees may
+    share a group. A tree with more sets or shingles than a block should have is cut into blocks by hash, and its pairs of blocks are groups.
+    """
+    names = [f"w{k}" for k in range(WIDE)]
+    trees = trees.unionByName(trees.select(F.col("root").alias("node"), "root").distinct())
+    rows = trees.join(_sets(trees.select("node"), points, docs, shingle), "node").join(labels.select("node", "label", *names), "node")
+    rows = stored(rows, "simhash-trees")
+    n, s = F.count(F.lit(1)), F.sum(F.size("shingles"))
+    blocks = F.greatest(F.lit(1), F.ceil(n / sets_in_block), F.ceil(s / shingles_in_block)).cast("int")
+    sizes = stored(rows.groupBy("root").agg(blocks.alias("blocks"), n.alias("n"), s.alias("s")), "simhash-trees")
+    small = sizes.filter("blocks = 1").agg(F.sum("n"), F.sum("s")).first()
+    shared = max(1, (small[0] or 0) // sets_in_group, (small[1] or 0) // (shingles_in_block // 4))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    placed = rows.join(sizes.select("root", "blocks"), "root").withColumns({
+        "own": own, "tree": F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(shared))).otherwise(F.col("root")),
+    })
+    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("own", k).alias("low"), F.greatest("own", k).alias("high")))
+    spread = placed.withColumn("pair", F.explode(others)).select(
+        (F.col("blocks") > 1).alias("large"), "tree", "pair.low", "pair.high", "own", "node", "label", "shingles", *names)
+
+    def check(group: pd.DataFrame) -> pd.DataFrame:
+        node, words = group["node"].to_numpy(), group[names].to_numpy("<i8").view("<u8")
+        low, high, own = int(group["low"].iloc[0]), int(group["high"].iloc[0]), group["own"].to_numpy()
+        pairs = candidate_pairs(words, group["label"].to_numpy(), own, low, high, radius, bands)
+        forest = Forest(len(node))
+        held: list = []
+        for found in similar_pairs(list(group["shingles"]), pairs, similarity):
+            held.append(found)
+            if sum(len(x) for x, _ in held) > 1 << 18 or len(held) > 256:
+                forest.join(*map(np.concatenate, zip(*held)))
+                held = []
+        if held:
+            forest.join(*map(np.concatenate, zip(*held)))
+        child, root = forest.stars()
+        return pd.DataFrame({"a": np.maximum(node[child], node[root]), "b": np.minimum(node[child], node[root])})
+
+    found = spread.groupBy("large", "tree", "low", "high").applyInPandas(check, "a long, b long")
+    return stored(found.filter("a <> b").distinct(), "simhash-verified")
+
+
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, **search) -> DataFrame:
     """(doc_id, component_id) of docs (doc_id, text), linked by a Jaccard similarity of shingle sets of at least `similarity`.
 
@@ -473,8 +557,9 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, *
     bare = points.drop("doc_id")
     near = _verified(links(bare, radius, wide_bands()[:NEAR_BANDS], direct=True, **search), points, docs, shingle, similarity)
     labels = bare.join(components(near), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-    pairs = links(stored(labels, "simhash-labels"), wide, pair_bands(), **search)
-    more = _verified(pairs, points, docs, shingle, similarity)
+    labels = stored(labels, "simhash-labels")
+    trees = components(links(labels, wide, pair_bands(), **search))
+    more = _links_inside(trees, labels, points, docs, shingle, similarity, wide, pair_bands())
     return _named(marked, points, near.unionByName(more)).select("doc_id", "component_id")
 
 

@@ -5,8 +5,8 @@ import pytest
 import xxhash
 
 from candlespan.llm.simhash import (
-    WIDE, VantageTree, band_keys, components, equal_key_pairs, links, near_duplicates, near_pairs, one_of_each, shingle_hashes, shortest_forest, similar_groups, simhash,
-    split_bands, wide_bands,
+    WIDE, VantageTree, _links_inside, _points, _set_prints, band_keys, components, distance, equal_key_pairs, links, near_duplicates, near_pairs, one_of_each, pair_bands,
+    shingle_hashes, shortest_forest, similar_groups, simhash, split_bands, wide_bands,
 )
 
 
@@ -187,3 +187,53 @@ def test_columns_named_like_the_operators_own_stay(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", "k", 1), (2, "a b c d e f", "l", 2), (3, "g h i j k", "m", 3)], "doc_id long, text string, copy_key string, COPY_NTH int")
     got = one_of_each(docs)
     assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == [(1, "a b c d e f", "k", 1), (3, "g h i j k", "m", 3)]
+
+
+def test_candidates_of_a_dense_group_leave_the_search_as_a_forest(spark):
+    rng = np.random.default_rng(5)
+    centre = rng.integers(0, 1 << 63, WIDE, dtype=np.int64)
+    points = []
+    for i in range(300):  # all within 12 bits of each other, each with a label of its own
+        words = centre.copy()
+        for bit in rng.integers(0, 64 * WIDE, 6):
+            words[bit // 64] ^= np.int64(1) << np.int64(bit % 64) if bit % 64 < 63 else np.int64(0)
+        points.append((i, i, *map(int, words)))
+    df = spark.createDataFrame(points, "node long, label long, " + ", ".join(f"w{k} long" for k in range(WIDE)))
+    bands = pair_bands()
+    got = links(df, 62, bands).collect()
+    assert len(got) <= len(bands) * 299 < 300 * 299 / 2
+    assert {r.root for r in components(spark.createDataFrame(got)).collect()} == {0}
+
+
+@pytest.mark.parametrize("group,block", [(512, 2048), (4, 3)])
+def test_links_inside_trees_are_those_of_the_sets(spark, group, block):
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(40):  # some pairs are similar, many are near misses
+        words = list(base)
+        for k in rng.sample(range(60), 1 + i % 4):
+            words[k] = f"v{i}-{k}"
+        texts.append(" ".join(words))
+    texts += ["far away text of its own", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    points = _points(_set_prints(docs, 5)).cache()
+    labels = points.drop("doc_id").withColumn("label", points["node"])
+    trees = components(links(labels, 62, pair_bands()))
+    found = _links_inside(trees, labels, points, docs, 5, 0.8, 62, pair_bands(), sets_in_group=group, sets_in_block=block)
+    doc = {r.node: r.doc_id for r in points.collect()}
+    prints = {r.doc_id: r for r in points.collect()}
+    sets = {i: set(shingle_hashes(t, 5).tolist()) for i, t in enumerate(texts)}
+    words = {i: np.array([prints[i][f"w{k}"] for k in range(WIDE)], "<i8").view("<u8") for i in sets}
+    keys = {i: [int(band_keys(w[None, :], bits)[0]) for bits in pair_bands()] for i, w in words.items()}
+    alike = [(i, j) for i in sets for j in range(i) if sets[i] | sets[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
+    met = [(i, j) for i, j in alike if distance(words[i], words[j]) <= 62 and any(a == b for a, b in zip(keys[i], keys[j]))]
+
+    def groups(pairs):
+        label = list(range(len(texts)))
+        for i, j in pairs:
+            label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+        return label
+
+    got = [(doc[r.a], doc[r.b]) for r in found.collect()]
+    assert got and all((max(p), min(p)) in set(alike) for p in got) and groups(got) == groups(met)
