@@ -198,3 +198,14 @@ def test_holidays_known_in_advance_count(spark):
     span = spark.createDataFrame([(dt.date(2026, 1, 20), dt.date(2026, 1, 30))], "lo date, hi date")
     days = {r.date.day: r.trading for r in calendar(span, spark.createDataFrame([(dt.date(2026, 1, 21),)], "date date")).collect()}
     assert not days[26] and not days[21] and days[27]
+
+
+def test_panels_are_dealt_into_all_partitions(spark):
+    """Few rows, but long searches for each: merged into one task a core, a second task doubles the time of the stage."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = spark.range(40 * 30).selectExpr("cast(id % 40 as string) symbol", "date_add(date '2020-01-01', cast(id div 40 as int)) date", "1.0D close")
+    assert n > 1 and panel(rows).rdd.getNumPartitions() == n
+    lines = spark.range(40 * 30).selectExpr(
+        "id % 40 l_suppkey", "timestamp '2020-01-01' + make_interval(0, 0, 0, cast(id div 40 as int)) l_shipdate", "id l_orderkey", "1 l_linenumber",
+        "id l_partkey", "cast(id % 50 as double) l_quantity")
+    assert panel(B.walk_bars(lines), even=False).rdd.getNumPartitions() == n
