@@ -12,6 +12,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -41,6 +42,15 @@ REMEMBERED = 250 << 20
 SLICE = 4 << 20
 
 
+def _with_room(old: np.ndarray, used: int, wanted: int) -> np.ndarray:
+    """The array, or if it is too short for `wanted` entries, a copy of the `used` ones in one of at least double the length."""
+    if wanted <= len(old):
+        return old
+    out = np.empty(max(wanted, 2 * len(old)), old.dtype)
+    out[:used] = old[:used]
+    return out
+
+
 class PieceEncoder:
     """Encodes texts with a tokenizers file of the byte-level scheme.
 
@@ -53,21 +63,35 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.known: dict[str, bytes] = {}
-        self.size, self.remembered, self.slice = 0, remembered, size
+        self.remembered, self.slice = remembered, size
+        self._forget()
         # a token of a byte-level vocabulary is written with one character for each byte
         self.n_bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             self.n_bytes[i] = len(token)
 
+    def _forget(self) -> None:
+        #: The numbers of remembered pieces; the ids of piece k are flat[starts[k] : starts[k + 1]]. Both arrays have room to grow.
+        self.known: dict[str, int] = {}
+        self.flat, self.starts = np.empty(1 << 16, "<u4"), np.zeros(1 << 16, np.int64)
+        self.size = 0
+
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _remember(self, pieces: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        n = len(self.known)
+        first, last = int(self.starts[n]), int(self.starts[n]) + len(ids)
+        self.flat = _with_room(self.flat, first, last)
+        self.starts = _with_room(self.starts, n + 1, n + 1 + len(pieces))
+        self.flat[first:last] = ids
+        self.starts[n + 1 : n + 1 + len(pieces)] = first + np.cumsum(lengths)
+        self.known.update(zip(pieces, range(n, n + len(pieces))))
+        self.size += 150 * len(pieces) + sum(map(len, pieces)) + 4 * len(ids)
+
     def _learn(self, pieces: list[str]) -> None:
         """Remembers the ids of new pieces. Those that start with a blank, and after a line end those that are a word, are encoded
         as one text, which is much cheaper, and parted by their lengths in bytes."""
-        if self.size > self.remembered:
-            self.known, self.size = {}, 0
         other: list[str] = []
         for skip, part in ((0, [p for p in pieces if p[:1] == " "]), (1, [p for p in pieces if p[:1] != " "])):
             if skip:
@@ -76,18 +100,18 @@ class PieceEncoder:
             for i in range(0, len(part), 8192):
                 self._learn_as_one(part[i : i + 8192], skip)
         found = self._ids(other)
-        self.known.update(zip(other, found))
-        self.size += 200 * len(pieces) + sum(map(len, found))
+        self._remember(other, np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4)
 
     def _learn_as_one(self, part: list[str], skip: int) -> None:
-        (ids,) = self._ids(["".join(part) if not skip else "\n" + "\n".join(part)])
-        ends = np.cumsum(self.n_bytes[np.frombuffer(ids, "<u4")])
+        ids = np.frombuffer(self._ids(["".join(part) if not skip else "\n" + "\n".join(part)])[0], "<u4")
+        ends = np.cumsum(self.n_bytes[ids])
         lengths = np.fromiter(map(len, map(str.encode, part)), np.int64, len(part)) + skip
-        cuts = (4 * np.searchsorted(ends, np.cumsum(lengths), side="right")).tolist()
-        # the line end before a word is a token of its own
-        starts = [a + 4 * skip for a in [0, *cuts[:-1]]]
-        self.known.update(zip(part, map(ids.__getitem__, map(slice, starts, cuts))))
-        self.size += len(ids) + int(lengths.sum())
+        cuts = np.searchsorted(ends, np.cumsum(lengths), side="right")
+        counts = np.diff(cuts, prepend=0)
+        if skip:
+            # the line end before a word is a token of its own
+            ids, counts = np.delete(ids, cuts - counts), counts - 1
+        self._remember(part, ids, counts)
 
     def encode(self, texts: pa.StringArray) -> Iterator[bytes]:
         """The ids of each text as little-endian 32-bit numbers, worked out a slice of the texts at a time."""
@@ -106,22 +130,25 @@ class PieceEncoder:
             marked = pc.replace_substring_regex(marked, pattern, put)
         parts = pc.split_pattern(pc.if_else(odd, "", marked), MARK)
         coded = parts.flatten().dictionary_encode()
-        pieces = coded.dictionary.to_pylist()
-        known = self.known
-        held = [known.get(p) for p in pieces]
-        if fresh := [p for p, ids in zip(pieces, held) if ids is None]:
+        # by way of numpy, as to_pylist makes a scalar of every piece
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if self.size > self.remembered:
+            self._forget()
+        numbers = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        if len(new := np.flatnonzero(numbers < 0)):
+            fresh = [pieces[i] for i in new.tolist()]
             self._learn(fresh)
-            held = [ids if ids is not None else self.known[p] for p, ids in zip(pieces, held)]
-        lengths = np.fromiter(map(len, held), np.int64, len(held)) // 4
-        tokens = np.frombuffer(b"".join(held), "<u4")
+            numbers[new] = np.fromiter(map(self.known.__getitem__, fresh), np.int64, len(fresh))
+        first = self.starts[numbers]
+        lengths = self.starts[numbers + 1] - first
         index = coded.indices.to_numpy()
         counts = lengths[index]
         ends = np.cumsum(counts)
         # the place of every token: the start of its piece's ids, and how far it is inside the piece
-        kind = np.int32 if len(counts) and ends[-1] < 1 << 31 else np.int64
-        place = np.repeat(((np.cumsum(lengths) - lengths)[index] - (ends - counts)).astype(kind), counts)
+        kind = np.int32 if len(counts) and max(ends[-1], len(self.flat)) < 1 << 31 else np.int64
+        place = np.repeat((first[index] - (ends - counts)).astype(kind), counts)
         place += np.arange(len(place), dtype=kind)
-        raw = memoryview(tokens[place].tobytes())
+        raw = memoryview(self.flat[place].tobytes())
         bounds = 4 * np.append(0, ends)[parts.offsets.to_numpy() - parts.offsets[0].as_py()]
         out = [raw[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
         whole = np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()

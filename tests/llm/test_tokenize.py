@@ -38,6 +38,21 @@ def test_pieces_equal_whole_texts():
     assert list(encoder.encode(pa.array([], pa.large_string()))) == []
 
 
+def test_remembered_pieces_are_numbers_into_one_array():
+    rng = random.Random(1)
+    words = ["".join(rng.choice("abcdeé1") for _ in range(rng.randint(1, 14))) for _ in range(90_000)]
+    texts = [" ".join(words[i : i + 3000]) for i in range(0, len(words), 3000)] + ["x.\n" + "\n".join(words[:500]), "$" * 40 + "\n\n", ""]
+    encoder = PieceEncoder(vocabulary(), size=1 << 16)
+    for _ in range(2):
+        got = [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(pa.array(texts, pa.large_string()))]
+        assert got == [ids_of(t)[:-1] for t in texts]
+    # more than the arrays first have room for; no piece is an object of its own besides its text and number
+    assert len(encoder.known) > 1 << 16 and sorted(encoder.known.values()) == list(range(len(encoder.known)))
+    for piece, k in list(encoder.known.items())[:2000]:
+        ids = encoder.flat[encoder.starts[k] : encoder.starts[k + 1]].tolist()
+        assert TOKENIZER.decode(ids) == piece and encoder.size > 150 * len(encoder.known)
+
+
 def expected(rows):
     out, start = [], 0
     for i, t in rows:
