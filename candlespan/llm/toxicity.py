@@ -24,6 +24,8 @@ TRAIN_ROWS = 20_000
 REMEMBERED = 300_000
 #: Characters of texts whose four-grams are counted together.
 JOINED = 1 << 20
+#: Different features a task counts before it hands the counts on.
+COUNTED = 100_000
 #: Likelihood ratio (twice the log) a feature must reach, and the most features kept, the strongest first.
 LEAST_RATIO = 15.0
 MOST_FEATURES = 4000
@@ -172,16 +174,28 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
     sent = spark.sparkContext.broadcast(cost)
 
     def count(batches):
+        kept_in_worker("toxicity")
         restorer, tally, rows = Restorer(sent.value), (Counter(), Counter()), [0, 0]
+
+        def counted():
+            both = [f for f in tally[0].keys() | tally[1].keys() if f]
+            # the empty name carries the number of documents
+            out = pd.DataFrame({
+                "feature": ["", *both], "clean": [rows[0], *map(tally[0].__getitem__, both)], "toxic": [rows[1], *map(tally[1].__getitem__, both)],
+            })
+            tally[0].clear(), tally[1].clear()
+            rows[:] = 0, 0
+            return out
+
         for batch in batches:
             for text, toxic in zip(batch["text"], batch["toxic"]):
                 tally[toxic].update(features(restored_words(text, restorer)))
                 rows[toxic] += 1
-        both = tally[0].keys() | tally[1].keys()
-        # the empty name carries the number of documents
-        yield pd.DataFrame(
-            [("", *rows), *((f, tally[0][f], tally[1][f]) for f in both if f)], columns=["feature", "clean", "toxic"]
-        )
+                # a feature's counts are summed over all that is handed on, so they may come in several parts
+                if len(tally[0]) + len(tally[1]) >= COUNTED:
+                    yield counted()
+        yield counted()
+        release()
 
     seen = sample.mapInPandas(count, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     seen = stored(seen, "toxic-features")

@@ -58,6 +58,18 @@ def test_stages_keep_the_columns_of_documents(spark, folder):
         assert stage(spark, docs.limit(0), folder).schema == docs.schema
 
 
+def test_texts_cross_in_small_batches(spark, folder):
+    before = spark.conf.get(P.BATCH)
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
+    try:
+        for name, stage in P.STAGES[:-1]:
+            spark.conf.set(P.BATCH, "10000")
+            stage(spark, docs, folder)
+            assert int(spark.conf.get(P.BATCH)) == (4096 if name == "simhash_dedup" else 1000)
+    finally:
+        spark.conf.set(P.BATCH, before)
+
+
 def test_run_matches_plain_rules(spark, folder):
     want, tokenizer = expected(), Tokenizer.from_file(vocabulary())
     out = P.run(spark, folder).orderBy("start").collect()

@@ -106,3 +106,12 @@ def test_short_spaced_and_edge_marked_words_are_restored():
     }.items():
         assert meant in restored_words(text, r), text
     assert restored_words("green river!", r) == {"green", "river"} and restored_words("a - a - a", r) == {"a"}
+
+
+def test_features_are_handed_on_in_parts(spark, tables, monkeypatch):
+    _, docs, labels = tables
+    whole = train(docs.coalesce(1), labels)
+    monkeypatch.setattr(toxicity_module, "COUNTED", 7)
+    parts = train(docs.coalesce(1), labels)
+    assert len(whole.precision) > 7 and parts.precision == whole.precision and (parts.cost == whole.cost).all()
+    assert parts.weights == pytest.approx(whole.weights, abs=1e-3) and parts.bias == pytest.approx(whole.bias, abs=1e-3)
