@@ -228,12 +228,15 @@ NEAR = "word string, n long, n_near long, near_n long, near string"
 
 
 def _roots(links: DataFrame, rounds: int) -> DataFrame:
-    """(word, root) from links (word, form): forms of forms, twice as far in each round."""
+    """(word, root) from links (word, form): forms of forms, twice as far in each round.
+
+    The rows with their SALTS copies are merged by shuffle: Spark sees the size of the compressed files only and would broadcast them.
+    """
     found = stored(links.select("word", F.col("form").alias("root")), "spelling-roots")
     for _ in range(rounds):
         far = found.select(F.col("word").alias("of"), F.col("root").alias("far"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
         rows = found.withColumn("own", F.pmod(F.xxhash64("word"), F.lit(SALTS)).cast("int"))
-        rows = rows.join(far, (rows["root"] == far["of"]) & (rows["own"] == far["salt"]), "left")
+        rows = rows.join(far.hint("merge"), (rows["root"] == far["of"]) & (rows["own"] == far["salt"]), "left")
         found = stored(rows.select("word", F.coalesce("far", "root").alias("root")), "spelling-roots")
     return found
 
@@ -261,4 +264,4 @@ def spelling_variants(docs: DataFrame, size: int = SLICE) -> DataFrame:
     top = words.agg(F.max("n")).first()[0] or LEAST_COUNT
     longest = 1 + int(log(top / LEAST_COUNT, RATIO) + 1e-9)
     roots = _roots(near.filter(F.col("form").isNotNull()), ceil(log(longest + 1, 2)))
-    return near.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return near.join(roots.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

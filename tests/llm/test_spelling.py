@@ -143,3 +143,21 @@ def test_query_equals_its_sql(spark, tmp_path, seed):
     want = con.sql(ORACLES["op11_spelling_variants"])
     assert out.columns == want.columns
     assert sorted(map(tuple, out.collect()), key=str) == sorted(want.fetchall(), key=str)
+
+
+def test_no_copies_of_words_go_through_the_driver(spark, monkeypatch):
+    plans, kept = [], S.stored
+
+    def seen(df, name):
+        out = kept(df, name)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(S, "stored", seen)
+    words = [("common", 700), ("commom", 100), ("commmm", 20), ("cammon", 5)]
+    rows = [(i, f"{w} " * n, "", 0, "") for i, (w, n) in enumerate(words)]
+    out = S.spelling_variants(spark.createDataFrame(rows, SCHEMA))
+    assert sorted(map(tuple, out.collect()), key=str) == by_hand(rows)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    joins = [p for p in plans if "Join" in p]
+    assert len(joins) >= 2 and not any("Broadcast" in p for p in joins)
