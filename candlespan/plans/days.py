@@ -7,7 +7,7 @@ pullback list, is the state of one fold that sees a bounded number of rows a day
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from candlespan.config import Settings
 from candlespan.functions import sizing as Z
 from candlespan.operators.confirm import confirmed, failed_level, first_of_day, retest, taking_order
+from candlespan.operators.trades import bars_after
 from candlespan.session import stored
 
 #: Calendar days for which a breakout waits for its retest, those in which falling back below its level fails it, and how far apart
@@ -65,12 +66,18 @@ def opened(entries: DataFrame, s: Settings = Settings()) -> DataFrame:
     return rows.withColumns({k: pnl[k] for k in ("pnl_inr", "pnl_r")}).drop("_x", "ahead")
 
 
-def trading_days(rows: DataFrame, s: Settings = Settings(), pullback_days: int = PULLBACK_DAYS) -> DataFrame:
+def trading_days(
+    rows: DataFrame, s: Settings = Settings(), pullback_days: int = PULLBACK_DAYS, facts: Callable[[DataFrame], DataFrame] | None = None,
+    bars: DataFrame | None = None,
+) -> DataFrame:
     """Every position that the daily runs open, in `SHOWN`'s columns, with the positions open before it.
 
     `rows` has one row for each bar, as `opened` needs it, with open, high, low, bar_no, volume_ratio (to the 20 bars before), continuous, and the setup of
     that day's watchlist: level, base_height, pattern, score (rescored with the day's bar), sector. Bars without a setup have a null level.
 
+    Of all bars only confirmed breakouts and the retests of those taken need more than their own row. So `rows` may leave out what `facts` then adds to
+    the few (sector, monday_open, risk_multiplier), and `ahead`, if numbered `bars` are given to look it up in.
+
     Pre-close of a day: setups that close above their level on volume, with a score to alert on, are taken best first under the limits on
     positions and on positions of a sector (null is a sector of its own) and go on the pullback list, where a symbol's newest breakout replaces the one before.
     Then symbols on the list, in order of symbol, that retest and hold their level open a position if there is room, once for a level, and leave the list; without
@@ -78,13 +85,20 @@ def trading_days(rows: DataFrame, s: Settings = Settings(), pullback_days: int =
     closed at the end of a day gives its slot to the next. Nulls in any condition open nothing; an empty table gives no rows.
     """
     r = s.risk
-    rows = rows.filter("symbol is not null and date is not null").withColumn("sector", F.coalesce("sector", F.lit("unknown")))
-    fresh = rows.filter(
+    rows = rows.filter("symbol is not null and date is not null")
+
+    def known(some: DataFrame) -> DataFrame:
+        return (facts(some) if facts else some).withColumn("sector", F.coalesce("sector", F.lit("unknown")))
+
+    def with_ahead(some: DataFrame, name: str) -> DataFrame:
+        return some if bars is None else bars_after(stored(some, name), bars, s.paper.hold_max_days + 1)
+
+    fresh = known(rows.filter(
         F.col("continuous") & (F.col("level") > 0) & F.col("atr_14").isNotNull()
         & confirmed(F.col("close"), F.col("level"), F.col("volume_ratio"), s.thresholds.min_volume_ratio) & (F.col("score") >= s.thresholds.min_score_to_alert)
-    )
+    ))
     first = first_of_day(fresh.withColumn("priority", F.lit(0)), r.max_concurrent_positions, r.max_positions_per_sector)
-    first = opened(first, s).withColumns({"alert_type": F.lit("BREAKOUT"), "since": F.col("date"), "breakout_level": F.col("level")})
+    first = opened(with_ahead(first, "chosen"), s).withColumns({"alert_type": F.lit("BREAKOUT"), "since": F.col("date"), "breakout_level": F.col("level")})
     narrow = [c for c in SHOWN if c not in ("n_open", "n_sector")] + ["priority"]
     first = stored(first.select(*narrow), "breakouts")
 
@@ -95,11 +109,11 @@ def trading_days(rows: DataFrame, s: Settings = Settings(), pullback_days: int =
     met = rows.drop("level", "base_height", "score", "pattern").join(waiting, ["symbol", "date"]).withColumnRenamed("breakout_level", "level")
     failed = F.when(failed_level(F.col("since"), F.col("level"), F.col("date"), F.col("close"), FAIL_DAYS), F.col("date"))
     met = met.withColumn("_failed", F.min(failed).over(Window.partitionBy("symbol", "since")))
-    back = met.filter(
+    back = known(met.filter(
         F.col("continuous") & F.col("atr_14").isNotNull() & (F.col("bar_no") > 20) & retest(F.col("level"))
         & (F.col("_failed").isNull() | (F.col("date") < F.col("_failed")))
-    ).withColumn("base_height", F.greatest(F.lit(0.0), F.col("close") - F.col("level")))
-    back = opened(back, s).select(
+    )).withColumn("base_height", F.greatest(F.lit(0.0), F.col("close") - F.col("level")))
+    back = opened(with_ahead(back, "retests"), s).select(
         *[{"alert_type": F.lit("PULLBACK_ENTRY"), "pattern": F.lit("pullback"), "score": F.col("_score"), "breakout_level": F.col("level"), "priority": F.lit(1)}
           .get(c, F.col(c)).alias(c) for c in narrow])
     both = first.unionByName(back).withColumns({"n_open": F.lit(0), "n_sector": F.lit(0)})

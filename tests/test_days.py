@@ -4,10 +4,13 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from candlespan.config import Risk, Settings
+from candlespan.operators.confirm import near_level
 from candlespan.operators.panel import own_rows, panel
-from candlespan.operators.trades import with_future
+from candlespan.operators.quality import bad_move
+from candlespan.operators.trades import bars_after, with_future
 from candlespan.plans import days as D
 
 START = dt.date(2021, 1, 4)
@@ -125,3 +128,31 @@ def test_the_plan_equals_a_walk_through_the_days(spark, seed, total, sector_cap)
 
 def test_no_days(spark):
     assert planned(spark, [], Settings()) == []
+
+
+def test_facts_and_bars_ahead_asked_for_the_few_give_the_same(spark):
+    rows, settings = market(5), Settings(risk=Risk(max_concurrent_positions=3, max_positions_per_sector=1))
+    numbered = own_rows(panel(spark.createDataFrame(rows, COLUMNS)))
+    late = ("sector", "monday_open", "risk_multiplier")
+    facts = spark.createDataFrame([(r[0], r[1], *r[-3:]) for r in rows], "symbol string, date date, sector string, monday_open boolean, risk_multiplier double")
+    got = D.trading_days(numbered.drop(*late), settings, facts=lambda some: some.join(facts, ["symbol", "date"], "left"), bars=numbered)
+    assert sorted(map(str, got.collect())) == sorted(map(str, planned(spark, rows, settings))) != []
+    # rows with `ahead` never meet in an exchange of all bars
+    assert "ahead" not in numbered.columns
+
+
+def test_a_few_rows_get_the_bars_after_them(spark):
+    bars = panel(spark.createDataFrame(market(6, 4, 90), COLUMNS))
+    want = {(r.symbol, r.bar_no): r.ahead for r in own_rows(with_future(bars, 31)).collect()}
+    some = own_rows(bars).filter("bar_no % 7 = 0 or bar_no = n_bars")
+    got = bars_after(some.unionByName(some), own_rows(bars), 31).collect()
+    assert len(got) > 30 and all(r.ahead == want[r.symbol, r.bar_no] for r in got) and any(not r.ahead for r in got)
+
+
+def test_a_price_of_zero_ends_no_run(spark):
+    close = [5.0, 0.0, 0.0, -4.0, 0.0, 3.0, 3.1]
+    rows = [("Z", START + dt.timedelta(days=k), c, c, c, c) for k, c in enumerate(close)]
+    p = panel(spark.createDataFrame(rows, "symbol string, date date, open double, high double, low double, close double"))
+    moves = [r.bad for r in p.withColumn("bad", bad_move()).orderBy("bar_no").collect()]
+    assert moves == [None, -1.0, None, float("-inf"), -1.0, float("inf"), None]
+    assert p.filter(near_level(F.col("close"), F.col("low"), 2.0)).count() == 3
