@@ -7,9 +7,15 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from candlespan.operators.kernels import FIELDS, FLAG_NOTES, YEAR_NOTES, _extremes, box_kernel, cup_kernel, flag_kernel, year_high_kernel
+from candlespan.operators import indicators as I
+from candlespan.operators import patterns as P
+from candlespan.operators.kernels import FIELDS, FLAG_NOTES, YEAR_NOTES, Columns, _extremes, box_kernel, cup_kernel, flag_kernel, lagged, only, year_high_kernel
+from candlespan.operators.panel import panel, series
+from candlespan.operators.stage import peaks, slope_kernel, with_stage
 from candlespan.plans import queries as Q
+from candlespan.plans.scan import analysed
 from candlespan.sources.walk import walk_bars
 
 
@@ -145,3 +151,33 @@ def test_candidates_are_worked_out_once(spark, monkeypatch):
     # two positions of the sector are held already, so one slot is left
     assert [tuple(r) for r in got.collect()] == [(dt.date(1995, 1, 2), "1")]
     assert len(calls) == 1
+
+
+def test_the_scan_exchanges_its_panel_once(spark):
+    plans = {}
+    rows = pd.concat([bars(k, 260).assign(symbol=f"S{k}", date=[dt.date(2020, 1, 1) + dt.timedelta(days=i) for i in range(260)]) for k in (1, 2)])
+    table = spark.createDataFrame(rows.assign(open=rows.close, n_bars=260), "bar_no long, close double, high double, low double, volume long, symbol string, date date, open double, n_bars long")
+    for name, made in (("scan", analysed(table, extra_kernels=[lagged(("_average", "vol_avg_20", 1))])), ("stage", with_stage(I.with_standard(peaks(panel(table)), [slope_kernel()])))):
+        plans[name] = made._jdf.queryExecution().executedPlan().toString()
+        assert plans[name].count("Exchange hashpartitioning") == 1, name
+    # the same as windows behind the map give
+    plain = {(r.symbol, r.bar_no): r for r in with_stage(I.with_standard(panel(table))).withColumn("before", F.lag("vol_avg_20").over(series())).collect()}
+    got = analysed(table, extra_kernels=[lagged(("_average", "vol_avg_20", 1))]).collect()
+    assert len(got) == 520 and {r.stage for r in got} > {"UNKNOWN"}
+    for r in got:
+        want = plain[r.symbol, r.bar_no]
+        assert (r.stage, r._average) == (want.stage, want.before)
+    full = {(r.symbol, r.bar_no): r for r in P.with_patterns(panel(table)).withColumn("best", P.best_pattern()).select("symbol", "bar_no", "best").collect()}
+    assert all(r.best == full[r.symbol, r.bar_no].best for r in got) and any(r.best for r in got)
+
+
+def test_columns_stand_for_a_frame():
+    f = bars(3, 60)
+    c = Columns({n: f[n].to_numpy() for n in f})
+    copy = c.copy()
+    copy["more"] = f["close"] * 2
+    assert len(c) == 60 and copy["more"].equals(f["close"] * 2) and "more" not in c.made and c["high"].equals(f["high"])
+    k = only(year_high_kernel(), ["year_level"])
+    assert list(k.fn(c)) == ["year_level"] == [n for n, _ in k.outputs]
+    assert [np.isnan(v[:3]).all() for v in lagged(("a", "close", 3), ("b", "close", 99)).fn(c).values()] == [True, True]
+    np.testing.assert_array_equal(lagged(("a", "close", 3)).fn(c)["a"][3:], f["close"].to_numpy()[:-3])
