@@ -152,3 +152,29 @@ def test_merge_takes_one_of_several_rows_of_a_key(spark):
     assert IO.merge_bar_store(spark, path, spark.createDataFrame([("B", START, None)], shape)) == 0
     assert IO.merge_bar_store(spark, path, spark.createDataFrame([("A", START, 3.0), ("A", START, 2.0), ("C", START, 5.0)], shape)) > 0
     assert sorted(map(tuple, IO.read_bar_store(spark, path).collect()), key=str) == [("A", START, 3.0), ("B", START, None), ("C", START, 5.0)]
+
+
+@pytest.mark.parametrize("together", [1, 2, 8])
+def test_correlation_in_parts_of_several_tiles(spark, together):
+    rng = np.random.default_rng(7)
+    x = rng.normal(0, 0.02, (40, 150))
+    x[3, 100:] = 0.01
+    frame = pd.DataFrame({
+        "symbol": np.repeat([f"S{k}" for k in range(40)], 150), "date": [START + dt.timedelta(days=i) for i in range(150)] * 40,
+        "bar_no": list(range(1, 151)) * 40, "ret_1": x.ravel()})
+    returns = spark.createDataFrame(frame, "symbol string, date date, bar_no long, ret_1 double")
+    at = [0, 61, 62, 63, 125, 126, 149]  # around the edges of blocks of 63 bars
+    cohorts = returns.filter(f"bar_no in ({', '.join(str(i + 1) for i in at)})").select("date", "symbol")
+    got = {r.date: r.avg_correlation for r in X.mean_abs_correlation(returns, cohorts, tile=4, together=together).collect()}
+    for i in at:
+        want = pair_mean([{d: row[d] for d in range(max(0, i - 62), i + 1)} for row in x])
+        assert got[START + dt.timedelta(days=i)] == pytest.approx(want, abs=1e-9), i
+
+
+def test_a_cohort_of_several_tiles_is_sent_once(spark):
+    returns = spark.createDataFrame([(f"S{k}", START + dt.timedelta(days=i), i + 1, float((k * 7 + i * i) % 11)) for k in range(60) for i in range(20)],
+                                    "symbol string, date date, bar_no long, ret_1 double")
+    out = X.mean_abs_correlation(returns, returns.filter("bar_no = 20").select("date", "symbol"), tile=10)
+    assert out.count() == 1
+    sent = out.filter("avg_correlation > 0")
+    assert sent.count() == 1 and "explode(sequence(0, (parts" in sent._jdf.queryExecution().optimizedPlan().toString()
