@@ -6,6 +6,7 @@ import random
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -184,3 +185,58 @@ def test_repeated_and_late_messages_are_dropped_and_counted(spark):
     newest, counts = ST.resent_bars(spark, feed, 3, "20 days", by="part")
     assert {r.symbol: r.close for r in newest.collect()} == {"A": 3.0, "B": 2.0, "C": 6.0, "D": 1.0, "E": 1.0}
     assert tuple(counts.first()) == (12, 2, 3, 7)
+
+
+def test_rows_of_a_batch_wait_as_one_value():
+    from candlespan.streaming.stateful import TradeTracker
+
+    class Listed:
+        def __init__(self):
+            self.values = []
+
+        def exists(self):
+            return bool(self.values)
+
+        def get(self):
+            return iter(self.values)
+
+        def put(self, values):
+            self.values = list(values)
+
+        def clear(self):
+            self.values = []
+
+        def appendValue(self, value):
+            self.values.append(value)
+
+        def appendList(self, values):
+            self.values += values
+
+    class Handle:
+        def __init__(self):
+            self.timers = []
+
+        def getListState(self, name, schema):
+            return Listed()
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    class Clock:
+        def __init__(self, day):
+            self.day = day
+
+        def getCurrentWatermarkInMs(self):
+            return self.day * 86_400_000
+
+    work = TradeTracker(30)
+    work.init(Handle())
+    names = [c.split()[0] for c in work.ROW.split(", ")]
+    rows = [(10, False, "t", 100.0, 90.0, 110.0, 130.0)] + [(d, True, "", 100.0 + d, 101.0 + d, 99.0 + d, 100.0 + d) for d in range(10, 40)]
+    for some in (rows[:20], rows[20:]):
+        assert list(work.handleInputRows(("S",), iter([pd.DataFrame(some, columns=names)]), None)) == []
+    assert len(work.waiting.values) == 2  # one for each batch
+    first = [r for f in work.handleExpiredTimer(("S",), Clock(12), None) for r in f["state"]]
+    assert first == ["TARGET_1_HIT"] and len(work.waiting.values) == 1 and len(work.held.values) == 1
+    last = [(r.state, r.price) for f in work.handleExpiredTimer(("S",), Clock(39), None) for r in f.itertuples()]
+    assert last == [("TARGET_HIT", 130.0)] and not work.waiting.values and not work.held.values
