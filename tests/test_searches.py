@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from candlespan.operators import indicators as I
 from candlespan.operators import patterns as P
-from candlespan.operators.kernels import FIELDS, FLAG_NOTES, YEAR_NOTES, Columns, _extremes, box_kernel, cup_kernel, flag_kernel, lagged, only, year_high_kernel
+from candlespan.operators.kernels import (
+    FIELDS, FLAG_NOTES, YEAR_NOTES, Columns, Smooth, _extremes, box_kernel, cup_kernel, flag_kernel, lagged, only, smoothing, year_high_kernel,
+)
 from candlespan.operators.panel import panel, series
 from candlespan.operators.stage import peaks, slope_kernel, with_stage
 from candlespan.plans import queries as Q
@@ -181,3 +183,12 @@ def test_columns_stand_for_a_frame():
     assert list(k.fn(c)) == ["year_level"] == [n for n, _ in k.outputs]
     assert [np.isnan(v[:3]).all() for v in lagged(("a", "close", 3), ("b", "close", 99)).fn(c).values()] == [True, True]
     np.testing.assert_array_equal(lagged(("a", "close", 3)).fn(c)["a"][3:], f["close"].to_numpy()[:-3])
+
+
+def test_a_series_may_start_at_a_later_number():
+    f = bars(4, 40).assign(seg=0, own=True)
+    f["bar_no"] += 1  # the first one had no date
+    k = smoothing([Smooth("m", "close", 0.1)])
+    np.testing.assert_allclose(k.fn(f)["m"], f.close.ewm(alpha=0.1, adjust=False).mean())
+    with pytest.raises(ValueError):
+        k.fn(f.assign(seg=1))
